@@ -608,3 +608,93 @@ def run_id(spark, d):
     params = F.create_map(F.lit("type"), F.col("p_type"), F.lit("size"), F.col("p_size").cast("string"),
                           F.lit("brand"), F.col("p_brand"))
     return p.select(F.col("p_partkey").alias("trial_id"), tr.run_id(params).alias("run_id"))
+
+
+# ---------------------------------------------------------------- hooks (Arrow)
+
+from ..session import fresh_dir  # noqa: E402
+from ..sources import hooks as hk  # noqa: E402
+from ..sources import sinks as sk  # noqa: E402
+from ..streaming import collect as sc  # noqa: E402
+
+
+@register("html_to_text")
+def html_to_text(spark, d):
+    pages = TB.table(spark, d, "pages")
+    return hk.documents_to_text(pages, content="html", keep=("page_id", "url"))
+
+
+@register("charset_normalize")
+def charset_normalize(spark, d):
+    docs = _docs(spark, d).select(
+        "doc_id", F.when(F.col("lang") == "en", F.encode("text", "UTF-8"))
+        .otherwise(F.encode("text", "UTF-16LE")).alias("content"))
+    return hk.normalize_charset(docs, "content", candidates=("utf-16-le", "latin-1"), keep=("doc_id",))
+
+
+def document_nodes(spark, d):
+    """documents → an exploded node table: one ``text`` node per line."""
+    return (_docs(spark, d)
+            .select("doc_id", F.posexplode(F.split(noisy_cjk(), "\n")).alias("node_no", "text"))
+            .withColumn("kind", F.lit("text")))
+
+
+@register("node_text_map", f"""WITH n AS (
+  SELECT doc_id, string_split({SQL_NOISY}, {NL}) AS parts FROM documents),
+e AS (SELECT doc_id, unnest(range(len(parts))) AS node_no, unnest(parts) AS text FROM n)
+SELECT doc_id, CAST(node_no AS BIGINT) AS node_no, {_sql_junk(_sql_clean('text'))} AS text FROM e""")
+def node_text_map(spark, d):
+    out = hk.transform_nodes(document_nodes(spark, d), tx.clean_node_text)
+    return out.select("doc_id", F.col("node_no").cast("long"), "text")
+
+
+SCORE_LEN, SCORE_VOCAB = 64, 1 << 16
+
+
+@register("batch_score")
+def batch_score(spark, d):
+    df = _docs(spark, d).select("doc_id", fe.whitespace_tokens("text").alias("tokens"))
+    w = fe.token_windows(df, "tokens", width=SCORE_LEN, overlap=WINDOW_OVERLAP)
+    ids = F.transform("chunk", lambda t: (F.abs(F.xxhash64(t)) % SCORE_VOCAB).cast("int"))
+    w = w.select("doc_id", "chunk_no", sp.pad_to(ids, F.lit(SCORE_LEN), 0).alias("input_ids"))
+    scored = hk.score_batches(w, hk.hashing_stub_model(SCORE_VOCAB), seq_len=SCORE_LEN)
+    return dc.decode(scored, confidence=False).select("doc_id", "chunk_no", "pred_start", "pred_end")
+
+
+# ---------------------------------------------------------------- streaming
+
+COLLECT_SQL = ORACLE["collect_answers"]
+
+
+@register("stream_collect_answers", COLLECT_SQL)
+def stream_collect_answers(spark, d):
+    """Predictions written as batch files, collected by a
+    file-source stream (several micro-batches), upserted per batch."""
+    preds = TB.predictions(spark, d).withColumn("batch_no", F.floor(F.col("qid") / 16))
+    src, sink = fresh_dir(spark, "predictions"), fresh_dir(spark, "answers")
+    ckpt = fresh_dir(spark, "stream-state")
+    sk.write_prediction_batches(preds, src)
+    q = sc.start_collector(spark, src, sink, ckpt, available_now=True, json_lines=True,
+                           max_files_per_trigger=64)
+    q.awaitTermination()
+    return sc.answers_from_collected(sc.read_collected(spark, sink))
+
+
+@register("stream_dedup_bounded", ORACLE["prediction_distinct"])
+def stream_dedup_bounded(spark, d):
+    """Streaming distinct of prediction rows with bounded state (the
+    watermark delay exceeds the data's 30-day span, so nothing is dropped)."""
+    ev = (spark.readStream.schema(TB.table(spark, d, "events").schema)
+          .option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", 1).parquet(d))
+    preds = ev.select(
+        "ts", F.col("user_id").alias("qid"), F.col("event_type").alias("category"),
+        F.get_json_object("props", "$.k").alias("retrieve"),
+        ((F.col("event_id") % 6) * 5).cast("int").alias("incre_num_by"),
+        F.element_at(F.array(*[F.lit(c) for c in TB.CHECKPOINTS]), (F.col("event_id") % 3 + 1).cast("int")).alias("checkpoint"))
+    cols = ["qid", "category", "retrieve", "incre_num_by", "checkpoint"]
+    dedup = sc.dedup_within_watermark(preds, "ts", "60 days", cols).select(*cols)
+    sink, ckpt = fresh_dir(spark, "dedup"), fresh_dir(spark, "dedup-state")
+    q = (dedup.writeStream.outputMode("append").option("checkpointLocation", ckpt)
+         .trigger(availableNow=True).format("parquet").option("path", sink).start())
+    q.awaitTermination()
+    return spark.read.schema(dedup.schema).parquet(sink)
