@@ -68,16 +68,17 @@ def widening_search(df: DataFrame, tokens: str = "input_ids", start: str = "pred
         return F.when(acc.isNotNull(), acc).otherwise(tried)
 
     hit = F.aggregate(attempts, none, step_fn)
-    parts = tx.split_doc_id(hit["m"])
-    out = (df.withColumn("_ws_hit", hit)
-           .withColumn("match", F.col("_ws_hit")["m"])
-           .withColumn("category_pred", parts["category"])
-           .withColumn("retrieve", parts["number"])
-           .withColumn("incre_num_by", F.col("_ws_hit")["incre"])
-           .drop("_ws_hit"))
-    if not keep_misses:
-        out = out.where(F.col("match").isNotNull())
-    return out
+    # The search sits inside a generator so Catalyst evaluates it once per
+    # row: a plain column would be inlined into the pushed-down filter and
+    # into every column derived from it.
+    gen = (F.inline(F.filter(F.array(hit), lambda h: h.isNotNull())) if not keep_misses
+           else F.inline_outer(F.array(hit)))
+    out = df.select("*", gen)
+    parts = tx.split_doc_id(F.col("m"))
+    return (out.withColumn("category_pred", parts["category"])
+            .withColumn("retrieve", parts["number"])
+            .withColumnRenamed("m", "match")
+            .withColumnRenamed("incre", "incre_num_by"))
 
 
 def span_metrics(df: DataFrame, pred: tuple[str, str] = ("pred_start", "pred_end"),

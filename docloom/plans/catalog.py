@@ -106,7 +106,8 @@ def noisy_cjk(col: str = "text"):
 
 
 def _docs(spark, d):
-    return TB.table(spark, d, "documents")
+    # every documents query does per-row CPU work (regex, HOFs): spread it
+    return TB.table(spark, d, "documents", balanced=True)
 
 
 # ---------------------------------------------------------------- text cleaning
@@ -620,7 +621,7 @@ from ..streaming import collect as sc  # noqa: E402
 
 @register("html_to_text")
 def html_to_text(spark, d):
-    pages = TB.table(spark, d, "pages")
+    pages = TB.table(spark, d, "pages", balanced=True)
     return hk.documents_to_text(pages, content="html", keep=("page_id", "url"))
 
 

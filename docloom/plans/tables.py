@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 # Fixed values of the fixture mapping (shared with the oracle SQL).
 LANG_BY_MOD = ["en", "fr", "de", "es"]
 CANDIDATES_PER_QUESTION = 5
@@ -18,8 +20,11 @@ LATIN = "abcdefghijklmnopqrstuvwxyz"
 CJK_26 = "一中文字人大小山水火木金土日月天地上下本票融資料問海"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, balanced: bool = False) -> DataFrame:
+    """One driver table.  ``balanced`` spreads a scan with fewer splits than
+    cores before CPU-heavy per-row work (see ``session.spread``)."""
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(df) if balanced else df
 
 
 def category_of(item_id) -> F.Column:

@@ -77,3 +77,15 @@ def fresh_dir(spark: SparkSession, sub: str) -> str:
     """A new, unique folder under ``shared_dir`` (one per run)."""
     import uuid
     return shared_dir(spark, f"{sub}/{uuid.uuid4().hex}")
+
+
+def spread(df, factor: int = 2):
+    """Round-robin ``df`` over the cluster's cores when its scan yields fewer
+    splits than cores (one big row group, a handful of files).  A scan that
+    already has enough splits — the normal case for large inputs — is left
+    alone, so this never adds a shuffle at scale; it only matters before
+    CPU-heavy per-row work (regex cleaners, higher-order span searches)."""
+    par = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= par:
+        return df
+    return df.repartition(par * factor)
