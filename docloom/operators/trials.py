@@ -43,7 +43,9 @@ def metrics_from_logs(logs: DataFrame, trial: str = "trial_id", line_no: str = "
     last = (logs.groupBy(trial)
             .agg(F.max_by(F.when(cond, F.col(line)), F.when(cond, F.col(line_no))).alias("_line")))
     parsed = last.withColumn("_m", parse_metrics("_line"))
-    out = parsed.select(trial, *[F.col("_m")[o].try_cast("double").alias(o) for o in objectives])
+    # non-finite numbers come back as quoted text ("NaN"): unquote, then cast
+    val = lambda o: F.regexp_replace(F.col("_m")[o], r'^"(.*)"$', "$1").try_cast("double")
+    out = parsed.select(trial, *[val(o).alias(o) for o in objectives])
     return out.withColumn("state", F.when(F.col(objectives[0]).isNull(), F.lit("pruned"))
                           .otherwise(F.lit("complete")))
 
