@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from .joins import restrict_to_keys
 
 # Prefixes of the FAQ content (questions, then answers).
 FAQ_QUESTION_PREFIX = "問題："
@@ -54,6 +55,9 @@ def apply_fallback(corpus: DataFrame, fallback: DataFrame, min_len: int = 50,
     keep = corpus.where(~low)
     flagged = corpus.where(low).withColumn("_fb_stem", file_stem("filename"))
     fb = fallback.select(F.col(stem_col).alias("_fb_stem"), F.col(text_col).alias("_fb_text"))
+    # only the fallback texts of flagged rows are needed: filter the fallback
+    # side by the (size-checked, broadcast) flagged stems before joining
+    fb = restrict_to_keys(fb, flagged, ["_fb_stem"])
     joined = flagged.join(fb, ["_fb_stem"], "left")
     new = tx.page_tag(F.lit(0), tx.remove_junk("_fb_text"))
     if missing == "fail":

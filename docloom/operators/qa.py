@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from .joins import BROADCAST_MAX_ROWS, restrict_to_keys
 
 
 def prepare_questions(questions: DataFrame, query: str = "query") -> DataFrame:
@@ -39,21 +40,30 @@ def _references(questions: DataFrame, key: Sequence[str], source: str) -> DataFr
 
 def missing_references(questions: DataFrame, corpus: DataFrame, source: str = "source",
                        key: Sequence[str] = ("qid", "category")) -> DataFrame:
-    """Candidate ids with no corpus row of the same category."""
+    """Candidate ids with no corpus row of the same category
+    (``qid, category, pos, doc_num``)."""
     refs = _references(questions, key, source)
-    return refs.join(corpus.select("category", "doc_num"), ["category", "doc_num"], "left_anti")
+    on = ["category", "doc_num"]
+    # find which referenced keys exist with a (size-checked) broadcast
+    # semi-join on the corpus side, then anti-join the small results
+    found = restrict_to_keys(corpus.select(*on), refs, on).distinct()
+    return refs.join(found, on, "left_anti")
 
 
 def assemble_context(questions: DataFrame, corpus: DataFrame, source: str = "source",
                      order_col: str | None = None, on_missing: str = "fail",
                      key: Sequence[str] = ("qid", "category"),
-                     max_articles: int | None = None) -> DataFrame:
+                     max_articles: int | None = None,
+                     broadcast_max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """Resolve each question's ordered candidate ids to corpus text and
     concatenate them as ``<article id=…>`` tags, in candidate order.
 
-    Plan: explode candidates (one row per (question, position)), hash-join to
-    the deduplicated corpus on (category, doc_num), regroup by the question
-    key and order by position.  Questions with no candidates get ``''``.
+    Plan: explode candidates (one row per (question, position)); restrict
+    the corpus to the referenced (category, doc_num) keys — a broadcast
+    semi-join when the key set is small (counted), so the corpus is filtered
+    during its scan instead of being shuffled; deduplicate; join; regroup by
+    the question key and order by position.  Questions with no candidates
+    get ``''``.
     ``on_missing``: ``fail`` raises at run time on an unresolved id (lazy,
     inside the plan), ``skip`` drops it.  ``max_articles`` (default: none)
     keeps the first N candidates.
@@ -64,11 +74,8 @@ def assemble_context(questions: DataFrame, corpus: DataFrame, source: str = "sou
     refs = _references(questions, key, source)
     if max_articles is not None:
         refs = refs.where(F.col("pos") < max_articles)
-    lookup = corpus
-    if order_col is not None:
-        # shrink the corpus to referenced keys before the dedup aggregate
-        lookup = corpus.join(refs.select("category", "doc_num").distinct(),
-                             ["category", "doc_num"], "left_semi")
+    cols = ["category", "doc_num", "content"] + ([order_col] if order_col else [])
+    lookup = restrict_to_keys(corpus.select(*cols), refs, ["category", "doc_num"], broadcast_max_rows)
     lookup = first_per_key(lookup, order_col=order_col)
     how = "left" if on_missing == "fail" else "inner"
     joined = refs.join(lookup, ["category", "doc_num"], how)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import spread
+from ..session import shared_dir, spread
 
 # Fixed values of the fixture mapping (shared with the oracle SQL).
 LANG_BY_MOD = ["en", "fr", "de", "es"]
@@ -63,7 +63,11 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
            .where(F.col("rn") <= CANDIDATES_PER_QUESTION)
            .groupBy("qid", "category")
            .agg(F.sort_array(F.collect_list("doc_id")).alias("source")))
-    return q.join(top, ["qid", "category"], "left").select("qid", "query", "category", "source")
+    qs = q.join(top, ["qid", "category"], "left").select("qid", "query", "category", "source")
+    # small (one row per question) and used several times downstream: cut its
+    # lineage with a reliable checkpoint in the shared checkpoint folder
+    shared_dir(spark, "checkpoints")
+    return qs.checkpoint(eager=True)
 
 
 def truths(qs: DataFrame) -> DataFrame:

@@ -66,7 +66,9 @@ def shared_dir(spark: SparkSession, sub: str) -> str:
             raise RuntimeError("spark.checkpoint.dir must name a shared folder")
         base = tempfile.mkdtemp(prefix="docloom-ckpt-")
         spark.conf.set("spark.checkpoint.dir", base)
-        spark.sparkContext.setCheckpointDir(base)
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(base.rstrip("/") + "/rdd")
     path = base.rstrip("/") + "/" + sub.strip("/")
     if "://" not in path:
         os.makedirs(path, exist_ok=True)
