@@ -44,6 +44,8 @@ DOC_ID_CATEGORIES = ["insurance", "finance", "faq"]
 ARTICLE_TAG = '<article id="{category}_{doc_num}">{content}</article>'
 PAGE_TAG = '<page number="{page}">{text}</page>'
 CONTEXT_TAG = "<context>{context}</context>"
+PREDICTION_FILE = "qid{qid}_iter{iter}_checkpoint{checkpoint}.json"
+ANSWER_FILE = "pred_retrieve_{checkpoint}.json"
 LIST_SEPARATOR = "、"
 LIST_LAST_SEPARATOR = "及"
 
@@ -203,3 +205,8 @@ def render(template: str, **cols) -> Column:
     fmt = re.sub(r"\{(\w+)\}", sub, template.replace("%", "%%"))
     args = [_c(cols[n]).cast("string") for n in names]
     return F.format_string(fmt, *args)
+
+
+def prediction_file_name(qid, iteration, checkpoint) -> Column:
+    """``qid{q}_iter{i}_checkpoint{n}.json`` (per-batch prediction file)."""
+    return render(PREDICTION_FILE, qid=qid, iter=iteration, checkpoint=checkpoint)

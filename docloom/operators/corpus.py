@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from .joins import restrict_to_keys
+from .ranks import running_max_within
 
 # Prefixes of the FAQ content (questions, then answers).
 FAQ_QUESTION_PREFIX = "問題："
@@ -73,11 +74,11 @@ def faq_records(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", rol
                 text: str = "text", question_role: str = "user", answer_role: str = "assistant") -> DataFrame:
     """Chat turns → FAQ records ``(faqid, rec, question, answers[])``: each
     question turn opens a record; the answer turns after it (before the next
-    question) are its answers, in turn order.  The record id is a running
-    max inside the conversation."""
-    w = (Window.partitionBy(conv).orderBy(turn)
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    t = turns.withColumn("_rec", F.max(F.when(F.col(role) == question_role, F.col(turn))).over(w))
+    question) are its answers, in turn order.  The record id is the running
+    max of question-turn numbers inside the conversation, computed with
+    range buckets of ``turn`` so a very long conversation is not one task."""
+    t = turns.withColumn("_q_turn", F.when(F.col(role) == question_role, F.col(turn)))
+    t = running_max_within(t, "_q_turn", turn, [conv], name="_rec").drop("_q_turn")
     t = t.where(F.col("_rec").isNotNull())
     return (t.groupBy(conv, "_rec")
             .agg(F.max(F.when(F.col(role) == question_role, F.col(text))).alias("question"),

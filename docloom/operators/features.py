@@ -128,6 +128,15 @@ def label_chunks(df: DataFrame, chunk: str = "chunk", target: str = "target") ->
             .withColumn("found", s["found"]))
 
 
+def generative_labels(df: DataFrame, answer_tokens: str, name: str = "labels") -> DataFrame:
+    """on the free-answer path every chunk carries the answer's tokens
+    as its labels (chunks are exploded from their parent, so this is a
+    column pass-through, flattened when the answer is a list of pieces)."""
+    t = dict(df.dtypes)[answer_tokens]
+    col = F.flatten(answer_tokens) if t.startswith("array<array") else F.col(answer_tokens)
+    return df.withColumn(name, col)
+
+
 def pad_batches(df: DataFrame, tokens: str, batch: str = "batch_no", pad: str | int = 0,
                 name: str = "input_ids") -> DataFrame:
     """F32: pad each row to the longest row of its batch and add

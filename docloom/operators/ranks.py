@@ -65,3 +65,24 @@ def rank_within(df: DataFrame, order_col: str, partition_by: Sequence[str] = (),
     if descending:
         out = out.drop(oc)
     return out
+
+
+def running_max_within(df: DataFrame, value: str, order_col: str, partition_by: Sequence[str] = (),
+                       name: str = "running_max", n_buckets: int | None = None) -> DataFrame:
+    """Running ``max(value)`` up to and including each row, inside
+    ``partition_by`` and ordered by ``order_col`` — without a window over a
+    whole group.  Rows are range-bucketed on the order key; each bucket's max
+    is computed (a small table), carried forward across buckets, and
+    combined with a window inside (group, bucket) only.  A group holding a
+    third of all rows is still spread over every bucket."""
+    keys = list(partition_by)
+    b = range_bucket(df, order_col, n_buckets)
+    bmax = b.groupBy(*keys, BUCKET).agg(F.max(value).alias("_rm_b"))
+    w_prev = (Window.partitionBy(*keys) if keys else Window).orderBy(BUCKET) \
+        .rowsBetween(Window.unboundedPreceding, -1)
+    carry = bmax.select(*keys, BUCKET, F.max("_rm_b").over(w_prev).alias("_rm_carry"))
+    w_in = Window.partitionBy(*keys, BUCKET).orderBy(order_col) \
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return (b.join(carry, keys + [BUCKET], "inner")
+            .withColumn(name, F.greatest(F.col("_rm_carry"), F.max(value).over(w_in)))
+            .drop(BUCKET, "_rm_carry"))

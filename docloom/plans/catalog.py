@@ -699,3 +699,51 @@ def stream_dedup_bounded(spark, d):
          .trigger(availableNow=True).format("parquet").option("path", sink).start())
     q.awaitTermination()
     return spark.read.schema(dedup.schema).parquet(sink)
+
+
+# ---------------------------------------------------------------- chunk labels
+
+LABEL_MAX_LEN, LABEL_OVERLAP = 48, 16
+
+
+def _label_input(spark, d):
+    """documents as whitespace tokens with the answer id planted at a known
+    token; the answer target is the id split in two tokens so it can straddle
+    a window edge."""
+    t = _docs(spark, d).select("doc_id", fe.whitespace_tokens("text").alias("tk"))
+    n = F.size("tk")
+    p = ((F.col("doc_id") * 17) % n).cast("int")
+    ans = F.array(F.lit("finance"), F.col("doc_id").cast("string"))
+    tokens = F.concat(F.slice("tk", 1, p), ans, F.slice("tk", p + 1, n - p))
+    return t.select("doc_id", tokens.alias("tokens"), ans.alias("target"),
+                    F.array(F.lit("Q"), F.col("doc_id").cast("string")).alias("prompt"))
+
+
+@register("chunk_labels", f"""WITH t AS (SELECT doc_id, string_split(text, ' ') AS tk FROM documents),
+a AS (
+  SELECT doc_id, ['finance', CAST(doc_id AS VARCHAR)] AS target, ['Q', CAST(doc_id AS VARCHAR)] AS prompt,
+         tk[1 : (doc_id * 17) % len(tk)] || ['finance', CAST(doc_id AS VARCHAR)] || tk[(doc_id * 17) % len(tk) + 1 :] AS tokens
+  FROM t),
+s AS (SELECT *, {LABEL_MAX_LEN} - len(prompt) AS w FROM a),
+c AS (
+  SELECT doc_id, target, prompt, tokens, w,
+         unnest(range(0, CAST(ceil(greatest(len(tokens) - w, 0) / (w - {LABEL_OVERLAP})) * (w - {LABEL_OVERLAP}) AS BIGINT) + 1,
+                      w - {LABEL_OVERLAP})) AS token_start
+  FROM s),
+k AS (SELECT doc_id, token_start, w, target, prompt || tokens[token_start + 1 : token_start + w] AS chunk FROM c),
+m AS (SELECT doc_id, token_start, w, len(target) AS mlen,
+             list_filter(range(0, len(chunk) - len(target) + 1), lambda i: chunk[i + 1 : i + len(target)] = target) AS starts
+      FROM k)
+SELECT doc_id, CAST(token_start // (w - {LABEL_OVERLAP}) AS BIGINT) AS chunk_no,
+       CAST(CASE WHEN len(starts) > 0 THEN list_min(starts) ELSE 0 END AS BIGINT) AS start_positions,
+       CAST(CASE WHEN len(starts) > 0 THEN list_min(starts) + mlen ELSE 0 END AS BIGINT) AS end_positions,
+       len(starts) > 0 AS found
+FROM m""")
+def chunk_labels(spark, d):
+    """W2 + F23/F24 per chunk: the reference's feature mapping on whitespace
+    tokens: prompt-led overlapping windows, each labelled with the earliest
+    answer span inside it (end exclusive) and a ``found`` flag."""
+    w = fe.token_windows(_label_input(spark, d), "tokens", width=0, overlap=LABEL_OVERLAP,
+                         prompt="prompt", max_length=LABEL_MAX_LEN)
+    out = fe.label_chunks(w, "chunk", "target")
+    return out.select("doc_id", F.col("chunk_no").cast("long"), "start_positions", "end_positions", "found")

@@ -38,3 +38,19 @@ def test_competition_dataset(spark, corpus):
                  "context": '<article id="faq_7">first</article>', "answer_in_articleid": "faq_7"}
     only_q = qa.competition_dataset(q)
     assert "context" not in only_q.columns
+
+
+def test_zip_by_order(spark):
+    from docloom.operators.joins import zip_by_order
+    a = spark.createDataFrame([(30, "c"), (10, "a"), (20, "b")], "k long, x string")
+    b = spark.createDataFrame([(5, "B"), (1, "A"), (9, "C")], "j long, y string")
+    got = sorted((r.row_no, r.x, r.y) for r in zip_by_order(a, "k", b, "j").collect())
+    assert got == [(0, "a", "A"), (1, "b", "B"), (2, "c", "C")]
+
+
+def test_file_name_and_labels(spark):
+    from docloom.functions.text import prediction_file_name
+    from docloom.operators.features import generative_labels
+    df = spark.createDataFrame([(7, 0, 120, [[1, 2], [3]])], "q long, i int, c int, a array<array<int>>")
+    assert df.select(prediction_file_name("q", "i", "c")).first()[0] == "qid7_iter0_checkpoint120.json"
+    assert generative_labels(df, "a").first()["labels"] == [1, 2, 3]

@@ -76,3 +76,17 @@ def test_seeded_shuffle_deterministic(spark):
     a = [r.id for r in splits.seeded_shuffle(df.repartition(3), "id").orderBy("shuffle_key").collect()]
     b = [r.id for r in splits.seeded_shuffle(df.repartition(11), "id").orderBy("shuffle_key").collect()]
     assert a == b and sorted(a) == list(range(100)) and a != list(range(100))
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_running_max_buckets(spark, parts):
+    rng = random.Random(4)
+    rows = [(g, t, rng.choice([None, rng.randint(0, 50)])) for g in "ab" for t in range(200)]
+    df = spark.createDataFrame(rows, "g string, t long, v long").repartition(parts)
+    got = {(r.g, r.t): r.running_max for r in ranks.running_max_within(df, "v", "t", ["g"], n_buckets=6).collect()}
+    for g in "ab":
+        cur = None
+        for _, t, v in sorted(x for x in rows if x[0] == g):
+            if v is not None:
+                cur = v if cur is None else max(cur, v)
+            assert got[(g, t)] == cur
