@@ -676,7 +676,7 @@ def stream_collect_answers(spark, d):
     ckpt = fresh_dir(spark, "stream-state")
     sk.write_prediction_batches(preds, src)
     q = sc.start_collector(spark, src, sink, ckpt, available_now=True, json_lines=True,
-                           max_files_per_trigger=64)
+                           max_files_per_trigger=128)
     q.awaitTermination()
     return sc.answers_from_collected(sc.read_collected(spark, sink))
 

@@ -36,9 +36,12 @@ def materialize(spark: SparkSession, build: Callable[[], DataFrame], path: str,
 
 def write_prediction_batches(df: DataFrame, path: str, batch_col: str = "batch_no",
                              checkpoint_col: str = "checkpoint") -> None:
-    """Predictions as JSON lines, one folder per (checkpoint, batch);
-    appends never rewrite an existing file (new names each job)."""
-    df.write.mode("append").partitionBy(checkpoint_col, batch_col).json(path)
+    """Predictions as JSON lines, one folder per (checkpoint, batch) and
+    one file per folder (rows are clustered by the folder keys first, so a
+    collector stream sees few, whole files); appends never rewrite an
+    existing file (new names each job)."""
+    (df.repartition(checkpoint_col, batch_col)
+     .write.mode("append").partitionBy(checkpoint_col, batch_col).json(path))
 
 
 def write_wrapped_json(df: DataFrame, path: str, root: str, order: list[str],
