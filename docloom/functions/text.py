@@ -52,6 +52,10 @@ LIST_LAST_SEPARATOR = "及"
 # Python's notion of whitespace (``\\s`` in str patterns, ``str.strip()``).
 WHITESPACE_CLASS = (r"\t\n\x0b\f\r\x{1c}-\x{1f} \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
                     r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}")
+# The same set as plain characters (for ``btrim``).
+WHITESPACE_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+                    + "".join(chr(c) for c in range(0x2000, 0x200B))
+                    + "\u2028\u2029\u202f\u205f\u3000")
 
 # --------------------------------------------------------------------------
 
@@ -88,8 +92,10 @@ def despace_cjk_once_sql(expr: str, cls: str = CJK_SINGLE_PASS_CLASS, max_gap: i
 
 
 def strip_space(text) -> Column:
-    """Python ``str.strip()`` (Unicode whitespace, not just blanks)."""
-    return F.regexp_replace(_c(text), f"\\A[{WHITESPACE_CLASS}]+|[{WHITESPACE_CLASS}]+\\z", "")
+    """Python ``str.strip()`` (Unicode whitespace, not just blanks).
+    ``btrim`` with the explicit character set only looks at the two ends,
+    unlike an anchored regex alternation that probes every position."""
+    return F.btrim(_c(text), F.lit(WHITESPACE_CHARS))
 
 
 def despace_cjk(text, cls: str = CJK_FIXPOINT_CLASS, max_gap: int = 4) -> Column:
