@@ -7,13 +7,20 @@ library, catching errors per row so one bad document never fails a task.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator, Sequence
 from html.parser import HTMLParser
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# The functions below run inside Python workers.  Pickle this module by
+# value so executors need no installed copy of the package (works the same
+# whether the job is launched from the repo, a notebook or spark-submit).
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 # ---------------------------------------------------------------- S7: documents → text
 
