@@ -67,22 +67,38 @@ def rank_within(df: DataFrame, order_col: str, partition_by: Sequence[str] = (),
     return out
 
 
-def running_max_within(df: DataFrame, value: str, order_col: str, partition_by: Sequence[str] = (),
-                       name: str = "running_max", n_buckets: int | None = None) -> DataFrame:
-    """Running ``max(value)`` up to and including each row, inside
-    ``partition_by`` and ordered by ``order_col`` — without a window over a
-    whole group.  Rows are range-bucketed on the order key; each bucket's max
-    is computed (a small table), carried forward across buckets, and
-    combined with a window inside (group, bucket) only.  A group holding a
-    third of all rows is still spread over every bucket."""
+def running_within(df: DataFrame, value: str, order_col: str, partition_by: Sequence[str] = (),
+                   how: str = "max", name: str = "running", inclusive: bool = True,
+                   n_buckets: int | None = None) -> DataFrame:
+    """Running ``max``/``min``/``sum`` of ``value`` in ``order_col`` order inside
+    ``partition_by`` (up to and including the row, or strictly before it with
+    ``inclusive=False``) — without a window over a whole group.
+
+    Rows are range-bucketed on the order key; each bucket's aggregate is
+    computed (a small table), carried forward across buckets, and combined
+    with a window inside (group, bucket) only.  A group holding a third of
+    all rows is still spread over every bucket.  ``order_col`` should be
+    unique inside a group for the exclusive form."""
+    fn = {"max": F.max, "min": F.min, "sum": F.sum}[how]
     keys = list(partition_by)
     b = range_bucket(df, order_col, n_buckets)
-    bmax = b.groupBy(*keys, BUCKET).agg(F.max(value).alias("_rm_b"))
+    per_bucket = b.groupBy(*keys, BUCKET).agg(fn(value).alias("_ru_b"))
     w_prev = (Window.partitionBy(*keys) if keys else Window).orderBy(BUCKET) \
         .rowsBetween(Window.unboundedPreceding, -1)
-    carry = bmax.select(*keys, BUCKET, F.max("_rm_b").over(w_prev).alias("_rm_carry"))
+    carry = per_bucket.select(*keys, BUCKET, fn("_ru_b").over(w_prev).alias("_ru_carry"))
     w_in = Window.partitionBy(*keys, BUCKET).orderBy(order_col) \
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow if inclusive else -1)
+    inner = fn(value).over(w_in)
+    if how == "sum":
+        combined = F.coalesce(F.col("_ru_carry"), F.lit(0)) + F.coalesce(inner, F.lit(0))
+    else:
+        combined = F.greatest(F.col("_ru_carry"), inner) if how == "max" else F.least(F.col("_ru_carry"), inner)
     return (b.join(carry, keys + [BUCKET], "inner")
-            .withColumn(name, F.greatest(F.col("_rm_carry"), F.max(value).over(w_in)))
-            .drop(BUCKET, "_rm_carry"))
+            .withColumn(name, combined)
+            .drop(BUCKET, "_ru_carry"))
+
+
+def running_max_within(df: DataFrame, value: str, order_col: str, partition_by: Sequence[str] = (),
+                       name: str = "running_max", n_buckets: int | None = None) -> DataFrame:
+    """Inclusive running max (see ``running_within``)."""
+    return running_within(df, value, order_col, partition_by, "max", name, True, n_buckets)

@@ -5,10 +5,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ranks import rank_within
+from .ranks import rank_within, running_within
 
 
 def stratified_folds(df: DataFrame, strata: str, order: str, k: int = 5,
@@ -23,9 +23,10 @@ def stratified_folds(df: DataFrame, strata: str, order: str, k: int = 5,
     stratum; the row rank inside a class is the bucketed exact rank."""
     cls = (df.groupBy(strata)
            .agg(F.min(order).alias("_kf_first"), F.count(F.lit(1)).alias("_kf_n")))
-    w = Window.orderBy("_kf_first").rowsBetween(Window.unboundedPreceding, -1)
-    cls = cls.select(strata, "_kf_n",
-                     F.coalesce(F.sum("_kf_n").over(w), F.lit(0)).alias("_kf_off"))
+    # class offsets: exclusive prefix sum of class sizes in first-appearance
+    # order (bucketed, so even a huge number of strata is not one task)
+    cls = running_within(cls, "_kf_n", "_kf_first", how="sum", name="_kf_off", inclusive=False,
+                         n_buckets=n_buckets).select(strata, "_kf_n", "_kf_off")
     ranked = rank_within(df, order, [strata], name="_kf_j", n_buckets=n_buckets)
     off, n, j = F.col("_kf_off"), F.col("_kf_n"), F.col("_kf_j")
     # rows of fold i in class c: #{p in [off, off+n) : p ≡ i mod k}

@@ -105,9 +105,10 @@ def noisy_cjk(col: str = "text"):
     return F.replace(F.replace(TB.cjk_text(col), F.lit(". "), F.lit(".\n \n")), F.lit(", "), F.lit(" ( "))
 
 
-def _docs(spark, d):
-    # every documents query does per-row CPU work (regex, HOFs): spread it
-    return TB.table(spark, d, "documents", balanced=True)
+def _docs(spark, d, balanced: bool = True):
+    """documents; spread over the cores when the query does heavy per-row
+    work (regex, higher-order functions, Python hooks)."""
+    return TB.table(spark, d, "documents", balanced=balanced)
 
 
 # ---------------------------------------------------------------- text cleaning
@@ -148,7 +149,7 @@ SELECT doc_id, CASE WHEN len(words) = 0 THEN NULL WHEN len(words) = 1 THEN words
 FROM w""")
 def list_join(spark, d):
     words = F.slice(F.split("text", " "), 1, (F.col("doc_id") % 5).cast("int"))
-    return _docs(spark, d).select("doc_id", tx.join_cjk_list(words).alias("joined"))
+    return _docs(spark, d, balanced=False).select("doc_id", tx.join_cjk_list(words).alias("joined"))
 
 
 @register("doc_id_extract", """WITH t AS (
@@ -488,7 +489,7 @@ kf AS (
 
 
 def _kfold(spark, d):
-    docs = _docs(spark, d).select("doc_id", F.col("lang").alias("category"))
+    docs = _docs(spark, d, balanced=False).select("doc_id", F.col("lang").alias("category"))
     return sl.stratified_folds(docs, "category", "doc_id", k=5)
 
 
@@ -524,7 +525,7 @@ def slice_desc(spark, d):
 
 @register("hash_shuffle_batches")
 def hash_shuffle_batches(spark, d):
-    docs = sl.seeded_shuffle(_docs(spark, d).select("doc_id"), "doc_id", seed=42)
+    docs = sl.seeded_shuffle(_docs(spark, d, balanced=False).select("doc_id"), "doc_id", seed=42)
     return sl.batch_numbers(docs, "shuffle_key", 16).select("doc_id", "shuffle_key", "batch_no", "pos_in_batch")
 
 
@@ -747,3 +748,27 @@ def chunk_labels(spark, d):
                          prompt="prompt", max_length=LABEL_MAX_LEN)
     out = fe.label_chunks(w, "chunk", "target")
     return out.select("doc_id", F.col("chunk_no").cast("long"), "start_positions", "end_positions", "found")
+
+
+# ---------------------------------------------------------------- corpus from documents
+
+from ..sources import readers as rd  # noqa: E402
+
+
+@register("corpus_from_documents")
+def corpus_from_documents(spark, d):
+    """Documents as bytes (``pages.html``, named
+    ``{lang}_{page_id}.pdf``) → parser hook → single-pass CJK cleaner →
+    corpus rows, built once into Parquet under the shared folder and read
+    back (``materialize``), so later stages never re-run the parser."""
+    pages = TB.table(spark, d, "pages", balanced=True)
+    lang = F.regexp_extract("url", "/(en|fr|de|es)/", 1)
+    name = F.concat(F.when(lang != "", lang).otherwise(F.lit("web")), F.lit("_"),
+                    F.col("page_id").cast("string"), F.lit(".pdf"))
+    binary = rd.file_name_parts(pages.select(name.alias("path"), F.encode("html", "UTF-8").alias("content")))
+
+    def build():
+        txt = hk.documents_to_text(binary, keep=("filename", "category", "doc_num"))
+        c = txt.select("filename", "category", tx.despace_cjk_once(F.col("text")).alias("content"), "doc_num")
+        return cp.with_content_len(c).select("filename", "category", "content", "content_len", "doc_num")
+    return sk.materialize(spark, build, fresh_dir(spark, "corpus"))

@@ -1,7 +1,6 @@
 """Corpus building: file names, fallback, FAQ content, union, pages."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from docloom import schemas as S
 from docloom.operators import corpus as cp

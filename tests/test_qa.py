@@ -1,7 +1,6 @@
 """QA assembly: ordered lookup, first-match dedup, missing references."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from docloom.operators import qa
 

@@ -3,7 +3,6 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from docloom.functions import spans as sp
 from docloom.operators import decode as dc

@@ -5,7 +5,6 @@ import random
 from collections import Counter
 
 import pytest
-from pyspark.sql import functions as F
 
 from docloom.operators import ranks, splits
 
@@ -90,3 +89,19 @@ def test_running_max_buckets(spark, parts):
             if v is not None:
                 cur = v if cur is None else max(cur, v)
             assert got[(g, t)] == cur
+
+
+@pytest.mark.parametrize("how,inclusive", [("sum", False), ("sum", True), ("min", True), ("max", False)])
+def test_running_within(spark, how, inclusive):
+    rng = random.Random(8)
+    rows = [(g, t, rng.randint(-20, 20)) for g in "ab" for t in rng.sample(range(1000), 150)]
+    df = spark.createDataFrame(rows, "g string, t long, v long")
+    got = {(r.g, r.t): r.running for r in
+           ranks.running_within(df, "v", "t", ["g"], how=how, inclusive=inclusive, n_buckets=7).collect()}
+    fn = {"sum": sum, "min": min, "max": max}[how]
+    for g in "ab":
+        seq = sorted((t, v) for gg, t, v in rows if gg == g)
+        for i, (t, _) in enumerate(seq):
+            vals = [v for _, v in seq[: i + 1 if inclusive else i]]
+            exp = fn(vals) if vals else (0 if how == "sum" else None)
+            assert got[(g, t)] == exp
