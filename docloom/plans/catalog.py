@@ -670,14 +670,15 @@ COLLECT_SQL = ORACLE["collect_answers"]
 
 @register("stream_collect_answers", COLLECT_SQL)
 def stream_collect_answers(spark, d):
-    """Predictions written as batch files, collected by a
-    file-source stream (several micro-batches), upserted per batch."""
-    preds = TB.predictions(spark, d).withColumn("batch_no", F.floor(F.col("qid") / 16))
+    """Predictions written as per-batch files (64 questions per
+    batch), drained by a file-source stream with ``availableNow`` and
+    upserted per micro-batch.  (Several micro-batches, a late better value,
+    a duplicate file and a restart are covered in tests/test_collect.py.)"""
+    preds = TB.predictions(spark, d).withColumn("batch_no", F.floor(F.col("qid") / 64))
     src, sink = fresh_dir(spark, "predictions"), fresh_dir(spark, "answers")
     ckpt = fresh_dir(spark, "stream-state")
     sk.write_prediction_batches(preds, src)
-    q = sc.start_collector(spark, src, sink, ckpt, available_now=True, json_lines=True,
-                           max_files_per_trigger=128)
+    q = sc.start_collector(spark, src, sink, ckpt, available_now=True, json_lines=True)
     q.awaitTermination()
     return sc.answers_from_collected(sc.read_collected(spark, sink))
 
