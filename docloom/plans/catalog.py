@@ -143,13 +143,14 @@ def clean_text(spark, d):
     return _docs(spark, d).select("doc_id", tx.clean_text(noisy_cjk()).alias("text"))
 
 
-@register("list_join", f"""WITH w AS (SELECT doc_id, string_split(text, ' ')[1:doc_id % 5] AS words FROM documents)
-SELECT doc_id, CASE WHEN len(words) = 0 THEN NULL WHEN len(words) = 1 THEN words[1]
-  ELSE array_to_string(words[1:len(words) - 1], '{tx.LIST_SEPARATOR}') || '{tx.LIST_LAST_SEPARATOR}' || words[len(words)] END AS joined
+@register("list_join", f"""WITH w AS (SELECT doc_id, string_split(text, '. ') AS parts FROM documents)
+SELECT doc_id, CASE WHEN len(parts) = 0 THEN NULL WHEN len(parts) = 1 THEN parts[1]
+  ELSE array_to_string(parts[1:len(parts) - 1], '{tx.LIST_SEPARATOR}') || '{tx.LIST_LAST_SEPARATOR}' || parts[len(parts)] END AS joined
 FROM w""")
 def list_join(spark, d):
-    words = F.slice(F.split("text", " "), 1, (F.col("doc_id") % 5).cast("int"))
-    return _docs(spark, d, balanced=False).select("doc_id", tx.join_cjk_list(words).alias("joined"))
+    """F11 over every sentence of every document (whole texts)."""
+    parts = F.split("text", r"\. ")
+    return _docs(spark, d, balanced=False).select("doc_id", tx.join_cjk_list(parts).alias("joined"))
 
 
 @register("doc_id_extract", """WITH t AS (

@@ -17,11 +17,10 @@ CORPUS = """corpus AS (
 QUESTIONS = f"""q AS (
   SELECT item_id AS qid, text AS query, ({LANGS_SQL})[item_id % 4 + 1] AS category FROM benchmark),
 cand AS (
-  SELECT q.qid, q.category, d.doc_id,
-         row_number() OVER (PARTITION BY q.qid, q.category ORDER BY d.doc_id) AS rn
+  SELECT q.qid, q.category, d.doc_id
   FROM documents d JOIN q ON d.lang = q.category AND d.doc_id % (SELECT count(*) FROM benchmark) = q.qid),
 src AS (
-  SELECT qid, category, list(doc_id ORDER BY doc_id) AS source FROM cand WHERE rn <= 5 GROUP BY qid, category),
+  SELECT qid, category, list(doc_id ORDER BY doc_id) AS source FROM cand GROUP BY qid, category),
 questions AS (
   SELECT q.qid, q.query, q.category, src.source FROM q LEFT JOIN src USING (qid, category)),
 truths AS (
