@@ -25,11 +25,19 @@ def default_buckets(df: DataFrame) -> int:
 
 
 def range_bucket(df: DataFrame, order_col: str, n_buckets: int | None = None,
-                 rel_err: float = 0.001, name: str = BUCKET) -> DataFrame:
-    """Add an order-preserving integer bucket of ``order_col`` (numeric)."""
+                 rel_err: float | None = None, name: str = BUCKET) -> DataFrame:
+    """Add an order-preserving integer bucket of ``order_col`` (numeric).
+
+    Boundaries are ``approxQuantile`` cut points (a tree-aggregated sketch;
+    only ``n_buckets - 1`` numbers reach the driver).  The sketch error
+    follows the bucket count (``1 / (10 n)``, floored at 1e-5 to bound sketch
+    memory) so buckets stay balanced as ``n`` grows; bucket assignment is a
+    deterministic function of the key, so every job sees the same buckets."""
     from pyspark.ml.feature import Bucketizer
 
     n = n_buckets or default_buckets(df)
+    if rel_err is None:
+        rel_err = max(1e-5, min(1e-3, 1.0 / (10 * n)))
     probs = [i / n for i in range(1, n)]
     qs = df.select(F.col(order_col).cast("double").alias("_rk_x")).approxQuantile("_rk_x", probs, rel_err) if probs else []
     splits = [float("-inf")] + sorted({q for q in qs if q is not None}) + [float("inf")]
