@@ -1,7 +1,9 @@
 """Array and span functions (F23-F26, F28-F32, U3, W3): ``Column -> Column``.
 
-All are higher-order functions or closed-form arithmetic evaluated inside the
-row, so they run in whole-stage codegen'd projections with no shuffle.
+All are closed-form arithmetic or higher-order functions evaluated inside the
+row: no shuffle, no Python.  Closed forms and array builtins run in
+whole-stage codegen; lambdas (``transform``/``filter``/``aggregate``) are
+interpreted, so the hot paths avoid per-element lambdas where a builtin does.
 """
 
 from __future__ import annotations
@@ -89,9 +91,13 @@ def find_subsequence(tokens, target) -> Column:
     so rows without it skip the windowed comparison."""
     t, g = _c(tokens), _c(target)
     n, m = F.size(t), F.size(g)
+    # first and last element are compared before a slice is built (the
+    # conjunction short-circuits), so most positions cost two lookups
     starts = F.when((m > 0) & (m <= n) & F.array_contains(t, F.get(g, 0)),
                     F.filter(F.sequence(F.lit(0), n - m),
-                             lambda i: F.slice(t, i + 1, m) == g))
+                             lambda i: (F.get(t, i) == F.get(g, 0))
+                             & (F.get(t, i + m - 1) == F.get(g, m - 1))
+                             & (F.slice(t, i + 1, m) == g)))
     starts = F.coalesce(starts, F.array().cast("array<int>"))
     found = F.size(starts) > 0
     return F.struct(
@@ -128,7 +134,9 @@ def pad_to(arr, length, pad) -> Column:
 
 
 def attention_mask(arr, length) -> Column:
-    """F32: 1 for real tokens, 0 for padding, up to ``length``."""
+    """F32: 1 for real tokens, 0 for padding, up to ``length`` (two
+    ``array_repeat`` calls, no per-element lambda)."""
     a = _c(arr)
-    return F.transform(F.sequence(F.lit(0), (_c(length) - 1).cast("int")),
-                       lambda i: F.when(i < F.size(a), F.lit(1)).otherwise(F.lit(0)))
+    real = F.least(F.size(a), _c(length).cast("int"))
+    return F.concat(F.array_repeat(F.lit(1), real),
+                    F.array_repeat(F.lit(0), F.greatest(_c(length).cast("int") - real, F.lit(0))))

@@ -72,8 +72,10 @@ def whitespace_tokens(text) -> Column:
 
 
 def char_tokens(text) -> Column:
-    """F21 stand-in: one token per code point."""
-    return F.split(F.col(text) if isinstance(text, str) else text, "(?!^)(?=.)|(?<=.)(?!$)")
+    """F21 stand-in: one token per code point (supplementary-plane
+    characters stay whole); empty text → no tokens."""
+    t = F.col(text) if isinstance(text, str) else text
+    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, ""))
 
 
 def window_starts(n: Column, width: int, overlap: int) -> Column:
@@ -88,35 +90,38 @@ def window_starts(n: Column, width: int, overlap: int) -> Column:
 
 def token_windows(df: DataFrame, tokens: str, width: int, overlap: int = 30,
                   prompt: str | None = None, max_length: int | None = None,
-                  first_chunk_only: bool = False) -> DataFrame:
+                  first_chunk_only: bool = False, keep_tokens: bool = False) -> DataFrame:
     """Cut ``tokens`` into overlapping windows (one output row per
     chunk, parent columns ride along — no join back).  With ``prompt`` the
     prompt tokens lead every chunk and ``max_length`` (total) fixes the
     context width as ``max_length − len(prompt)``.  Adds ``chunk_no``,
     ``token_start``, ``chunk`` and ``is_last``; ``first_chunk_only`` keeps
-    the reference's scalar-input behaviour (Q4)."""
+    the reference's scalar-input behaviour (Q4).
+
+    The chunks are sliced inside the generator and the source token array
+    is not copied onto the chunk rows (unless ``keep_tokens``): a long
+    document's token array would otherwise be repeated on every chunk."""
     t = F.col(tokens)
+    n = F.size(t)
     if prompt is not None and max_length is not None:
-        w_col = F.lit(max_length) - F.size(prompt)
-    else:
-        w_col = None
-    if w_col is not None:
-        # per-row width: build starts with a row-dependent step
-        step = w_col - overlap
-        last = F.ceil(F.greatest(F.size(t) - w_col, F.lit(0)) / step) * step
+        width_c = F.lit(max_length) - F.size(prompt)
+        step = width_c - overlap
+        last = F.ceil(F.greatest(n - width_c, F.lit(0)) / step) * step
         starts = F.sequence(F.lit(0), last.cast("int"), step.cast("int"))
-        width_c = w_col
     else:
-        starts = window_starts(F.size(t), width, overlap)
         width_c = F.lit(width)
-    out = df.select("*", F.posexplode(starts).alias("chunk_no", "token_start"))
-    piece = F.slice(t, F.col("token_start") + 1, width_c.cast("int"))
-    chunk = F.concat(F.col(prompt), piece) if prompt is not None else piece
-    out = (out.withColumn("chunk", chunk)
-           .withColumn("is_last", F.col("token_start") + width_c >= F.size(t)))
+        starts = window_starts(n, width, overlap)
     if first_chunk_only:
-        out = out.where(F.col("chunk_no") == 0)
-    return out
+        starts = F.slice(starts, 1, 1)
+
+    def piece(st):
+        body = F.slice(t, st + 1, width_c.cast("int"))
+        chunk = F.concat(F.col(prompt), body) if prompt is not None else body
+        return F.struct(st.alias("token_start"), chunk.alias("chunk"), (st + width_c >= n).alias("is_last"))
+
+    keep = [c for c in df.columns if keep_tokens or c != tokens]
+    return (df.select(*keep, F.posexplode(F.transform(starts, piece)).alias("chunk_no", "_tw"))
+            .select(*keep, "chunk_no", "_tw.token_start", "_tw.chunk", "_tw.is_last"))
 
 
 def label_chunks(df: DataFrame, chunk: str = "chunk", target: str = "target") -> DataFrame:
@@ -167,3 +172,34 @@ def fill_defaults(df: DataFrame, defaults: Mapping[str, object]) -> DataFrame:
         else:
             df = df.withColumn(c, F.lit(v))
     return df
+
+
+def build_qa_features(df: DataFrame, question: str = "question", context: str = "context",
+                      answer: str = "answer_in_articleid", order: str = "qid",
+                      tokenize: Callable[[Column], Column] = char_tokens, max_length: int = 512,
+                      overlap: int = 30, pad: str | int = "<pad>") -> DataFrame:
+    """The find-id feature map, end to end (F12 F10 F15 F21 W2 F24 F32 J5):
+    the rendered question is the prompt of every chunk; the wrapped context
+    is cut into overlapping windows of ``max_length − len(prompt)``
+    tokens; each chunk is labelled with the earliest answer-id span inside it
+    (``start_positions``/``end_positions``, end exclusive, plus ``found``);
+    chunks are padded to the longest chunk of their example (the full width
+    whenever an example has more than one chunk — a closed form, no window);
+    ``overflow_to_sample_mapping`` is the example's row position by
+    ``order``.  Parent columns ride along on every chunk (no join back)."""
+    from .splits import row_positions
+
+    rows = row_positions(df, order, name="overflow_to_sample_mapping")
+    rows = render_question(rows, question=question, name="_qf_prompt")
+    rows = (rows.withColumn("_qf_ptok", tokenize(F.col("_qf_prompt")))
+            .withColumn("_qf_ctok", tokenize(tx.context_tag(context)))
+            .withColumn("_qf_target", tokenize(F.col(answer))))
+    width = F.lit(max_length) - F.size("_qf_ptok")
+    rows = (rows.withColumn("padded_len", (F.size("_qf_ptok") + F.least(width, F.size("_qf_ctok"))).cast("long"))
+            .drop(question, context, "_qf_prompt"))
+    w = token_windows(rows, "_qf_ctok", width=0, overlap=overlap, prompt="_qf_ptok", max_length=max_length)
+    w = label_chunks(w, "chunk", "_qf_target")
+    return (w
+            .withColumn("input_ids", sp.pad_to("chunk", F.col("padded_len"), pad))
+            .withColumn("attention_mask", sp.attention_mask("chunk", F.col("padded_len")))
+            .drop("_qf_prompt", "_qf_ptok", "_qf_ctok", "_qf_target", "chunk", "token_start", "is_last"))

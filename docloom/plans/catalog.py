@@ -774,3 +774,60 @@ def corpus_from_documents(spark, d):
         c = txt.select("filename", "category", tx.despace_cjk_once(F.col("text")).alias("content"), "doc_num")
         return cp.with_content_len(c).select("filename", "category", "content", "content_len", "doc_num")
     return sk.materialize(spark, build, fresh_dir(spark, "corpus"))
+
+
+# ---------------------------------------------------------------- QA features
+
+FEAT_MAX_LEN, FEAT_OVERLAP = 512, 30
+SQL_PROMPT = ("'問題：「' || translate(query, '「」', '『』') || '」這個問題可以在什麼編號的參考資料中找到答案？' || "
+              + NL + " || '參考資料：'")
+
+
+QA_FEATURES_SQL = O.with_(O.QUESTIONS, """qa AS (
+  SELECT questions.qid, questions.query, questions.category, questions.source, truths.retrieve
+  FROM questions JOIN truths USING (qid, category)),
+refs AS (SELECT qid, category, unnest(source) AS doc_num, unnest(range(len(source))) AS pos FROM qa),
+pieces AS (
+  SELECT r.qid, r.pos, '<article id="' || r.category || '_' || CAST(r.doc_num AS VARCHAR) || '">' || d.text || '</article>' AS piece
+  FROM refs r JOIN documents d ON d.lang = r.category AND d.doc_id = r.doc_num),
+ctx AS (SELECT qid, string_agg(piece, '' ORDER BY pos) AS context FROM pieces GROUP BY qid)""", f"""ex AS (
+  SELECT qa.qid, row_number() OVER (ORDER BY qa.qid) - 1 AS ovf,
+         string_split({_sql_strip(SQL_PROMPT)}, '') AS ptok,
+         string_split('<context>' || coalesce(ctx.context, '') || '</context>', '') AS ctok,
+         string_split(qa.category || '_' || CAST(qa.retrieve AS VARCHAR), '') AS target
+  FROM qa LEFT JOIN ctx USING (qid)),
+s AS (SELECT *, {FEAT_MAX_LEN} - len(ptok) AS w FROM ex),
+c AS (
+  SELECT qid, ovf, ptok, ctok, target, w,
+         unnest(range(0, CAST(ceil(greatest(len(ctok) - w, 0) / (w - {FEAT_OVERLAP})) * (w - {FEAT_OVERLAP}) AS BIGINT) + 1,
+                      w - {FEAT_OVERLAP})) AS token_start
+  FROM s),
+k AS (SELECT qid, ovf, token_start, w, target, len(ptok) + least(w, len(ctok)) AS padded_len,
+             ptok || ctok[token_start + 1 : token_start + w] AS chunk FROM c)""", f"""m AS (
+  SELECT *, list_filter(range(0, len(chunk) - len(target) + 1),
+                        lambda i: chunk[i + 1 : i + len(target)] = target) AS starts FROM k)""") + f"""
+SELECT qid, CAST(token_start // (w - {FEAT_OVERLAP}) AS BIGINT) AS chunk_no,
+       CAST(ovf AS BIGINT) AS overflow_to_sample_mapping,
+       CAST(len(chunk) AS BIGINT) AS n_tokens, CAST(padded_len AS BIGINT) AS padded_len,
+       CAST(list_sum(list_transform(range(padded_len), lambda i: CASE WHEN i < len(chunk) THEN 1 ELSE 0 END)) AS BIGINT) AS mask_sum,
+       CAST(CASE WHEN len(starts) > 0 THEN list_min(starts) ELSE 0 END AS BIGINT) AS start_positions,
+       CAST(CASE WHEN len(starts) > 0 THEN list_min(starts) + len(target) ELSE 0 END AS BIGINT) AS end_positions,
+       len(starts) > 0 AS found,
+       md5(array_to_string(chunk, '')) AS chunk_md5
+FROM m"""
+
+
+@register("qa_features", QA_FEATURES_SQL)
+def qa_features(spark, d):
+    """The reference's training features for the flagship QA set: character
+    tokens, 512-token prompt-led windows, answer-id span labels, padding."""
+    qs = TB.questions(spark, d)
+    ds = qa.competition_dataset(qs, TB.truths(qs), TB.corpus(spark, d), on_missing="fail")
+    f = fe.build_qa_features(ds, max_length=FEAT_MAX_LEN, overlap=FEAT_OVERLAP)
+    real = F.slice("input_ids", 1, F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x))
+    return f.select("qid", F.col("chunk_no").cast("long"), "overflow_to_sample_mapping",
+                    F.aggregate("attention_mask", F.lit(0).cast("long"), lambda a, x: a + x).alias("n_tokens"),
+                    "padded_len",
+                    F.aggregate("attention_mask", F.lit(0).cast("long"), lambda a, x: a + x).alias("mask_sum"),
+                    "start_positions", "end_positions", "found",
+                    F.md5(F.array_join(real, "")).alias("chunk_md5"))
