@@ -95,6 +95,7 @@ def with_attributes(df: DataFrame, attrs: Mapping[str, str], name: str = "attrs"
 
 def append_trials(df: DataFrame, path: str, study: str) -> None:
     """H6: append trials to a table keyed by (study, trial_id), partitioned
-    by study so a resumed study only adds files."""
+    by study so a resumed study only adds files.  Appends may add columns;
+    read the table back with ``mergeSchema``."""
     (df.withColumn("study", F.lit(study))
      .write.mode("append").partitionBy("study").parquet(path))

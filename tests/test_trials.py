@@ -56,5 +56,5 @@ def test_attributes_and_append(spark, tmp_dir):
     df = spark.createDataFrame([(1, 0.5)], "trial_id long, a double")
     tr.append_trials(tr.with_attributes(df, {"contributors": "x"}), tmp_dir, "s1")
     tr.append_trials(df.withColumn("trial_id", df.trial_id + 1), tmp_dir, "s1")
-    back = spark.read.parquet(tmp_dir)
+    back = spark.read.option("mergeSchema", True).parquet(tmp_dir)
     assert back.count() == 2 and set(back.columns) >= {"study", "trial_id", "attrs"}
