@@ -108,13 +108,36 @@ def find_subsequence(tokens, target) -> Column:
     )
 
 
+# A separator that never occurs inside a token (a C0 control character).
+TOKEN_SEPARATOR = "\u0001"
+
+
+def earliest_match(tokens, target) -> Column:
+    """Token index of the first occurrence of ``target`` in ``tokens`` (-1 if
+    none), by string search: both sides are joined with a separator that
+    cannot occur in a token and framed by it, so only whole-token alignments
+    match; the index is the number of separators before the hit.  One
+    ``instr`` pass in codegen instead of a slice per position.  Tokens are
+    compared as strings (ints are cast); null tokens are not supported."""
+    sep = TOKEN_SEPARATOR
+    t, g = _c(tokens).cast("array<string>"), _c(target).cast("array<string>")
+    hay = F.concat(F.lit(sep), F.array_join(t, sep), F.lit(sep))
+    needle = F.concat(F.lit(sep), F.array_join(g, sep), F.lit(sep))
+    pos = F.instr(hay, needle)
+    before = F.substring(hay, 1, pos)
+    idx = F.length(before) - F.length(F.replace(before, F.lit(sep), F.lit(""))) - 1
+    ok = (pos > 0) & (F.size(g) > 0)
+    return F.when(ok, idx).otherwise(F.lit(-1)).cast("long")
+
+
 def answer_span(tokens, target) -> Column:
     """earliest match as struct(start, end) with end exclusive, plus a
     ``found`` flag so "(0, 0) = not found" is not ambiguous (Q2)."""
-    m = find_subsequence(tokens, target)
-    return F.struct(F.array_min(m["starts"]).alias("start"),
-                    F.array_min(m["ends"]).alias("end"),
-                    m["found"].alias("found"))
+    i = earliest_match(tokens, target)
+    found = i >= 0
+    return F.struct(F.when(found, i).otherwise(F.lit(0)).cast("long").alias("start"),
+                    F.when(found, i + F.size(_c(target))).otherwise(F.lit(0)).cast("long").alias("end"),
+                    found.alias("found"))
 
 
 def match_mask(tokens, target) -> Column:

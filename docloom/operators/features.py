@@ -107,7 +107,10 @@ def token_windows(df: DataFrame, tokens: str, width: int, overlap: int = 30,
         width_c = F.lit(max_length) - F.size(prompt)
         step = width_c - overlap
         last = F.ceil(F.greatest(n - width_c, F.lit(0)) / step) * step
-        starts = F.sequence(F.lit(0), last.cast("int"), step.cast("int"))
+        starts = F.when(step > 0, F.sequence(F.lit(0), last.cast("int"), step.cast("int"))).otherwise(
+            F.raise_error(F.concat(F.lit("prompt of "), F.size(prompt).cast("string"),
+                                   F.lit(" tokens leaves no room for a window of max_length "),
+                                   F.lit(str(max_length)), F.lit(" with overlap "), F.lit(str(overlap)))))
     else:
         width_c = F.lit(width)
         starts = window_starts(n, width, overlap)
@@ -175,7 +178,7 @@ def fill_defaults(df: DataFrame, defaults: Mapping[str, object]) -> DataFrame:
 
 
 def build_qa_features(df: DataFrame, question: str = "question", context: str = "context",
-                      answer: str = "answer_in_articleid", order: str = "qid",
+                      answer: str | None = "answer_in_articleid", order: str = "qid",
                       tokenize: Callable[[Column], Column] = char_tokens, max_length: int = 512,
                       overlap: int = 30, pad: str | int = "<pad>") -> DataFrame:
     """The find-id feature map, end to end (F12 F10 F15 F21 W2 F24 F32 J5):
@@ -192,13 +195,15 @@ def build_qa_features(df: DataFrame, question: str = "question", context: str =
     rows = row_positions(df, order, name="overflow_to_sample_mapping")
     rows = render_question(rows, question=question, name="_qf_prompt")
     rows = (rows.withColumn("_qf_ptok", tokenize(F.col("_qf_prompt")))
-            .withColumn("_qf_ctok", tokenize(tx.context_tag(context)))
-            .withColumn("_qf_target", tokenize(F.col(answer))))
+            .withColumn("_qf_ctok", tokenize(tx.context_tag(context))))
+    if answer is not None:
+        rows = rows.withColumn("_qf_target", tokenize(F.col(answer)))
     width = F.lit(max_length) - F.size("_qf_ptok")
     rows = (rows.withColumn("padded_len", (F.size("_qf_ptok") + F.least(width, F.size("_qf_ctok"))).cast("long"))
             .drop(question, context, "_qf_prompt"))
     w = token_windows(rows, "_qf_ctok", width=0, overlap=overlap, prompt="_qf_ptok", max_length=max_length)
-    w = label_chunks(w, "chunk", "_qf_target")
+    if answer is not None:
+        w = label_chunks(w, "chunk", "_qf_target")
     return (w
             .withColumn("input_ids", sp.pad_to("chunk", F.col("padded_len"), pad))
             .withColumn("attention_mask", sp.attention_mask("chunk", F.col("padded_len")))

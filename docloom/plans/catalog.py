@@ -615,7 +615,7 @@ def run_id(spark, d):
 
 # ---------------------------------------------------------------- hooks (Arrow)
 
-from ..session import fresh_dir  # noqa: E402
+from ..session import fresh_dir, spread_by  # noqa: E402
 from ..sources import hooks as hk  # noqa: E402
 from ..sources import sinks as sk  # noqa: E402
 from ..streaming import collect as sc  # noqa: E402
@@ -823,7 +823,7 @@ def qa_features(spark, d):
     tokens, 512-token prompt-led windows, answer-id span labels, padding."""
     qs = TB.questions(spark, d)
     ds = qa.competition_dataset(qs, TB.truths(qs), TB.corpus(spark, d), on_missing="fail")
-    f = fe.build_qa_features(ds, max_length=FEAT_MAX_LEN, overlap=FEAT_OVERLAP)
+    f = fe.build_qa_features(spread_by(ds, "qid"), max_length=FEAT_MAX_LEN, overlap=FEAT_OVERLAP)
     real = F.slice("input_ids", 1, F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x))
     return f.select("qid", F.col("chunk_no").cast("long"), "overflow_to_sample_mapping",
                     F.aggregate("attention_mask", F.lit(0).cast("long"), lambda a, x: a + x).alias("n_tokens"),
@@ -831,3 +831,59 @@ def qa_features(spark, d):
                     F.aggregate("attention_mask", F.lit(0).cast("long"), lambda a, x: a + x).alias("mask_sum"),
                     "start_positions", "end_positions", "found",
                     F.md5(F.array_join(real, "")).alias("chunk_md5"))
+
+
+# ---------------------------------------------------------------- folds on the QA set
+
+@register("qa_folds", O.with_(O.QUESTIONS, """qa AS (
+  SELECT questions.qid, questions.category FROM questions JOIN truths USING (qid, category)),
+cls AS (SELECT category, min(qid) AS first, count(*) AS n FROM qa GROUP BY category),
+off AS (SELECT category, n, coalesce(sum(n) OVER (ORDER BY first ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM cls),
+r AS (SELECT qid, category, row_number() OVER (PARTITION BY category ORDER BY qid) - 1 AS j FROM qa)""") + """
+SELECT r.qid, r.category,
+       CAST(len(list_filter(
+         list_transform(range(5), lambda f: list_sum(list_transform(range(f + 1),
+             lambda i: (off.off + off.n - 1 - i + 5) // 5 - (off.off - 1 - i + 5) // 5))),
+         lambda c: c <= r.j)) AS INTEGER) AS fold,
+       CAST(len(list_filter(
+         list_transform(range(5), lambda f: list_sum(list_transform(range(f + 1),
+             lambda i: (off.off + off.n - 1 - i + 5) // 5 - (off.off - 1 - i + 5) // 5))),
+         lambda c: c <= r.j)) <> 0 AS BOOLEAN) AS is_train
+FROM r JOIN off USING (category)""")
+def qa_folds(spark, d):
+    """W1 + U4 as the reference uses them: 5 stratified folds of the QA set
+    (questions ⋈ truths, stratified by category, in qid order); fold 0 is
+    the validation split, the rest train."""
+    qs = TB.questions(spark, d)
+    ds = qa.competition_dataset(qs, TB.truths(qs)).select("qid", "category")
+    f = sl.stratified_folds(ds, "category", "qid", k=5)
+    return f.select("qid", "category", "fold", (F.col("fold") != 0).alias("is_train"))
+
+
+# ---------------------------------------------------------------- inference path
+
+INFER_MAX_LEN, INFER_VOCAB = 512, 1 << 16
+
+
+@register("inference_answers")
+def inference_answers(spark, d):
+    """The inference path end to end (X5 F26 F28 W4 F16 F17 P15 A2 P11):
+    questions (no truths) → contexts → 512-token character windows →
+    ``predict_batch_udf`` model hook (deterministic stub) → argmax spans,
+    swapped → widening search for a document id in the chunk text → best
+    (least widened) prediction per (qid, category, retrieve) → answers."""
+    qs = TB.questions(spark, d)
+    ds = qa.competition_dataset(qs, corpus=TB.corpus(spark, d), on_missing="fail")
+    f = fe.build_qa_features(spread_by(ds, "qid"), answer=None, max_length=INFER_MAX_LEN,
+                             overlap=WINDOW_OVERLAP)
+    n_real = F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x)
+    f = f.withColumn("chunk_tokens", F.slice("input_ids", 1, n_real))
+    ids = F.transform("input_ids", lambda t: F.when(t == "<pad>", F.lit(0))
+                      .otherwise((F.abs(F.xxhash64(t)) % INFER_VOCAB).cast("int")))
+    scored = hk.score_batches(f.withColumn("model_ids", ids), hk.hashing_stub_model(INFER_VOCAB),
+                              input_col="model_ids", seq_len=INFER_MAX_LEN)
+    decoded = dc.decode(scored, confidence=False)
+    preds = dc.widening_search(decoded, tokens="chunk_tokens", categories=TB.LANG_BY_MOD,
+                               detokenize=lambda t: F.array_join(t, ""))
+    preds = preds.select("qid", F.col("category_pred").alias("category"), "retrieve", "incre_num_by")
+    return co.collect_answers(preds)

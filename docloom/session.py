@@ -93,3 +93,14 @@ def spread(df, factor: int = 2):
     if df.rdd.getNumPartitions() >= par:
         return df
     return df.repartition(par * factor)
+
+
+def spread_by(df, *cols, factor: int = 2):
+    """Hash-partition ``df`` by ``cols`` into ``factor`` × cores partitions
+    before a CPU-heavy expansion (one row → many chunks, a model call per
+    chunk).  AQE sizes shuffle partitions by bytes, so a small-in-bytes table
+    (a QA set) can land in one partition and its expansion in one task; an
+    explicit partition count is not coalesced.  Meant for tables of the
+    question/example scale, not for the corpus."""
+    par = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(par * factor, *cols)

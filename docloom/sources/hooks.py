@@ -174,19 +174,25 @@ def map_batches(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schem
 # ---------------------------------------------------------------- X5: model scoring
 
 def score_batches(df: DataFrame, make_predict_fn: Callable, input_col: str = "input_ids",
-                  seq_len: int | None = None, batch_size: int = 64) -> DataFrame:
+                  seq_len: int | None = None, batch_size: int = 64, pad_id: int = 0) -> DataFrame:
     """Batch model scoring with ``predict_batch_udf``: ``make_predict_fn``
     loads the model once per Python worker and returns ``fn(ids ndarray) ->
-    {"start_logits": ndarray, "end_logits": ndarray}``.  Inputs must be
-    padded to ``seq_len`` (see ``features.pad_batches``)."""
+    {"start_logits": ndarray, "end_logits": ndarray}``.  With ``seq_len`` the
+    inputs are fitted to that length in the JVM first (padded with
+    ``pad_id`` or cut), so every batch is one fixed-shape tensor."""
     from pyspark.ml.functions import predict_batch_udf
     from pyspark.sql import types as T
 
+    from ..functions.spans import pad_to
+
     ret = T.StructType([T.StructField("start_logits", T.ArrayType(T.FloatType())),
                         T.StructField("end_logits", T.ArrayType(T.FloatType()))])
     udf = predict_batch_udf(make_predict_fn, return_type=ret, batch_size=batch_size,
                             input_tensor_shapes=[[seq_len]] if seq_len else None)
-    return df.withColumn("_logits", udf(F.col(input_col))) \
+    x = F.col(input_col)
+    if seq_len:
+        x = pad_to(F.slice(x, 1, seq_len), F.lit(seq_len), pad_id)
+    return df.withColumn("_logits", udf(x)) \
         .withColumn("start_logits", F.col("_logits.start_logits")) \
         .withColumn("end_logits", F.col("_logits.end_logits")).drop("_logits")
 

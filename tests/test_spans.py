@@ -142,3 +142,26 @@ def test_pad_batches(spark):
     rows = sorted(fe.pad_batches(df, "t").collect(), key=lambda r: (r.batch_no, -len(r.t)))
     assert rows[0].input_ids == [1, 2, 3] and rows[1].input_ids == [1, 0, 0]
     assert rows[1].attention_mask == [1, 0, 0] and rows[2].input_ids == [4, 5]
+
+
+def test_window_prompt_too_long(spark):
+    df = spark.createDataFrame([(list(range(10)), [-1, -2, -3, -4])], "t array<int>, p array<int>")
+    with pytest.raises(Exception, match="leaves no room"):
+        fe.token_windows(df, "t", width=0, overlap=2, prompt="p", max_length=6).collect()
+
+
+def test_answer_span_random(spark):
+    rng = random.Random(13)
+    data = []
+    for _ in range(400):
+        t = [rng.choice(["a", "b", "ab", "c", "中"]) for _ in range(rng.randint(0, 15))]
+        g = [rng.choice(["a", "b", "ab"]) for _ in range(rng.randint(1, 3))]
+        data.append((t, g))
+    df = spark.createDataFrame(data, "t array<string>, g array<string>")
+    for r in df.select("t", "g", sp.answer_span("t", "g").alias("a")).collect():
+        starts = [i for i in range(len(r.t) - len(r.g) + 1) if r.t[i:i + len(r.g)] == r.g]
+        exp = (starts[0], starts[0] + len(r.g), True) if starts else (0, 0, False)
+        assert (r.a.start, r.a.end, r.a.found) == exp, (r.t, r.g)
+    ints = spark.createDataFrame([([1, 12, 2, 1, 2], [1, 2])], "t array<int>, g array<int>")
+    a = ints.select(sp.answer_span("t", "g").alias("a")).first().a
+    assert (a.start, a.end, a.found) == (3, 5, True)
