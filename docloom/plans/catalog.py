@@ -671,17 +671,19 @@ COLLECT_SQL = ORACLE["collect_answers"]
 
 @register("stream_collect_answers", COLLECT_SQL)
 def stream_collect_answers(spark, d):
-    """Predictions written as per-batch files (64 questions per
-    batch), drained by a file-source stream with ``availableNow`` and
-    upserted per micro-batch.  (Several micro-batches, a late better value,
+    """Predictions written as per-batch files (64 questions
+    per batch), drained by a file-source stream with ``availableNow``,
+    upserted per micro-batch, answers republished per checkpoint.  (Several micro-batches, a late better value,
     a duplicate file and a restart are covered in tests/test_collect.py.)"""
     preds = TB.predictions(spark, d).withColumn("batch_no", F.floor(F.col("qid") / 64))
-    src, sink = fresh_dir(spark, "predictions"), fresh_dir(spark, "answers")
-    ckpt = fresh_dir(spark, "stream-state")
+    src, sink = fresh_dir(spark, "predictions"), fresh_dir(spark, "collected")
+    ckpt, answers = fresh_dir(spark, "stream-state"), fresh_dir(spark, "answers")
     sk.write_prediction_batches(preds, src)
-    q = sc.start_collector(spark, src, sink, ckpt, available_now=True, json_lines=True)
+    q = sc.start_collector(spark, src, sink, ckpt, available_now=True, json_lines=True, answers_dir=answers)
     q.awaitTermination()
-    return sc.answers_from_collected(sc.read_collected(spark, sink))
+    # the published answer files (one folder per checkpoint) are the result
+    return spark.read.schema("qid int, retrieve int, checkpoint int").json(answers) \
+        .select("checkpoint", "qid", "retrieve")
 
 
 @register("stream_dedup_bounded", ORACLE["prediction_distinct"])

@@ -33,24 +33,39 @@ def best_prediction_stream(spark: SparkSession, src: str, json_lines: bool = Fal
                                by=["checkpoint"])
 
 
-def upsert_batches(sink: str) -> Callable[[DataFrame, int], None]:
+def upsert_batches(sink: str, answers_dir: str | None = None) -> Callable[[DataFrame, int], None]:
     """T5: ``foreachBatch`` writer: each micro-batch's updated keys go to
-    ``sink/batch_id=<id>`` (overwritten on retry, so exactly-once in effect)."""
+    ``sink/batch_id=<id>`` (overwritten on retry, so exactly-once in effect).
+    With ``answers_dir``, the answers of every checkpoint touched by the
+    batch are then republished (T2/S11: sorted JSON lines under
+    ``answers_dir/checkpoint=<n>``, replaced per checkpoint), as the
+    reference rewrites its answer file after each poll."""
     def run(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
+        if answers_dir is None:
+            return
+        spark = batch.sparkSession
+        touched = [r[0] for r in batch.select("checkpoint").distinct().collect()]
+        if not touched:
+            return
+        ans = answers_from_collected(read_collected(spark, sink).where(F.col("checkpoint").isin(touched)))
+        (ans.repartition("checkpoint").sortWithinPartitions("checkpoint", "qid", "retrieve")
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("checkpoint").json(answers_dir))
     return run
 
 
 def start_collector(spark: SparkSession, src: str, sink: str, checkpoint_location: str,
                     trigger_seconds: int | None = 20, available_now: bool = False,
-                    json_lines: bool = False, max_files_per_trigger: int | None = None) -> StreamingQuery:
+                    json_lines: bool = False, max_files_per_trigger: int | None = None,
+                    answers_dir: str | None = None) -> StreamingQuery:
     """Run the collector: ``processingTime`` trigger (20 s, the
     reference's poll interval) or ``availableNow`` to drain what is there."""
     q = (best_prediction_stream(spark, src, json_lines=json_lines,
                                 max_files_per_trigger=max_files_per_trigger)
          .writeStream.outputMode("update")
          .option("checkpointLocation", checkpoint_location)
-         .foreachBatch(upsert_batches(sink)))
+         .foreachBatch(upsert_batches(sink, answers_dir)))
     if available_now:
         q = q.trigger(availableNow=True)
     elif trigger_seconds:

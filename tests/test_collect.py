@@ -51,8 +51,12 @@ def test_stream_equals_batch_and_restart(spark, tmp_dir):
     q = sc.start_collector(spark, src, sink, ck, available_now=True, max_files_per_trigger=1)
     q.awaitTermination()
     _write(src, "qid9_iter2_checkpoint120.json", batches[2])
-    q = sc.start_collector(spark, src, sink, ck, available_now=True, max_files_per_trigger=1)  # restart
+    ans = os.path.join(tmp_dir, "answers")
+    q = sc.start_collector(spark, src, sink, ck, available_now=True, max_files_per_trigger=1,
+                           answers_dir=ans)  # restart, now also publishing answers
     q.awaitTermination()
+    published = sorted((r.checkpoint, r.qid, r.retrieve) for r in spark.read.json(ans).collect())
+    assert published == [(120, 1, 7), (120, 2, 3)]
     got = sorted((r.checkpoint, r.qid, r.category, r.retrieve, r.incre_num_by)
                  for r in sc.read_collected(spark, sink).collect())
     assert got == [(120, 1, "faq", "7", 0), (120, 2, "finance", "3", 5)]
