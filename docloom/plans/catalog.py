@@ -11,7 +11,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import spans as sp
+from ..functions import text as tx
+from ..operators import collect as co
+from ..operators import corpus as cp
+from ..operators import decode as dc
+from ..operators import features as fe
 from ..operators import qa
+from ..operators import splits as sl
+from ..operators import trials as tr
+from ..session import fresh_dir, spread_by
+from ..sources import hooks as hk
+from ..sources import readers as rd
+from ..sources import sinks as sk
+from ..streaming import collect as sc
 from . import oracle as O
 from . import tables as TB
 
@@ -49,15 +62,6 @@ def context_assembly(spark: SparkSession, d: str) -> DataFrame:
     return qa.competition_dataset(qs, TB.truths(qs), TB.corpus(spark, d), on_missing="fail")
 
 
-# shorthand used below
-from ..functions import spans as sp  # noqa: E402
-from ..functions import text as tx  # noqa: E402
-from ..operators import collect as co  # noqa: E402
-from ..operators import corpus as cp  # noqa: E402
-from ..operators import decode as dc  # noqa: E402
-from ..operators import features as fe  # noqa: E402
-from ..operators import splits as sl  # noqa: E402
-from ..operators import trials as tr  # noqa: E402
 
 NL = "chr(10)"
 WS = tx.WHITESPACE_CLASS
@@ -615,10 +619,6 @@ def run_id(spark, d):
 
 # ---------------------------------------------------------------- hooks (Arrow)
 
-from ..session import fresh_dir, spread_by  # noqa: E402
-from ..sources import hooks as hk  # noqa: E402
-from ..sources import sinks as sk  # noqa: E402
-from ..streaming import collect as sc  # noqa: E402
 
 
 @register("html_to_text")
@@ -756,7 +756,6 @@ def chunk_labels(spark, d):
 
 # ---------------------------------------------------------------- corpus from documents
 
-from ..sources import readers as rd  # noqa: E402
 
 
 @register("corpus_from_documents")
