@@ -50,3 +50,18 @@ def test_model_input_and_char_tokens(spark):
     df = spark.createDataFrame([("P", "ctx", "中文a")], "p string, c string, t string")
     assert df.select(fe.model_input("p", "c")).first()[0] == "P<context>ctx</context>"
     assert df.select(fe.char_tokens("t")).first()[0] == ["中", "文", "a"]
+
+
+def test_tokenize_hook(spark):
+    """F21 hook: a per-row tokenizer library inside an Arrow-batched pandas_udf."""
+    tokenizers = __import__("pytest").importorskip("tokenizers")
+    from tokenizers.pre_tokenizers import Whitespace
+
+    def tok(s: pd.Series) -> pd.Series:
+        pre = Whitespace()
+        return s.map(lambda v: [t for t, _ in pre.pre_tokenize_str(v)])
+
+    df = spark.createDataFrame([("see faq_12, then stop.",)], "text string")
+    out = fe.tokenize_with(df, "text", tok, name="tokens", return_type="array<string>").first().tokens
+    assert out == ["see", "faq_12", ",", "then", "stop", "."]
+    assert tokenizers is not None
