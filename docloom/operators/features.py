@@ -189,10 +189,15 @@ def build_qa_features(df: DataFrame, question: str = "question", context: str =
     chunks are padded to the longest chunk of their example (the full width
     whenever an example has more than one chunk — a closed form, no window);
     ``overflow_to_sample_mapping`` is the example's row position by
-    ``order``.  Parent columns ride along on every chunk (no join back)."""
+    ``order``.  Parent columns ride along on every chunk (no join back).
+    Examples are hash-spread by ``order`` before the expansion."""
+    from ..session import spread_by
     from .splits import row_positions
 
     rows = row_positions(df, order, name="overflow_to_sample_mapping")
+    # the expansion below (tokens → many chunks per example) is CPU-heavy;
+    # spread the examples explicitly, since AQE sizes partitions by bytes
+    rows = spread_by(rows, order)
     rows = render_question(rows, question=question, name="_qf_prompt")
     rows = (rows.withColumn("_qf_ptok", tokenize(F.col("_qf_prompt")))
             .withColumn("_qf_ctok", tokenize(tx.context_tag(context))))

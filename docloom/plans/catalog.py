@@ -20,7 +20,7 @@ from ..operators import features as fe
 from ..operators import qa
 from ..operators import splits as sl
 from ..operators import trials as tr
-from ..session import fresh_dir, spread_by
+from ..session import fresh_dir
 from ..sources import hooks as hk
 from ..sources import readers as rd
 from ..sources import sinks as sk
@@ -824,7 +824,7 @@ def qa_features(spark, d):
     tokens, 512-token prompt-led windows, answer-id span labels, padding."""
     qs = TB.questions(spark, d)
     ds = qa.competition_dataset(qs, TB.truths(qs), TB.corpus(spark, d), on_missing="fail")
-    f = fe.build_qa_features(spread_by(ds, "qid"), max_length=FEAT_MAX_LEN, overlap=FEAT_OVERLAP)
+    f = fe.build_qa_features(ds, max_length=FEAT_MAX_LEN, overlap=FEAT_OVERLAP)
     real = F.slice("input_ids", 1, F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x))
     return f.select("qid", F.col("chunk_no").cast("long"), "overflow_to_sample_mapping",
                     F.aggregate("attention_mask", F.lit(0).cast("long"), lambda a, x: a + x).alias("n_tokens"),
@@ -875,8 +875,7 @@ def inference_answers(spark, d):
     (least widened) prediction per (qid, category, retrieve) → answers."""
     qs = TB.questions(spark, d)
     ds = qa.competition_dataset(qs, corpus=TB.corpus(spark, d), on_missing="fail")
-    f = fe.build_qa_features(spread_by(ds, "qid"), answer=None, max_length=INFER_MAX_LEN,
-                             overlap=WINDOW_OVERLAP)
+    f = fe.build_qa_features(ds, answer=None, max_length=INFER_MAX_LEN, overlap=WINDOW_OVERLAP)
     n_real = F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x)
     f = f.withColumn("chunk_tokens", F.slice("input_ids", 1, n_real))
     ids = F.transform("input_ids", lambda t: F.when(t == "<pad>", F.lit(0))
