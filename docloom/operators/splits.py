@@ -83,9 +83,9 @@ def epoch_replay(df: DataFrame, order: str, epochs: int, name: str = "step") ->
     """The endless modulo iterator made finite: each row once per epoch,
     ``step = epoch * n + row_no``."""
     r = row_positions(df, order, name="_ep_row")
-    total = df.count()
+    total = df.select(F.count(F.lit(1))).scalar()  # scalar subquery: stays in the plan
     return (r.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(epochs - 1).cast("long"))))
-            .withColumn(name, F.col("epoch") * F.lit(total) + F.col("_ep_row"))
+            .withColumn(name, F.col("epoch") * total + F.col("_ep_row"))
             .drop("_ep_row"))
 
 

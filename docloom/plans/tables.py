@@ -51,7 +51,7 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     candidate count per question is the documents/questions ratio (about a
     dozen at every scale factor), so the list stays small as tables grow."""
     b = table(spark, sf_dir, "benchmark")
-    n_items = b.count()
+    n_items = b.select(F.count(F.lit(1))).scalar()  # lazy scalar subquery, no driver round trip
     q = b.select(F.col("item_id").alias("qid"), F.col("text").alias("query"),
                  category_of("item_id").alias("category"))
     docs = table(spark, sf_dir, "documents").select(
