@@ -52,7 +52,9 @@ def widening_search(df: DataFrame, tokens: str = "input_ids", start: str = "pred
     by 5, then 10, 15 … (cumulative) until an id is found or the limit is
     passed.  The window is clamped to the row (Q6).  Adds ``match``,
     ``category_pred``, ``retrieve`` (string) and ``incre_num_by``; rows with
-    no id are dropped (P15) unless ``keep_misses``.
+    no id are dropped (P15) unless ``keep_misses``.  ``whole_id`` rejects a
+    match directly followed by a digit inside the decoded window (an id cut
+    by the window's own end still matches, as in the reference, Q22).
 
     Implemented as a short-circuit ``aggregate`` over the literal attempt
     list, so later (wider) windows are never decoded once an id is found."""

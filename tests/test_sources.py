@@ -116,3 +116,14 @@ def test_cyclic_stream(spark, tmp_dir):
     rows = spark.sql("select generator_step, id from cyc").collect()
     assert len(rows) >= 10
     assert all(r.id == (10, 20, 30)[r.generator_step % 3] for r in rows)
+
+
+def test_json_lines_and_sorted_writer(spark, tmp_dir):
+    df = spark.createDataFrame([(3, 7, "faq", None), (1, 2, "finance", "g")], S.TRUTH)
+    p = os.path.join(tmp_dir, "jl")
+    sk.write_sorted_json_lines(df, p, ["qid"])
+    back = rd.read_json_lines(spark, p, S.TRUTH)
+    assert [r.qid for r in back.collect()] == [1, 3]
+    cp_ = os.path.join(tmp_dir, "corpus")
+    sk.write_corpus(spark.createDataFrame([("f_1.pdf", "f", "x", 1, 1)], S.CORPUS), cp_)
+    assert rd.read_corpus(spark, cp_).first().filename == "f_1.pdf"

@@ -165,3 +165,32 @@ def test_answer_span_random(spark):
     ints = spark.createDataFrame([([1, 12, 2, 1, 2], [1, 2])], "t array<int>, g array<int>")
     a = ints.select(sp.answer_span("t", "g").alias("a")).first().a
     assert (a.start, a.end, a.found) == (3, 5, True)
+
+
+def test_window_properties_random(spark):
+    """For random (n, width, overlap): windows start at 0, step width−overlap,
+    cover every token, consecutive windows share exactly `overlap` tokens, and
+    the last window reaches the end."""
+    rng = random.Random(21)
+    cases = []
+    for i in range(300):
+        w = rng.randint(2, 12)
+        o = rng.randint(0, w - 1)
+        cases.append((i, list(range(rng.randint(0, 60))), w, o))
+    got = {}
+    for w in sorted({c[2] for c in cases}):
+        for o in sorted({c[3] for c in cases if c[2] == w}):
+            sub = [(i, t) for i, t, ww, oo in cases if ww == w and oo == o]
+            df = spark.createDataFrame(sub, "i int, t array<int>")
+            for r in fe.token_windows(df, "t", width=w, overlap=o).collect():
+                got.setdefault(r.i, []).append((r.chunk_no, r.chunk, r.is_last))
+    for i, t, w, o in cases:
+        ch = sorted(got[i])
+        assert [c[0] for c in ch] == list(range(len(ch)))
+        assert sorted({x for _, c, _ in ch for x in c}) == t
+        for (_, a, _), (_, b, _) in zip(ch, ch[1:]):
+            assert a[len(a) - o:] == b[:o] if o else True
+            assert len(a) == w
+        assert ch[-1][2] and all(not c[2] for c in ch[:-1])
+        expected = 1 if len(t) <= w else 1 + -(-(len(t) - w) // (w - o))
+        assert len(ch) == expected
