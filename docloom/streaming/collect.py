@@ -55,12 +55,21 @@ def upsert_batches(sink: str, answers_dir: str | None = None) -> Callable[[DataF
     return run
 
 
+ROCKSDB_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def start_collector(spark: SparkSession, src: str, sink: str, checkpoint_location: str,
                     trigger_seconds: int | None = 20, available_now: bool = False,
                     json_lines: bool = False, max_files_per_trigger: int | None = None,
-                    answers_dir: str | None = None) -> StreamingQuery:
+                    answers_dir: str | None = None, rocksdb_state: bool = False) -> StreamingQuery:
     """Run the collector: ``processingTime`` trigger (20 s, the
-    reference's poll interval) or ``availableNow`` to drain what is there."""
+    reference's poll interval) or ``availableNow`` to drain what is there.
+    ``rocksdb_state`` keeps the per-key state in RocksDB (off-heap, spills to
+    local disk, checkpointed to the shared folder) instead of executor heap —
+    the choice once the key space is large; it must be chosen before the
+    query's first run (the provider is fixed in its checkpoint)."""
+    if rocksdb_state:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
     q = (best_prediction_stream(spark, src, json_lines=json_lines,
                                 max_files_per_trigger=max_files_per_trigger)
          .writeStream.outputMode("update")

@@ -84,3 +84,21 @@ def test_push_batches_swallows(spark):
     run = push_batches(bad)
     run(spark.range(1), 0)
     assert run.state["failed"] == 1
+
+
+def test_collector_rocksdb_state(spark, tmp_dir):
+    src, sink, ck = (os.path.join(tmp_dir, x) for x in ("src", "sink", "ck"))
+    os.makedirs(src)
+    _write(src, "qid1_iter0_checkpoint600.json", [{"qid": 5, "category": "faq", "retrieve": "2", "incre_num_by": 15},
+                                                 {"qid": 5, "category": "faq", "retrieve": "2", "incre_num_by": 5}])
+    prev = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    try:
+        q = sc.start_collector(spark, src, sink, ck, available_now=True, rocksdb_state=True)
+        q.awaitTermination()
+    finally:
+        if prev:
+            spark.conf.set("spark.sql.streaming.stateStore.providerClass", prev)
+        else:
+            spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    got = [tuple(r) for r in sc.read_collected(spark, sink).collect()]
+    assert got == [(600, 5, "faq", "2", 5)]
