@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
 from .ranks import rank_within, running_within
 
 
@@ -21,8 +22,9 @@ def stratified_folds(df: DataFrame, strata: str, order: str, k: int = 5,
     that range.  The j-th row of a class (by ``order``) goes to the first fold
     whose cumulative quota exceeds j.  The per-class table has one row per
     stratum; the row rank inside a class is the bucketed exact rank."""
-    cls = (df.groupBy(strata)
-           .agg(F.min(order).alias("_kf_first"), F.count(F.lit(1)).alias("_kf_n")))
+    # one row per stratum, used three times below: compute it once
+    cls = checkpointed(df.groupBy(strata)
+                       .agg(F.min(order).alias("_kf_first"), F.count(F.lit(1)).alias("_kf_n")))
     # class offsets: exclusive prefix sum of class sizes in first-appearance
     # order (bucketed, so even a huge number of strata is not one task)
     cls = running_within(cls, "_kf_n", "_kf_first", how="sum", name="_kf_off", inclusive=False,

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
 from .ranks import range_bucket
 
 # Markers a metrics line must contain, and the Python-literal
@@ -64,7 +65,8 @@ def pareto_front(df: DataFrame, objectives: Mapping[str, str], n_buckets: int |
     sa = F.col(a) if da == "min" else -F.col(a)
     sb = F.col(b) if db == "min" else -F.col(b)
     pts = df.select(sa.alias("_pa"), sb.alias("_pb")).where(F.col("_pa").isNotNull() & F.col("_pb").isNotNull())
-    per_a = pts.groupBy("_pa").agg(F.min("_pb").alias("_mb"))
+    # one row per distinct first objective, used three times: compute it once
+    per_a = checkpointed(pts.groupBy("_pa").agg(F.min("_pb").alias("_mb")))
     per_a = range_bucket(per_a, "_pa", n_buckets, name="_bk")
     bmin = per_a.groupBy("_bk").agg(F.min("_mb").alias("_bmin"))
     before = bmin.select("_bk", F.min("_bmin").over(

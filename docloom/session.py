@@ -104,3 +104,11 @@ def spread_by(df, *cols, factor: int = 2):
     question/example scale, not for the corpus."""
     par = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(par * factor, *cols)
+
+
+def checkpointed(df):
+    """Reliable, eager checkpoint of a (small, reused) derived table into the
+    shared checkpoint folder: later uses read it instead of recomputing its
+    lineage, and a lost executor never forces a recompute."""
+    shared_dir(df.sparkSession, "checkpoints")
+    return df.checkpoint(eager=True)
