@@ -191,10 +191,13 @@ def build_qa_features(df: DataFrame, question: str = "question", context: str =
     ``overflow_to_sample_mapping`` is the example's row position by
     ``order``.  Parent columns ride along on every chunk (no join back).
     Examples are hash-spread by ``order`` before the expansion."""
-    from ..session import spread_by
+    from ..session import checkpointed, spread_by
     from .splits import row_positions
 
-    rows = row_positions(df, order, name="overflow_to_sample_mapping")
+    # the exact rank reads its input three times; the input here is usually a
+    # join (contexts), so materialize it once — this also cuts its lineage
+    # before the expensive expansion
+    rows = row_positions(checkpointed(df), order, name="overflow_to_sample_mapping")
     # the expansion below (tokens → many chunks per example) is CPU-heavy;
     # spread the examples explicitly, since AQE sizes partitions by bytes
     rows = spread_by(rows, order)
