@@ -53,7 +53,9 @@ def rank_within(df: DataFrame, order_col: str, partition_by: Sequence[str] = (),
     """0-based rank of each row inside ``partition_by`` by ``order_col``.
 
     ``order_col`` should be unique inside a group (ties are broken
-    arbitrarily but each tie group stays in one bucket)."""
+    arbitrarily but each tie group stays in one bucket).  The input is read
+    three times (cut points, bucket counts, numbering): pass a scan or a
+    materialized table (``session.checkpointed``), not an expensive join."""
     keys = list(partition_by)
     src = df
     oc = order_col
@@ -86,7 +88,8 @@ def running_within(df: DataFrame, value: str, order_col: str, partition_by: Sequ
     computed (a small table), carried forward across buckets, and combined
     with a window inside (group, bucket) only.  A group holding a third of
     all rows is still spread over every bucket.  ``order_col`` should be
-    unique inside a group for the exclusive form."""
+    unique inside a group for the exclusive form.  Like ``rank_within`` it
+    reads its input three times."""
     fn = {"max": F.max, "min": F.min, "sum": F.sum}[how]
     keys = list(partition_by)
     b = range_bucket(df, order_col, n_buckets)
