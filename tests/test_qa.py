@@ -53,3 +53,20 @@ def test_file_name_and_labels(spark):
     df = spark.createDataFrame([(7, 0, 120, [[1, 2], [3]])], "q long, i int, c int, a array<array<int>>")
     assert df.select(prediction_file_name("q", "i", "c")).first()[0] == "qid7_iter0_checkpoint120.json"
     assert generative_labels(df, "a").first()["labels"] == [1, 2, 3]
+
+
+@pytest.mark.parametrize("parts", [1, 4, 17])
+def test_context_partition_invariance(spark, parts):
+    import random
+    rng = random.Random(5)
+    corpus = spark.createDataFrame([(c, i, f"{c}{i}", rng.randint(0, 9)) for c in ("faq", "finance") for i in range(60)],
+                                   "category string, doc_num long, content string, ord long")
+    dup = spark.createDataFrame([("faq", 3, "dup", 99)], "category string, doc_num long, content string, ord long")
+    corpus = corpus.unionByName(dup).repartition(parts)
+    rows = [(q, rng.choice(["faq", "finance"]), rng.sample(range(60), rng.randint(0, 6)), "q") for q in range(80)]
+    q = spark.createDataFrame(rows, "qid long, category string, source array<long>, query string").repartition(parts)
+    got = {r.qid: r.context for r in qa.assemble_context(q, corpus, order_col="ord").collect()}
+    for qid, cat, src, _ in rows:
+        # the duplicate (faq, 3) has the largest order value, so the original wins
+        exp = "".join(f'<article id="{cat}_{d}">{cat}{d}</article>' for d in src)
+        assert got[qid] == exp
