@@ -65,10 +65,18 @@ def _cp(c: int) -> str:
 
 
 def char_class(ranges: Sequence[tuple[int, int]] = (), singles: str = "") -> str:
-    """Regex character class (without brackets) from code-point ranges."""
-    parts = [_cp(a) if a == b else f"{_cp(a)}-{_cp(b)}" for a, b in ranges]
-    parts += [_cp(ord(ch)) for ch in singles]
-    return "".join(parts)
+    """Regex character class (without brackets) from code-point ranges and
+    single characters.  Members are sorted and adjacent/overlapping ones
+    merged (the same set of characters, fewer members for the regex engine
+    to test).  The constants above stay exactly as listed."""
+    pts = sorted(set(ranges) | {(ord(ch), ord(ch)) for ch in singles})
+    merged: list[tuple[int, int]] = []
+    for a, b in pts:
+        if merged and a <= merged[-1][1] + 1:
+            merged[-1] = (merged[-1][0], max(merged[-1][1], b))
+        else:
+            merged.append((a, b))
+    return "".join(_cp(a) if a == b else f"{_cp(a)}-{_cp(b)}" for a, b in merged)
 
 
 CJK_SINGLE_PASS_CLASS = char_class(CJK_RANGES_SINGLE_PASS)
