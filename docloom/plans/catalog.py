@@ -1,889 +1,12 @@
 """Registered queries: one per inventory operator, each with its DuckDB oracle.
 
 Every query reads the driver's tables (or data Spark derives from them) in
-full; nothing is sampled, capped or filtered to a subset.
+full; nothing is sampled, capped or filtered to a subset.  The queries live
+in the ``queries_*`` modules by area; importing them fills the registry.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from ..functions import spans as sp
-from ..functions import text as tx
-from ..operators import collect as co
-from ..operators import corpus as cp
-from ..operators import decode as dc
-from ..operators import features as fe
-from ..operators import qa
-from ..operators import splits as sl
-from ..operators import trials as tr
-from ..session import fresh_dir
-from ..sources import hooks as hk
-from ..sources import readers as rd
-from ..sources import sinks as sk
-from ..streaming import collect as sc
-from . import oracle as O
-from . import tables as TB
-
-QueryFn = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, QueryFn] = {}
-ORACLE: dict[str, str] = {}
-
-
-def register(name: str, sql: str | None = None):
-    def deco(fn: QueryFn) -> QueryFn:
-        QUERIES[name] = fn
-        if sql is not None:
-            ORACLE[name] = sql
-        return fn
-    return deco
-
-
-# ---------------------------------------------------------------- QA assembly
-
-@register("context_assembly", O.with_(O.QUESTIONS, """qa AS (
-  SELECT questions.qid, translate(questions.query, '「」', '『』') AS question, questions.category,
-         questions.source, truths.retrieve
-  FROM questions JOIN truths USING (qid, category)),
-refs AS (SELECT qid, category, unnest(source) AS doc_num, unnest(range(len(source))) AS pos FROM qa),
-pieces AS (
-  SELECT r.qid, r.category, r.pos,
-         '<article id="' || r.category || '_' || CAST(r.doc_num AS VARCHAR) || '">' || d.text || '</article>' AS piece
-  FROM refs r JOIN documents d ON d.lang = r.category AND d.doc_id = r.doc_num),
-ctx AS (SELECT qid, category, string_agg(piece, '' ORDER BY pos) AS context FROM pieces GROUP BY qid, category)""") + """
-SELECT qa.qid, qa.question, qa.category, coalesce(ctx.context, '') AS context,
-       qa.category || '_' || CAST(qa.retrieve AS VARCHAR) AS answer_in_articleid
-FROM qa LEFT JOIN ctx USING (qid, category)""")
-def context_assembly(spark: SparkSession, d: str) -> DataFrame:
-    qs = TB.questions(spark, d)
-    return qa.competition_dataset(qs, TB.truths(qs), TB.corpus(spark, d), on_missing="fail")
-
-
-
-NL = "chr(10)"
-WS = tx.WHITESPACE_CLASS
-SQL_CJK = f"translate(text, '{TB.LATIN}', '{TB.CJK_26}')"
-SQL_NOISY = f"replace(replace({SQL_CJK}, '. ', '.' || {NL} || ' ' || {NL}), ', ', ' ( ')"
-
-
-def _sql_strip(x: str) -> str:
-    return f"regexp_replace({x}, '\\A[{WS}]+|[{WS}]+\\z', '', 'g')"
-
-
-def _sql_pair_pass(x: str, cls: str) -> str:
-    return f"regexp_replace({x}, '([{cls}])[{WS}]{{1,4}}([{cls}])', '\\1\\2', 'g')"
-
-
-def _sql_blank_lines(x: str) -> str:
-    return f"regexp_replace({x}, '(?m)^[{WS}]*$\\n', '', 'g')"
-
-
-def _sql_fold(x: str) -> str:
-    for a, b in tx.BRACKET_FOLDS:
-        x = f"replace({x}, '{a}', '{b}')"
-    return x
-
-
-def _sql_fixpoint(x: str) -> str:
-    # two nested single passes always reach the fixpoint (the second pass
-    # removes the gaps the first left between merged pairs)
-    c = tx.CJK_FIXPOINT_CLASS
-    return _sql_strip(_sql_pair_pass(_sql_pair_pass(x, c), c))
-
-
-def _sql_junk(x: str) -> str:
-    for w in tx.JUNK_WORDS:
-        x = f"replace({x}, '{w}', '')"
-    return f"translate({x}, '{tx.JUNK_CHARS}', '')"
-
-
-def _sql_clean(x: str) -> str:
-    return _sql_fixpoint(_sql_fold(_sql_blank_lines(x)))
-
-
-def noisy_cjk(col: str = "text"):
-    """CJK-translated text with planted blank lines and spaced brackets."""
-    return F.replace(F.replace(TB.cjk_text(col), F.lit(". "), F.lit(".\n \n")), F.lit(", "), F.lit(" ( "))
-
-
-def _docs(spark, d, balanced: bool = True):
-    """documents; spread over the cores when the query does heavy per-row
-    work (regex, higher-order functions, Python hooks)."""
-    return TB.table(spark, d, "documents", balanced=balanced)
-
-
-# ---------------------------------------------------------------- text cleaning
-
-@register("despace_once", f"SELECT doc_id, {tx.despace_cjk_once_sql(SQL_CJK)} AS text FROM documents")
-def despace_once(spark, d):
-    return _docs(spark, d).select("doc_id", tx.despace_cjk_once(TB.cjk_text()).alias("text"))
-
-
-@register("despace_fixpoint", f"SELECT doc_id, {_sql_fixpoint(SQL_CJK)} AS text FROM documents")
-def despace_fixpoint(spark, d):
-    return _docs(spark, d).select("doc_id", tx.despace_cjk(TB.cjk_text()).alias("text"))
-
-
-@register("drop_blank_lines", f"SELECT doc_id, {_sql_blank_lines(SQL_NOISY)} AS text FROM documents")
-def drop_blank_lines(spark, d):
-    return _docs(spark, d).select("doc_id", tx.drop_blank_lines(noisy_cjk()).alias("text"))
-
-
-@register("fold_brackets", f"SELECT doc_id, {_sql_fold(SQL_NOISY)} AS text FROM documents")
-def fold_brackets(spark, d):
-    return _docs(spark, d).select("doc_id", tx.fold_brackets(noisy_cjk()).alias("text"))
-
-
-@register("junk_removal", f"SELECT doc_id, {_sql_junk(SQL_CJK)} AS text FROM documents")
-def junk_removal(spark, d):
-    return _docs(spark, d).select("doc_id", tx.remove_junk(TB.cjk_text()).alias("text"))
-
-
-@register("clean_text", f"SELECT doc_id, {_sql_clean(SQL_NOISY)} AS text FROM documents")
-def clean_text(spark, d):
-    return _docs(spark, d).select("doc_id", tx.clean_text(noisy_cjk()).alias("text"))
-
-
-@register("list_join", f"""WITH w AS (SELECT doc_id, string_split(text, '. ') AS parts FROM documents)
-SELECT doc_id, CASE WHEN len(parts) = 0 THEN NULL WHEN len(parts) = 1 THEN parts[1]
-  ELSE array_to_string(parts[1:len(parts) - 1], '{tx.LIST_SEPARATOR}') || '{tx.LIST_LAST_SEPARATOR}' || parts[len(parts)] END AS joined
-FROM w""")
-def list_join(spark, d):
-    """F11 over every sentence of every document (whole texts)."""
-    parts = F.split("text", r"\. ")
-    return _docs(spark, d, balanced=False).select("doc_id", tx.join_cjk_list(parts).alias("joined"))
-
-
-@register("doc_id_extract", """WITH t AS (
-  SELECT doc_id, regexp_extract_all(replace(text, '. ', '. finance_' || CAST(doc_id AS VARCHAR) || ' '),
-                                    '(?:insurance|finance|faq)_[0-9]+') AS ids FROM documents)
-SELECT doc_id, split_part(ids[1], '_', 1) AS category, split_part(ids[1], '_', 2) AS retrieve,
-       CAST(len(ids) AS BIGINT) AS n_ids
-FROM t WHERE len(ids) > 0""")
-def doc_id_extract(spark, d):
-    planted = F.replace(F.col("text"), F.lit(". "),
-                        F.concat(F.lit(". finance_"), F.col("doc_id").cast("string"), F.lit(" ")))
-    ids = tx.extract_doc_ids(planted)
-    return (_docs(spark, d).select("doc_id", ids.alias("_ids"))
-            .where(F.size("_ids") > 0)
-            .select("doc_id", tx.split_doc_id(F.get(F.col("_ids"), 0))["category"].alias("category"),
-                    tx.split_doc_id(F.get(F.col("_ids"), 0))["number"].alias("retrieve"),
-                    F.size("_ids").cast("long").alias("n_ids")))
-
-
-# ---------------------------------------------------------------- corpus
-
-@register("corpus_filename_parse", O.with_(O.CORPUS) + """
-SELECT filename, split_part(filename, '_', 1) AS category,
-       CAST(string_split(replace(filename, '.pdf', ''), '_')[-1] AS BIGINT) AS doc_num,
-       content_len
-FROM corpus""")
-def corpus_filename_parse(spark, d):
-    c = TB.corpus(spark, d).select("filename", "content")
-    out = cp.with_content_len(cp.parse_filename(c))
-    return out.select("filename", "category", "doc_num", F.col("content_len").cast("long"))
-
-
-FALLBACK_BLOCKLIST = ["en_1.pdf", "fr_0.pdf"]
-PAGE_STEM_RE = "/(en|fr|de|es)/([0-9]+)"
-
-
-def page_fallback(spark, d):
-    """pages → fallback texts keyed by file stem (lang_number from the url);
-    the first page (by page_id) wins for a repeated stem."""
-    p = TB.table(spark, d, "pages")
-    stem = F.concat(F.regexp_extract("url", PAGE_STEM_RE, 1), F.lit("_"), F.regexp_extract("url", PAGE_STEM_RE, 2))
-    return (p.where(F.regexp_extract("url", PAGE_STEM_RE, 2) != "")
-            .groupBy(stem.alias("stem")).agg(F.min_by("html", "page_id").alias("text")))
-
-
-@register("corpus_fallback", O.with_(O.CORPUS, f"""fb AS (
-  SELECT regexp_extract(url, '{PAGE_STEM_RE}', 1) || '_' || regexp_extract(url, '{PAGE_STEM_RE}', 2) AS stem,
-         min_by(html, page_id) AS text
-  FROM pages WHERE regexp_extract(url, '{PAGE_STEM_RE}', 2) <> '' GROUP BY 1),
-j AS (
-  SELECT c.*, fb.text AS fb_text,
-         (c.content_len < 50 OR c.filename IN ({', '.join(repr(x) for x in FALLBACK_BLOCKLIST)})) AS low
-  FROM corpus c LEFT JOIN fb ON fb.stem = regexp_replace(c.filename, '\\.[^.]*$', ''))""") + f"""
-SELECT filename, category,
-       CASE WHEN low AND fb_text IS NOT NULL THEN '<page number="0">' || {_sql_junk('fb_text')} || '</page>' ELSE content END AS content,
-       CAST(length(CASE WHEN low AND fb_text IS NOT NULL THEN '<page number="0">' || {_sql_junk('fb_text')} || '</page>' ELSE content END) AS BIGINT) AS content_len,
-       doc_num
-FROM j""")
-def corpus_fallback(spark, d):
-    out = cp.apply_fallback(TB.corpus(spark, d), page_fallback(spark, d), min_len=50,
-                            blocklist=FALLBACK_BLOCKLIST, missing="keep")
-    return out.withColumn("content_len", F.col("content_len").cast("long"))
-
-
-FAQ_SQL = f"""t AS (
-  SELECT conv_id, turn, role, text,
-         max(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn
-             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS rec
-  FROM conversations),
-r AS (
-  SELECT conv_id AS faqid, rec, max(CASE WHEN role = 'user' THEN text END) AS question,
-         list(text ORDER BY turn) FILTER (WHERE role = 'assistant') AS answers
-  FROM t WHERE rec IS NOT NULL GROUP BY conv_id, rec),
-r2 AS (
-  SELECT faqid, rec, question,
-         CASE WHEN answers IS NULL OR len(answers) = 0 THEN NULL WHEN len(answers) = 1 THEN answers[1]
-              ELSE array_to_string(answers[1:len(answers) - 1], '、') || '及' || answers[len(answers)] END AS a
-  FROM r),
-faq AS (
-  SELECT 'faq' AS category,
-         '{cp.FAQ_QUESTION_PREFIX}' || coalesce(string_agg(question, {NL} ORDER BY rec), '') ||
-         '{cp.FAQ_ANSWER_PREFIX}' || coalesce(string_agg(a, {NL} ORDER BY rec), '') AS content,
-         faqid AS doc_num
-  FROM r2 GROUP BY faqid)"""
-
-
-def faq_corpus_df(spark, d):
-    recs = cp.faq_records(TB.table(spark, d, "conversations"))
-    return cp.faq_to_corpus(recs)
-
-
-@register("faq_corpus", O.with_(FAQ_SQL) +
-          "SELECT category, content, CAST(length(content) AS BIGINT) AS content_len, doc_num FROM faq")
-def faq_corpus(spark, d):
-    return faq_corpus_df(spark, d).withColumn("content_len", F.col("content_len").cast("long"))
-
-
-@register("corpus_union", O.with_(O.CORPUS, FAQ_SQL) + """
-SELECT filename, category, content, content_len, doc_num FROM corpus
-UNION ALL
-SELECT NULL AS filename, category, content, CAST(length(content) AS BIGINT) AS content_len, doc_num FROM faq""")
-def corpus_union(spark, d):
-    c = TB.corpus(spark, d).withColumn("content_len", F.col("content_len").cast("long"))
-    f = faq_corpus(spark, d)
-    return cp.union_corpora(c, f).select("filename", "category", "content", "content_len", "doc_num")
-
-
-@register("page_markup", f"""SELECT conv_id AS doc_id,
-  string_agg(CASE WHEN {_sql_strip('text')} <> '' THEN '<page number="' || CAST(turn AS VARCHAR) || '">' || {_sql_strip('text')} || '</page>' END, '' ORDER BY turn) AS content
-FROM conversations GROUP BY conv_id""")
-def page_markup(spark, d):
-    pages = TB.table(spark, d, "conversations").select(
-        F.col("conv_id").alias("doc_id"), F.col("turn").alias("page_no"), "text")
-    return cp.pages_to_document(pages)
-
-
-# ---------------------------------------------------------------- QA variants
-
-@register("qa_join", O.with_(O.QUESTIONS) + """
-SELECT questions.qid, translate(questions.query, '「」', '『』') AS question, questions.category,
-       questions.source, truths.retrieve
-FROM questions JOIN truths USING (qid, category)""")
-def qa_join(spark, d):
-    qs = TB.questions(spark, d)
-    out = qa.competition_dataset(qs, TB.truths(qs))
-    return out.withColumnRenamed("query", "question").select("qid", "question", "category", "source", "retrieve")
-
-
-@register("missing_references", O.with_(O.QUESTIONS, """shifted AS (
-  SELECT qid, category, list_transform(source, lambda x: x + 1) AS source FROM questions),
-refs AS (SELECT qid, category, unnest(range(len(source))) AS pos, unnest(source) AS doc_num FROM shifted)""") + """
-SELECT r.qid, r.category, r.pos, r.doc_num FROM refs r
-WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE d.lang = r.category AND d.doc_id = r.doc_num)""")
-def missing_references(spark, d):
-    qs = TB.questions(spark, d).withColumn("source", F.transform("source", lambda x: x + 1))
-    out = qa.missing_references(qs, TB.corpus(spark, d))
-    return out.select("qid", "category", F.col("pos").cast("long"), "doc_num")
-
-
-# ---------------------------------------------------------------- prompts
-
-@register("prompt_render", O.with_(O.QUESTIONS) + f"""
-SELECT qid, {_sql_strip("'問題：「' || translate(query, '「」', '『』') || '」這個問題可以在什麼編號的參考資料中找到答案？' || " + NL + " || '參考資料：'")} AS prompt
-FROM questions""")
-def prompt_render(spark, d):
-    qs = qa.prepare_questions(TB.questions(spark, d)).withColumnRenamed("query", "question")
-    return fe.render_question(qs, task="find_id").select("qid", "prompt")
-
-
-@register("chat_render", f"""SELECT conv_id,
-  regexp_replace(string_agg('<|im_start|>' || role || {NL} || text || '<|im_end|>' || {NL}, '' ORDER BY turn)
-                 || '<|im_start|>assistant' || {NL},
-                 '\\Q<|im_start|>system' || {NL} || '\\E[^<]*\\Q<|im_end|>' || {NL} || '\\E', '', 'g') AS chat
-FROM conversations GROUP BY conv_id""")
-def chat_render(spark, d):
-    msgs = fe.conversation_messages(TB.table(spark, d, "conversations"))
-    chat = fe.render_chat(F.col("messages"), add_generation_prompt=True)
-    return msgs.select("conv_id", fe.strip_header(chat, "<|im_start|>system\n", "<|im_end|>\n", "[^<]*").alias("chat"))
-
-
-# ---------------------------------------------------------------- features
-
-WINDOW_MAX_LEN, WINDOW_OVERLAP = 64, 30
-
-
-@register("token_windows", f"""WITH t AS (
-  SELECT doc_id, ['Question', CAST(doc_id AS VARCHAR)] AS prompt, string_split(text, ' ') AS tokens FROM documents),
-s AS (
-  SELECT doc_id, prompt, tokens, {WINDOW_MAX_LEN} - len(prompt) AS w FROM t),
-c AS (
-  SELECT doc_id, prompt, tokens, w,
-         unnest(range(0, CAST(ceil(greatest(len(tokens) - w, 0) / (w - {WINDOW_OVERLAP})) * (w - {WINDOW_OVERLAP}) AS BIGINT) + 1,
-                      w - {WINDOW_OVERLAP})) AS token_start
-  FROM s)
-SELECT doc_id, CAST(token_start // (w - {WINDOW_OVERLAP}) AS BIGINT) AS chunk_no, CAST(token_start AS BIGINT) AS token_start,
-       array_to_string(prompt || tokens[token_start + 1 : token_start + w], ' ') AS chunk_text,
-       (token_start + w >= len(tokens)) AS is_last
-FROM c""")
-def token_windows(spark, d):
-    df = _docs(spark, d).select("doc_id", fe.whitespace_tokens("text").alias("tokens"),
-                                F.array(F.lit("Question"), F.col("doc_id").cast("string")).alias("prompt"))
-    out = fe.token_windows(df, "tokens", width=0, overlap=WINDOW_OVERLAP, prompt="prompt", max_length=WINDOW_MAX_LEN)
-    return out.select("doc_id", F.col("chunk_no").cast("long"), F.col("token_start").cast("long"),
-                      F.array_join("chunk", " ").alias("chunk_text"), "is_last")
-
-
-BATCH = 4
-
-
-@register("pad_batches", f"""WITH t AS (
-  SELECT item_id, string_split(text, ' ') AS tokens,
-         (row_number() OVER (ORDER BY item_id) - 1) // {BATCH} AS batch_no FROM benchmark),
-p AS (SELECT item_id, tokens, batch_no, max(len(tokens)) OVER (PARTITION BY batch_no) AS padded_len FROM t)
-SELECT item_id, CAST(batch_no AS BIGINT) AS batch_no, CAST(padded_len AS BIGINT) AS padded_len,
-       list_transform(range(padded_len), lambda i: CASE WHEN i < len(tokens) THEN 1 ELSE 0 END) AS attention_mask,
-       array_to_string(tokens || list_transform(range(padded_len - len(tokens)), lambda i: '<pad>'), ' ') AS padded
-FROM p""")
-def pad_batches(spark, d):
-    b = TB.table(spark, d, "benchmark").select("item_id", fe.whitespace_tokens("text").alias("tokens"))
-    b = sl.batch_numbers(b, "item_id", BATCH)
-    out = fe.pad_batches(b, "tokens", pad="<pad>", name="padded_tokens")
-    return out.select("item_id", "batch_no", "padded_len", "attention_mask",
-                      F.array_join("padded_tokens", " ").alias("padded"))
-
-
-def _targets(spark, d):
-    b = TB.table(spark, d, "benchmark").select("item_id", fe.whitespace_tokens("text").alias("tokens"))
-    n = F.size("tokens")
-    p = (F.col("item_id") * 7) % F.greatest(n - 1, F.lit(1))
-    tgt = F.when(F.col("item_id") % 3 == 0, F.array(F.lit("zzz"))).otherwise(
-        F.slice("tokens", (p + 1).cast("int"), 2))
-    return b.withColumn("target", tgt)
-
-
-SQL_TARGETS = """t AS (SELECT item_id, string_split(text, ' ') AS tokens FROM benchmark),
-g AS (SELECT item_id, tokens,
-             CASE WHEN item_id % 3 = 0 THEN ['zzz']
-                  ELSE tokens[(item_id * 7) % greatest(len(tokens) - 1, 1) + 1 : (item_id * 7) % greatest(len(tokens) - 1, 1) + 2] END AS target
-      FROM t),
-m AS (SELECT item_id, len(target) AS mlen,
-             CASE WHEN len(target) > 0 AND len(target) <= len(tokens) THEN
-               list_filter(range(0, len(tokens) - len(target) + 1), lambda i: tokens[i + 1 : i + len(target)] = target)
-             ELSE [] END AS starts
-      FROM g)"""
-
-
-@register("subsequence_all", O.with_(SQL_TARGETS) + """
-SELECT item_id,
-       CASE WHEN len(starts) > 0 THEN CAST(starts AS BIGINT[]) ELSE [CAST(0 AS BIGINT)] END AS starts,
-       CASE WHEN len(starts) > 0 THEN CAST(list_transform(starts, lambda s: s + mlen) AS BIGINT[]) ELSE [CAST(0 AS BIGINT)] END AS ends,
-       len(starts) > 0 AS found
-FROM m""")
-def subsequence_all(spark, d):
-    m = sp.find_subsequence("tokens", "target")
-    return _targets(spark, d).select("item_id", m["starts"].alias("starts"), m["ends"].alias("ends"),
-                                     m["found"].alias("found"))
-
-
-@register("answer_span", O.with_(SQL_TARGETS) + """
-SELECT item_id,
-       CAST(CASE WHEN len(starts) > 0 THEN list_min(starts) ELSE 0 END AS BIGINT) AS start,
-       CAST(CASE WHEN len(starts) > 0 THEN list_min(starts) + mlen ELSE 0 END AS BIGINT) AS "end",
-       len(starts) > 0 AS found
-FROM m""")
-def answer_span(spark, d):
-    s = sp.answer_span("tokens", "target")
-    return _targets(spark, d).select("item_id", s["start"].alias("start"), s["end"].alias("end"),
-                                     s["found"].alias("found"))
-
-
-# ---------------------------------------------------------------- spans
-
-@register("span_argmax", O.with_(O.LOGITS) + """
-SELECT vec_id,
-       CAST(least(list_position(start_logits, list_max(start_logits)), list_position(end_logits, list_max(end_logits))) - 1 AS BIGINT) AS pred_start,
-       CAST(greatest(list_position(start_logits, list_max(start_logits)), list_position(end_logits, list_max(end_logits))) - 1 AS BIGINT) AS pred_end
-FROM logits""")
-def span_argmax(spark, d):
-    return dc.decode(TB.logits(spark, d), confidence=False).select("vec_id", "pred_start", "pred_end")
-
-
-@register("span_softmax", O.with_(O.LOGITS) + """
-SELECT vec_id,
-       round(1.0 / list_sum(list_transform(start_logits, lambda x: exp(CAST(x AS DOUBLE) - CAST(list_max(start_logits) AS DOUBLE)))), 6) AS start_confidence,
-       round(1.0 / list_sum(list_transform(end_logits, lambda x: exp(CAST(x AS DOUBLE) - CAST(list_max(end_logits) AS DOUBLE)))), 6) AS end_confidence
-FROM logits""")
-def span_softmax(spark, d):
-    out = dc.decode(TB.logits(spark, d))
-    return out.select("vec_id", F.round("start_confidence", 6).alias("start_confidence"),
-                      F.round("end_confidence", 6).alias("end_confidence"))
-
-
-@register("span_metrics", O.with_(O.LOGITS, """p AS (
-  SELECT vec_id, true_start, true_end,
-         least(list_position(start_logits, list_max(start_logits)), list_position(end_logits, list_max(end_logits))) - 1 AS ps,
-         greatest(list_position(start_logits, list_max(start_logits)), list_position(end_logits, list_max(end_logits))) - 1 AS pe
-  FROM logits),
-s AS (
-  SELECT true_start, greatest(0, least(pe, true_end) - greatest(ps, true_start) + 1) AS inter,
-         greatest(0, pe - ps + 1) AS lp, greatest(0, true_end - true_start + 1) AS lt,
-         CASE WHEN ps = true_start AND pe = true_end THEN 1.0 ELSE 0.0 END AS ex
-  FROM p)""") + """
-SELECT true_start, round(avg(CASE WHEN lp > 0 THEN inter / lp END), 6) AS precision,
-       round(avg(CASE WHEN lt > 0 THEN inter / lt END), 6) AS recall,
-       round(avg(ex), 6) AS exact_match, count(*) AS n
-FROM s GROUP BY true_start""")
-def span_metrics(spark, d):
-    out = dc.span_metrics(dc.decode(TB.logits(spark, d), confidence=False), by=["true_start"])
-    return out.select("true_start", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "exact_match")], "n")
-
-
-WIDEN_STEP, WIDEN_LIMIT = 5, 20
-
-
-def _planted_tokens(spark, d):
-    t = _docs(spark, d).select("doc_id", fe.whitespace_tokens("text").alias("tk"))
-    n = F.size("tk")
-    p = ((F.col("doc_id") * 13) % n).cast("int")
-    planted = F.concat(F.slice("tk", 1, p), F.array(F.concat(F.lit("faq_"), F.col("doc_id").cast("string"))),
-                       F.slice("tk", p + 1, n - p))
-    t = t.select("doc_id", planted.alias("tokens"))
-    m = F.size("tokens")
-    ps = (F.col("doc_id") * 7) % m
-    return t.withColumn("pred_start", ps).withColumn("pred_end", ps + F.col("doc_id") % 3)
-
-
-@register("widening_search", f"""WITH t AS (SELECT doc_id, string_split(text, ' ') AS tk FROM documents),
-t2 AS (SELECT doc_id, tk[1 : (doc_id * 13) % len(tk)] || ['faq_' || CAST(doc_id AS VARCHAR)] || tk[(doc_id * 13) % len(tk) + 1 :] AS tokens FROM t),
-s AS (SELECT doc_id, tokens, (doc_id * 7) % len(tokens) AS ps, (doc_id * 7) % len(tokens) + doc_id % 3 AS pe FROM t2),
-a AS (SELECT doc_id, tokens, ps, pe, unnest(range({WIDEN_LIMIT // WIDEN_STEP + 2})) AS k FROM s),
-tried AS (
-  SELECT doc_id, k * {WIDEN_STEP} AS incre,
-         regexp_extract(array_to_string(tokens[greatest(ps - {WIDEN_STEP} * k * (k + 1) // 2, 0) + 1 :
-                                               least(pe + {WIDEN_STEP} * k * (k + 1) // 2, len(tokens) - 1) + 1], ' '),
-                        '(?:insurance|finance|faq)_[0-9]+') AS m
-  FROM a)
-SELECT doc_id, split_part(arg_min(m, incre), '_', 1) AS category_pred, split_part(arg_min(m, incre), '_', 2) AS retrieve,
-       CAST(min(incre) AS INTEGER) AS incre_num_by
-FROM tried WHERE m <> '' GROUP BY doc_id""")
-def widening_search(spark, d):
-    out = dc.widening_search(_planted_tokens(spark, d), tokens="tokens", step=WIDEN_STEP, limit=WIDEN_LIMIT)
-    return out.select("doc_id", "category_pred", "retrieve", "incre_num_by")
-
-
-# ---------------------------------------------------------------- splits
-
-KFOLD_SQL = """cls AS (SELECT lang, min(doc_id) AS first, count(*) AS n FROM documents GROUP BY lang),
-off AS (SELECT lang, n, coalesce(sum(n) OVER (ORDER BY first ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM cls),
-r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS j FROM documents),
-kf AS (
-  SELECT r.doc_id, r.lang AS category,
-         CAST(len(list_filter(
-           list_transform(range(5), lambda f: list_sum(list_transform(range(f + 1),
-               lambda i: (off.off + off.n - 1 - i + 5) // 5 - (off.off - 1 - i + 5) // 5))),
-           lambda c: c <= r.j)) AS INTEGER) AS fold
-  FROM r JOIN off USING (lang))"""
-
-
-def _kfold(spark, d):
-    docs = _docs(spark, d, balanced=False).select("doc_id", F.col("lang").alias("category"))
-    return sl.stratified_folds(docs, "category", "doc_id", k=5)
-
-
-@register("kfold_assign", O.with_(KFOLD_SQL) + "SELECT doc_id, category, fold FROM kf")
-def kfold_assign(spark, d):
-    return _kfold(spark, d).select("doc_id", "category", "fold")
-
-
-@register("kfold_sizes", O.with_(KFOLD_SQL) + "SELECT category, fold, count(*) AS n FROM kf GROUP BY category, fold")
-def kfold_sizes(spark, d):
-    return sl.class_sizes(_kfold(spark, d), ["category", "fold"])
-
-
-EPOCHS = 3
-
-
-@register("epoch_replay", f"""WITH r AS (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS rn,
-  (SELECT count(*) FROM benchmark) AS n FROM benchmark)
-SELECT item_id, CAST(e AS BIGINT) AS epoch, CAST(e * n + rn AS BIGINT) AS step
-FROM (SELECT item_id, rn, n, unnest(range({EPOCHS})) AS e FROM r)""")
-def epoch_replay(spark, d):
-    b = TB.table(spark, d, "benchmark").select("item_id")
-    return sl.epoch_replay(b, "item_id", EPOCHS).select("item_id", "epoch", "step")
-
-
-@register("slice_desc", """SELECT qid, question, CAST(position AS BIGINT) AS position FROM (
-  SELECT item_id AS qid, text AS question, row_number() OVER (ORDER BY item_id DESC) - 1 AS position FROM benchmark)
-WHERE position >= 5 AND position < 25""")
-def slice_desc(spark, d):
-    b = TB.table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
-    return sl.slice_rows(b, "qid", 5, 25, descending=True).select("qid", "question", "position")
-
-
-@register("hash_shuffle_batches")
-def hash_shuffle_batches(spark, d):
-    docs = sl.seeded_shuffle(_docs(spark, d, balanced=False).select("doc_id"), "doc_id", seed=42)
-    return sl.batch_numbers(docs, "shuffle_key", 16).select("doc_id", "shuffle_key", "batch_no", "pos_in_batch")
-
-
-# ---------------------------------------------------------------- collect
-
-@register("collect_answers", O.with_(O.PREDICTIONS) + """
-SELECT checkpoint, CAST(qid AS INTEGER) AS qid, CAST(retrieve AS INTEGER) AS retrieve
-FROM (SELECT DISTINCT * FROM preds)
-WHERE qid IS NOT NULL AND category IS NOT NULL AND retrieve IS NOT NULL
-GROUP BY checkpoint, qid, category, retrieve""")
-def collect_answers(spark, d):
-    return co.collect_answers(TB.predictions(spark, d), by=["checkpoint"])
-
-
-@register("prediction_distinct", O.with_(O.PREDICTIONS) + "SELECT DISTINCT * FROM preds")
-def prediction_distinct(spark, d):
-    return co.distinct_predictions(TB.predictions(spark, d))
-
-
-@register("best_answer_per_qid", O.with_(O.PREDICTIONS) + """
-SELECT checkpoint, CAST(qid AS INTEGER) AS qid,
-       CAST(arg_min(retrieve, (incre_num_by, category, retrieve)) AS INTEGER) AS retrieve,
-       arg_min(category, (incre_num_by, category, retrieve)) AS category,
-       min(incre_num_by) AS incre_num_by
-FROM preds WHERE qid IS NOT NULL AND retrieve IS NOT NULL GROUP BY checkpoint, qid""")
-def best_answer_per_qid(spark, d):
-    return co.best_answer_per_qid(TB.predictions(spark, d), by=["checkpoint"])
-
-
-# ---------------------------------------------------------------- trials
-
-@register("trial_pareto", O.with_(O.TRIALS) + """
-SELECT t.trial_id, t.a, t.b FROM trials t
-WHERE t.state = 'complete' AND NOT EXISTS (
-  SELECT 1 FROM trials u WHERE u.state = 'complete' AND u.a <= t.a AND u.b <= t.b AND (u.a < t.a OR u.b < t.b))""")
-def trial_pareto(spark, d):
-    t = TB.trials(spark, d).where(F.col("state") == "complete")
-    return tr.pareto_front(t, {"a": "min", "b": "min"}).select("trial_id", "a", "b")
-
-
-def trial_logs(spark, d):
-    """part → rendered trial log lines (trial_id, line_no, line)."""
-    p = TB.table(spark, d, "part")
-    metrics = F.concat(F.lit("{'eval_loss': "), F.col("p_size").cast("string"),
-                       F.lit(", 'eval_precision': 1, 'eval_recall': 0, 'eval_samples_per_second': "),
-                       (F.col("p_partkey") % 13).cast("string"), F.lit(", 'ok': True, 'note': None}"))
-    second = F.concat(F.lit("{'eval_loss': "), (F.col("p_size") + 1).cast("string"),
-                      F.lit(", 'eval_precision': 0, 'eval_recall': 1, 'eval_samples_per_second': "),
-                      (F.col("p_partkey") % 11).cast("string"), F.lit("}"))
-    lines = F.array(F.concat(F.lit("trial "), F.col("p_partkey").cast("string"), F.lit(" start")),
-                    F.concat(F.lit("{'loss': "), F.col("p_size").cast("string"), F.lit("}")),
-                    F.when(F.col("p_partkey") % 7 != 0, metrics),
-                    F.when(F.col("p_partkey") % 5 == 0, second))
-    return p.select(F.col("p_partkey").alias("trial_id"), F.posexplode(lines).alias("line_no", "line")) \
-        .where(F.col("line").isNotNull())
-
-
-@register("trial_log_metrics", """WITH lines AS (
-  SELECT p_partkey AS trial_id, 0 AS line_no, 'trial ' || CAST(p_partkey AS VARCHAR) || ' start' AS line FROM part
-  UNION ALL SELECT p_partkey, 1, '{''loss'': ' || CAST(p_size AS VARCHAR) || '}' FROM part
-  UNION ALL SELECT p_partkey, 2, '{''eval_loss'': ' || CAST(p_size AS VARCHAR) || ', ''eval_precision'': 1, ''eval_recall'': 0, ''eval_samples_per_second'': '
-            || CAST(p_partkey % 13 AS VARCHAR) || ', ''ok'': True, ''note'': None}' FROM part WHERE p_partkey % 7 <> 0
-  UNION ALL SELECT p_partkey, 3, '{''eval_loss'': ' || CAST(p_size + 1 AS VARCHAR) || ', ''eval_precision'': 0, ''eval_recall'': 1, ''eval_samples_per_second'': '
-            || CAST(p_partkey % 11 AS VARCHAR) || '}' FROM part WHERE p_partkey % 5 = 0),
-last AS (
-  SELECT trial_id, arg_max(line, line_no) FILTER (WHERE contains(line, 'eval_loss') AND contains(line, 'eval_precision') AND contains(line, 'eval_recall')) AS line
-  FROM lines GROUP BY trial_id),
-j AS (SELECT trial_id, replace(replace(replace(line, '''', '"'), 'True', 'true'), 'None', 'null') AS js FROM last)
-SELECT trial_id, CAST(json_extract_string(js, '$.eval_loss') AS DOUBLE) AS eval_loss,
-       CAST(json_extract_string(js, '$.eval_samples_per_second') AS DOUBLE) AS eval_samples_per_second,
-       CASE WHEN json_extract_string(js, '$.eval_loss') IS NULL THEN 'pruned' ELSE 'complete' END AS state
-FROM j""")
-def trial_log_metrics(spark, d):
-    return tr.metrics_from_logs(trial_logs(spark, d))
-
-
-@register("run_id", """SELECT p_partkey AS trial_id,
-  sha256('{"brand":"' || p_brand || '","size":"' || CAST(p_size AS VARCHAR) || '","type":"' || p_type || '"}') AS run_id
-FROM part""")
-def run_id(spark, d):
-    p = TB.table(spark, d, "part")
-    params = F.create_map(F.lit("type"), F.col("p_type"), F.lit("size"), F.col("p_size").cast("string"),
-                          F.lit("brand"), F.col("p_brand"))
-    return p.select(F.col("p_partkey").alias("trial_id"), tr.run_id(params).alias("run_id"))
-
-
-# ---------------------------------------------------------------- hooks (Arrow)
-
-
-
-@register("html_to_text")
-def html_to_text(spark, d):
-    pages = TB.table(spark, d, "pages", balanced=True)
-    return hk.documents_to_text(pages, content="html", keep=("page_id", "url"))
-
-
-@register("charset_normalize")
-def charset_normalize(spark, d):
-    docs = _docs(spark, d).select(
-        "doc_id", F.when(F.col("lang") == "en", F.encode("text", "UTF-8"))
-        .otherwise(F.encode("text", "UTF-16LE")).alias("content"))
-    return hk.normalize_charset(docs, "content", candidates=("utf-16-le", "latin-1"), keep=("doc_id",))
-
-
-def document_nodes(spark, d):
-    """documents → an exploded node table: one ``text`` node per line."""
-    return (_docs(spark, d)
-            .select("doc_id", F.posexplode(F.split(noisy_cjk(), "\n")).alias("node_no", "text"))
-            .withColumn("kind", F.lit("text")))
-
-
-@register("node_text_map", f"""WITH n AS (
-  SELECT doc_id, string_split({SQL_NOISY}, {NL}) AS parts FROM documents),
-e AS (SELECT doc_id, unnest(range(len(parts))) AS node_no, unnest(parts) AS text FROM n)
-SELECT doc_id, CAST(node_no AS BIGINT) AS node_no, {_sql_junk(_sql_clean('text'))} AS text FROM e""")
-def node_text_map(spark, d):
-    out = hk.transform_nodes(document_nodes(spark, d), tx.clean_node_text)
-    return out.select("doc_id", F.col("node_no").cast("long"), "text")
-
-
-SCORE_LEN, SCORE_VOCAB = 64, 1 << 16
-
-
-@register("batch_score")
-def batch_score(spark, d):
-    df = _docs(spark, d).select("doc_id", fe.whitespace_tokens("text").alias("tokens"))
-    w = fe.token_windows(df, "tokens", width=SCORE_LEN, overlap=WINDOW_OVERLAP)
-    ids = F.transform("chunk", lambda t: (F.abs(F.xxhash64(t)) % SCORE_VOCAB).cast("int"))
-    w = w.select("doc_id", "chunk_no", sp.pad_to(ids, F.lit(SCORE_LEN), 0).alias("input_ids"))
-    scored = hk.score_batches(w, hk.hashing_stub_model(SCORE_VOCAB), seq_len=SCORE_LEN)
-    return dc.decode(scored, confidence=False).select("doc_id", "chunk_no", "pred_start", "pred_end")
-
-
-# ---------------------------------------------------------------- streaming
-
-COLLECT_SQL = ORACLE["collect_answers"]
-
-
-@register("stream_collect_answers", COLLECT_SQL)
-def stream_collect_answers(spark, d):
-    """Predictions written as per-batch files (64 questions
-    per batch), drained by a file-source stream with ``availableNow``,
-    upserted per micro-batch, answers republished per checkpoint.  (Several micro-batches, a late better value,
-    a duplicate file and a restart are covered in tests/test_collect.py.)"""
-    preds = TB.predictions(spark, d).withColumn("batch_no", F.floor(F.col("qid") / 64))
-    src, sink = fresh_dir(spark, "predictions"), fresh_dir(spark, "collected")
-    ckpt, answers = fresh_dir(spark, "stream-state"), fresh_dir(spark, "answers")
-    sk.write_prediction_batches(preds, src)
-    q = sc.start_collector(spark, src, sink, ckpt, available_now=True, json_lines=True, answers_dir=answers)
-    q.awaitTermination()
-    # the published answer files (one folder per checkpoint) are the result
-    return spark.read.schema("qid int, retrieve int, checkpoint int").json(answers) \
-        .select("checkpoint", "qid", "retrieve")
-
-
-@register("stream_dedup_bounded", ORACLE["prediction_distinct"])
-def stream_dedup_bounded(spark, d):
-    """Streaming distinct of prediction rows with bounded state (the
-    watermark delay exceeds the data's 30-day span, so nothing is dropped)."""
-    ev = (spark.readStream.schema(TB.table(spark, d, "events").schema)
-          .option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", 1).parquet(d))
-    preds = ev.select(
-        "ts", F.col("user_id").alias("qid"), F.col("event_type").alias("category"),
-        F.get_json_object("props", "$.k").alias("retrieve"),
-        ((F.col("event_id") % 6) * 5).cast("int").alias("incre_num_by"),
-        F.element_at(F.array(*[F.lit(c) for c in TB.CHECKPOINTS]), (F.col("event_id") % 3 + 1).cast("int")).alias("checkpoint"))
-    cols = ["qid", "category", "retrieve", "incre_num_by", "checkpoint"]
-    dedup = sc.dedup_within_watermark(preds, "ts", "60 days", cols).select(*cols)
-    sink, ckpt = fresh_dir(spark, "dedup"), fresh_dir(spark, "dedup-state")
-    q = (dedup.writeStream.outputMode("append").option("checkpointLocation", ckpt)
-         .trigger(availableNow=True).format("parquet").option("path", sink).start())
-    q.awaitTermination()
-    return spark.read.schema(dedup.schema).parquet(sink)
-
-
-# ---------------------------------------------------------------- chunk labels
-
-LABEL_MAX_LEN, LABEL_OVERLAP = 48, 16
-
-
-def _label_input(spark, d):
-    """documents as whitespace tokens with the answer id planted at a known
-    token; the answer target is the id split in two tokens so it can straddle
-    a window edge."""
-    t = _docs(spark, d).select("doc_id", fe.whitespace_tokens("text").alias("tk"))
-    n = F.size("tk")
-    p = ((F.col("doc_id") * 17) % n).cast("int")
-    ans = F.array(F.lit("finance"), F.col("doc_id").cast("string"))
-    tokens = F.concat(F.slice("tk", 1, p), ans, F.slice("tk", p + 1, n - p))
-    return t.select("doc_id", tokens.alias("tokens"), ans.alias("target"),
-                    F.array(F.lit("Q"), F.col("doc_id").cast("string")).alias("prompt"))
-
-
-@register("chunk_labels", f"""WITH t AS (SELECT doc_id, string_split(text, ' ') AS tk FROM documents),
-a AS (
-  SELECT doc_id, ['finance', CAST(doc_id AS VARCHAR)] AS target, ['Q', CAST(doc_id AS VARCHAR)] AS prompt,
-         tk[1 : (doc_id * 17) % len(tk)] || ['finance', CAST(doc_id AS VARCHAR)] || tk[(doc_id * 17) % len(tk) + 1 :] AS tokens
-  FROM t),
-s AS (SELECT *, {LABEL_MAX_LEN} - len(prompt) AS w FROM a),
-c AS (
-  SELECT doc_id, target, prompt, tokens, w,
-         unnest(range(0, CAST(ceil(greatest(len(tokens) - w, 0) / (w - {LABEL_OVERLAP})) * (w - {LABEL_OVERLAP}) AS BIGINT) + 1,
-                      w - {LABEL_OVERLAP})) AS token_start
-  FROM s),
-k AS (SELECT doc_id, token_start, w, target, prompt || tokens[token_start + 1 : token_start + w] AS chunk FROM c),
-m AS (SELECT doc_id, token_start, w, len(target) AS mlen,
-             list_filter(range(0, len(chunk) - len(target) + 1), lambda i: chunk[i + 1 : i + len(target)] = target) AS starts
-      FROM k)
-SELECT doc_id, CAST(token_start // (w - {LABEL_OVERLAP}) AS BIGINT) AS chunk_no,
-       CAST(CASE WHEN len(starts) > 0 THEN list_min(starts) ELSE 0 END AS BIGINT) AS start_positions,
-       CAST(CASE WHEN len(starts) > 0 THEN list_min(starts) + mlen ELSE 0 END AS BIGINT) AS end_positions,
-       len(starts) > 0 AS found
-FROM m""")
-def chunk_labels(spark, d):
-    """W2 + F23/F24 per chunk: the reference's feature mapping on whitespace
-    tokens: prompt-led overlapping windows, each labelled with the earliest
-    answer span inside it (end exclusive) and a ``found`` flag."""
-    w = fe.token_windows(_label_input(spark, d), "tokens", width=0, overlap=LABEL_OVERLAP,
-                         prompt="prompt", max_length=LABEL_MAX_LEN)
-    out = fe.label_chunks(w, "chunk", "target")
-    return out.select("doc_id", F.col("chunk_no").cast("long"), "start_positions", "end_positions", "found")
-
-
-# ---------------------------------------------------------------- corpus from documents
-
-
-
-@register("corpus_from_documents")
-def corpus_from_documents(spark, d):
-    """Documents as bytes (``pages.html``, named
-    ``{lang}_{page_id}.pdf``) → parser hook → single-pass CJK cleaner →
-    corpus rows, built once into Parquet under the shared folder and read
-    back (``materialize``), so later stages never re-run the parser."""
-    pages = TB.table(spark, d, "pages", balanced=True)
-    lang = F.regexp_extract("url", "/(en|fr|de|es)/", 1)
-    name = F.concat(F.when(lang != "", lang).otherwise(F.lit("web")), F.lit("_"),
-                    F.col("page_id").cast("string"), F.lit(".pdf"))
-    binary = rd.file_name_parts(pages.select(name.alias("path"), F.encode("html", "UTF-8").alias("content")))
-
-    def build():
-        txt = hk.documents_to_text(binary, keep=("filename", "category", "doc_num"))
-        c = txt.select("filename", "category", tx.despace_cjk_once(F.col("text")).alias("content"), "doc_num")
-        return cp.with_content_len(c).select("filename", "category", "content", "content_len", "doc_num")
-    return sk.materialize(spark, build, fresh_dir(spark, "corpus"))
-
-
-# ---------------------------------------------------------------- QA features
-
-FEAT_MAX_LEN, FEAT_OVERLAP = 512, 30
-SQL_PROMPT = ("'問題：「' || translate(query, '「」', '『』') || '」這個問題可以在什麼編號的參考資料中找到答案？' || "
-              + NL + " || '參考資料：'")
-
-
-QA_FEATURES_SQL = O.with_(O.QUESTIONS, """qa AS (
-  SELECT questions.qid, questions.query, questions.category, questions.source, truths.retrieve
-  FROM questions JOIN truths USING (qid, category)),
-refs AS (SELECT qid, category, unnest(source) AS doc_num, unnest(range(len(source))) AS pos FROM qa),
-pieces AS (
-  SELECT r.qid, r.pos, '<article id="' || r.category || '_' || CAST(r.doc_num AS VARCHAR) || '">' || d.text || '</article>' AS piece
-  FROM refs r JOIN documents d ON d.lang = r.category AND d.doc_id = r.doc_num),
-ctx AS (SELECT qid, string_agg(piece, '' ORDER BY pos) AS context FROM pieces GROUP BY qid)""", f"""ex AS (
-  SELECT qa.qid, row_number() OVER (ORDER BY qa.qid) - 1 AS ovf,
-         string_split({_sql_strip(SQL_PROMPT)}, '') AS ptok,
-         string_split('<context>' || coalesce(ctx.context, '') || '</context>', '') AS ctok,
-         string_split(qa.category || '_' || CAST(qa.retrieve AS VARCHAR), '') AS target
-  FROM qa LEFT JOIN ctx USING (qid)),
-s AS (SELECT *, {FEAT_MAX_LEN} - len(ptok) AS w FROM ex),
-c AS (
-  SELECT qid, ovf, ptok, ctok, target, w,
-         unnest(range(0, CAST(ceil(greatest(len(ctok) - w, 0) / (w - {FEAT_OVERLAP})) * (w - {FEAT_OVERLAP}) AS BIGINT) + 1,
-                      w - {FEAT_OVERLAP})) AS token_start
-  FROM s),
-k AS (SELECT qid, ovf, token_start, w, target, len(ptok) + least(w, len(ctok)) AS padded_len,
-             ptok || ctok[token_start + 1 : token_start + w] AS chunk FROM c)""", f"""m AS (
-  SELECT *, list_filter(range(0, len(chunk) - len(target) + 1),
-                        lambda i: chunk[i + 1 : i + len(target)] = target) AS starts FROM k)""") + f"""
-SELECT qid, CAST(token_start // (w - {FEAT_OVERLAP}) AS BIGINT) AS chunk_no,
-       CAST(ovf AS BIGINT) AS overflow_to_sample_mapping,
-       CAST(len(chunk) AS BIGINT) AS n_tokens, CAST(padded_len AS BIGINT) AS padded_len,
-       CAST(list_sum(list_transform(range(padded_len), lambda i: CASE WHEN i < len(chunk) THEN 1 ELSE 0 END)) AS BIGINT) AS mask_sum,
-       CAST(CASE WHEN len(starts) > 0 THEN list_min(starts) ELSE 0 END AS BIGINT) AS start_positions,
-       CAST(CASE WHEN len(starts) > 0 THEN list_min(starts) + len(target) ELSE 0 END AS BIGINT) AS end_positions,
-       len(starts) > 0 AS found,
-       md5(array_to_string(chunk, '')) AS chunk_md5
-FROM m"""
-
-
-@register("qa_features", QA_FEATURES_SQL)
-def qa_features(spark, d):
-    """The reference's training features for the flagship QA set: character
-    tokens, 512-token prompt-led windows, answer-id span labels, padding."""
-    qs = TB.questions(spark, d)
-    ds = qa.competition_dataset(qs, TB.truths(qs), TB.corpus(spark, d), on_missing="fail")
-    f = fe.build_qa_features(ds, max_length=FEAT_MAX_LEN, overlap=FEAT_OVERLAP)
-    real = F.slice("input_ids", 1, F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x))
-    return f.select("qid", F.col("chunk_no").cast("long"), "overflow_to_sample_mapping",
-                    F.aggregate("attention_mask", F.lit(0).cast("long"), lambda a, x: a + x).alias("n_tokens"),
-                    "padded_len",
-                    F.aggregate("attention_mask", F.lit(0).cast("long"), lambda a, x: a + x).alias("mask_sum"),
-                    "start_positions", "end_positions", "found",
-                    F.md5(F.array_join(real, "")).alias("chunk_md5"))
-
-
-# ---------------------------------------------------------------- folds on the QA set
-
-@register("qa_folds", O.with_(O.QUESTIONS, """qa AS (
-  SELECT questions.qid, questions.category FROM questions JOIN truths USING (qid, category)),
-cls AS (SELECT category, min(qid) AS first, count(*) AS n FROM qa GROUP BY category),
-off AS (SELECT category, n, coalesce(sum(n) OVER (ORDER BY first ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM cls),
-r AS (SELECT qid, category, row_number() OVER (PARTITION BY category ORDER BY qid) - 1 AS j FROM qa)""") + """
-SELECT r.qid, r.category,
-       CAST(len(list_filter(
-         list_transform(range(5), lambda f: list_sum(list_transform(range(f + 1),
-             lambda i: (off.off + off.n - 1 - i + 5) // 5 - (off.off - 1 - i + 5) // 5))),
-         lambda c: c <= r.j)) AS INTEGER) AS fold,
-       CAST(len(list_filter(
-         list_transform(range(5), lambda f: list_sum(list_transform(range(f + 1),
-             lambda i: (off.off + off.n - 1 - i + 5) // 5 - (off.off - 1 - i + 5) // 5))),
-         lambda c: c <= r.j)) <> 0 AS BOOLEAN) AS is_train
-FROM r JOIN off USING (category)""")
-def qa_folds(spark, d):
-    """W1 + U4 as the reference uses them: 5 stratified folds of the QA set
-    (questions ⋈ truths, stratified by category, in qid order); fold 0 is
-    the validation split, the rest train."""
-    qs = TB.questions(spark, d)
-    ds = qa.competition_dataset(qs, TB.truths(qs)).select("qid", "category")
-    f = sl.stratified_folds(ds, "category", "qid", k=5)
-    return f.select("qid", "category", "fold", (F.col("fold") != 0).alias("is_train"))
-
-
-# ---------------------------------------------------------------- inference path
-
-INFER_MAX_LEN, INFER_VOCAB = 512, 1 << 16
-
-
-@register("inference_answers")
-def inference_answers(spark, d):
-    """The inference path end to end (X5 F26 F28 W4 F16 F17 P15 A2 P11):
-    questions (no truths) → contexts → 512-token character windows →
-    ``predict_batch_udf`` model hook (deterministic stub) → argmax spans,
-    swapped → widening search for a document id in the chunk text → best
-    (least widened) prediction per (qid, category, retrieve) → answers."""
-    qs = TB.questions(spark, d)
-    ds = qa.competition_dataset(qs, corpus=TB.corpus(spark, d), on_missing="fail")
-    f = fe.build_qa_features(ds, answer=None, max_length=INFER_MAX_LEN, overlap=WINDOW_OVERLAP)
-    n_real = F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x)
-    f = f.withColumn("chunk_tokens", F.slice("input_ids", 1, n_real))
-    ids = F.transform("input_ids", lambda t: F.when(t == "<pad>", F.lit(0))
-                      .otherwise((F.abs(F.xxhash64(t)) % INFER_VOCAB).cast("int")))
-    scored = hk.score_batches(f.withColumn("model_ids", ids), hk.hashing_stub_model(INFER_VOCAB),
-                              input_col="model_ids", seq_len=INFER_MAX_LEN)
-    decoded = dc.decode(scored, confidence=False)
-    preds = dc.widening_search(decoded, tokens="chunk_tokens", categories=TB.LANG_BY_MOD,
-                               detokenize=lambda t: F.array_join(t, ""))
-    preds = preds.select("qid", F.col("category_pred").alias("category"), "retrieve", "incre_num_by")
-    return co.collect_answers(preds)
+from . import (queries_qa, queries_text, queries_corpus, queries_features,  # noqa: F401
+               queries_spans, queries_splits, queries_collect, queries_trials, queries_hooks)
+from .registry import ORACLE, QUERIES, QueryFn, register  # noqa: F401
