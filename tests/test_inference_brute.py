@@ -1,0 +1,69 @@
+"""The inference path (a rows-only query: Python model hook) against a
+plain-Python brute force over the smallest driver tables."""
+
+import re
+from collections import Counter
+
+import numpy as np
+import pandas as pd
+import pytest
+
+import __spark_entry__ as E
+from docloom.functions import text as tx
+from docloom.operators import decode as dc
+from docloom.operators import features as fe
+from docloom.plans import tables as TB
+from docloom.sources import hooks as hk
+
+SF = "/root/testdata/sf0.001"
+MAX_LEN, OVERLAP, VOCAB = 512, 30, 1 << 16
+
+
+def spark_xxhash64(s: str) -> int:
+    xxhash = pytest.importorskip("xxhash")
+    u = xxhash.xxh64_intdigest(s.encode("utf-8"), seed=42)
+    return u - (1 << 64) if u >= (1 << 63) else u
+
+
+def brute_answers():
+    bench = pd.read_parquet(f"{SF}/benchmark.parquet")
+    docs = pd.read_parquet(f"{SF}/documents.parquet")
+    n_items = len(bench)
+    predict = hk.hashing_stub_model(VOCAB)()
+    pat = re.compile(tx.doc_id_pattern(TB.LANG_BY_MOD))
+    found = {}
+    for qid, query in zip(bench.item_id, bench.text):
+        cat = TB.LANG_BY_MOD[qid % 4]
+        src = sorted(docs[(docs.lang == cat) & (docs.doc_id % n_items == qid)].doc_id)
+        text = dict(zip(docs.doc_id, docs.text))
+        ctx = "".join(f'<article id="{cat}_{d}">{text[d]}</article>' for d in src)
+        prompt = fe.QUESTION_TEMPLATE_FIND_ID.replace("<context>", "").format(
+            question=query.replace("「", "『").replace("」", "』")).strip()
+        ptok, ctok = list(prompt), list(f"<context>{ctx}</context>")
+        w = MAX_LEN - len(ptok)
+        step = w - OVERLAP
+        last = -(-max(len(ctok) - w, 0) // step) * step
+        for st in range(0, last + 1, step):
+            chunk = ptok + ctok[st:st + w]
+            ids = [abs(spark_xxhash64(t)) % VOCAB for t in chunk] + [0] * (MAX_LEN - len(chunk))
+            out = predict(np.array([ids]))
+            s, e = int(np.argmax(out["start_logits"][0])), int(np.argmax(out["end_logits"][0]))
+            s, e = min(s, e), max(s, e)
+            hit = None
+            for incre, off in dc.widening_attempts(5, 20):
+                lo, hi = max(s - off, 0), min(e + off, len(chunk) - 1)
+                m = pat.search("".join(chunk[lo:hi + 1])) if hi >= lo else None
+                if m:
+                    hit = (m.group(0), incre)
+                    break
+            if hit:
+                c, num = hit[0].split("_", 1)
+                key = (qid, c, num)
+                found[key] = min(found.get(key, hit[1]), hit[1])
+    return Counter((q, int(num)) for (q, _c, num) in found)
+
+
+def test_inference_answers_match_brute_force(spark):
+    got = Counter((r.qid, r.retrieve) for r in E.queries()["inference_answers"](spark, SF).collect())
+    assert got == brute_answers()
+    assert sum(got.values()) > 0
