@@ -92,8 +92,9 @@ def epoch_replay(df: DataFrame, order: str, epochs: int, name: str = "step") ->
 
 
 def seeded_shuffle(df: DataFrame, key: str, seed: int = 42, name: str = "shuffle_key") -> DataFrame:
-    """A deterministic shuffle order: ``xxhash64(key, seed)``; independent
-    of partitioning, unlike ``rand(seed)``."""
+    """A deterministic shuffle order: the 64-bit xxHash of ``(key, seed)``
+    (the seed is hashed after the key), independent of partitioning, unlike
+    ``rand(seed)``."""
     return df.withColumn(name, F.xxhash64(F.col(key), F.lit(seed)))
 
 

@@ -1,0 +1,68 @@
+"""Rows-only registered queries (Python per row or an engine-specific hash)
+against plain-Python brute force on the smallest driver tables."""
+
+import re
+import struct
+
+import pandas as pd
+import pytest
+
+import __spark_entry__ as E
+from docloom.functions import text as tx
+from docloom.sources import hooks as hk
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_html_to_text(spark):
+    pages = pd.read_parquet(f"{SF}/pages.parquet")
+    exp = {int(p): hk.html_to_text(h) for p, h in zip(pages.page_id, pages.html)}
+    got = {r.page_id: r.text for r in E.queries()["html_to_text"](spark, SF).collect()}
+    assert got == exp
+
+
+def test_corpus_from_documents(spark):
+    pages = pd.read_parquet(f"{SF}/pages.parquet")
+    cls = tx.CJK_SINGLE_PASS_CLASS.replace("\\x{", "\\U").replace("}", "")
+    cls = re.sub(r"\\U([0-9a-f]+)", lambda m: chr(int(m.group(1), 16)), cls)
+    once = re.compile(f"([{cls}])\\s{{1,4}}([{cls}])")
+    exp = {}
+    for pid, url, html in zip(pages.page_id, pages.url, pages.html):
+        m = re.search(r"/(en|fr|de|es)/", url)
+        name = f"{m.group(1) if m else 'web'}_{pid}.pdf"
+        text = hk.html_to_text(html.encode("utf-8"))
+        content = None if text is None else once.sub(r"\1\2", text)
+        exp[name] = (name.split("_")[0], content, len(content) if content else 0, int(pid))
+    got = {r.filename: (r.category, r.content, r.content_len, r.doc_num)
+           for r in E.queries()["corpus_from_documents"](spark, SF).collect()}
+    assert got == exp
+
+
+def test_charset_normalize(spark):
+    docs = pd.read_parquet(f"{SF}/documents.parquet")
+    exp = {}
+    for d, lang, text in zip(docs.doc_id, docs.lang, docs.text):
+        raw = text.encode("utf-8" if lang == "en" else "utf-16-le")
+        try:
+            exp[int(d)] = (raw.decode("utf-8"), "utf-8", True)
+        except UnicodeDecodeError:
+            exp[int(d)] = (raw.decode("utf-16-le"), "utf-16-le", True)
+    got = {r.doc_id: (r.text, r.encoding, r.ok) for r in E.queries()["charset_normalize"](spark, SF).collect()}
+    assert got == exp
+
+
+def test_hash_shuffle_batches(spark):
+    xxhash = pytest.importorskip("xxhash")
+    docs = pd.read_parquet(f"{SF}/documents.parquet")
+
+    def h(v, seed=42):
+        # Spark's xxhash64(key, seed_literal): hash the long key with the
+        # default seed 42, then the int literal with that hash as the seed
+        h1 = xxhash.xxh64_intdigest(struct.pack("<q", int(v)), seed=42)
+        u = xxhash.xxh64_intdigest(struct.pack("<i", seed), seed=h1)
+        return u - (1 << 64) if u >= (1 << 63) else u
+    order = sorted((h(d), int(d)) for d in docs.doc_id)
+    exp = {d: (k, i // 16, i % 16) for i, (k, d) in enumerate(order)}
+    got = {r.doc_id: (r.shuffle_key, r.batch_no, r.pos_in_batch)
+           for r in E.queries()["hash_shuffle_batches"](spark, SF).collect()}
+    assert got == exp
