@@ -66,3 +66,29 @@ def test_hash_shuffle_batches(spark):
     got = {r.doc_id: (r.shuffle_key, r.batch_no, r.pos_in_batch)
            for r in E.queries()["hash_shuffle_batches"](spark, SF).collect()}
     assert got == exp
+
+
+def test_batch_score(spark):
+    xxhash = pytest.importorskip("xxhash")
+    import numpy as np
+    docs = pd.read_parquet(f"{SF}/documents.parquet")
+    predict = hk.hashing_stub_model(1 << 16)()
+
+    def sh(t):
+        u = xxhash.xxh64_intdigest(t.encode("utf-8"), seed=42)
+        return u - (1 << 64) if u >= (1 << 63) else u
+    exp = {}
+    width, overlap = 64, 30
+    step = width - overlap
+    for d, text in zip(docs.doc_id, docs.text):
+        toks = text.split(" ")
+        last = -(-max(len(toks) - width, 0) // step) * step
+        for c, st in enumerate(range(0, last + 1, step)):
+            ids = [abs(sh(t)) % (1 << 16) for t in toks[st:st + width]]
+            ids += [0] * (width - len(ids))
+            out = predict(np.array([ids]))
+            s, e = int(np.argmax(out["start_logits"][0])), int(np.argmax(out["end_logits"][0]))
+            exp[(int(d), c)] = (min(s, e), max(s, e))
+    got = {(r.doc_id, r.chunk_no): (r.pred_start, r.pred_end)
+           for r in E.queries()["batch_score"](spark, SF).collect()}
+    assert got == exp
