@@ -41,17 +41,20 @@ def upsert_batches(sink: str, answers_dir: str | None = None) -> Callable[[DataF
     ``answers_dir/checkpoint=<n>``, replaced per checkpoint), as the
     reference rewrites its answer file after each poll."""
     def run(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
         if answers_dir is None:
+            batch.write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
             return
-        spark = batch.sparkSession
-        touched = [r[0] for r in batch.select("checkpoint").distinct().collect()]
-        if not touched:
-            return
-        ans = answers_from_collected(read_collected(spark, sink).where(F.col("checkpoint").isin(touched)))
-        (ans.repartition("checkpoint").sortWithinPartitions("checkpoint", "qid", "retrieve")
-         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("checkpoint").json(answers_dir))
+        batch.persist()  # used twice below; the documented foreachBatch pattern
+        try:
+            batch.write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
+            spark = batch.sparkSession
+            touched = batch.select("checkpoint").distinct()  # stays distributed (semi-join below)
+            ans = answers_from_collected(read_collected(spark, sink).join(touched, ["checkpoint"], "left_semi"))
+            (ans.repartition("checkpoint").sortWithinPartitions("checkpoint", "qid", "retrieve")
+             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+             .partitionBy("checkpoint").json(answers_dir))
+        finally:
+            batch.unpersist()
     return run
 
 
