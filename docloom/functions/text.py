@@ -94,11 +94,6 @@ def despace_cjk_once(text, cls: str = CJK_SINGLE_PASS_CLASS, max_gap: int = 4) -
     return F.regexp_replace(_c(text), pat, "$1$2")
 
 
-def despace_cjk_once_sql(expr: str, cls: str = CJK_SINGLE_PASS_CLASS, max_gap: int = 4) -> str:
-    pat = f"([{cls}])[{WHITESPACE_CLASS}]{{1,{max_gap}}}([{cls}])"
-    return f"regexp_replace({expr}, '{pat}', '\\1\\2', 'g')"
-
-
 def strip_space(text) -> Column:
     """Python ``str.strip()`` (Unicode whitespace, not just blanks).
     ``btrim`` with the explicit character set only looks at the two ends,

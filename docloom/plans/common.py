@@ -19,6 +19,10 @@ def _sql_strip(x: str) -> str:
     return f"regexp_replace({x}, '\\A[{WS}]+|[{WS}]+\\z', '', 'g')"
 
 
+def _sql_despace_once(x: str) -> str:
+    return _sql_pair_pass(x, tx.CJK_SINGLE_PASS_CLASS)
+
+
 def _sql_pair_pass(x: str, cls: str) -> str:
     return f"regexp_replace({x}, '([{cls}])[{WS}]{{1,4}}([{cls}])', '\\1\\2', 'g')"
 

@@ -6,13 +6,13 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from . import tables as TB
-from .common import SQL_CJK, SQL_NOISY, _sql_blank_lines, _sql_fold, _sql_fixpoint, _sql_junk, _sql_clean, noisy_cjk, _docs
+from .common import SQL_CJK, SQL_NOISY, _sql_blank_lines, _sql_fold, _sql_fixpoint, _sql_junk, _sql_clean, noisy_cjk, _docs, _sql_despace_once
 from .registry import register
 
 
 # ---------------------------------------------------------------- text cleaning
 
-@register("despace_once", f"SELECT doc_id, {tx.despace_cjk_once_sql(SQL_CJK)} AS text FROM documents")
+@register("despace_once", f"SELECT doc_id, {_sql_despace_once(SQL_CJK)} AS text FROM documents")
 def despace_once(spark, d):
     return _docs(spark, d).select("doc_id", tx.despace_cjk_once(TB.cjk_text()).alias("text"))
 
