@@ -13,8 +13,12 @@ BROADCAST_MAX_ROWS = 2_000_000
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> tuple[DataFrame, bool]:
     """``broadcast(df)`` if it has at most ``max_rows`` rows (counted), else
-    ``df`` unchanged so the planner shuffles it (AQE may still broadcast at
-    run time from measured sizes)."""
+    ``df`` so the planner shuffles it (AQE may still broadcast at run time
+    from measured sizes).  ``df`` is checkpointed first, so counting it and
+    then using it does not compute its lineage twice."""
+    from ..session import checkpointed
+
+    df = checkpointed(df)
     n = df.count()
     return (F.broadcast(df), True) if n <= max_rows else (df, False)
 
