@@ -14,11 +14,15 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def _count(kind: str) -> Column:
+    return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+
+
 @register("op3_pii")
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE_KINDS))
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE_KINDS]
+    counts = [_count(k).alias(f"n_{k}") for k in BASE_KINDS]
     return found.select(F.col("row.doc_id").alias("doc_id"), *counts,
                         F.sha2(_joined(base).cast("binary"), 256).alias("base_sha256"),
                         _joined(F.col("spans")).alias("spans"))
