@@ -4,7 +4,7 @@ estimator corrected by the class prior, and score every whole text.
 
 Features are the distinct words of a text (runs of digits, a-z after
 lower-casing A-Z, and non-ASCII characters), hashed into ``2**BITS`` buckets;
-the ``FEATURES`` buckets that tell the two samples apart most are used.  The
+the ``FEATURES`` buckets at most that tell the two samples apart are used.  The
 sample is bounded: ``POSITIVES`` confirmed and ``UNLABELLED`` other rows, those
 with the smallest hash of their id; both are documented parameters.
 
@@ -32,6 +32,8 @@ BITS = 24
 POSITIVES, UNLABELLED, FEATURES = 5_000, 15_000, 2_048
 #: Rows of the confirmed sample in which a bucket has to occur.
 LEAST_ROWS = 3
+#: Standard errors by which a bucket's shares in the two samples have to differ.
+LEAST_Z = 4.0
 
 
 @dataclass
@@ -91,7 +93,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, positives: int = POSI
     inside = keep[np.minimum(at, len(keep) - 1)] == x.cols if len(keep) else np.zeros(len(at), bool)
     small = Sparse(x.rows[inside], at[inside], x.vals[inside], (x.shape[0], len(keep)))
     prior = min(max(prior, 1e-4), 1 - 1e-4)
-    w, bias = fit_nnpu(small, positive, prior, bias=float(np.log(prior / (1 - prior))))
+    w, bias = fit_nnpu(small, positive, prior, ridge=3e-5, bias=float(np.log(prior / (1 - prior))))
     return Model(keep, w, bias)
 
 
@@ -105,7 +107,7 @@ def _telling(x: Sparse, positive: np.ndarray, most: int = FEATURES) -> np.ndarra
     z = np.abs(p - u) / np.sqrt(both * (1 - both) * (1 / n_p + 1 / n_u) + 1e-12)
     z[in_p < min(LEAST_ROWS, n_p)] = 0
     best = np.lexsort((buckets, -z))[:most]
-    return np.sort(buckets[best[z[best] > 0]])
+    return np.sort(buckets[best[z[best] > LEAST_Z]])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
