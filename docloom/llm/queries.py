@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import queries_decontaminate, queries_pii, queries_toxicity  # noqa: F401
+from . import queries_decontaminate, queries_pii, queries_quality, queries_toxicity  # noqa: F401
 from .registry import ORACLE, QUERIES  # noqa: F401
