@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from . import (queries_decontaminate, queries_jaccard, queries_licenses, queries_neighbours, queries_pii,  # noqa: F401
-               queries_quality, queries_toxicity)
+from . import (queries_decontaminate, queries_jaccard, queries_lattice, queries_licenses,  # noqa: F401
+               queries_neighbours, queries_pii, queries_quality, queries_toxicity)
 from .registry import ORACLE, QUERIES  # noqa: F401
