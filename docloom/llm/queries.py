@@ -4,5 +4,5 @@ from __future__ import annotations
 
 from . import (queries_decontaminate, queries_jaccard, queries_lattice, queries_licenses,  # noqa: F401
                queries_neighbours, queries_pii, queries_quality,
-               queries_sentencepiece, queries_toxicity)
+               queries_sentencepiece, queries_tokencount, queries_toxicity)
 from .registry import ORACLE, QUERIES  # noqa: F401
