@@ -5,7 +5,7 @@ then its first ten characters move to its end."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .registry import register
@@ -15,11 +15,13 @@ from .tokencount import apply_edits, build_trees
 
 def edits_of(docs: DataFrame) -> DataFrame:
     n = F.length(F.coalesce("text", F.lit("")))
+    def one(*values: Column) -> Column:
+        return F.struct(*[v.alias(c) for v, c in zip(values, ("seq", "pos", "removed", "inserted"), strict=True)])
+
     return docs.select("doc_id", F.inline(F.array(
-        F.struct(F.lit(1).alias("seq"), F.floor(n / 3).cast("int").alias("pos"), (F.floor(n / 100) + 1).cast("int").alias("removed"),
-                 F.concat_ws(" ", F.lit(""), "source", "lang").alias("inserted")),
-        F.struct(F.lit(2), F.lit(0), F.lit(10), F.lit("")),
-        F.struct(F.lit(3), F.lit(2**31 - 1), F.lit(0), F.substring("text", 1, 10)))))
+        one(F.lit(1), F.floor(n / 3).cast("int"), (F.floor(n / 100) + 1).cast("int"), F.concat_ws(" ", F.lit(""), "source", "lang")),
+        one(F.lit(2), F.lit(0), F.lit(10), F.lit("")),
+        one(F.lit(3), F.lit(2**31 - 1), F.lit(0), F.substring("text", 1, 10)))))
 
 
 @register("op8_token_counts")

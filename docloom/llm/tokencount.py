@@ -37,7 +37,7 @@ from .words import batches
 RANKS_FILE = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # The pre-token pattern of that vocabulary
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-LEAF_CHARS, FAN = 256, 16
+LEAF_CHARS, FAN = 128, 16
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
