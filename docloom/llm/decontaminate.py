@@ -183,7 +183,7 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, n: int = 13, share: i
 def cut_spans(hits: DataFrame, text: str = "text") -> DataFrame:
     """The result of ``find_hits`` with the hit spans cut from the text
     (column ``clean_text``; null stays null)."""
-    end = F.coalesce(F.element_at("spans", -1)["end"], F.lit(0))
+    end = F.coalesce(F.try_element_at("spans", F.lit(-1))["end"], F.lit(0))
     body = F.col("row")[text]
     kept = F.aggregate("spans", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")),
                        lambda acc, x: F.struct(F.concat(acc["out"], F.substring(body, acc["at"] + 1, x["start"] - acc["at"])).alias("out"),
