@@ -6,10 +6,11 @@ A word (lower-cased, after ``▁``) is drawn with probability
 ``(c + alpha * base) / (N + alpha)``: ``c`` of the ``N`` training tokens are
 this word, ``base`` is the lattice marginal, and ``alpha`` the number of words
 seen once (so that a new word gets the share that new words had).  A piece
-sequence goes on with probability ``GO_ON``; characters outside the vocabulary
+sequence goes on with probability ``GO_ON`` (at first); characters outside the vocabulary
 go by bytes.  The vocabulary's scores weight the lattices of the training
 words once (expected piece counts, from forward and backward sums), and the
-counts, with the scores as prior, give the piece probabilities that score.
+counts, with the scores as prior, give the piece probabilities that score; and
+how often a word goes on.
 
 Recursions run in numpy over all words of a length at once.
 
@@ -82,13 +83,12 @@ def _edges(chars: np.ndarray, trie: Trie) -> Iterator[tuple[int, int, np.ndarray
                 yield start, end, rows[piece >= 0], piece[piece >= 0]
 
 
-def _byte_cost(chars: np.ndarray) -> np.ndarray:
+def _byte_cost(chars: np.ndarray, log_byte: float) -> np.ndarray:
     """Log-probability of a character written in bytes."""
-    size = 1 + (chars >= 0x80) + (chars >= 0x800) + (chars >= 0x10000)
-    return size * np.log(BYTES / 256)
+    return (1 + (chars >= 0x80) + (chars >= 0x800) + (chars >= 0x10000)) * log_byte
 
 
-def forward(chars: np.ndarray, trie: Trie, log_p: np.ndarray, edges: list | None = None) -> np.ndarray:
+def forward(chars: np.ndarray, trie: Trie, log_p: np.ndarray, log_byte: float, edges: list | None = None) -> np.ndarray:
     """Log of the sum over segmentations, for each prefix of each word."""
     n, length = chars.shape
     sums = np.full((n, length + 1), -np.inf)
@@ -96,7 +96,7 @@ def forward(chars: np.ndarray, trie: Trie, log_p: np.ndarray, edges: list | None
     by_start: dict[int, list] = {}
     for e in edges if edges is not None else _edges(chars, trie):
         by_start.setdefault(e[0], []).append(e)
-    unit = _byte_cost(chars)
+    unit = _byte_cost(chars, log_byte)
     for start in range(length):
         sums[:, start + 1] = np.logaddexp(sums[:, start + 1], sums[:, start] + unit[:, start])
         for _, end, rows, piece in by_start.get(start, ()):
@@ -104,14 +104,14 @@ def forward(chars: np.ndarray, trie: Trie, log_p: np.ndarray, edges: list | None
     return sums
 
 
-def backward(chars: np.ndarray, log_p: np.ndarray, edges: list) -> np.ndarray:
+def backward(chars: np.ndarray, log_p: np.ndarray, log_byte: float, edges: list) -> np.ndarray:
     n, length = chars.shape
     sums = np.full((n, length + 1), -np.inf)
     sums[:, length] = 0
     by_start: dict[int, list] = {}
     for e in edges:
         by_start.setdefault(e[0], []).append(e)
-    unit = _byte_cost(chars)
+    unit = _byte_cost(chars, log_byte)
     for start in range(length - 1, -1, -1):
         sums[:, start] = sums[:, start + 1] + unit[:, start]
         for _, end, rows, piece in by_start.get(start, ()):
@@ -142,17 +142,21 @@ class PieceModel:
     """Trie and log-probabilities (going on included); travels by broadcast,
     as large as the vocabulary."""
 
-    def __init__(self, pieces: list[tuple[int, str, float]], counts: np.ndarray | None = None):
-        self.trie = Trie(pieces)
+    def __init__(self, pieces: list[tuple[int, str, float]], counts: np.ndarray | None = None, go_on: float = GO_ON):
+        self.trie, self.go_on = Trie(pieces), go_on
         p = np.exp(np.array([s for _, _, s in pieces]))
         if counts is not None:
             p = (counts + PRIOR_COUNT * p) / (counts.sum() + PRIOR_COUNT)
-        self.log_p = np.log(p * (1 - BYTES)) + np.log(GO_ON)
+        # a word's first piece starts with the blank's sign, the others don't
+        first = np.array([x.startswith("▁") for _, x, _ in pieces])
+        p = p / np.where(first, p[first].sum(), p[~first].sum())
+        self.log_p = np.log(p * (1 - BYTES)) + np.log(go_on)
+        self.log_byte = float(np.log(BYTES / 256) + np.log(go_on))
 
     def log_marginal(self, words: pa.Array) -> np.ndarray:
         out = np.zeros(len(words))
         for at, chars in _by_length(words):
-            out[at] = forward(chars, self.trie, self.log_p)[:, -1] + np.log(1 - GO_ON) - np.log(GO_ON)
+            out[at] = forward(chars, self.trie, self.log_p, self.log_byte)[:, -1] + np.log(1 - self.go_on) - np.log(self.go_on)
         return out
 
     def expected_counts(self, words: pa.Array, weights: np.ndarray) -> np.ndarray:
@@ -160,7 +164,7 @@ class PieceModel:
         out = np.zeros(len(self.log_p))
         for at, chars in _by_length(words):
             edges = list(_edges(chars, self.trie))
-            ahead, back = forward(chars, self.trie, self.log_p, edges), backward(chars, self.log_p, edges)
+            ahead, back = forward(chars, self.trie, self.log_p, self.log_byte, edges), backward(chars, self.log_p, self.log_byte, edges)
             total = ahead[:, -1]
             for start, end, rows, piece in edges:
                 share = np.exp(ahead[rows, start] + self.log_p[piece] + back[rows, end] - total[rows])
@@ -180,11 +184,14 @@ def adapted(words: DataFrame, pieces: list[tuple[int, str, float]]) -> PieceMode
         yield pa.record_batch([pa.array(some), pa.array(total[some])], ["piece", "count"])
 
     # a new word is drawn as a word type, not by how often it then occurs
-    found = (words.where("learnt > 0").select("word", F.lit(1).cast("long").alias("learnt")).mapInArrow(run, "piece long, count double")
+    types = words.where("learnt > 0").select("word", F.lit(1).cast("long").alias("learnt"))
+    found = (types.mapInArrow(run, "piece long, count double")
              .groupBy("piece").agg(F.sum("count").alias("count")).toArrow())  # as many rows as pieces at most
     counts = np.zeros(len(pieces))
     counts[found["piece"].to_numpy()] = found["count"].to_numpy()
-    return PieceModel(pieces, counts)
+    # as many pieces to a word as the training words are expected to have
+    ends = types.count() if counts.sum() else 0
+    return PieceModel(pieces, counts, float(np.clip(1 - ends / counts.sum(), 0.1, 0.95)) if ends else GO_ON)
 
 
 def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text: str = "text",
@@ -231,7 +238,7 @@ def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text: st
                 tokens = sizes.astype(np.int64) + 1
                 yield pa.record_batch(
                     [value(1), value(2), pa.array(tokens), pa.array((add(count > 0) + (ends > 0)).astype(np.int64)),
-                     pa.array(np.full(len(sizes), n, np.int64)), pa.array(add(np.log10(count + 1)) + end_base - tokens * denominator),
+                     pa.array(np.full(len(sizes), n, np.int64)), pa.array(add(np.log10(count + 1) - denominator) + end_base - denominator),
                      pa.array(add(logs) + end_log)],
                     ["id", "learn", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
