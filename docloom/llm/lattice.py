@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .lexicon import numbered, pack, places, plain_words, returned
+from .lexicon import _parts, bucketed, numbered, pack, plain_words, read_blocks, returned
 from .pieces import MODEL_FILE, load_pieces
 from .tables import saved
 
@@ -211,36 +211,29 @@ def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text: st
 
     def probabilities(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in frames:
-            c = b.column(2).to_numpy()
-            base = shared.value.log_marginal(b.column(1)) + np.log1p(-END)
+            c = b.column(3).to_numpy()
+            base = shared.value.log_marginal(b.column(2)) + np.log1p(-END)
             log = np.where(c > 0, np.log(np.maximum(c, 1) + alpha * np.exp(base)), np.log(alpha) + base) - np.log(n + alpha)
-            yield pa.record_batch([b.column(0), b.column(2), pa.array(log / np.log(10))], ["word_id", "learnt", "log10"])
+            yield pa.record_batch([b.column(0), b.column(1), b.column(3), pa.array(log / np.log(10))], ["bucket", "word_id", "learnt", "log10"])
 
-    valued = saved(words.select("word_id", "word", "learnt").mapInArrow(probabilities, "word_id long, learnt long, log10 double"), "scores")
+    valued = bucketed(words.select("bucket", "word_id", "word", "learnt").mapInArrow(probabilities, "bucket int, word_id long, learnt long, log10 double")
+                      .repartition(_parts(words), "bucket"), "bucket")
     kind = "c array<long>, p array<double>"
     pick = lambda t, at: {"c": t["learnt"].to_numpy()[at], "p": t["log10"].to_numpy()[at]}
     end_log = float(np.log10((ends + alpha * END) / (n + alpha)))
     end_base, denominator = float(np.log10(ends + 1)), float(np.log10(n + v + 1))
 
     def sums(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in frames:
-            for r in range(b.num_rows):
-                row = b.slice(r, 1)
-                value = lambda c: row.column(c)[0].values  # noqa: E731, B023
-                sizes, back = value(3).to_numpy(), row.column(6)[0].values
-                doc = np.repeat(np.arange(len(sizes)), sizes)
-                if back is None or not len(doc):
-                    count = logs = np.zeros(0)
-                else:
-                    place = places(value(4).to_numpy(), value(5).to_numpy())
-                    count, logs = (back.field(i).flatten().to_numpy()[place] for i in (1, 2))
-                add = lambda x: np.bincount(doc, x, len(sizes))  # noqa: E731, B023
-                tokens = sizes.astype(np.int64) + 1
-                yield pa.record_batch(
-                    [value(1), value(2), pa.array(tokens), pa.array((add(count > 0) + (ends > 0)).astype(np.int64)),
-                     pa.array(np.full(len(sizes), n, np.int64)), pa.array(add(np.log10(count + 1) - denominator) + end_base - denominator),
-                     pa.array(add(logs) + end_log)],
-                    ["id", "learn", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        for block in read_blocks(frames, 2):
+            tokens = np.diff(block.splits)
+            doc = np.repeat(np.arange(len(tokens)), tokens)
+            count, logs = (x[block.place] for x in block.back)
+            add = lambda x: np.bincount(doc, x, len(tokens))  # noqa: E731, B023
+            yield pa.record_batch(
+                [block.ids, block.learn, pa.array(tokens + 1), pa.array((add(count > 0) + (ends > 0)).astype(np.int64)),
+                 pa.array(np.full(len(tokens), n, np.int64)), pa.array(add(np.log10(count + 1) - denominator) + end_base - denominator),
+                 pa.array(add(logs) + end_log)],
+                ["id", "learn", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return (returned(blocks, valued, kind, pick)
             .mapInArrow(sums, "id long, learn boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -8,7 +8,7 @@ not its tokens, and no word is a hot key: it comes once from each block.
 
 * ``pack``: documents to blocks, written as a table bucketed by block, so that
   the blocks themselves are never shuffled.
-* ``slices``: (block, bucket, words, counts, learnt): a block's words by hash bucket.
+* ``slices``: a block's words by hash bucket, with their counts.
 * ``numbered``: the distinct words of the corpus; a word's number holds its
   bucket and its place among the bucket's words in order.
 * ``returned``: values by word number, back in each block's order.
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from ..session import shared_dir
 from .words import _BASE, LOWER, NON_SPACE, SAME, SLICE_BYTES, Slice, _runs, batches, scan
 
 #: Words of a block at most (but for a longer text, which is a block of its own).
-BLOCK_WORDS = 1_500_000
+BLOCK_WORDS = 4_000_000
 #: Rows for each hash bucket of words.
 BUCKET_ROWS = 512
 PLACE_BITS = 40
@@ -60,10 +61,9 @@ def spaced_words(texts: pa.Array) -> Iterator[Slice]:
                     _runs(text.astype(np.uint64) + np.uint64(1), starts, ends, _BASE[0]), s.row_at)
 
 
-def _strings(parts: list[Slice], of: np.ndarray, at: np.ndarray) -> pa.Array:
-    """Words as strings: word at[i] of slice of[i]."""
-    sizes = np.zeros(len(of), np.int64)
-    begins = np.zeros(len(of), np.int64)
+def _letters(parts: list[Slice], of: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, sizes): the bytes of words, one after the other; word at[i] of slice of[i]."""
+    sizes, begins = np.zeros(len(of), np.int64), np.zeros(len(of), np.int64)
     shift, texts = 0, []
     for p, s in enumerate(parts):
         mine = of == p
@@ -72,9 +72,15 @@ def _strings(parts: list[Slice], of: np.ndarray, at: np.ndarray) -> pa.Array:
         texts.append(s.text)
         shift += len(s.text)
     text = np.concatenate(texts) if texts else np.zeros(0, np.uint8)
-    offsets = np.concatenate([[0], np.cumsum(sizes)])
-    gathered = text[np.arange(offsets[-1]) - np.repeat(offsets[:-1] - begins, sizes)]
-    return pa.LargeStringArray.from_buffers(len(of), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(gathered)).cast(pa.string())
+    ends = np.cumsum(sizes)
+    return text[np.arange(sizes.sum()) - np.repeat(ends - sizes - begins, sizes)], sizes
+
+
+def _words(letters: pa.Array, sizes: pa.Array) -> pa.Array:
+    """Words from their letters, one after the other, and sizes in bytes."""
+    data = b"".join(letters.cast(pa.binary()).to_pylist())
+    offsets = np.concatenate([[0], np.cumsum(sizes.to_numpy())]).astype(np.int64)
+    return pa.LargeStringArray.from_buffers(len(sizes), pa.py_buffer(offsets), pa.py_buffer(data))
 
 
 def _block(parts: list[Slice], ids: list[pa.Array], learn: list[np.ndarray], name: int, buckets: int) -> pa.RecordBatch:
@@ -86,27 +92,29 @@ def _block(parts: list[Slice], ids: list[pa.Array], learn: list[np.ndarray], nam
     bucket = (found >> np.uint64(20)).astype(np.int64) % buckets
     order = np.argsort(bucket, kind="stable")
     by_place, counts, learnt, bucket = first[order], counts[order], learnt[order], bucket[order]
-    # tokens are written as the rank of their word by count: small numbers
+    # tokens are written as the rank of their word by count, its low byte apart: small numbers
     rank = np.empty(len(found), np.int64)
     rank[order[np.argsort(-counts, kind="stable")]] = np.arange(len(found))
     of = np.searchsorted(starts, by_place, "right") - 1
-    words = _strings(parts, of, by_place - starts[of])
+    letters, widths = _letters(parts, of, by_place - starts[of])
     cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
-    edges = pa.array(np.append(cuts, len(bucket)).astype(np.int32))
-    parts_of = pa.StructArray.from_arrays(
-        [pa.array(bucket[cuts].astype(np.int32)), pa.ListArray.from_arrays(edges, words),
-         pa.ListArray.from_arrays(edges, pa.array(counts.astype(np.int32))), pa.ListArray.from_arrays(edges, pa.array(learnt.astype(np.int32)))],
-        ["bucket", "words", "counts", "learnt"])
+    edges = np.append(cuts, len(bucket))
+    lists = lambda x: pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(x.astype(np.int32)))
+    spelled = pa.LargeStringArray.from_buffers(len(cuts), pa.py_buffer(np.concatenate([[0], np.cumsum(widths)])[edges].astype(np.int64)),
+                                               pa.py_buffer(letters))
+    parts_of = pa.StructArray.from_arrays([pa.array(bucket[cuts].astype(np.int32)), spelled.cast(pa.string()), lists(widths),
+                                           lists(counts), lists(learnt)], ["bucket", "letters", "widths", "counts", "learnt"])
     one = lambda values, kind: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values).cast(kind))
     sizes = np.concatenate([np.diff(s.splits) for s in parts])
     return pa.record_batch([pa.array([name], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(sizes)], pa.int32()), pa.concat_arrays(ids)),
-                            one(np.concatenate(learn), pa.bool_()), one(sizes, pa.int32()), one(rank[code], pa.int32()),
+                            one(np.concatenate(learn), pa.bool_()), one(sizes, pa.int32()),
+                            pa.array([(rank[code] & 255).astype(np.uint8).tobytes()], pa.binary()), one(rank[code] >> 8, pa.int32()),
                             one(counts, pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(parts_of)], pa.int32()), parts_of)],
-                           ["block", "ids", "learn", "sizes", "ranks", "counts", "parts"])
+                           ["block", "ids", "learn", "sizes", "low", "high", "counts", "parts"])
 
 
-_BLOCK = ("block long, ids array<long>, learn array<boolean>, sizes array<int>, ranks array<int>, counts array<int>, "
-          "parts array<struct<bucket:int,words:array<string>,counts:array<int>,learnt:array<int>>>")
+_BLOCK = ("block long, ids array<long>, learn array<boolean>, sizes array<int>, low binary, high array<int>, counts array<int>, "
+          "parts array<struct<bucket:int,letters:string,widths:array<int>,counts:array<int>,learnt:array<int>>>")
 
 
 def pack(docs: DataFrame, split: Splitter, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -133,15 +141,24 @@ def pack(docs: DataFrame, split: Splitter, block_words: int = BLOCK_WORDS) -> Da
         if parts:
             yield _block(parts, ids, learn, task << 32 | made, buckets)
 
-    spark = docs.sparkSession
-    name = f"llm_blocks_{uuid.uuid4().hex}"
-    (docs.select("id", "learn", "text").mapInArrow(run, _BLOCK).write.format("parquet")
-     .bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "block")
-     .option("compression", "zstd").option("path", f"{shared_dir(spark, 'llm')}/{name}").saveAsTable(name))
+    return bucketed(docs.select("id", "learn", "text").mapInArrow(run, _BLOCK), "block")
+
+
+def _parts(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def bucketed(df: DataFrame, key: str) -> DataFrame:
+    """``df`` as a table in the shared folder, bucketed by ``key``: joins and
+    groupings by it don't shuffle it again."""
+    spark, name = df.sparkSession, f"llm_{key}_{uuid.uuid4().hex}"
+    (df.write.format("parquet").bucketBy(_parts(df), key).option("compression", "zstd")
+     .option("path", f"{shared_dir(spark, 'llm')}/{name}").saveAsTable(name))
     return spark.table(name)
 
 
 def slices(blocks: DataFrame) -> DataFrame:
+    """block, bucket, letters, widths, counts, learnt."""
     return blocks.select("block", F.inline("parts"))
 
 
@@ -162,39 +179,62 @@ def _ordered(words: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return coded.dictionary.take(pa.array(order)), place[coded.indices.to_numpy()]
 
 
-def numbered(blocks: DataFrame) -> DataFrame:
-    """word_id, word, count and learnt of each distinct word."""
+def numbered(blocks: DataFrame, counts: bool = True) -> DataFrame:
+    """bucket, word_id and word of each distinct word, and count and learnt
+    (with ``counts``)."""
+    sums = ["counts", "learnt"] if counts else []
+
     def run(key: tuple, t: pa.Table) -> pa.Table:
-        words, place = _ordered(_gathered(t["words"])[1])
+        words, place = _ordered(_words(t["letters"].combine_chunks(), _gathered(t["widths"])[1]))
         total = lambda c: np.bincount(place, _gathered(t[c])[1].to_numpy(), len(words)).astype(np.int64)
-        return pa.table({"word_id": (key[0].as_py() << PLACE_BITS) + np.arange(len(words)), "word": words,
-                         "count": total("counts"), "learnt": total("learnt")})
+        return pa.table({"bucket": pa.array(np.full(len(words), key[0].as_py()), pa.int32()),
+                         "word_id": (key[0].as_py() << PLACE_BITS) + np.arange(len(words)), "word": words.cast(pa.string()),
+                         **{c.rstrip("s"): total(c) for c in sums}})
 
-    return slices(blocks).groupBy("bucket").applyInArrow(run, "word_id long, word string, count long, learnt long")
+    kind = "bucket int, word_id long, word string" + ", count long, learnt long" * counts
+    return slices(blocks).select("bucket", "letters", "widths", *sums).groupBy("bucket").applyInArrow(run, kind)
 
 
-def returned(blocks: DataFrame, values: DataFrame, kind: str, pick: Callable[[pa.Table, np.ndarray], dict[str, pa.Array]]) -> DataFrame:
+def returned(blocks: DataFrame, values: DataFrame, kind: str, pick: Callable[[pa.Table, np.ndarray], dict[str, np.ndarray]]) -> DataFrame:
     """``blocks`` with ``back``: for each bucket in order what ``pick`` makes of
-    the values (columns word_id, ...; a row for each word) at the places of the
-    block's words.  ``kind`` is the schema of what it makes."""
+    the values (bucketed by bucket: bucket, word_id, ...; a row for each word) at
+    the places of the block's words.  ``kind`` is the schema of what it makes."""
     def run(key: tuple, mine: pa.Table, theirs: pa.Table) -> pa.Table:
-        sizes, words = _gathered(mine["words"])
-        place = _ordered(words)[1]
+        sizes, widths = _gathered(mine["widths"])[0], _gathered(mine["widths"])[1]
+        place = _ordered(_words(mine["letters"].combine_chunks(), widths))[1]
         theirs = theirs.combine_chunks()
         theirs = theirs.take(pa.array(np.argsort(theirs["word_id"].to_numpy())))
         made = [pick(theirs, p) for p in np.split(place, np.cumsum(sizes)[:-1])]
-        columns = {name: pa.array([m[name] for m in made]) if made else pa.array([]) for name in (made[0] if made else {})}
+        columns = {n: pa.array([m[n] for m in made], pa.list_(kinds[k])) for n, k in zip(names, of, strict=True)}
         return pa.table({"block": mine["block"], "bucket": mine["bucket"], **columns})
 
-    keyed = values.withColumn("bucket", F.shiftright("word_id", PLACE_BITS).cast("int"))
-    names = [c.split(" ")[0] for c in kind.split(", ")]
-    back = (slices(blocks).select("block", "bucket", "words").groupBy("bucket").cogroup(keyed.groupBy("bucket"))
+    names, of = zip(*(c.split(" ") for c in kind.split(", ")), strict=True)
+    kinds = {"array<int>": pa.int32(), "array<long>": pa.int64(), "array<double>": pa.float64()}
+    back = (slices(blocks).select("block", "bucket", "letters", "widths").groupBy("bucket").cogroup(values.groupBy("bucket"))
             .applyInArrow(run, f"block long, bucket int, {kind}")
             .groupBy(F.col("block").alias("of")).agg(F.array_sort(F.collect_list(F.struct("bucket", *names))).alias("back")))
-    rest = blocks.select("block", "ids", "learn", "sizes", "ranks", "counts")
+    rest = blocks.select("block", "ids", "learn", "sizes", "low", "high", "counts")
     return rest.join(back, rest["block"] == back["of"], "left").drop("of")
 
 
-def places(ranks: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The place (by bucket, then as packed) of each token's word."""
-    return np.argsort(-counts, kind="stable")[ranks]
+@dataclass
+class Block:
+    """A row of ``returned``: ids and learn of its texts, ``splits`` of its
+    tokens by text, the ``place`` (by bucket, then as packed) of each token's
+    word, and the columns that came back, flat."""
+    ids: pa.Array
+    learn: pa.Array
+    splits: np.ndarray
+    place: np.ndarray
+    back: list[np.ndarray]
+
+
+def read_blocks(frames: Iterator[pa.RecordBatch], columns: int) -> Iterator[Block]:
+    for b in frames:
+        for r in range(b.num_rows):
+            row = {n: b.column(i)[r] for i, n in enumerate(b.schema.names)}
+            counts, back = row["counts"].values.to_numpy(), row["back"].values
+            rank = np.frombuffer(row["low"].as_py(), np.uint8) | row["high"].values.to_numpy().astype(np.int64) << 8
+            flat = [np.zeros(0)] * columns if back is None else [back.field(1 + i).flatten().to_numpy() for i in range(columns)]
+            yield Block(row["ids"].values, row["learn"].values, np.concatenate([[0], np.cumsum(row["sizes"].values.to_numpy())]),
+                        np.argsort(-counts, kind="stable")[rank], flat)
