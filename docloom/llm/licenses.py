@@ -65,19 +65,19 @@ KNOWN = (
 
 
 def canonical_lines(text: Column) -> Column:
-    """``text`` normalised, its line breaks kept."""
+    """``text`` normalised, its line breaks kept; one blank at most in a row."""
     x = ascii_lower(F.coalesce(text.cast("string"), F.lit("")))
     x = F.regexp_replace(x, COPYRIGHT_LINE, "$1")
     # two blanks between words, so that neighbours never share one
     x = F.concat(F.lit(" "), F.replace(F.regexp_replace(x, OTHER, "  "), F.lit("\n"), F.lit(" \n ")), F.lit(" "))
     for old, new in SPELLINGS.items():
         x = F.replace(x, F.lit(f" {old.replace(' ', '  ')} "), F.lit(f" {new.replace(' ', '  ')} "))
-    return x
+    return F.regexp_replace(x, " +", " ")
 
 
 def whole(lines: Column) -> Column:
     """Canonical lines as one canonical text."""
-    return F.trim(F.regexp_replace(lines, r"[ \n]+", " "))
+    return F.trim(F.regexp_replace(lines, "[ \n]+", " "))
 
 
 def digest(canonical: Column) -> Column:
@@ -92,17 +92,19 @@ def known_licenses(spark: SparkSession) -> DataFrame:
 
 def scan_licenses(docs: DataFrame, known: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, digest (of the whole canonical text), license (of the whole text,
-    or null) and line_licenses (sorted ids of the lines' licences)."""
+    or null) and line_licenses (sorted ids of the lines' licences).
+
+    The whole text and its lines are exploded as units, with the number of the
+    row they came from, and meet the known digests in one join; of the units
+    only the whole texts and the hits are grouped by row."""
     table = (known.select("license", digest(whole(canonical_lines(F.col("text")))).alias("digest"))
-             .where(F.col("digest") != digest(F.lit(""))))
-    units = docs.select(F.col(key).alias("key"), canonical_lines(F.col(text)).alias("lines"))
-    units = units.select("key", "lines", digest(whole(F.col("lines"))).alias("digest"))
-    lines = units.select("key", F.col("digest").alias("of"), F.explode(F.split("lines", "\n")).alias("line"))
-    found = (lines.select("key", "of", digest(whole(F.col("line"))).alias("digest"))
-             .join(table.distinct(), "digest")
-             .groupBy("key", "of").agg(F.array_sort(F.collect_set("license")).alias("ids")))
-    first = table.groupBy("digest").agg(F.min("license").alias("license"))
-    rows = units.select("key", "digest").join(first, "digest", "left")
-    return (rows.join(found, rows["key"].eqNullSafe(found["key"]) & (rows["digest"] == found["of"]), "left")
-            .select(rows["key"].alias(key), "digest", "license",
-                    F.coalesce("ids", F.array().cast("array<string>")).alias("line_licenses")))
+             .where(F.col("digest") != digest(F.lit(""))).distinct())
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), canonical_lines(F.col(text)).alias("lines"))
+    units = rows.select("row", "key", F.posexplode(F.concat(F.array(whole(F.col("lines"))), F.split("lines", "\n"))).alias("pos", "unit"))
+    units = units.select("row", "key", (F.col("pos") == 0).alias("entire"), digest(F.trim("unit")).alias("digest"))
+    met = units.join(table, "digest", "left").where(F.col("entire") | F.col("license").isNotNull())
+    return (met.groupBy("row", "key")
+            .agg(F.max(F.when(F.col("entire"), F.col("digest"))).alias("digest"),
+                 F.min(F.when(F.col("entire"), F.col("license"))).alias("license"),
+                 F.array_sort(F.collect_set(F.when(~F.col("entire"), F.col("license")))).alias("line_licenses"))
+            .select(F.col("key").alias(key), "digest", "license", "line_licenses"))

@@ -20,7 +20,7 @@ def _canonical_sql(text: str) -> str:
     x = f"' ' || replace(regexp_replace({x}, {_quoted(OTHER)}, '  ', 'g'), chr(10), ' ' || chr(10) || ' ') || ' '"
     for old, new in SPELLINGS.items():
         x = f"replace({x}, ' {old.replace(' ', '  ')} ', ' {new.replace(' ', '  ')} ')"
-    return x
+    return f"regexp_replace({x}, ' +', ' ', 'g')"
 
 
 def _whole_sql(lines: str) -> str:
