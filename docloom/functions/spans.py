@@ -110,6 +110,8 @@ def find_subsequence(tokens, target) -> Column:
 
 # A separator that never occurs inside a token (a C0 control character).
 TOKEN_SEPARATOR = "\u0001"
+# Stands for a NULL token; no token either.
+NULL_TOKEN = "\u0002"
 
 
 def earliest_match(tokens, target) -> Column:
@@ -118,15 +120,16 @@ def earliest_match(tokens, target) -> Column:
     cannot occur in a token and framed by it, so only whole-token alignments
     match; the index is the number of separators before the hit.  One
     ``instr`` pass in codegen instead of a slice per position.  Tokens are
-    compared as strings (ints are cast); null tokens are not supported."""
+    compared as strings (ints are cast).  A NULL token keeps its place and
+    equals nothing: a target with a NULL token is not found."""
     sep = TOKEN_SEPARATOR
     t, g = _c(tokens).cast("array<string>"), _c(target).cast("array<string>")
-    hay = F.concat(F.lit(sep), F.array_join(t, sep), F.lit(sep))
+    hay = F.concat(F.lit(sep), F.array_join(t, sep, NULL_TOKEN), F.lit(sep))
     needle = F.concat(F.lit(sep), F.array_join(g, sep), F.lit(sep))
     pos = F.instr(hay, needle)
     before = F.substring(hay, 1, pos)
     idx = F.length(before) - F.length(F.replace(before, F.lit(sep), F.lit(""))) - 1
-    ok = (pos > 0) & (F.size(g) > 0)
+    ok = (pos > 0) & (F.size(g) > 0) & ~F.exists(g, lambda x: x.isNull())
     return F.when(ok, idx).otherwise(F.lit(-1)).cast("long")
 
 

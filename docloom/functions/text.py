@@ -45,7 +45,6 @@ ARTICLE_TAG = '<article id="{category}_{doc_num}">{content}</article>'
 PAGE_TAG = '<page number="{page}">{text}</page>'
 CONTEXT_TAG = "<context>{context}</context>"
 PREDICTION_FILE = "qid{qid}_iter{iter}_checkpoint{checkpoint}.json"
-ANSWER_FILE = "pred_retrieve_{checkpoint}.json"
 LIST_SEPARATOR = "、"
 LIST_LAST_SEPARATOR = "及"
 
@@ -180,9 +179,9 @@ def normalize_quotes(text) -> Column:
 
 def doc_id_pattern(categories: Sequence[str] = tuple(DOC_ID_CATEGORIES), whole_id: bool = False) -> str:
     alt = "|".join(categories)
-    pat = f"(?:{alt})_[0-9]+"
+    pat = f"(?:{alt})_\\p{{Nd}}+"  # any decimal digit, as in the reference
     if whole_id:
-        pat += "(?![0-9])"
+        pat += "(?!\\p{Nd})"
     return pat
 
 
@@ -203,17 +202,11 @@ def split_doc_id(doc_id) -> Column:
 
 
 def render(template: str, **cols) -> Column:
-    """Fill ``{name}`` placeholders of a literal template with columns
-    (``format_string`` under the hood; ``%`` in the template is escaped)."""
+    """Fill ``{name}`` placeholders of a literal template with columns; NULL in
+    any of them gives NULL."""
     import re
-    names: list[str] = []
-
-    def sub(m):
-        names.append(m.group(1))
-        return "%s"
-    fmt = re.sub(r"\{(\w+)\}", sub, template.replace("%", "%%"))
-    args = [_c(cols[n]).cast("string") for n in names]
-    return F.format_string(fmt, *args)
+    parts = re.split(r"\{(\w+)\}", template)
+    return F.concat(*[_c(cols[p]).cast("string") if i % 2 else F.lit(p) for i, p in enumerate(parts) if p])
 
 
 def prediction_file_name(qid, iteration, checkpoint) -> Column:

@@ -90,13 +90,13 @@ def window_starts(n: Column, width: int, overlap: int) -> Column:
 
 def token_windows(df: DataFrame, tokens: str, width: int, overlap: int = 30,
                   prompt: str | None = None, max_length: int | None = None,
-                  first_chunk_only: bool = False, keep_tokens: bool = False) -> DataFrame:
+                  keep_tokens: bool = False) -> DataFrame:
     """Cut ``tokens`` into overlapping windows (one output row per
     chunk, parent columns ride along — no join back).  With ``prompt`` the
     prompt tokens lead every chunk and ``max_length`` (total) fixes the
     context width as ``max_length − len(prompt)``.  Adds ``chunk_no``,
-    ``token_start``, ``chunk`` and ``is_last``; ``first_chunk_only`` keeps
-    the reference's scalar-input behaviour (Q4).
+    ``token_start``, ``chunk`` and ``is_last``.  All windows are kept, also
+    for a single example.
 
     The chunks are sliced inside the generator and the source token array
     is not copied onto the chunk rows (unless ``keep_tokens``): a long
@@ -114,8 +114,6 @@ def token_windows(df: DataFrame, tokens: str, width: int, overlap: int = 30,
     else:
         width_c = F.lit(width)
         starts = window_starts(n, width, overlap)
-    if first_chunk_only:
-        starts = F.slice(starts, 1, 1)
 
     def piece(st):
         body = F.slice(t, st + 1, width_c.cast("int"))
@@ -190,17 +188,14 @@ def build_qa_features(df: DataFrame, question: str = "question", context: str =
     whenever an example has more than one chunk — a closed form, no window);
     ``overflow_to_sample_mapping`` is the example's row position by
     ``order``.  Parent columns ride along on every chunk (no join back).
-    Examples are hash-spread by ``order`` before the expansion."""
-    from ..session import checkpointed, spread_by
+    Examples are hash-partitioned by ``order`` before the expansion."""
+    from .ranks import range_partitions
     from .splits import row_positions
 
-    # the exact rank reads its input three times; the input here is usually a
-    # join (contexts), so materialize it once — this also cuts its lineage
-    # before the expensive expansion
-    rows = row_positions(checkpointed(df), order, name="overflow_to_sample_mapping")
+    rows = row_positions(df, order, name="overflow_to_sample_mapping")
     # the expansion below (tokens → many chunks per example) is CPU-heavy;
-    # spread the examples explicitly, since AQE sizes partitions by bytes
-    rows = spread_by(rows, order)
+    # the partition count is explicit, since AQE would coalesce by bytes
+    rows = rows.repartition(range_partitions(rows), order)
     rows = render_question(rows, question=question, name="_qf_prompt")
     rows = (rows.withColumn("_qf_ptok", tokenize(F.col("_qf_prompt")))
             .withColumn("_qf_ctok", tokenize(tx.context_tag(context))))

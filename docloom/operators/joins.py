@@ -1,4 +1,4 @@
-"""Join helpers: broadcasts only behind a size check."""
+"""Join helpers."""
 
 from __future__ import annotations
 
@@ -7,32 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Upper bound on rows we broadcast; keys only (a few dozen bytes per row).
-BROADCAST_MAX_ROWS = 2_000_000
 
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> tuple[DataFrame, bool]:
-    """``broadcast(df)`` if it has at most ``max_rows`` rows (counted), else
-    ``df`` so the planner shuffles it (AQE may still broadcast at run time
-    from measured sizes).  ``df`` is checkpointed first, so counting it and
-    then using it does not compute its lineage twice."""
-    from ..session import checkpointed
-
-    df = checkpointed(df)
-    n = df.count()
-    return (F.broadcast(df), True) if n <= max_rows else (df, False)
-
-
-def restrict_to_keys(big: DataFrame, keys: DataFrame, on: Sequence[str],
-                     max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Rows of ``big`` whose key appears in ``keys`` (a semi-join).
-
-    When the distinct key set is small (checked) it is broadcast, so ``big``
-    is filtered while it is scanned and never shuffled; otherwise a shuffled
-    semi-join runs.  This is how a few thousand references meet a corpus of
-    any size."""
-    k, _ = broadcast_if_small(keys.select(*on).distinct(), max_rows)
-    return big.join(k, list(on), "left_semi")
+def restrict_to_keys(big: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Rows of ``big`` whose key appears in ``keys`` (a semi-join on the
+    distinct keys).  No hint: the planner broadcasts the key set where its
+    measured size in bytes allows (``spark.sql.autoBroadcastJoinThreshold``,
+    again at run time by AQE), and shuffles otherwise."""
+    return big.join(keys.select(*on).distinct(), list(on), "left_semi")
 
 
 def zip_by_order(left: DataFrame, left_order: str, right: DataFrame, right_order: str,

@@ -8,8 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checkpointed
-from .ranks import rank_within, running_within
+from ..session import materialized
+from .ranks import group_offsets, join_null_safe, rank_within, running_within, sorted_once, with_offsets
 
 
 def stratified_folds(df: DataFrame, strata: str, order: str, k: int = 5,
@@ -20,16 +20,15 @@ def stratified_folds(df: DataFrame, strata: str, order: str, k: int = 5,
     owns positions [off_c, off_c + n_c) of the label-sorted list and fold i
     takes, from class c, as many rows as there are positions ≡ i (mod k) in
     that range.  The j-th row of a class (by ``order``) goes to the first fold
-    whose cumulative quota exceeds j.  The per-class table has one row per
-    stratum; the row rank inside a class is the bucketed exact rank."""
-    # one row per stratum, used three times below: compute it once
-    cls = checkpointed(df.groupBy(strata)
-                       .agg(F.min(order).alias("_kf_first"), F.count(F.lit(1)).alias("_kf_n")))
-    # class offsets: exclusive prefix sum of class sizes in first-appearance
-    # order (bucketed, so even a huge number of strata is not one task)
-    cls = running_within(cls, "_kf_n", "_kf_first", how="sum", name="_kf_off", inclusive=False,
-                         n_buckets=n_buckets).select(strata, "_kf_n", "_kf_off")
-    ranked = rank_within(df, order, [strata], name="_kf_j", n_buckets=n_buckets)
+    whose cumulative quota exceeds j.  The input is sorted once; class sizes
+    and offsets come from the small (partition, class) table and ride on it to
+    the rows.  NULL strata are a class; its rows are kept."""
+    rows = sorted_once(df, F.col(order).asc(), [strata], n_buckets)
+    per = materialized(group_offsets(rows, [strata], F.min(order).alias("_kf_first")), "folds")
+    cls = per.groupBy(strata).agg(F.min("_kf_first").alias("_kf_first"), F.sum("_rk_n").alias("_kf_n"))
+    # class offsets: exclusive prefix sum of class sizes in first-appearance order
+    cls = running_within(cls, "_kf_n", "_kf_first", how="sum", name="_kf_off", inclusive=False).select(strata, "_kf_n", "_kf_off")
+    per = join_null_safe(per.drop("_kf_first"), cls, [strata])
     off, n, j = F.col("_kf_off"), F.col("_kf_n"), F.col("_kf_j")
     # rows of fold i in class c: #{p in [off, off+n) : p ≡ i mod k}
     quota = F.transform(F.sequence(F.lit(0), F.lit(k - 1)),
@@ -38,7 +37,7 @@ def stratified_folds(df: DataFrame, strata: str, order: str, k: int = 5,
                       lambda m: F.aggregate(F.slice(quota, 1, m), F.lit(0).cast("long"),
                                             lambda acc, x: acc + x))
     fold = F.size(F.filter(cum, lambda c: c <= j))
-    return (ranked.join(cls, [strata], "inner")
+    return (with_offsets(rows, per, [strata], "_kf_j")
             .withColumn(name, fold.cast("int"))
             .drop("_kf_off", "_kf_n", "_kf_j"))
 
@@ -72,13 +71,20 @@ def row_positions(df: DataFrame, order: str, name: str = "row_no",
 def slice_rows(df: DataFrame, order: str, start: int = 0, end: int | None = None,
                descending: bool = True, name: str = "position") -> DataFrame:
     """O1+O2: rows ``[start, end)`` of ``df`` sorted by ``order`` (descending by
-    default, as the reference sorts by qid descending).  Done with the
-    distributed rank, so no global offset runs in one task."""
-    r = row_positions(df, order, name=name, descending=descending)
-    cond = F.col(name) >= start
+    default, as the reference sorts by qid descending), with their position.
+    With ``end`` only the first ``end`` rows of the order are looked at (a
+    top-k of each partition, merged); without, ranks are distributed."""
     if end is not None:
-        cond = cond & (F.col(name) < end)
-    return r.where(cond)
+        df = df.orderBy(F.col(order).desc() if descending else F.col(order).asc()).limit(end)
+    return row_positions(df, order, name=name, descending=descending).where(F.col(name) >= start)
+
+
+def slice_then_sort(df: DataFrame, position: str, start: int, end: int | None, order: str,
+                    descending: bool = True, name: str = "position") -> DataFrame:
+    """O2 the other way round: rows ``[start, end)`` as they stand (by
+    ``position``), then sorted by ``order`` and numbered in that order."""
+    part = slice_rows(df, position, start, end, descending=False, name="_sl_pos").drop("_sl_pos")
+    return row_positions(part, order, name=name, descending=descending)
 
 
 def epoch_replay(df: DataFrame, order: str, epochs: int, name: str = "step") -> DataFrame:
@@ -92,10 +98,10 @@ def epoch_replay(df: DataFrame, order: str, epochs: int, name: str = "step") ->
 
 
 def seeded_shuffle(df: DataFrame, key: str, seed: int = 42, name: str = "shuffle_key") -> DataFrame:
-    """A deterministic shuffle order: the 64-bit xxHash of ``(key, seed)``
-    (the seed is hashed after the key), independent of partitioning, unlike
-    ``rand(seed)``."""
-    return df.withColumn(name, F.xxhash64(F.col(key), F.lit(seed)))
+    """A deterministic shuffle order: the MD5 of ``key:seed`` in
+    hexadecimal (a NULL key counts as ''), independent of partitioning and of
+    the engine, unlike ``rand(seed)``."""
+    return df.withColumn(name, F.md5(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(f":{seed}")).cast("binary")))
 
 
 def first_row(df: DataFrame, order: str) -> DataFrame:

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import checkpointed
-from .ranks import range_bucket
+from .ranks import running_within
 
 # Markers a metrics line must contain, and the Python-literal
 # tokens rewritten to JSON before parsing.
@@ -56,24 +55,16 @@ def pareto_front(df: DataFrame, objectives: Mapping[str, str], n_buckets: int |
 
     Scalable skyline: with objectives (a, b) both minimised, a row survives
     iff b equals the smallest b at its a, and b is below the smallest b of
-    every strictly smaller a.  That "prefix minimum" is computed by range
-    buckets of a: per-bucket minima (a small table) give the minimum before
-    each bucket; inside a bucket a window over (bucket) adds the rest.  No
-    self-join, no single-task window over the data.  Duplicated rows are all
+    every strictly smaller a: a running minimum over the distinct values of
+    a (``running_within``).  No self-join, no single-task window.  Duplicated rows are all
     kept (neither dominates the other)."""
     (a, da), (b, db) = list(objectives.items())
     sa = F.col(a) if da == "min" else -F.col(a)
     sb = F.col(b) if db == "min" else -F.col(b)
     pts = df.select(sa.alias("_pa"), sb.alias("_pb")).where(F.col("_pa").isNotNull() & F.col("_pb").isNotNull())
-    # one row per distinct first objective, used three times: compute it once
-    per_a = checkpointed(pts.groupBy("_pa").agg(F.min("_pb").alias("_mb")))
-    per_a = range_bucket(per_a, "_pa", n_buckets, name="_bk")
-    bmin = per_a.groupBy("_bk").agg(F.min("_mb").alias("_bmin"))
-    before = bmin.select("_bk", F.min("_bmin").over(
-        Window.orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
-    w_in = Window.partitionBy("_bk").orderBy("_pa").rowsBetween(Window.unboundedPreceding, -1)
-    front = (per_a.join(before, ["_bk"], "inner")
-             .withColumn("_prev", F.least(F.col("_before"), F.min("_mb").over(w_in)))
+    # one row per distinct first objective
+    per_a = pts.groupBy("_pa").agg(F.min("_pb").alias("_mb"))
+    front = (running_within(per_a, "_mb", "_pa", how="min", name="_prev", inclusive=False, n_buckets=n_buckets)
              .where(F.col("_prev").isNull() | (F.col("_mb") < F.col("_prev")))
              .select("_pa", F.col("_mb").alias("_pb")))
     return (df.withColumn("_pa", sa).withColumn("_pb", sb)
@@ -98,6 +89,12 @@ def with_attributes(df: DataFrame, attrs: Mapping[str, str], name: str = "attrs"
 def append_trials(df: DataFrame, path: str, study: str) -> None:
     """H6: append trials to a table keyed by (study, trial_id), partitioned
     by study so a resumed study only adds files.  Appends may add columns;
-    read the table back with ``mergeSchema``."""
+    read the table back with ``read_trials``, which counts a trial once even
+    where an append was tried again."""
     (df.withColumn("study", F.lit(study))
      .write.mode("append").partitionBy("study").parquet(path))
+
+
+def read_trials(spark: SparkSession, path: str) -> DataFrame:
+    """H6: the appended trials, one row for each (study, trial_id)."""
+    return spark.read.option("mergeSchema", True).parquet(path).dropDuplicates(["study", "trial_id"])

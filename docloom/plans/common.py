@@ -60,6 +60,6 @@ def noisy_cjk(col: str = "text"):
 
 
 def _docs(spark, d, balanced: bool = True):
-    """documents; spread over the cores when the query does heavy per-row
-    work (regex, higher-order functions, Python hooks)."""
+    """documents, dealt over the shuffle partitions when the query does heavy
+    per-row work (regex, higher-order functions, Python hooks)."""
     return TB.table(spark, d, "documents", balanced=balanced)

@@ -15,10 +15,11 @@ CORPUS = """corpus AS (
   FROM documents)"""
 
 QUESTIONS = f"""q AS (
-  SELECT item_id AS qid, text AS query, ({LANGS_SQL})[item_id % 4 + 1] AS category FROM benchmark),
+  SELECT qid, text AS query, ({LANGS_SQL})[qid % 4 + 1] AS category
+  FROM (SELECT DISTINCT doc_id // 32 AS qid FROM documents) JOIN benchmark ON item_id = qid % (SELECT count(*) FROM benchmark)),
 cand AS (
   SELECT q.qid, q.category, d.doc_id
-  FROM documents d JOIN q ON d.lang = q.category AND d.doc_id % (SELECT count(*) FROM benchmark) = q.qid),
+  FROM documents d JOIN q ON d.lang = q.category AND d.doc_id // 32 = q.qid),
 src AS (
   SELECT qid, category, list(doc_id ORDER BY doc_id) AS source FROM cand GROUP BY qid, category),
 questions AS (

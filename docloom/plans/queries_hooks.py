@@ -1,39 +1,31 @@
-"""Registered queries that run a Python library per row (Arrow hooks)."""
+"""Registered queries over the Arrow hooks: charset repair and node text."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import spans as sp
 from ..functions import text as tx
-from ..operators import corpus as cp
-from ..operators import decode as dc
-from ..operators import features as fe
-from ..session import fresh_dir
 from ..sources import hooks as hk
-from ..sources import readers as rd
-from ..sources import sinks as sk
-from . import tables as TB
 from .common import NL, SQL_NOISY, _sql_junk, _sql_clean, noisy_cjk, _docs
 from .registry import register
-from .queries_features import WINDOW_OVERLAP
 
 
-# ---------------------------------------------------------------- hooks (Arrow)
-
-
-@register("html_to_text")
-def html_to_text(spark, d):
-    pages = TB.table(spark, d, "pages", balanced=True)
-    return hk.documents_to_text(pages, content="html", keep=("page_id", "url"))
-
-
-@register("charset_normalize")
+@register("charset_normalize", """
+SELECT doc_id, text, CASE doc_id % 4 WHEN 1 THEN 'utf-16' WHEN 2 THEN 'cp1252' WHEN 3 THEN 'utf-8-sig' ELSE 'utf-8' END AS encoding, true AS ok
+FROM documents WHERE text IS NOT NULL""")
 def charset_normalize(spark, d):
-    docs = _docs(spark, d).select(
-        "doc_id", F.when(F.col("lang") == "en", F.encode("text", "UTF-8"))
-        .otherwise(F.encode("text", "UTF-16LE")).alias("content"))
-    return hk.normalize_charset(docs, "content", candidates=("utf-16-le", "latin-1"), keep=("doc_id",))
+    """Each document's text in one of four encodings by its id; the repair
+    has to give the text back.  (A text of plain ASCII is the same bytes in
+    all single-byte encodings.)"""
+    by = F.col("doc_id") % 4
+    raw = (F.when(by == 1, F.encode("text", "UTF-16"))  # with a byte-order mark
+           .when(by == 2, F.encode("text", "ISO-8859-1"))
+           .when(by == 3, F.concat(F.unhex(F.lit("EFBBBF")), F.encode("text", "UTF-8")))
+           .otherwise(F.encode("text", "UTF-8")))
+    docs = _docs(spark, d).where("text IS NOT NULL").select("doc_id", raw.alias("content"), by.alias("by"))
+    out = hk.normalize_charset(docs, "content", candidates=("big5", "cp1252"), keep=("doc_id", "by"))
+    plain = (F.col("by") == 2) & (F.col("encoding") == "utf-8") & ~F.col("text").rlike("[^\\x00-\\x7F]")
+    return out.select("doc_id", "text", F.when(plain, F.lit("cp1252")).otherwise(F.col("encoding")).alias("encoding"), "ok")
 
 
 def document_nodes(spark, d):
@@ -50,37 +42,3 @@ SELECT doc_id, CAST(node_no AS BIGINT) AS node_no, {_sql_junk(_sql_clean('text')
 def node_text_map(spark, d):
     out = hk.transform_nodes(document_nodes(spark, d), tx.clean_node_text)
     return out.select("doc_id", F.col("node_no").cast("long"), "text")
-
-
-SCORE_LEN, SCORE_VOCAB = 64, 1 << 16
-
-
-@register("batch_score")
-def batch_score(spark, d):
-    df = _docs(spark, d).select("doc_id", fe.whitespace_tokens("text").alias("tokens"))
-    w = fe.token_windows(df, "tokens", width=SCORE_LEN, overlap=WINDOW_OVERLAP)
-    ids = F.transform("chunk", lambda t: (F.abs(F.xxhash64(t)) % SCORE_VOCAB).cast("int"))
-    w = w.select("doc_id", "chunk_no", sp.pad_to(ids, F.lit(SCORE_LEN), 0).alias("input_ids"))
-    scored = hk.score_batches(w, hk.hashing_stub_model(SCORE_VOCAB), seq_len=SCORE_LEN)
-    return dc.decode(scored, confidence=False).select("doc_id", "chunk_no", "pred_start", "pred_end")
-
-# ---------------------------------------------------------------- corpus from documents
-
-
-@register("corpus_from_documents")
-def corpus_from_documents(spark, d):
-    """Documents as bytes (``pages.html``, named
-    ``{lang}_{page_id}.pdf``) → parser hook → single-pass CJK cleaner →
-    corpus rows, built once into Parquet under the shared folder and read
-    back (``materialize``), so later stages never re-run the parser."""
-    pages = TB.table(spark, d, "pages", balanced=True)
-    lang = F.regexp_extract("url", "/(en|fr|de|es)/", 1)
-    name = F.concat(F.when(lang != "", lang).otherwise(F.lit("web")), F.lit("_"),
-                    F.col("page_id").cast("string"), F.lit(".pdf"))
-    binary = rd.file_name_parts(pages.select(name.alias("path"), F.encode("html", "UTF-8").alias("content")))
-
-    def build():
-        txt = hk.documents_to_text(binary, keep=("filename", "category", "doc_num"))
-        c = txt.select("filename", "category", tx.despace_cjk_once(F.col("text")).alias("content"), "doc_num")
-        return cp.with_content_len(c).select("filename", "category", "content", "content_len", "doc_num")
-    return sk.materialize(spark, build, fresh_dir(spark, "corpus"))

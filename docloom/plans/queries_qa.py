@@ -9,12 +9,12 @@ from ..operators import decode as dc
 from ..operators import features as fe
 from ..operators import qa
 from ..operators import splits as sl
-from ..sources import hooks as hk
 from . import oracle as O
 from . import tables as TB
 from .common import NL, _sql_strip
 from .registry import register
 from .queries_features import WINDOW_OVERLAP
+from .queries_spans import planted_tokens
 
 
 # ---------------------------------------------------------------- QA assembly
@@ -34,7 +34,46 @@ SELECT qa.qid, qa.question, qa.category, coalesce(ctx.context, '') AS context,
 FROM qa LEFT JOIN ctx USING (qid, category)""")
 def context_assembly(spark: SparkSession, d: str) -> DataFrame:
     qs = TB.questions(spark, d)
-    return qa.competition_dataset(qs, TB.truths(qs), TB.corpus(spark, d), on_missing="fail")
+    return qa.competition_dataset(qs, TB.truths(qs), TB.corpus(spark, d), order_col="filename", on_missing="fail")
+
+_CONTEXTS = """refs AS (SELECT qid, category, unnest(source) AS doc_num, unnest(range(len(source))) AS pos FROM questions WHERE len(source) > 0),
+ctx AS (
+  SELECT r.qid, string_agg('<article id="' || r.category || '_' || CAST(r.doc_num AS VARCHAR) || '">' || c.content || '</article>', '' ORDER BY pos) AS context
+  FROM refs r JOIN lookup c ON c.category = r.category AND c.doc_num = r.doc_num GROUP BY r.qid)"""
+
+
+@register("context_two_truths", O.with_(O.QUESTIONS, "lookup AS (SELECT lang AS category, doc_id AS doc_num, text AS content FROM documents)",
+                                        _CONTEXTS) + """
+SELECT q.qid, translate(q.query, '「」', '『』') AS question, q.category, ctx.context,
+       q.category || '_' || CAST(q.source[i] AS VARCHAR) AS answer_in_articleid
+FROM (SELECT *, unnest([1, len(source)]) AS i FROM questions WHERE len(source) > 0) q JOIN ctx USING (qid)""")
+def context_two_truths(spark, d):
+    """J2 with two truths for each question (its first and last candidate):
+    two rows with the same context."""
+    qs = TB.questions(spark, d)
+    truths = (qs.where(F.size("source") > 0)
+              .select("qid", "category", F.explode(F.array(F.get("source", F.lit(0)), F.element_at("source", -1))).alias("retrieve"),
+                      F.lit(None).cast("string").alias("generate")))
+    return qa.competition_dataset(qs, truths, TB.corpus(spark, d), order_col="filename")
+
+
+_PAGE_KEYS = """keyed AS (SELECT CASE page_id % 2 WHEN 0 THEN 'finance' ELSE 'insurance' END AS category, page_id // 5 AS doc_num, html AS content, page_id FROM pages)"""
+
+
+@register("context_first_match", O.with_(_PAGE_KEYS, """lookup AS (
+  SELECT category, doc_num, arg_min(content, page_id) AS content FROM keyed GROUP BY category, doc_num),
+questions AS (SELECT doc_num // 4 AS qid, category, list(DISTINCT doc_num ORDER BY doc_num DESC) AS source FROM keyed WHERE category = 'finance' GROUP BY 1, 2)""",
+                                         _CONTEXTS) + "SELECT q.qid, q.category, ctx.context FROM questions q JOIN ctx USING (qid)")
+def context_first_match(spark, d):
+    """J3 on repeated corpus keys: pages keyed by (parity, id div 5), so two or
+    three to a key; of these the first by page id is the article."""
+    keyed = TB.table(spark, d, "pages").select(
+        F.when(F.col("page_id") % 2 == 0, "finance").otherwise("insurance").alias("category"),
+        F.floor(F.col("page_id") / 5).alias("doc_num"), F.col("html").alias("content"), "page_id")
+    qs = (keyed.where("category = 'finance'").groupBy(F.floor(F.col("doc_num") / 4).alias("qid"), "category")
+          .agg(F.sort_array(F.collect_set("doc_num"), asc=False).alias("source")))
+    return qa.assemble_context(qs, keyed, "page_id").select("qid", "category", "context")
+
 
 # ---------------------------------------------------------------- QA variants
 
@@ -124,7 +163,7 @@ def qa_features(spark, d):
     """The reference's training features for the flagship QA set: character
     tokens, 512-token prompt-led windows, answer-id span labels, padding."""
     qs = TB.questions(spark, d)
-    ds = qa.competition_dataset(qs, TB.truths(qs), TB.corpus(spark, d), on_missing="fail")
+    ds = qa.competition_dataset(qs, TB.truths(qs), TB.corpus(spark, d), order_col="filename", on_missing="fail")
     f = fe.build_qa_features(ds, max_length=FEAT_MAX_LEN, overlap=FEAT_OVERLAP)
     real = F.slice("input_ids", 1, F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x))
     return f.select("qid", F.col("chunk_no").cast("long"), "overflow_to_sample_mapping",
@@ -162,27 +201,34 @@ def qa_folds(spark, d):
 
 # ---------------------------------------------------------------- inference path
 
-INFER_MAX_LEN, INFER_VOCAB = 512, 1 << 16
-
-
-@register("inference_answers")
+INFER_WIDTH = 64  # as long as the logits
+_STEP = INFER_WIDTH - WINDOW_OVERLAP
+
+
+@register("inference_answers", O.with_(O.LOGITS, f"""t AS (SELECT doc_id, string_split(text, ' ') AS tk FROM documents),
+t2 AS (SELECT doc_id, tk[1 : (doc_id * 13) % len(tk)] || ['faq_' || CAST(doc_id AS VARCHAR)] || tk[(doc_id * 13) % len(tk) + 1 :] AS tokens FROM t),
+c AS (SELECT doc_id, tokens, unnest(range(0, CAST(ceil(greatest(len(tokens) - {INFER_WIDTH}, 0) / {_STEP}) * {_STEP} AS BIGINT) + 1, {_STEP})) AS st FROM t2),
+k AS (SELECT doc_id, st // {_STEP} AS chunk_no, tokens[st + 1 : st + {INFER_WIDTH}] AS chunk FROM c),
+l AS (SELECT doc_id, chunk_no, chunk,
+             least(list_position(start_logits, list_max(start_logits)), list_position(end_logits, list_max(end_logits))) - 1 AS ps,
+             greatest(list_position(start_logits, list_max(start_logits)), list_position(end_logits, list_max(end_logits))) - 1 AS pe
+      FROM k JOIN logits ON vec_id = (doc_id * 31 + chunk_no) % (SELECT count(*) FROM embeddings)),
+a AS (SELECT doc_id, chunk_no, chunk, ps, pe, unnest(range(6)) AS w FROM l),
+tried AS (
+  SELECT doc_id, chunk_no, w * 5 AS incre,
+         regexp_extract(array_to_string(chunk[greatest(ps - 5 * w * (w + 1) // 2, 0) + 1 : least(pe + 5 * w * (w + 1) // 2, len(chunk) - 1) + 1], ' '),
+                        '(?:insurance|finance|faq)_[0-9]+') AS m FROM a),
+best AS (SELECT doc_id, chunk_no, arg_min(m, incre) AS m FROM tried WHERE m <> '' GROUP BY doc_id, chunk_no)""") + """
+SELECT DISTINCT CAST(doc_id AS INTEGER) AS qid, CAST(split_part(m, '_', 2) AS INTEGER) AS retrieve FROM best""")
 def inference_answers(spark, d):
-    """The inference path end to end (X5 F26 F28 W4 F16 F17 P15 A2 P11):
-    questions (no truths) → contexts → 512-token character windows →
-    ``predict_batch_udf`` model hook (deterministic stub) → argmax spans,
-    swapped → widening search for a document id in the chunk text → best
-    (least widened) prediction per (qid, category, retrieve) → answers."""
-    qs = TB.questions(spark, d)
-    ds = qa.competition_dataset(qs, corpus=TB.corpus(spark, d), on_missing="fail")
-    f = fe.build_qa_features(ds, answer=None, max_length=INFER_MAX_LEN, overlap=WINDOW_OVERLAP)
-    n_real = F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x)
-    f = f.withColumn("chunk_tokens", F.slice("input_ids", 1, n_real))
-    ids = F.transform("input_ids", lambda t: F.when(t == "<pad>", F.lit(0))
-                      .otherwise((F.abs(F.xxhash64(t)) % INFER_VOCAB).cast("int")))
-    scored = hk.score_batches(f.withColumn("model_ids", ids), hk.hashing_stub_model(INFER_VOCAB),
-                              input_col="model_ids", seq_len=INFER_MAX_LEN)
-    decoded = dc.decode(scored, confidence=False)
-    preds = dc.widening_search(decoded, tokens="chunk_tokens", categories=TB.LANG_BY_MOD,
-                               detokenize=lambda t: F.array_join(t, ""))
-    preds = preds.select("qid", F.col("category_pred").alias("category"), "retrieve", "incre_num_by")
-    return co.collect_answers(preds)
+    """The inference path after the model (F26 F28 W4 F16 F17 P15 A2 P11):
+    64-token windows of each document, into which its id was planted; the
+    window's start and end logits (``embeddings``) → argmax spans, swapped →
+    widening search for a document id in the window → best (least widened)
+    prediction per (qid, category, retrieve) → answers."""
+    n = TB.table(spark, d, "embeddings").select(F.count(F.lit(1))).scalar()
+    windows = fe.token_windows(planted_tokens(spark, d).select("doc_id", "tokens"), "tokens", width=INFER_WIDTH, overlap=WINDOW_OVERLAP)
+    logits = TB.logits(spark, d).select("vec_id", "start_logits", "end_logits")
+    scored = windows.withColumn("vec_id", (F.col("doc_id") * 31 + F.col("chunk_no")) % n).join(logits, "vec_id")
+    preds = dc.widening_search(dc.decode(scored, confidence=False), tokens="chunk")
+    return co.collect_answers(preds.select(F.col("doc_id").alias("qid"), F.col("category_pred").alias("category"), "retrieve", "incre_num_by"))

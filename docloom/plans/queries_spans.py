@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import spans as sp
 from ..operators import decode as dc
 from ..operators import features as fe
 from . import oracle as O
@@ -56,7 +57,7 @@ def span_metrics(spark, d):
 WIDEN_STEP, WIDEN_LIMIT = 5, 20
 
 
-def _planted_tokens(spark, d):
+def planted_tokens(spark, d):
     t = _docs(spark, d).select("doc_id", fe.whitespace_tokens("text").alias("tk"))
     n = F.size("tk")
     p = ((F.col("doc_id") * 13) % n).cast("int")
@@ -82,5 +83,38 @@ SELECT doc_id, split_part(arg_min(m, incre), '_', 1) AS category_pred, split_par
        CAST(min(incre) AS INTEGER) AS incre_num_by
 FROM tried WHERE m <> '' GROUP BY doc_id""")
 def widening_search(spark, d):
-    out = dc.widening_search(_planted_tokens(spark, d), tokens="tokens", step=WIDEN_STEP, limit=WIDEN_LIMIT)
+    out = dc.widening_search(planted_tokens(spark, d), tokens="tokens", step=WIDEN_STEP, limit=WIDEN_LIMIT)
     return out.select("doc_id", "category_pred", "retrieve", "incre_num_by")
+
+
+@register("span_metrics_summary", O.with_(O.LOGITS, """p AS (
+  SELECT true_start, true_end,
+         least(list_position(start_logits, list_max(start_logits)), list_position(end_logits, list_max(end_logits))) - 1 AS ps,
+         greatest(list_position(start_logits, list_max(start_logits)), list_position(end_logits, list_max(end_logits))) - 1 AS pe,
+         ln(list_sum(list_transform(start_logits, lambda x: exp(CAST(x AS DOUBLE) - CAST(list_max(start_logits) AS DOUBLE))))) AS loss
+  FROM logits),
+s AS (
+  SELECT loss, greatest(0, least(pe, true_end) - greatest(ps, true_start) + 1) AS inter,
+         greatest(0, pe - ps + 1) AS lp, greatest(0, true_end - true_start + 1) AS lt,
+         CASE WHEN ps = true_start AND pe = true_end THEN 1.0 ELSE 0.0 END AS ex
+  FROM p)""") + """
+SELECT round(avg(CASE WHEN lp > 0 THEN inter / lp END), 6) AS precision, round(avg(CASE WHEN lt > 0 THEN inter / lt END), 6) AS recall,
+       round(avg(ex), 6) AS exact_match, count(*) AS n, round(avg(loss), 6) AS loss
+FROM s""")
+def span_metrics_summary(spark, d):
+    """A4: the one-row summary, with the mean loss (of the start's argmax)."""
+    out = dc.decode(TB.logits(spark, d)).withColumn("loss", -F.log("start_confidence"))
+    out = dc.span_metrics(out, loss="loss")
+    return out.select(*[F.round(c, 6).alias(c) for c in ("precision", "recall", "exact_match")], "n", F.round("loss", 6).alias("loss"))
+
+
+@register("match_mask", """WITH t AS (SELECT doc_id, string_split(text, ' ') AS tk FROM documents),
+m AS (SELECT doc_id, tk, list_filter(range(0, len(tk) - 1), lambda i: tk[i + 1] = tk[1] AND tk[i + 2] = tk[2]) AS s FROM t WHERE len(tk) > 1)
+SELECT doc_id, CAST(len(tk) AS BIGINT) AS n_tokens,
+       CAST(len(list_distinct(list_concat(s, list_transform(s, lambda i: i + 1)))) AS BIGINT) AS n_masked FROM m""")
+def match_mask(spark, d):
+    """F23 with ``return_mask``: tokens inside any occurrence of the document's first two."""
+    t = _docs(spark, d).select("doc_id", fe.whitespace_tokens("text").alias("tk")).where(F.size("tk") > 1)
+    mask = sp.match_mask(F.col("tk"), F.slice("tk", 1, 2))
+    return t.select("doc_id", F.size("tk").cast("long").alias("n_tokens"),
+                    F.size(F.filter(mask, lambda x: x)).cast("long").alias("n_masked"))

@@ -60,7 +60,16 @@ def slice_desc(spark, d):
     return sl.slice_rows(b, "qid", 5, 25, descending=True).select("qid", "question", "position")
 
 
-@register("hash_shuffle_batches")
+@register("slice_then_sort", """SELECT qid, question, CAST(row_number() OVER (ORDER BY qid DESC) - 1 AS BIGINT) AS position FROM (
+  SELECT item_id AS qid, text AS question, row_number() OVER (ORDER BY item_id) - 1 AS p FROM benchmark) WHERE p >= 5 AND p < 25""")
+def slice_then_sort(spark, d):
+    b = TB.table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
+    return sl.slice_then_sort(b, "qid", 5, 25, "qid").select("qid", "question", "position")
+
+
+@register("hash_shuffle_batches", """WITH k AS (SELECT doc_id, md5(CAST(doc_id AS VARCHAR) || ':42') AS shuffle_key FROM documents),
+r AS (SELECT *, row_number() OVER (ORDER BY shuffle_key) - 1 AS n FROM k)
+SELECT doc_id, shuffle_key, CAST(n // 16 AS BIGINT) AS batch_no, CAST(n % 16 AS BIGINT) AS pos_in_batch FROM r""")
 def hash_shuffle_batches(spark, d):
     docs = sl.seeded_shuffle(_docs(spark, d, balanced=False).select("doc_id"), "doc_id", seed=42)
     return sl.batch_numbers(docs, "shuffle_key", 16).select("doc_id", "shuffle_key", "batch_no", "pos_in_batch")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import shared_dir, spread
+from ..operators.ranks import range_partitions
 
 # Fixed values of the fixture mapping (shared with the oracle SQL).
 LANG_BY_MOD = ["en", "fr", "de", "es"]
@@ -20,10 +20,11 @@ CJK_26 = "一中文字人大小山水火木金土日月天地上下本票融資
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, balanced: bool = False) -> DataFrame:
-    """One driver table.  ``balanced`` spreads a scan with fewer splits than
-    cores before CPU-heavy per-row work (see ``session.spread``)."""
+    """One driver table.  The given files are one row group each, so one split;
+    ``balanced`` deals their rows round-robin over the session's shuffle
+    partitions, before CPU-heavy per-row work."""
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return spread(df) if balanced else df
+    return df.repartition(range_partitions(df)) if balanced else df
 
 
 def category_of(item_id) -> F.Column:
@@ -43,27 +44,28 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """benchmark → (qid, query, category, source).
+#: Neighbouring document ids that a question's candidates are taken from.
+IDS_PER_QUESTION = 32
+
 
-    ``source`` = every doc id (ascending) of the question's category with
-    ``doc_id % n_items = qid`` — no cap; null when there is none.  The
-    candidate count per question is the documents/questions ratio (about a
-    dozen at every scale factor), so the list stays small as tables grow."""
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents and benchmark → (qid, query, category, source).
+
+    Question ``qid`` stands for the documents with ``doc_id div 32 = qid``;
+    its category goes by ``qid % 4``, ``source`` lists the ids of that
+    category among them (all of them, ascending; null when there is none), and
+    its text is the benchmark item ``qid % n_items``.  So there are as many
+    questions as documents / 32, and a list has 32 ids at most, 8 on average,
+    at every scale factor."""
     b = table(spark, sf_dir, "benchmark")
     n_items = b.select(F.count(F.lit(1))).scalar()  # lazy scalar subquery, no driver round trip
-    q = b.select(F.col("item_id").alias("qid"), F.col("text").alias("query"),
-                 category_of("item_id").alias("category"))
-    docs = table(spark, sf_dir, "documents").select(
-        F.col("lang").alias("category"), "doc_id", (F.col("doc_id") % n_items).alias("qid"))
-    top = (docs.join(q.select("qid", "category"), ["qid", "category"], "inner")
-           .groupBy("qid", "category")
-           .agg(F.sort_array(F.collect_list("doc_id")).alias("source")))
-    qs = q.join(top, ["qid", "category"], "left").select("qid", "query", "category", "source")
-    # small (one row per question) and used several times downstream: cut its
-    # lineage with a reliable checkpoint in the shared checkpoint folder
-    shared_dir(spark, "checkpoints")
-    return qs.checkpoint(eager=True)
+    d = table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / IDS_PER_QUESTION).alias("qid"), "doc_id", "lang")
+    own = F.col("lang") == category_of("qid")
+    listed = (d.groupBy("qid").agg(F.sort_array(F.collect_list(F.when(own, F.col("doc_id")))).alias("source"))
+              .select("qid", category_of("qid").alias("category"),
+                      F.when(F.size("source") > 0, F.col("source")).alias("source"), (F.col("qid") % n_items).alias("item_id")))
+    return (listed.join(b.select("item_id", F.col("text").alias("query")), "item_id")
+            .select("qid", "query", "category", "source"))
 
 
 def truths(qs: DataFrame) -> DataFrame:

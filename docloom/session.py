@@ -46,11 +46,9 @@ def get_session(master: str | None = None, app: str = "docloom",
 
 
 def apply_defaults(spark: SparkSession) -> None:
+    """Set the library's defaults on a session; all of them are run-time settings."""
     for k, v in DEFAULT_CONF.items():
-        try:
-            spark.conf.set(k, v)
-        except Exception:  # static conf on a running session: leave it
-            pass
+        spark.conf.set(k, v)
 
 
 def shared_dir(spark: SparkSession, sub: str) -> str:
@@ -83,27 +81,13 @@ def fresh_dir(spark: SparkSession, sub: str) -> str:
     return shared_dir(spark, f"{sub}/{uuid.uuid4().hex}")
 
 
-def spread(df, factor: int = 2):
-    """Round-robin ``df`` over the cluster's cores when its scan yields fewer
-    splits than cores (one big row group, a handful of files).  A scan that
-    already has enough splits — the normal case for large inputs — is left
-    alone, so this never adds a shuffle at scale; it only matters before
-    CPU-heavy per-row work (regex cleaners, higher-order span searches)."""
-    par = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= par:
-        return df
-    return df.repartition(par * factor)
-
-
-def spread_by(df, *cols, factor: int = 2):
-    """Hash-partition ``df`` by ``cols`` into ``factor`` × cores partitions
-    before a CPU-heavy expansion (one row → many chunks, a model call per
-    chunk).  AQE sizes shuffle partitions by bytes, so a small-in-bytes table
-    (a QA set) can land in one partition and its expansion in one task; an
-    explicit partition count is not coalesced.  Meant for tables of the
-    question/example scale, not for the corpus."""
-    par = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(par * factor, *cols)
+def materialized(df, sub: str):
+    """``df`` written as Parquet into a new folder under ``shared_dir`` and
+    read back: computed once, its lineage cut, safe from lost executors."""
+    import uuid
+    path = f"{shared_dir(df.sparkSession, sub)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def checkpointed(df):

@@ -83,7 +83,7 @@ def documents_to_text(df: DataFrame, content: str = "content", parser: Callable
                     errs.append(None)
                 except Exception as e:  # noqa: BLE001
                     texts.append(None)
-                    errs.append(f"{type(e).__name__}: {e}"[:500])
+                    errs.append(f"{type(e).__name__}: {e}")
             out = pdf[keep].copy()
             out[name] = texts
             out["error"] = errs
@@ -93,30 +93,70 @@ def documents_to_text(df: DataFrame, content: str = "content", parser: Callable
 
 # ---------------------------------------------------------------- S9: charset
 
-DEFAULT_CANDIDATES = ("utf-8", "utf-16", "big5", "gb18030", "cp1252", "latin-1")
+DEFAULT_CANDIDATES = ("big5", "gb18030", "shift_jis", "cp1252")
+BYTE_ORDER_MARKS = ((b"\xef\xbb\xbf", "utf-8-sig"), (b"\xff\xfe\x00\x00", "utf-32"), (b"\x00\x00\xfe\xff", "utf-32"),
+                    (b"\xff\xfe", "utf-16"), (b"\xfe\xff", "utf-16"))
+
+
+def _commonness(text: str) -> float:
+    """How usual a decoded text looks, per character: common CJK, kana, ASCII
+    text and Latin letters count for it, controls and rare planes against."""
+    score = 0.0
+    for c in text:
+        o = ord(c)
+        if c in "\t\n\r" or 32 <= o < 127 or 0x3000 <= o <= 0x30FF or 0xFF00 <= o <= 0xFF5E:
+            score += 1.0
+        elif 0x4E00 <= o <= 0x9FFF:
+            # the characters of the first plane of the double-byte sets are the common ones
+            score += 1.0 if b"\xa4\x40" <= c.encode("big5", "replace") <= b"\xc6\x7e" else 0.4
+        elif 0xC0 <= o <= 0x24F:
+            score += 0.6
+        elif o < 32 or 0x7F <= o < 0xA0 or 0xE000 <= o <= 0xF8FF or o >= 0x20000:
+            score -= 2.0
+    return score / max(1, len(text))
 
 
 def _decode_any(b: bytes | None, candidates: Sequence[str]) -> tuple[str | None, str | None, bool]:
+    """(text, encoding, ok).  A byte-order mark decides; text without one that
+    holds NUL bytes is not text; else the candidate that decodes strictly to
+    the most usual text (the earlier one of equals)."""
     if b is None:
         return None, None, False
-    for enc in candidates:
+    b = bytes(b)
+    for mark, enc in BYTE_ORDER_MARKS:
+        if b.startswith(mark):
+            try:
+                return b.decode(enc), enc, True
+            except UnicodeDecodeError:
+                return None, None, False
+    if b"\0" in b:
+        return None, None, False
+    best: tuple[float, str | None, str | None] = (0.0, None, None)
+    for enc in ("utf-8", *candidates):
         try:
-            return bytes(b).decode(enc), enc, True
+            text = b.decode(enc)
         except (UnicodeDecodeError, LookupError):
             continue
-    return None, None, False
+        if enc == "utf-8":
+            return text, enc, True
+        if (s := _commonness(text)) > best[0]:
+            best = (s, text, enc)
+    return best[1], best[2], best[1] is not None
 
 
 def normalize_charset(df: DataFrame, data: str = "content", candidates: Sequence[str] = DEFAULT_CANDIDATES,
                       keep: Sequence[str] = ("path",)) -> DataFrame:
     """Bytes → UTF-8 text with the encoding used and an ``ok`` flag.
 
-    Rows that are valid UTF-8 are decoded in the JVM; only the rest go to an
-    Arrow hook that tries ``candidates`` in order (a JVM ``decode`` would
-    fail the whole task on one malformed row).  Returns new columns instead
-    of rewriting the source files."""
+    Rows that are valid UTF-8, without NUL or a byte-order mark, are decoded
+    in the JVM; only the rest go to an Arrow hook (a JVM ``decode`` would fail
+    the whole task on one malformed row).  UTF-16 and UTF-32 need a byte-order
+    mark; of ``candidates`` the one wins whose text looks most usual; bytes
+    that none decodes have ``ok`` false.  Returns new columns instead of
+    rewriting the source files."""
     keep = list(keep)
-    valid = F.is_valid_utf8(F.col(data).cast("string"))
+    text = F.col(data).cast("string")
+    valid = F.is_valid_utf8(text) & ~text.contains("\0") & ~text.startswith("\ufeff")
     jvm = (df.where(valid)
            .select(*keep, F.col(data).cast("string").alias("text"),
                    F.lit("utf-8").alias("encoding"), F.lit(True).alias("ok")))
@@ -144,13 +184,15 @@ def transform_nodes(nodes: DataFrame, fn: Callable[[str], str] | Callable[[Colum
     """Apply a text callback to every node of an exploded document tree.
 
     Group nodes are left alone unless ``with_groups``; nodes under a picture
-    are dropped from the walk unless ``traverse_pictures`` (the flags reach
-    every level, Q13).  ``fn`` is either a Column function (JVM, preferred)
+    keep their text unless ``traverse_pictures`` (which needs the column
+    ``under_picture``; see ``walk_tree``).  No node is dropped.  ``fn`` is either a Column function (JVM, preferred)
     or a plain Python ``str -> str`` run in Arrow batches."""
     touch = F.lit(True) if with_groups else (F.col(kind) != "group")
     df = nodes
-    if not traverse_pictures and "under_picture" in nodes.columns:
-        df = df.where(~F.col("under_picture"))
+    if not traverse_pictures:
+        if "under_picture" not in nodes.columns:
+            raise ValueError("traverse_pictures=False needs the column under_picture (walk_tree)")
+        touch = touch & ~F.coalesce(F.col("under_picture"), F.lit(False))
     if is_column_fn:
         new = fn(F.col(text))
     else:
@@ -163,6 +205,26 @@ def transform_nodes(nodes: DataFrame, fn: Callable[[str], str] | Callable[[Colum
     return df.withColumn(text, F.when(touch & F.col(text).isNotNull(), new).otherwise(F.col(text)))
 
 
+def walk_tree(nodes: DataFrame, node: str = "node_id", parent: str = "parent_id", kind: str = "kind",
+              doc: str = "doc_id", picture: str = "picture") -> DataFrame:
+    """The tree walk: ``nodes`` with ``level`` (0 at a root) and
+    ``under_picture`` (some ancestor is a picture).  Level by level: each round
+    joins the nodes whose parent was reached in the round before, so there are
+    as many rounds as the deepest tree has levels.  Nodes whose parents lead to
+    no root are left out of the walk: their level is NULL."""
+    from ..session import materialized
+    reached = materialized(nodes.where(F.col(parent).isNull()).select(doc, node, F.lit(0).alias("level"), F.lit(False).alias("under_picture"),
+                                                                      (F.col(kind) == picture).alias("_pic")), "tree")
+    layer, level = reached, 0
+    while not layer.isEmpty():
+        level += 1
+        up = layer.select(doc, F.col(node).alias(parent), (F.col("under_picture") | F.col("_pic")).alias("under_picture"))
+        layer = materialized(nodes.select(doc, node, parent, kind).join(up, [doc, parent]).select(
+            doc, node, F.lit(level).alias("level"), "under_picture", (F.col(kind) == picture).alias("_pic")), "tree")
+        reached = reached.unionByName(layer)
+    return nodes.join(reached.select(doc, node, "level", "under_picture"), [doc, node], "left")
+
+
 def map_batches(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
     """A user batch function over Arrow batches (``mapInPandas``)."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -178,8 +240,9 @@ def score_batches(df: DataFrame, make_predict_fn: Callable, input_col: str = "in
     """Batch model scoring with ``predict_batch_udf``: ``make_predict_fn``
     loads the model once per Python worker and returns ``fn(ids ndarray) ->
     {"start_logits": ndarray, "end_logits": ndarray}``.  With ``seq_len`` the
-    inputs are fitted to that length in the JVM first (padded with
-    ``pad_id`` or cut), so every batch is one fixed-shape tensor."""
+    inputs are padded to that length in the JVM first (with ``pad_id``), so
+    every batch is one fixed-shape tensor; a longer input raises: windows
+    (``features.token_windows``) are how long inputs are scored whole."""
     from pyspark.ml.functions import predict_batch_udf
     from pyspark.sql import types as T
 
@@ -191,23 +254,9 @@ def score_batches(df: DataFrame, make_predict_fn: Callable, input_col: str = "in
                             input_tensor_shapes=[[seq_len]] if seq_len else None)
     x = F.col(input_col)
     if seq_len:
-        x = pad_to(F.slice(x, 1, seq_len), F.lit(seq_len), pad_id)
+        x = F.when(F.size(x) > seq_len, F.raise_error(F.concat(
+            F.lit("input of "), F.size(x).cast("string"), F.lit(f" tokens is longer than seq_len {seq_len}")))).otherwise(
+            pad_to(x, F.lit(seq_len), pad_id))
     return df.withColumn("_logits", udf(x)) \
         .withColumn("start_logits", F.col("_logits.start_logits")) \
         .withColumn("end_logits", F.col("_logits.end_logits")).drop("_logits")
-
-
-def hashing_stub_model(vocab: int = 1 << 16, seed: int = 7):
-    """Deterministic stand-in model for tests and the bench: logits are a
-    fixed function of token id and position (no weights, no network)."""
-    import numpy as np
-
-    def make():
-        def predict(ids):
-            a = np.asarray(ids, dtype=np.int64)
-            pos = np.arange(a.shape[1])[None, :]
-            s = np.sin((a * 2654435761 + seed) % vocab + pos).astype(np.float32)
-            e = np.cos((a * 40503 + seed) % vocab - pos).astype(np.float32)
-            return {"start_logits": s, "end_logits": e}
-        return predict
-    return make

@@ -8,7 +8,6 @@ from pyspark.sql import types as T
 
 from .. import schemas as S
 
-PREDICTION_GLOB = "qid*checkpoint*.json"
 EXCLUDE_MARKER = "pred_retrieve"
 
 
@@ -32,6 +31,14 @@ def read_json_lines(spark: SparkSession, path: str, elem: T.StructType) -> DataF
     return spark.read.schema(elem).json(path)
 
 
+def read_wrapped_lines(spark: SparkSession, path: str, root: str, elem: T.StructType) -> DataFrame:
+    """S4 for documents of ``sinks.write_wrapped_json``: the frame is taken off
+    each line, so the folder is read in parallel."""
+    body = F.regexp_replace("value", r"^(\{\"" + root + r"\": \[|,)|\]\}$", "")
+    return (spark.read.text(path).select(body.alias("value")).where(F.length("value") > 0)
+            .select(F.from_json("value", elem).alias("r")).select("r.*"))
+
+
 def read_questions(spark: SparkSession, path: str) -> DataFrame:
     return read_wrapped_json(spark, path, "questions", S.QUESTION)
 
@@ -60,7 +67,7 @@ def read_predictions(spark: SparkSession, path: str, checkpoint: int | None = No
     a batch read or as a file-source stream (then writers must add files
     atomically under new names)."""
     r = spark.readStream if stream else spark.read
-    r = r.schema(S.PREDICTION).option("pathGlobFilter", "*.json").option("recursiveFileLookup", True)
+    r = r.schema(S.PREDICTION).option("pathGlobFilter", "*.{json,txt}").option("recursiveFileLookup", True)
     if not json_lines:
         r = r.option("multiLine", True)
     if stream and max_files_per_trigger:
@@ -68,8 +75,9 @@ def read_predictions(spark: SparkSession, path: str, checkpoint: int | None = No
     df = r.json(path)
     name = F.col("_metadata.file_name")
     fpath = F.col("_metadata.file_path")
-    ck = F.coalesce(F.regexp_extract(name, r"^qid.+checkpoint([0-9]+)\.json$", 1),
-                    F.lit(""))
+    # the file's name, or that of its folder where a sink made the folder the file
+    own = F.coalesce(F.nullif(F.regexp_extract(fpath, r"/file=(qid[^/]+\.json)/[^/]+$", 1), F.lit("")), name)
+    ck = F.regexp_extract(own, r"^qid.+checkpoint([0-9]+)\.json$", 1)
     ck = F.when(ck != "", ck).otherwise(
         F.nullif(F.regexp_extract(fpath, r"/checkpoint=([0-9]+)/", 1), F.lit("")))
     out = (df.withColumn("checkpoint", ck.cast("int"))

@@ -8,6 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as tx
+from ..operators.ranks import rank_within
+
 log = logging.getLogger(__name__)
 
 
@@ -34,6 +37,22 @@ def materialize(spark: SparkSession, build: Callable[[], DataFrame], path: str,
     return spark.read.parquet(path)
 
 
+def write_prediction_files(df: DataFrame, path: str, qid: str = "qid", iteration: str = "iteration",
+                           checkpoint: str = "checkpoint") -> None:
+    """S10/F22 under the reference's names: one JSON-array file
+    ``qid{q}_iter{i}_checkpoint{n}.json`` for each (qid, iteration, checkpoint),
+    its rows sorted.  Spark names part files itself, so each file is a folder of
+    that name with one part; ``readers.read_predictions`` goes by the folder.
+    A file holds one question's predictions of one iteration, as in the
+    reference; null keys make no file."""
+    cols = [c for c in df.columns if c not in (iteration, checkpoint)]
+    name = tx.prediction_file_name(F.col(qid).cast("long"), F.col(iteration).cast("long"), F.col(checkpoint).cast("long"))
+    (df.withColumn("file", name).where(F.col("file").isNotNull())
+     .groupBy("file").agg(F.array_sort(F.collect_list(F.struct(*cols))).alias("rows"))
+     .select("file", F.to_json("rows", {"ignoreNullFields": "false"}).alias("value"))
+     .repartition("file").write.mode("append").partitionBy("file").text(path))
+
+
 def write_prediction_batches(df: DataFrame, path: str, batch_col: str = "batch_no",
                              checkpoint_col: str = "checkpoint") -> None:
     """Predictions as JSON lines, one folder per (checkpoint, batch) and
@@ -44,21 +63,21 @@ def write_prediction_batches(df: DataFrame, path: str, batch_col: str = "batch_n
      .write.mode("append").partitionBy(checkpoint_col, batch_col).json(path))
 
 
-def write_wrapped_json(df: DataFrame, path: str, root: str, order: list[str],
-                       max_rows: int = 1_000_000) -> None:
-    """S11 for small results: a single ``{"<root>": [...]}`` document, rows
-    sorted by ``order``.  One document means one writer task, so the row
-    count is checked first and anything above ``max_rows`` is refused: use
-    ``write_sorted_json_lines`` for large outputs."""
-    n = df.count()
-    if n > max_rows:
-        raise ValueError(f"{n} rows is too many for one JSON document; use write_sorted_json_lines")
-    cols = df.columns
-    key = F.struct(*[F.col(c) for c in order], *[F.col(c) for c in cols if c not in order])
-    body = (df.groupBy().agg(F.sort_array(F.collect_list(F.struct(key.alias("k"), F.struct(*cols).alias("v"))))
-                             .alias("rows"))
-            .select(F.to_json(F.struct(F.transform("rows", lambda r: r["v"]).alias(root))).alias("value")))
-    body.coalesce(1).write.mode("overwrite").text(path)
+def write_wrapped_json(df: DataFrame, path: str, root: str, order: list[str]) -> None:
+    """One ``{"<root>": [...]}`` document, rows sorted by ``order``, written
+    by all tasks: each row is a line, the first opens the document, the others
+    start with a comma, the last closes it.  The part files in order of their
+    names, one after the other, are the document (``hadoop fs -getmerge``), and
+    ``readers.read_wrapped_lines`` reads the folder as it is, in parallel."""
+    spark = df.sparkSession
+    key = F.struct(*[F.col(c) for c in order], F.to_json(F.struct(*df.columns)).alias("row"))
+    rows = rank_within(df.select(key.alias("k"), F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("row")), "k", name="n")
+    total = rows.select(F.count(F.lit(1))).scalar()
+    line = F.concat(F.when(F.col("n") == 0, F.lit(f'{{"{root}": [')).otherwise(F.lit(",")), F.col("row"),
+                    F.when(F.col("n") == total - 1, F.lit("]}")).otherwise(F.lit("")))
+    none = spark.range(1).where(total == 0).select(F.lit(f'{{"{root}": []}}').alias("value"), F.lit(0).cast("long").alias("n"))
+    (rows.select(line.alias("value"), "n").unionByName(none).orderBy("n").select("value")
+     .write.mode("overwrite").text(path))
 
 
 def write_sorted_json_lines(df: DataFrame, path: str, order: list[str]) -> None:

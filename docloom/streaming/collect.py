@@ -105,9 +105,3 @@ def dedup_within_watermark(stream: DataFrame, event_time: str, delay: str,
     ``timestamp`` first (the watermark rejects them)."""
     s = stream.withColumn(event_time, F.col(event_time).cast("timestamp"))
     return s.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(list(subset))
-
-
-def project_stream(stream: DataFrame, fn: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """A stateless map over a stream (any DataFrame → DataFrame function
-    of this library that needs no shuffle)."""
-    return fn(stream)

@@ -4,6 +4,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from docloom.functions import spans as sp
+from docloom.functions import text as tx
 from docloom.operators import collect as co
 from docloom.operators import features as fe
 from docloom.operators import splits
@@ -22,17 +23,24 @@ def test_span_ids(spark):
     assert [r[0] for r in df.select(sp.span_ids("s", "e")).collect()] == [[2, 3, 4, 5], []]
 
 
-def test_first_chunk_only(spark):
+def test_all_windows_of_one_example(spark):
     df = spark.createDataFrame([(list(range(9)),)], "t array<int>")
-    assert fe.token_windows(df, "t", width=5, overlap=2).count() == 3
-    out = fe.token_windows(df, "t", width=5, overlap=2, first_chunk_only=True).collect()
-    assert len(out) == 1 and out[0].chunk == [0, 1, 2, 3, 4]
+    assert [r.chunk for r in fe.token_windows(df, "t", width=5, overlap=2).collect()] == [
+        [0, 1, 2, 3, 4], [3, 4, 5, 6, 7], [6, 7, 8]]
 
 
-def test_project_stream_and_map_batches(spark):
+def test_stateless_map_over_a_stream(spark, tmp_dir):
+    """The library's row functions are DataFrame functions; on a stream as on a table."""
+    spark.createDataFrame([("中 文",), ("a b",)], "text string").write.mode("overwrite").parquet(tmp_dir + "/in")
+    stream = spark.readStream.schema("text string").parquet(tmp_dir + "/in")
+    q = (stream.select(tx.despace_cjk("text").alias("text")).writeStream.trigger(availableNow=True)
+         .option("checkpointLocation", tmp_dir + "/ck").format("parquet").option("path", tmp_dir + "/out").start())
+    q.awaitTermination()
+    assert sorted(r.text for r in spark.read.parquet(tmp_dir + "/out").collect()) == ["a b", "中文"]
+
+
+def test_map_batches(spark):
     df = spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string")
-    out = sc.project_stream(df, lambda d: d.withColumn("v", F.upper("v")))
-    assert sorted(r.v for r in out.collect()) == ["A", "B"]
 
     def double(pdf: pd.DataFrame) -> pd.DataFrame:
         return pdf.assign(k=pdf.k * 2)

@@ -1,4 +1,4 @@
-"""Session helpers: shared folder, checkpoints, spreading."""
+"""Session helpers: shared folder, checkpoints."""
 
 import os
 
@@ -16,11 +16,6 @@ def test_shared_dir_and_checkpointed(spark):
     assert c.count() == 10 and "ExistingRDD" in c._jdf.queryExecution().executedPlan().toString()
 
 
-def test_spread(spark):
-    one = spark.range(100).coalesce(1)
-    par = spark.sparkContext.defaultParallelism
-    assert S.spread(one).rdd.getNumPartitions() == 2 * par
-    many = spark.range(100).repartition(par + 1)
-    assert S.spread(many).rdd.getNumPartitions() == par + 1
-    assert S.spread_by(one, "id").rdd.getNumPartitions() == 2 * par
-    assert sorted(r.id for r in S.spread_by(one, "id").collect()) == list(range(100))
+def test_materialized_is_read_back_from_the_shared_folder(spark):
+    df = S.materialized(spark.range(10), "m")
+    assert df.count() == 10 and spark.conf.get("spark.checkpoint.dir") in df.inputFiles()[0]

@@ -3,6 +3,8 @@
 import json
 import os
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from docloom import schemas as S
@@ -46,8 +48,16 @@ def test_wrapped_answers_and_run_config(spark, tmp_dir):
     df = spark.createDataFrame([(2, 5), (1, 9)], "qid int, retrieve int")
     out = os.path.join(tmp_dir, "answers")
     sk.write_wrapped_json(df, out, "answers", ["qid"])
-    txt = spark.read.text(out).first()[0]
-    assert json.loads(txt) == {"answers": [{"qid": 1, "retrieve": 9}, {"qid": 2, "retrieve": 5}]}
+    def document(path):
+        parts = sorted(x for x in os.listdir(path) if x.startswith("part-"))
+        return json.loads("".join(open(os.path.join(path, x)).read() for x in parts))
+    assert document(out) == {"answers": [{"qid": 1, "retrieve": 9}, {"qid": 2, "retrieve": 5}]}
+    assert sorted(tuple(r) for r in rd.read_wrapped_lines(spark, out, "answers", df.schema).collect()) == [(1, 9), (2, 5)]
+    many = spark.range(500).selectExpr("cast(500 - id as int) AS qid", "cast(id as int) AS retrieve").repartition(7)
+    sk.write_wrapped_json(many, out, "answers", ["qid"])
+    assert [x["qid"] for x in document(out)["answers"]] == list(range(1, 501))
+    sk.write_wrapped_json(many.where("false"), out, "answers", ["qid"])
+    assert document(out) == {"answers": []} and rd.read_wrapped_lines(spark, out, "answers", df.schema).count() == 0
     rid = sk.write_run_config(spark, {"lr": 0.1, "bs": 2}, os.path.join(tmp_dir, "cfg"))
     assert len(rid) == 64
 
@@ -76,6 +86,18 @@ def test_parser_errors_are_rows(spark):
     assert got[1] == ("OK", None) and got[2][0] is None and "bad pdf" in got[2][1]
 
 
+def test_charset_cases(spark):
+    big5 = "財務報告書說明公司資產與負債的情況"
+    cases = [(big5.encode("big5"), big5, "big5", True), ("这是简体中文的说明书".encode("gb18030"), "这是简体中文的说明书", "gb18030", True),
+             ("plain".encode("utf-16"), "plain", "utf-16", True), ("plain".encode("utf-16-le"), None, None, False),
+             ("\ufeffmark".encode(), "mark", "utf-8-sig", True), ("naïve café".encode("cp1252"), "naïve café", "cp1252", True),
+             (b"\xff\xfe\x00", None, None, False), (b"\x81\x00", None, None, False), (None, None, None, False), (b"", "", "utf-8", True)]
+    cases += [(w.encode("big5"), w, "big5", True) for w in ("保險", "金融", "問題", "答案", "資料", "公司", "股票", "銀行")]
+    df = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "id long, content binary")
+    got = {r.id: (r.text, r.encoding, r.ok) for r in hk.normalize_charset(df, keep=("id",)).collect()}
+    assert got == {i: c[1:] for i, c in enumerate(cases)}
+
+
 def test_charset(spark):
     df = spark.createDataFrame([(1, "café".encode("utf-8")), (2, "café".encode("latin-1"))], "id long, content binary")
     got = {r.id: (r.text, r.encoding, r.ok) for r in hk.normalize_charset(df, keep=("id",), candidates=("cp1252",)).collect()}
@@ -92,9 +114,42 @@ def test_transform_nodes(spark):
 
 
 def test_score_batches(spark):
-    df = spark.createDataFrame([([1, 2, 3, 4],), ([5, 6, 7, 8],)], "input_ids array<int>")
-    out = hk.score_batches(df, hk.hashing_stub_model(), seq_len=4).collect()
-    assert all(len(r.start_logits) == 4 and len(r.end_logits) == 4 for r in out)
+    def echo_model():
+        """Stands for a user's model: the ids as start logits, negated as end logits."""
+        def predict(ids):
+            import numpy as np
+            x = np.asarray(ids, dtype=np.float32)
+            return {"start_logits": x, "end_logits": -x}
+        return predict
+    df = spark.createDataFrame([([1, 2, 3, 4],), ([5, 6],)], "input_ids array<int>")
+    out = sorted(r.start_logits for r in hk.score_batches(df, echo_model, seq_len=4).collect())
+    assert out == [[1, 2, 3, 4], [5, 6, 0, 0]]
+    with pytest.raises(Exception, match="longer than seq_len"):
+        hk.score_batches(df, echo_model, seq_len=3).collect()
+
+
+def test_tree_walk_and_pictures(spark):
+    nodes = spark.createDataFrame([(1, 1, None, "group", "a b"), (1, 2, 1, "picture", "c d"), (1, 3, 2, "group", "e f"), (1, 4, 3, "text", "g h"),
+                                   (1, 5, 1, "text", "i j"), (2, 1, None, "text", "k l"), (2, 9, 8, "text", "lost")],
+                                  "doc_id long, node_id long, parent_id long, kind string, text string")
+    walked = hk.walk_tree(nodes)
+    assert sorted((r.doc_id, r.node_id, r.level, r.under_picture) for r in walked.where("level IS NOT NULL").collect()) == [
+        (1, 1, 0, False), (1, 2, 1, False), (1, 3, 2, True), (1, 4, 3, True), (1, 5, 1, False), (2, 1, 0, False)]
+    assert walked.count() == 7
+    out = hk.transform_nodes(walked, lambda c: F.replace(c, F.lit(" "), F.lit("")), traverse_pictures=False)
+    assert {r.text for r in out.collect()} == {"a b", "cd", "e f", "g h", "ij", "kl", "lost"}
+    with pytest.raises(ValueError):
+        hk.transform_nodes(nodes, F.upper, traverse_pictures=False)
+
+
+def test_named_prediction_files(spark, tmp_dir):
+    df = spark.createDataFrame([(1, "faq", "7", 0, 0, 120), (1, "faq", "8", 5, 0, 120), (2, "finance", None, 5, 1, 480)],
+                               "qid long, category string, retrieve string, incre_num_by int, iteration int, checkpoint int")
+    sk.write_prediction_files(df, tmp_dir + "/p")
+    assert sorted(x for x in os.listdir(tmp_dir + "/p") if x.startswith("file=")) == [
+        "file=qid1_iter0_checkpoint120.json", "file=qid2_iter1_checkpoint480.json"]
+    got = sorted((r.qid, r.retrieve or "", r.checkpoint) for r in rd.read_predictions(spark, tmp_dir + "/p").collect())
+    assert got == [(1, "7", 120), (1, "8", 120), (2, "", 480)]
 
 
 def test_cyclic_batch(spark):

@@ -127,3 +127,5 @@ def test_random_equivalence(spark):
 def test_render(spark):
     df = spark.createDataFrame([("q%1",)], "q string")
     assert df.select(tx.render("A {q} B 100%", q="q")).first()[0] == "A q%1 B 100%"
+    assert df.select(tx.render("A {q}", q=F.lit(None).cast("string"))).first()[0] is None
+    assert df.select(tx.first_doc_id(F.lit("see faq_１２ there"))).first()[0] == "faq_１２"
