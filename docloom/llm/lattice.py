@@ -30,9 +30,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .lexicon import _parts, bucketed, numbered, pack, plain_words, read_blocks, returned
+from .lexicon import bucketed, numbered, pack, plain_words, read_blocks, returned
 from .pieces import MODEL_FILE, load_pieces
-from .tables import saved
 
 GO_ON = 0.75
 #: Weight of the vocabulary's own scores against the expected counts.
@@ -201,9 +200,9 @@ def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text: st
     which ``learn`` (over ``id``) holds."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     rows = rows.select("id", F.coalesce(learn, F.lit(False)).alias("learn"), "text")
-    blocks = pack(rows, plain_words)
-    words = saved(numbered(blocks), "words")
-    ends = blocks.agg(F.sum(F.size(F.filter("learn", lambda x: x))).alias("n")).first().n or 0
+    packed = pack(rows, plain_words)
+    words = numbered(packed)
+    ends = packed.blocks.agg(F.sum(F.size(F.filter("learn", lambda x: x))).alias("n")).first().n or 0
     seen = words.where("learnt > 0").agg(F.sum("learnt").alias("n"), F.count(F.lit(1)).alias("v"),
                                          F.sum((F.col("learnt") == 1).cast("long")).alias("once")).first()
     n, v, alpha = (seen.n or 0) + ends, seen.v + (ends > 0), float(max(1, seen.once or 0))
@@ -216,8 +215,8 @@ def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text: st
             log = np.where(c > 0, np.log(np.maximum(c, 1) + alpha * np.exp(base)), np.log(alpha) + base) - np.log(n + alpha)
             yield pa.record_batch([b.column(0), b.column(1), b.column(3), pa.array(log / np.log(10))], ["bucket", "word_id", "learnt", "log10"])
 
-    valued = bucketed(words.select("bucket", "word_id", "word", "learnt").mapInArrow(probabilities, "bucket int, word_id long, learnt long, log10 double")
-                      .repartition(_parts(words), "bucket"), "bucket")
+    valued = bucketed(words.select("bucket", "word_id", "word", "learnt")
+                      .mapInArrow(probabilities, "bucket int, word_id long, learnt long, log10 double"), "bucket", packed.parts)
     kind = "c array<long>, p array<double>"
     pick = lambda t, at: {"c": t["learnt"].to_numpy()[at], "p": t["log10"].to_numpy()[at]}
     end_log = float(np.log10((ends + alpha * END) / (n + alpha)))
@@ -235,6 +234,6 @@ def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text: st
                  pa.array(add(logs) + end_log)],
                 ["id", "learn", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return (returned(blocks, valued, kind, pick)
+    return (returned(packed, valued, kind, pick)
             .mapInArrow(sums, "id long, learn boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
             .withColumnRenamed("id", id_col))

@@ -4,13 +4,13 @@ Documents are packed into blocks of bounded size: each block keeps its distinct
 words and, in place of the texts, numbers of words.  Something is then computed
 once for each distinct word of the corpus (its count, its score, its pieces),
 and comes back to the blocks.  What is shuffled is a block's distinct words,
-not its tokens, and no word is a hot key: it comes once from each block.
+once, not its tokens; no word is a hot key: it comes once from each block.
 
-* ``pack``: documents to blocks, written as a table bucketed by block, so that
-  the blocks themselves are never shuffled.
-* ``slices``: a block's words by hash bucket, with their counts.
+* ``pack``: documents to blocks, a table bucketed by block that is never
+  shuffled; and, by hash bucket of words, a table of the bucket's distinct words
+  in order and of each block's places among them.
 * ``numbered``: the distinct words of the corpus; a word's number holds its
-  bucket and its place among the bucket's words in order.
+  bucket and its place.
 * ``returned``: values by word number, back in each block's order.
 """
 
@@ -29,7 +29,7 @@ from ..session import shared_dir
 from .words import _BASE, LOWER, NON_SPACE, SAME, SLICE_BYTES, Slice, _runs, batches, scan
 
 #: Words of a block at most (but for a longer text, which is a block of its own).
-BLOCK_WORDS = 1_500_000
+BLOCK_WORDS = 2_500_000
 #: Rows for each hash bucket of words.
 BUCKET_ROWS = 512
 PLACE_BITS = 40
@@ -117,10 +117,19 @@ _BLOCK = ("block long, ids array<long>, learn array<boolean>, sizes array<int>,
           "parts array<struct<bucket:int,letters:string,widths:array<int>,counts:array<int>,learnt:array<int>>>")
 
 
-def pack(docs: DataFrame, split: Splitter, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Blocks of ``docs`` (id long, learn boolean, text string)."""
-    rows = docs.count()
-    buckets = 1 << max(5, int(np.ceil(np.log2(max(1, rows) / BUCKET_ROWS))))
+@dataclass
+class Packed:
+    """``blocks`` (bucketed by block); ``table`` (bucketed by bucket): a row for
+    each bucket with its words, and a row (block, places) for each block with
+    words there; ``parts``: how many parts the tables by bucket have."""
+    blocks: DataFrame
+    table: DataFrame
+    parts: int
+
+
+def pack(docs: DataFrame, split: Splitter, block_words: int = BLOCK_WORDS) -> Packed:
+    """``docs`` (id long, learn boolean, text string) in blocks."""
+    buckets = 1 << max(5, int(np.ceil(np.log2(max(1, docs.count()) / BUCKET_ROWS))))
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -141,27 +150,21 @@ def pack(docs: DataFrame, split: Splitter, block_words: int = BLOCK_WORDS) -> Da
         if parts:
             yield _block(parts, ids, learn, task << 32 | made, buckets)
 
-    return bucketed(docs.select("id", "learn", "text").mapInArrow(run, _BLOCK), "block")
+    blocks = bucketed(docs.select("id", "learn", "text").mapInArrow(run, _BLOCK), "block",
+                      int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    slices = blocks.select("block", F.inline("parts"))
+    return Packed(blocks, bucketed(slices.groupBy("bucket").applyInArrow(_placed, _TABLE), "bucket", buckets // 2), buckets // 2)
 
 
-def _parts(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
-def bucketed(df: DataFrame, key: str) -> DataFrame:
-    """``df`` as a table in the shared folder, bucketed by ``key``: joins and
-    groupings by it don't shuffle it again."""
+def bucketed(df: DataFrame, key: str, parts: int) -> DataFrame:
+    """``df`` as a table in the shared folder, in ``parts`` buckets by ``key``:
+    joins and groupings by it don't shuffle it again."""
     spark, name = df.sparkSession, f"llm_{key}_{uuid.uuid4().hex}"
-    (df.write.format("parquet").bucketBy(_parts(df), key).option("compression", "zstd")
+    (df.write.format("parquet").bucketBy(parts, key).option("compression", "zstd")
      .option("path", f"{shared_dir(spark, 'llm')}/{name}").saveAsTable(name))
     return spark.table(name)
 
 
-def slices(blocks: DataFrame) -> DataFrame:
-    """block, bucket, letters, widths, counts, learnt."""
-    return blocks.select("block", F.inline("parts"))
-
-
 def _gathered(lists: pa.ChunkedArray) -> tuple[np.ndarray, pa.Array]:
     """(sizes, all values) of a column of lists."""
     lists = lists.combine_chunks()
@@ -179,41 +182,52 @@ def _ordered(words: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return coded.dictionary.take(pa.array(order)), place[coded.indices.to_numpy()]
 
 
-def numbered(blocks: DataFrame, counts: bool = True) -> DataFrame:
-    """bucket, word_id and word of each distinct word, and count and learnt
-    (with ``counts``)."""
-    sums = ["counts", "learnt"] if counts else []
+_TABLE = "bucket int, block long, places array<int>, words array<string>, count array<long>, learnt array<long>"
+
 
-    def run(key: tuple, t: pa.Table) -> pa.Table:
-        words, place = _ordered(_words(t["letters"].combine_chunks(), _gathered(t["widths"])[1]))
-        total = lambda c: np.bincount(place, _gathered(t[c])[1].to_numpy(), len(words)).astype(np.int64)
-        return pa.table({"bucket": pa.array(np.full(len(words), key[0].as_py()), pa.int32()),
-                         "word_id": (key[0].as_py() << PLACE_BITS) + np.arange(len(words)), "word": words.cast(pa.string()),
-                         **{c.rstrip("s"): total(c) for c in sums}})
+def _placed(key: tuple, t: pa.Table) -> pa.Table:
+    """The rows of one bucket: its words, and each block's places among them."""
+    sizes, widths = _gathered(t["widths"])
+    words, place = _ordered(_words(t["letters"].combine_chunks(), widths))
+    total = lambda c: np.bincount(place, _gathered(t[c])[1].to_numpy(), len(words)).astype(np.int64)
+    cuts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    places = pa.ListArray.from_arrays(pa.array(cuts), pa.array(place.astype(np.int32)))
+    n = len(sizes)
+    own = lambda x, kind: pa.concat_arrays([pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), x), pa.nulls(n, pa.list_(kind))])
+    return pa.table({
+        "bucket": pa.array(np.full(n + 1, key[0].as_py()), pa.int32()),
+        "block": pa.concat_arrays([pa.nulls(1, pa.int64()), t["block"].combine_chunks()]),
+        "places": pa.concat_arrays([pa.nulls(1, places.type), places]), "words": own(words.cast(pa.string()), pa.string()),
+        "count": own(pa.array(total("counts")), pa.int64()), "learnt": own(pa.array(total("learnt")), pa.int64())})
 
-    kind = "bucket int, word_id long, word string" + ", count long, learnt long" * counts
-    return slices(blocks).select("bucket", "letters", "widths", *sums).groupBy("bucket").applyInArrow(run, kind)
+
+def numbered(packed: Packed, counts: bool = True) -> DataFrame:
+    """bucket, word_id and word of each distinct word, and count and learnt
+    (with ``counts``); bucketed by bucket."""
+    columns = ["words", "count", "learnt"] if counts else ["words"]
+    rows = packed.table.where(F.col("block").isNull()).select("bucket", F.posexplode(F.arrays_zip(*columns)).alias("place", "w"))
+    word_id = F.shiftleft(F.col("bucket").cast("long"), PLACE_BITS).bitwiseOR(F.col("place").cast("long"))
+    return rows.select("bucket", word_id.alias("word_id"), F.col("w.words").alias("word"), *[f"w.{c}" for c in columns[1:]])
 
 
-def returned(blocks: DataFrame, values: DataFrame, kind: str, pick: Callable[[pa.Table, np.ndarray], dict[str, np.ndarray]]) -> DataFrame:
-    """``blocks`` with ``back``: for each bucket in order what ``pick`` makes of
+def returned(packed: Packed, values: DataFrame, kind: str, pick: Callable[[pa.Table, np.ndarray], dict[str, np.ndarray]]) -> DataFrame:
+    """The blocks with ``back``: for each bucket in order what ``pick`` makes of
     the values (bucketed by bucket: bucket, word_id, ...; a row for each word) at
     the places of the block's words.  ``kind`` is the schema of what it makes."""
     def run(key: tuple, mine: pa.Table, theirs: pa.Table) -> pa.Table:
-        sizes, widths = _gathered(mine["widths"])[0], _gathered(mine["widths"])[1]
-        place = _ordered(_words(mine["letters"].combine_chunks(), widths))[1]
+        sizes, place = _gathered(mine["places"])
         theirs = theirs.combine_chunks()
         theirs = theirs.take(pa.array(np.argsort(theirs["word_id"].to_numpy())))
-        made = [pick(theirs, p) for p in np.split(place, np.cumsum(sizes)[:-1])]
+        made = [pick(theirs, p) for p in np.split(place.to_numpy(), np.cumsum(sizes)[:-1])]
         columns = {n: pa.array([m[n] for m in made], pa.list_(kinds[k])) for n, k in zip(names, of, strict=True)}
         return pa.table({"block": mine["block"], "bucket": mine["bucket"], **columns})
 
     names, of = zip(*(c.split(" ") for c in kind.split(", ")), strict=True)
     kinds = {"array<int>": pa.int32(), "array<long>": pa.int64(), "array<double>": pa.float64()}
-    back = (slices(blocks).select("block", "bucket", "letters", "widths").groupBy("bucket").cogroup(values.groupBy("bucket"))
-            .applyInArrow(run, f"block long, bucket int, {kind}")
+    places = packed.table.where(F.col("block").isNotNull()).select("block", "bucket", "places")
+    back = (places.groupBy("bucket").cogroup(values.groupBy("bucket")).applyInArrow(run, f"block long, bucket int, {kind}")
             .groupBy(F.col("block").alias("of")).agg(F.array_sort(F.collect_list(F.struct("bucket", *names))).alias("back")))
-    rest = blocks.select("block", "ids", "learn", "sizes", "low", "high", "counts")
+    rest = packed.blocks.select("block", "ids", "learn", "sizes", "low", "high", "counts")
     return rest.join(back, rest["block"] == back["of"], "left").drop("of")
 
 
