@@ -144,13 +144,14 @@ def answer_span(tokens, target) -> Column:
 
 
 def match_mask(tokens, target) -> Column:
-    """F23 ``return_mask``: boolean per token, true inside any occurrence."""
+    """F23 ``return_mask``: boolean per token, true inside any occurrence.
+    Each token looks only at the occurrences that could cover it, so the work
+    is tokens times target length whatever the number of matches."""
     t, g = _c(tokens), _c(target)
-    m = find_subsequence(t, g)
-    w = F.size(g)
-    return F.when(m["found"], F.transform(t, lambda _x, i: F.exists(
-        m["starts"], lambda s: (i >= s) & (i < s + w)))).otherwise(
-        F.transform(t, lambda _x: F.lit(False)))
+    n, w = F.size(t), F.size(g)
+    at = lambda s: (F.get(t, s) == F.get(g, F.lit(0))) & (F.slice(t, s + 1, w) == g)
+    covered = lambda i: F.exists(F.sequence(F.greatest(i - w + 1, F.lit(0)), F.least(i, n - w)), lambda s: F.coalesce(at(s), F.lit(False)))
+    return F.transform(t, lambda _x, i: F.when((w > 0) & (w <= n) & (F.greatest(i - w + 1, F.lit(0)) <= n - w), covered(i)).otherwise(F.lit(False)))
 
 
 def pad_to(arr, length, pad) -> Column:

@@ -70,8 +70,8 @@ def shared_dir(spark: SparkSession, sub: str) -> str:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(base.rstrip("/") + "/rdd")
     path = base.rstrip("/") + "/" + sub.strip("/")
-    if "://" not in path:
-        os.makedirs(path, exist_ok=True)
+    if "://" not in path and spark.sparkContext.master.startswith("local"):
+        os.makedirs(path, exist_ok=True)  # on a cluster the writers make their folders themselves
     return path
 
 

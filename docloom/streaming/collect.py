@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -33,46 +33,67 @@ def best_prediction_stream(spark: SparkSession, src: str, json_lines: bool = Fal
                                by=["checkpoint"])
 
 
-def upsert_batches(sink: str, answers_dir: str | None = None) -> Callable[[DataFrame, int], None]:
+#: Question ids are dealt over so many buckets; a micro-batch rewrites the
+#: answers of the (checkpoint, bucket) pairs it touches, and no others.
+QID_BUCKETS = 64
+
+
+def qid_bucket(n: int = QID_BUCKETS) -> Column:
+    return F.pmod(F.xxhash64("qid"), F.lit(n)).cast("int")
+
+
+def upsert_batches(sink: str, answers_dir: str | None = None, buckets: int = QID_BUCKETS) -> Callable[[DataFrame, int], None]:
     """T5: ``foreachBatch`` writer: each micro-batch's updated keys go to
-    ``sink/batch_id=<id>`` (overwritten on retry, so exactly-once in effect).
-    With ``answers_dir``, the answers of every checkpoint touched by the
-    batch are then republished (T2/S11: sorted JSON lines under
-    ``answers_dir/checkpoint=<n>``, replaced per checkpoint), as the
-    reference rewrites its answer file after each poll."""
+    ``sink/batch_id=<id>/bucket=<b>`` (overwritten on retry, so exactly-once in
+    effect).  With ``answers_dir``, the answers of every (checkpoint, bucket)
+    touched by the batch are then republished (T2/S11: sorted JSON lines under
+    ``answers_dir/checkpoint=<n>/bucket=<b>``, replaced pair by pair), as the
+    reference rewrites its answer file after each poll.  What a batch reads
+    back is the history of its own buckets; ``compact_collected`` keeps that
+    short."""
     def run(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.withColumn("bucket", qid_bucket(buckets))
         if answers_dir is None:
-            batch.write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
+            batch.write.mode("overwrite").partitionBy("bucket").parquet(f"{sink}/batch_id={batch_id}")
             return
         batch.persist()  # used twice below; the documented foreachBatch pattern
         try:
-            batch.write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
+            batch.write.mode("overwrite").partitionBy("bucket").parquet(f"{sink}/batch_id={batch_id}")
             spark = batch.sparkSession
-            touched = batch.select("checkpoint").distinct()  # stays distributed (semi-join below)
-            ans = answers_from_collected(read_collected(spark, sink).join(touched, ["checkpoint"], "left_semi"))
-            (ans.repartition("checkpoint").sortWithinPartitions("checkpoint", "qid", "retrieve")
+            touched = batch.select("checkpoint", "bucket").distinct()  # stays distributed (semi-join below)
+            kept = spark.read.schema(batch.schema).parquet(sink).join(touched, ["checkpoint", "bucket"], "left_semi")
+            best = kept.groupBy(*KEYS, "bucket").agg(F.min("incre_num_by").alias("incre_num_by"))
+            (answers_from_collected(best, "bucket").repartition("checkpoint", "bucket")
+             .sortWithinPartitions("checkpoint", "bucket", "qid", "retrieve")
              .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-             .partitionBy("checkpoint").json(answers_dir))
+             .partitionBy("checkpoint", "bucket").json(answers_dir))
         finally:
             batch.unpersist()
     return run
 
 
+def compact_collected(spark: SparkSession, sink: str, target: str) -> None:
+    """The upserted batches of ``sink`` reduced to one row per key, written to
+    ``target`` as its batch -1.  Run it while the collector is stopped, and go
+    on with ``target`` as the sink; ``sink`` is left as it is."""
+    best = spark.read.parquet(sink).groupBy(*KEYS, "bucket").agg(F.min("incre_num_by").alias("incre_num_by"))
+    best.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{target}/batch_id=-1")
+
+
 ROCKSDB_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def start_collector(spark: SparkSession, src: str, sink: str, checkpoint_location: str,
                     trigger_seconds: int | None = 20, available_now: bool = False,
                     json_lines: bool = False, max_files_per_trigger: int | None = None,
-                    answers_dir: str | None = None, rocksdb_state: bool = False) -> StreamingQuery:
+                    answers_dir: str | None = None) -> StreamingQuery:
     """Run the collector: ``processingTime`` trigger (20 s, the
     reference's poll interval) or ``availableNow`` to drain what is there.
-    ``rocksdb_state`` keeps the per-key state in RocksDB (off-heap, spills to
-    local disk, checkpointed to the shared folder) instead of executor heap —
-    the choice once the key space is large; it must be chosen before the
-    query's first run (the provider is fixed in its checkpoint)."""
-    if rocksdb_state:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
+
+    The state has one small row for each key ever seen: it grows with the
+    keys, not with the files.  For a large key space set the session's
+    ``spark.sql.streaming.stateStore.providerClass`` to ``ROCKSDB_PROVIDER``
+    before the query's first run (the provider is fixed in its checkpoint)."""
     q = (best_prediction_stream(spark, src, json_lines=json_lines,
                                 max_files_per_trigger=max_files_per_trigger)
          .writeStream.outputMode("update")
@@ -92,9 +113,10 @@ def read_collected(spark: SparkSession, sink: str, keys: Sequence[str] = KEYS) -
     return df.groupBy(*keys).agg(F.min("incre_num_by").alias("incre_num_by"))
 
 
-def answers_from_collected(best: DataFrame) -> DataFrame:
-    """P11 after T4: the answer rows ``(checkpoint, qid int, retrieve int)``."""
-    return best.select("checkpoint", F.col("qid").cast("int").alias("qid"),
+def answers_from_collected(best: DataFrame, *more: str) -> DataFrame:
+    """P11 after T4: the answer rows ``(checkpoint, qid int, retrieve int)``,
+    with further columns as asked."""
+    return best.select("checkpoint", *more, F.col("qid").cast("int").alias("qid"),
                        F.col("retrieve").cast("int").alias("retrieve"))
 
 

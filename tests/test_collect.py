@@ -48,15 +48,21 @@ def test_stream_equals_batch_and_restart(spark, tmp_dir):
     ]
     for i, rows in enumerate(batches[:2]):
         _write(src, f"qid{i}_iter{i}_checkpoint120.json", rows)
-    q = sc.start_collector(spark, src, sink, ck, available_now=True, max_files_per_trigger=1)
-    q.awaitTermination()
-    _write(src, "qid9_iter2_checkpoint120.json", batches[2])
     ans = os.path.join(tmp_dir, "answers")
-    q = sc.start_collector(spark, src, sink, ck, available_now=True, max_files_per_trigger=1,
-                           answers_dir=ans)  # restart, now also publishing answers
-    q.awaitTermination()
+
+    def drain():
+        sc.start_collector(spark, src, sink, ck, available_now=True, max_files_per_trigger=1, answers_dir=ans).awaitTermination()
+        return {os.path.join(d, f): os.stat(os.path.join(d, f)).st_mtime_ns for d, _, fs in os.walk(ans) for f in fs if f.startswith("part-")}
+    before = drain()
+    _write(src, "qid9_iter2_checkpoint120.json", batches[2])
+    after = drain()  # a restart; this batch touches question 1 alone
     published = sorted((r.checkpoint, r.qid, r.retrieve) for r in spark.read.json(ans).collect())
     assert published == [(120, 1, 7), (120, 2, 3)]
+    assert len(before) == len(after) == 2 and len(before.items() & after.items()) == 1
+    short = os.path.join(tmp_dir, "short")
+    sc.compact_collected(spark, sink, short)
+    assert sorted(sc.read_collected(spark, short).collect()) == sorted(sc.read_collected(spark, sink).collect())
+    assert spark.read.parquet(short).count() == 2
     got = sorted((r.checkpoint, r.qid, r.category, r.retrieve, r.incre_num_by)
                  for r in sc.read_collected(spark, sink).collect())
     assert got == [(120, 1, "faq", "7", 0), (120, 2, "finance", "3", 5)]
@@ -93,7 +99,8 @@ def test_collector_rocksdb_state(spark, tmp_dir):
                                                  {"qid": 5, "category": "faq", "retrieve": "2", "incre_num_by": 5}])
     prev = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
     try:
-        q = sc.start_collector(spark, src, sink, ck, available_now=True, rocksdb_state=True)
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", sc.ROCKSDB_PROVIDER)
+        q = sc.start_collector(spark, src, sink, ck, available_now=True)
         q.awaitTermination()
     finally:
         if prev:
