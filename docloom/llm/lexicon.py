@@ -29,7 +29,7 @@ from ..session import shared_dir
 from .words import _BASE, LOWER, NON_SPACE, SAME, SLICE_BYTES, Slice, _runs, batches, scan
 
 #: Words of a block at most (but for a longer text, which is a block of its own).
-BLOCK_WORDS = 2_500_000
+BLOCK_WORDS = 1_200_000
 #: Rows for each hash bucket of words.
 BUCKET_ROWS = 512
 PLACE_BITS = 40
@@ -138,7 +138,7 @@ def pack(docs: DataFrame, split: Splitter, block_words: int = BLOCK_WORDS) -> Pa
         ids: list[pa.Array] = []
         learn: list[np.ndarray] = []
         held = 0
-        for b in batches(frames):
+        for b in batches(frames, 8 << 20):
             for s in split(b.column(2)):
                 if parts and held + len(s.hashes) > block_words:
                     yield _block(parts, ids, learn, task << 32 | made, buckets)
