@@ -33,17 +33,18 @@ class Sparse:
         return np.bincount(self.cols, self.vals * g[self.rows], self.shape[1])
 
 
-def gather(sample: DataFrame, buckets: str = "buckets", values: str = "vals") -> tuple[pa.Table, Sparse]:
+def gather(sample: DataFrame, buckets: str = "buckets", values: str | None = "vals") -> tuple[pa.Table, Sparse]:
     """A bounded sample on the driver: its other columns, and its features as
-    rows of a matrix over the distinct buckets (column j is bucket j of the
-    table's metadata-free order: see ``columns_of``)."""
+    a matrix of a row for each and a column for each bucket.  Columns are 32
+    bits wide: the sample is the largest thing that the driver holds."""
     t = sample.toArrow()
     lists = t[buckets].combine_chunks()
     sizes = np.diff(lists.offsets.to_numpy())
-    flat = t[values].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    cols = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    cols = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
+    vals = t[values].combine_chunks().flatten().to_numpy(zero_copy_only=False) if values else np.ones(len(cols), np.float32)
     dims = int(cols.max()) + 1 if len(cols) else 1
-    return t.drop_columns([buckets, values]), Sparse(np.repeat(np.arange(len(sizes)), sizes), cols, flat, (len(sizes), dims))
+    other = t.select([c for c in t.column_names if c not in (buckets, values)])
+    return other, Sparse(np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), cols, vals, (len(sizes), dims))
 
 
 def minimise(x: Sparse, gradient: Callable[[np.ndarray], np.ndarray], steps: int = 200, rate: float = 0.1,

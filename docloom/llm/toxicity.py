@@ -29,7 +29,7 @@ from .linear import Sparse, fit_nnpu, gather, sigmoid
 from .words import ALNUM, Slice, batches, scan
 
 BITS = 24
-POSITIVES, UNLABELLED, FEATURES = 5_000, 15_000, 2_048
+POSITIVES, UNLABELLED, FEATURES = 5_000, 10_000, 2_048
 #: Rows of the confirmed sample in which a bucket has to occur.
 LEAST_ROWS = 3
 #: Standard errors by which a bucket's shares in the two samples have to differ.
@@ -60,13 +60,11 @@ def features(texts: DataFrame) -> DataFrame:
             for s in scan(b.column(b.schema.get_field_index("text")), ALNUM):
                 rows, found = _buckets(s)
                 lists += np.split(found.astype(np.int32), np.searchsorted(rows, np.arange(1, s.rows)))
-            ones = [np.ones(len(x), np.float32) for x in lists]
-            yield pa.record_batch([*(b.column(b.schema.get_field_index(c)) for c in kept),
-                                   pa.array(lists, pa.list_(pa.int32())), pa.array(ones, pa.list_(pa.float32()))],
-                                  [*kept, "buckets", "vals"])
+            yield pa.record_batch([*(b.column(b.schema.get_field_index(c)) for c in kept), pa.array(lists, pa.list_(pa.int32()))],
+                                  [*kept, "buckets"])
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in texts.schema if f.name != "text")
-    return texts.mapInArrow(run, f"{kinds}, buckets array<int>, vals array<float>")
+    return texts.mapInArrow(run, f"{kinds}, buckets array<int>")
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, positives: int = POSITIVES,
@@ -84,7 +82,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, positives: int = POSI
               .orderBy(order, "doc_id").limit(unlabelled).distinct().select("doc_id", F.lit(0).alias("y")))
     picked = confirmed.unionByName(others)  # positives + unlabelled rows at most: bounded
     sample = docs.join(F.broadcast(picked), "doc_id").select("y", "doc_id", "text").dropDuplicates(["y", "doc_id"])
-    rows, x = gather(features(sample))
+    rows, x = gather(features(sample), values=None)
     positive = rows["y"].to_numpy() == 1
     if not positive.any() or positive.all():
         return Model(np.zeros(0, np.int64), np.zeros(0), float(np.log((prior + 1e-9) / (1 - prior + 1e-9))))
