@@ -182,11 +182,12 @@ def _search(k: int):
         if len(c) and len(q):
             near = v[q] @ v[c].T
             most = min(k, len(c))
-            best = np.argpartition(-near, most - 1, axis=1)[:, :most]
-            for i in range(len(q)):
-                out[0].append(reps[q[i]])
-                out[1].append(reps[c[best[i]]])
-                out[2].append(np.einsum("ij,j->i", v[c[best[i]]], v[q[i]]))
+            best = c[np.argpartition(-near, most - 1, axis=1)[:, :most]]
+            # the measure itself, summed in the order of the components
+            score = np.zeros(best.shape)
+            for d in range(v.shape[1]):
+                score += v[:, d][best] * v[q, d][:, None]
+            out = (reps[q], list(reps[best]), list(score))
         return pa.table({"rep": pa.array(out[0], pa.int64()), "found": pa.array(out[1], pa.list_(pa.int64())),
                          "score": pa.array(out[2], pa.list_(pa.float64()))})
     return run
