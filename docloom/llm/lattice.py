@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .lexicon import bucketed, numbered, pack, plain_words, read_blocks, returned
+from .lexicon import Block, bucketed, numbered, pack, plain_words, returned
 from .pieces import MODEL_FILE, load_pieces
 
 GO_ON = 0.75
@@ -222,18 +222,16 @@ def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text: st
     end_log = float(np.log10((ends + alpha * END) / (n + alpha)))
     end_base, denominator = float(np.log10(ends + 1)), float(np.log10(n + v + 1))
 
-    def sums(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in read_blocks(frames, 2):
-            tokens = np.diff(block.splits)
-            doc = np.repeat(np.arange(len(tokens)), tokens)
-            count, logs = (x[block.place] for x in block.back)
-            add = lambda x: np.bincount(doc, x, len(tokens))  # noqa: E731, B023
-            yield pa.record_batch(
-                [block.ids, block.learn, pa.array(tokens + 1), pa.array((add(count > 0) + (ends > 0)).astype(np.int64)),
-                 pa.array(np.full(len(tokens), n, np.int64)), pa.array(add(np.log10(count + 1) - denominator) + end_base - denominator),
-                 pa.array(add(logs) + end_log)],
-                ["id", "learn", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-    return (returned(packed, valued, kind, pick)
-            .mapInArrow(sums, "id long, learn boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    def sums(block: Block, back: list[np.ndarray]) -> pa.Table:
+        tokens = np.diff(block.splits)
+        doc = np.repeat(np.arange(len(tokens)), tokens)
+        count, logs = (x[block.place] for x in back)
+        add = lambda x: np.bincount(doc, x, len(tokens))
+        return pa.table({
+            "id": block.ids, "learn": block.learn, "n_tokens": tokens.astype(np.int64) + 1,
+            "n_known": (add(count > 0) + (ends > 0)).astype(np.int64), "train_tokens": np.full(len(tokens), n, np.int64),
+            "base_score": add(np.log10(count + 1) - denominator) + end_base - denominator, "score": add(logs) + end_log})
+
+    return (returned(packed, valued, kind, pick, sums, "id long, learn boolean, n_tokens long, n_known long, train_tokens long, "
+                                                       "base_score double, score double")
             .withColumnRenamed("id", id_col))

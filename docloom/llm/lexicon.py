@@ -17,7 +17,7 @@ once, not its tokens; no word is a hot key: it comes once from each block.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -210,11 +210,20 @@ def numbered(packed: Packed, counts: bool = True) -> DataFrame:
     return rows.select("bucket", word_id.alias("word_id"), F.col("w.words").alias("word"), *[f"w.{c}" for c in columns[1:]])
 
 
-def returned(packed: Packed, values: DataFrame, kind: str, pick: Callable[[pa.Table, np.ndarray], dict[str, np.ndarray]]) -> DataFrame:
-    """The blocks with ``back``: for each bucket in order what ``pick`` makes of
-    the values (bucketed by bucket: bucket, word_id, ...; a row for each word) at
-    the places of the block's words.  ``kind`` is the schema of what it makes."""
-    def run(key: tuple, mine: pa.Table, theirs: pa.Table) -> pa.Table:
+#: What ``read_blocks`` needs of a block.
+BLOCK_COLUMNS = ("block", "ids", "learn", "sizes", "low", "high", "counts")
+
+
+def returned(packed: Packed, values: DataFrame, kind: str, pick: Callable[[pa.Table, np.ndarray], dict[str, np.ndarray]],
+             finish: Callable[[Block, list[np.ndarray]], pa.Table], schema: str) -> DataFrame:
+    """What ``finish`` makes of each block and the values of its words, in its
+    order; ``schema`` is its schema.  ``pick`` makes lists (of the schema
+    ``kind``) of the values (bucketed by bucket: bucket, word_id, ...; a row for
+    each word) at the places of a block's words in a bucket."""
+    names, of = zip(*(c.split(" ") for c in kind.split(", ")), strict=True)
+    kinds = {"array<int>": pa.int32(), "array<long>": pa.int64(), "array<double>": pa.float64()}
+
+    def at_places(key: tuple, mine: pa.Table, theirs: pa.Table) -> pa.Table:
         sizes, place = _gathered(mine["places"])
         theirs = theirs.combine_chunks()
         theirs = theirs.take(pa.array(np.argsort(theirs["word_id"].to_numpy())))
@@ -222,33 +231,31 @@ def returned(packed: Packed, values: DataFrame, kind: str, pick: Callable[[pa.Ta
         columns = {n: pa.array([m[n] for m in made], pa.list_(kinds[k])) for n, k in zip(names, of, strict=True)}
         return pa.table({"block": mine["block"], "bucket": mine["bucket"], **columns})
 
-    names, of = zip(*(c.split(" ") for c in kind.split(", ")), strict=True)
-    kinds = {"array<int>": pa.int32(), "array<long>": pa.int64(), "array<double>": pa.float64()}
+    def of_block(key: tuple, block: pa.Table, back: pa.Table) -> pa.Table:
+        back = back.take(pa.array(np.argsort(back["bucket"].to_numpy())))
+        flat = [_gathered(back[n])[1].to_numpy() if back.num_rows else np.zeros(0) for n in names]
+        return pa.concat_tables([finish(b, flat) for b in read_blocks(block.to_batches())])
+
     places = packed.table.where(F.col("block").isNotNull()).select("block", "bucket", "places")
-    back = (places.groupBy("bucket").cogroup(values.groupBy("bucket")).applyInArrow(run, f"block long, bucket int, {kind}")
-            .groupBy(F.col("block").alias("of")).agg(F.array_sort(F.collect_list(F.struct("bucket", *names))).alias("back")))
-    rest = packed.blocks.select("block", "ids", "learn", "sizes", "low", "high", "counts")
-    return rest.join(back, rest["block"] == back["of"], "left").drop("of")
+    back = places.groupBy("bucket").cogroup(values.groupBy("bucket")).applyInArrow(at_places, f"block long, bucket int, {kind}")
+    return packed.blocks.select(*BLOCK_COLUMNS).groupBy("block").cogroup(back.groupBy("block")).applyInArrow(of_block, schema)
 
 
 @dataclass
 class Block:
-    """A row of ``returned``: ids and learn of its texts, ``splits`` of its
-    tokens by text, the ``place`` (by bucket, then as packed) of each token's
-    word, and the columns that came back, flat."""
+    """A block read back: ids and learn of its texts, ``splits`` of its tokens
+    by text, and the ``place`` (by bucket, then as packed) of each token's word."""
     ids: pa.Array
     learn: pa.Array
     splits: np.ndarray
     place: np.ndarray
-    back: list[np.ndarray]
 
 
-def read_blocks(frames: Iterator[pa.RecordBatch], columns: int) -> Iterator[Block]:
+def read_blocks(frames: Iterable[pa.RecordBatch]) -> Iterator[Block]:
     for b in frames:
         for r in range(b.num_rows):
             row = {n: b.column(i)[r] for i, n in enumerate(b.schema.names)}
-            counts, back = row["counts"].values.to_numpy(), row["back"].values
+            counts = row["counts"].values.to_numpy()
             rank = np.frombuffer(row["low"].as_py(), np.uint8) | row["high"].values.to_numpy().astype(np.int64) << 8
-            flat = [np.zeros(0)] * columns if back is None else [back.field(1 + i).flatten().to_numpy() for i in range(columns)]
             yield Block(row["ids"].values, row["learn"].values, np.concatenate([[0], np.cumsum(row["sizes"].values.to_numpy())]),
-                        np.argsort(-counts, kind="stable")[rank], flat)
+                        np.argsort(-counts, kind="stable")[rank])
