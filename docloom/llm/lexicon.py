@@ -29,7 +29,7 @@ from ..session import shared_dir
 from .words import _BASE, LOWER, NON_SPACE, SAME, SLICE_BYTES, Slice, _runs, batches, scan
 
 #: Words of a block at most (but for a longer text, which is a block of its own).
-BLOCK_WORDS = 1_200_000
+BLOCK_WORDS = 1_600_000
 #: Rows for each hash bucket of words.
 BUCKET_ROWS = 512
 PLACE_BITS = 40
@@ -76,11 +76,24 @@ def _letters(parts: list[Slice], of: np.ndarray, at: np.ndarray) -> tuple[np.nda
     return text[np.arange(sizes.sum()) - np.repeat(ends - sizes - begins, sizes)], sizes
 
 
-def _words(letters: pa.Array, sizes: pa.Array) -> pa.Array:
-    """Words from their letters, one after the other, and sizes in bytes."""
+def _as_bytes(sizes: np.ndarray) -> np.ndarray:
+    """Sizes as bytes: a size of 255 or more has as many bytes 255 before its rest."""
+    out = np.full((sizes // 255 + 1).sum(), 255, np.uint8)
+    out[np.cumsum(sizes // 255 + 1) - 1] = sizes % 255
+    return out
+
+
+def _from_bytes(data: np.ndarray) -> np.ndarray:
+    return np.diff(np.concatenate([[0], np.cumsum(data.astype(np.int64))[data < 255]]))
+
+
+def _words(letters: pa.Array, widths: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """(words of each row, all words) from their letters, one after the other,
+    and widths in bytes."""
+    sizes = [_from_bytes(np.frombuffer(w, np.uint8)) for w in widths.to_pylist()]
     data = b"".join(letters.cast(pa.binary()).to_pylist())
-    offsets = np.concatenate([[0], np.cumsum(sizes.to_numpy())]).astype(np.int64)
-    return pa.LargeStringArray.from_buffers(len(sizes), pa.py_buffer(offsets), pa.py_buffer(data))
+    offsets = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int64)
+    return np.array([len(x) for x in sizes]), pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets), pa.py_buffer(data))
 
 
 def _block(parts: list[Slice], ids: list[pa.Array], learn: list[np.ndarray], name: int, buckets: int) -> pa.RecordBatch:
@@ -102,7 +115,8 @@ def _block(parts: list[Slice], ids: list[pa.Array], learn: list[np.ndarray], nam
     lists = lambda x: pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(x.astype(np.int32)))
     spelled = pa.LargeStringArray.from_buffers(len(cuts), pa.py_buffer(np.concatenate([[0], np.cumsum(widths)])[edges].astype(np.int64)),
                                                pa.py_buffer(letters))
-    parts_of = pa.StructArray.from_arrays([pa.array(bucket[cuts].astype(np.int32)), spelled.cast(pa.string()), lists(widths),
+    in_bytes = pa.array([_as_bytes(x).tobytes() for x in np.split(widths, cuts[1:])][:len(cuts)], pa.binary())
+    parts_of = pa.StructArray.from_arrays([pa.array(bucket[cuts].astype(np.int32)), spelled.cast(pa.string()), in_bytes,
                                            lists(counts), lists(learnt)], ["bucket", "letters", "widths", "counts", "learnt"])
     one = lambda values, kind: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values).cast(kind))
     sizes = np.concatenate([np.diff(s.splits) for s in parts])
@@ -114,7 +128,7 @@ def _block(parts: list[Slice], ids: list[pa.Array], learn: list[np.ndarray], nam
 
 
 _BLOCK = ("block long, ids array<long>, learn array<boolean>, sizes array<int>, low binary, high array<int>, counts array<int>, "
-          "parts array<struct<bucket:int,letters:string,widths:array<int>,counts:array<int>,learnt:array<int>>>")
+          "parts array<struct<bucket:int,letters:string,widths:binary,counts:array<int>,learnt:array<int>>>")
 
 
 @dataclass
@@ -127,8 +141,9 @@ class Packed:
     parts: int
 
 
-def pack(docs: DataFrame, split: Splitter, block_words: int = BLOCK_WORDS) -> Packed:
-    """``docs`` (id long, learn boolean, text string) in blocks."""
+def pack(docs: DataFrame, split: Splitter, block_words: int = BLOCK_WORDS, counts: bool = True) -> Packed:
+    """``docs`` (id long, learn boolean, text string) in blocks; the words with
+    their counts, unless nobody asks for them."""
     buckets = 1 << max(5, int(np.ceil(np.log2(max(1, docs.count()) / BUCKET_ROWS))))
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,6 +168,8 @@ def pack(docs: DataFrame, split: Splitter, block_words: int = BLOCK_WORDS) -> Pa
     blocks = bucketed(docs.select("id", "learn", "text").mapInArrow(run, _BLOCK), "block",
                       int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     slices = blocks.select("block", F.inline("parts"))
+    if not counts:
+        slices = slices.drop("counts", "learnt")
     return Packed(blocks, bucketed(slices.groupBy("bucket").applyInArrow(_placed, _TABLE), "bucket", buckets // 2), buckets // 2)
 
 
@@ -187,9 +204,10 @@ _TABLE = "bucket int, block long, places array<int>, words array<string>, count
 
 def _placed(key: tuple, t: pa.Table) -> pa.Table:
     """The rows of one bucket: its words, and each block's places among them."""
-    sizes, widths = _gathered(t["widths"])
-    words, place = _ordered(_words(t["letters"].combine_chunks(), widths))
-    total = lambda c: np.bincount(place, _gathered(t[c])[1].to_numpy(), len(words)).astype(np.int64)
+    sizes, all_words = _words(t["letters"].combine_chunks(), t["widths"])
+    words, place = _ordered(all_words)
+    total = lambda c: (np.bincount(place, _gathered(t[c])[1].to_numpy(), len(words)).astype(np.int64) if c in t.column_names
+                       else np.zeros(len(words), np.int64))
     cuts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
     places = pa.ListArray.from_arrays(pa.array(cuts), pa.array(place.astype(np.int32)))
     n = len(sizes)
