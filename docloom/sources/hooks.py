@@ -99,18 +99,22 @@ BYTE_ORDER_MARKS = ((b"\xef\xbb\xbf", "utf-8-sig"), (b"\xff\xfe\x00\x00", "utf-3
 
 
 def _commonness(text: str) -> float:
-    """How usual a decoded text looks, per character: common CJK, kana, ASCII
-    text and Latin letters count for it, controls and rare planes against."""
+    """How usual a decoded text looks, per character: ASCII text, kana and
+    common CJK characters count for it, and accented letters beside ASCII
+    letters; CJK characters between ASCII letters, controls and rare planes
+    count against it."""
     score = 0.0
-    for c in text:
+    for i, c in enumerate(text):
         o = ord(c)
+        in_word = any("a" <= x.lower() <= "z" for x in (text[i - 1:i] if i else "", text[i + 1:i + 2]) if x)
         if c in "\t\n\r" or 32 <= o < 127 or 0x3000 <= o <= 0x30FF or 0xFF00 <= o <= 0xFF5E:
             score += 1.0
-        elif 0x4E00 <= o <= 0x9FFF:
-            # the characters of the first plane of the double-byte sets are the common ones
-            score += 1.0 if b"\xa4\x40" <= c.encode("big5", "replace") <= b"\xc6\x7e" else 0.4
+        elif 0x3400 <= o <= 0x9FFF:
+            # the first plane of the double-byte set holds the common characters
+            common = b"\xa4\x40" <= c.encode("big5", "replace") <= b"\xc6\x7e"
+            score += -0.5 if in_word else 1.0 if common else 0.4
         elif 0xC0 <= o <= 0x24F:
-            score += 0.6
+            score += 1.0 if in_word else 0.6
         elif o < 32 or 0x7F <= o < 0xA0 or 0xE000 <= o <= 0xF8FF or o >= 0x20000:
             score -= 2.0
     return score / max(1, len(text))
