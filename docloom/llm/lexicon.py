@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import shared_dir
-from .words import _BASE, LOWER, NON_SPACE, SAME, SLICE_BYTES, Slice, _runs, batches, scan
+from .words import _BASE, LOWER, NON_SPACE, SAME, Slice, _runs, batches, joined, scan
 
 #: Words of a block at most (but for a longer text, which is a block of its own).
 BLOCK_WORDS = 1_600_000
@@ -45,20 +45,19 @@ def plain_words(texts: pa.Array) -> Iterator[Slice]:
 def spaced_words(texts: pa.Array) -> Iterator[Slice]:
     """Pre-tokens: a blank is put before each text that isn't empty; a word
     starts at each blank, each line feed, and after a line feed."""
-    every = np.ones(256, bool)
-    for s in scan(texts, every, SAME, SLICE_BYTES):
+    for row, after, bounds in joined(texts, SAME):
         # rows are followed by a blank: turned into the blank before the next row's text
-        text = np.concatenate([[32], s.text[:-1]]).astype(np.uint8)
-        ends_at = np.append(s.row_at[1:], len(text))
+        text = np.concatenate([[32], after[:-1]]).astype(np.uint8)
+        row_at, ends_at = bounds[:-1], bounds[1:]
         blank, feed = text == 32, text == 10
         first = blank | feed
         first[1:] |= feed[:-1]
-        first[s.row_at] = ends_at - s.row_at > 1  # an empty text has no words
+        first[row_at] = ends_at - row_at > 1  # an empty text has no words
         starts = np.flatnonzero(first)
-        rows = np.searchsorted(s.row_at, starts, "right") - 1
+        rows = np.searchsorted(row_at, starts, "right") - 1
         ends = np.minimum(np.append(starts[1:], len(text)), ends_at[rows])
-        yield Slice(s.first, s.rows, text, starts, ends, np.searchsorted(starts, np.append(s.row_at, len(text))),
-                    _runs(text.astype(np.uint64) + np.uint64(1), starts, ends, _BASE[0]), s.row_at)
+        yield Slice(row, len(row_at), text, starts, ends, np.searchsorted(starts, bounds),
+                    _runs(text.astype(np.uint64) + np.uint64(1), starts, ends, _BASE[0]), row_at)
 
 
 def _letters(parts: list[Slice], of: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -77,9 +77,10 @@ class Slice:
         return np.repeat(np.arange(self.rows), np.diff(self.splits))
 
 
-def scan(texts: pa.Array | pa.ChunkedArray, keep: np.ndarray, fold: np.ndarray = LOWER,
-         slice_bytes: int = SLICE_BYTES) -> Iterator[Slice]:
-    """Words (maximal runs of ``keep`` bytes) of every text; null has none."""
+def joined(texts: pa.Array | pa.ChunkedArray, fold: np.ndarray,
+           slice_bytes: int = SLICE_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, bytes, where each row starts and the last one ends) of
+    bounded slices of the texts, a separator after each text."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     texts = pc.fill_null(texts, "").cast(pa.large_string())
@@ -97,13 +98,19 @@ def scan(texts: pa.Array | pa.ChunkedArray, keep: np.ndarray, fold: np.ndarray =
         text = np.full(row_at[-1], SEP, np.uint8)
         for r in range(last - first):
             text[row_at[r]:row_at[r] + lens[r]] = data[offsets[first + r]:offsets[first + r + 1]]
-        text = fold[text]
+        yield first, fold[text], row_at
+        first = last
+
+
+def scan(texts: pa.Array | pa.ChunkedArray, keep: np.ndarray, fold: np.ndarray = LOWER,
+         slice_bytes: int = SLICE_BYTES) -> Iterator[Slice]:
+    """Words (maximal runs of ``keep`` bytes) of every text; null has none."""
+    for first, text, row_at in joined(texts, fold, slice_bytes):
         inside = np.concatenate([[False], keep[text], [False]])
         edges = np.flatnonzero(inside[1:] != inside[:-1])
         starts, ends = edges[::2], edges[1::2]
-        yield Slice(first, last - first, text, starts, ends, np.searchsorted(starts, row_at),
+        yield Slice(first, len(row_at) - 1, text, starts, ends, np.searchsorted(starts, row_at),
                     _runs(text.astype(np.uint64) + np.uint64(1), starts, ends, _BASE[0]), row_at[:-1])
-        first = last
 
 
 def window_hashes(s: Slice, k: int) -> tuple[np.ndarray, np.ndarray]:
