@@ -8,7 +8,9 @@ Nearness is the largest inner product in double precision, ties to the smaller
 id.  For vectors of unequal length candidates get the usual extra coordinate
 ``sqrt(max_length**2 - length**2)``, and queries 0.  Equal vectors are one
 candidate that stands for its ``k + 1`` smallest ids (more cannot be among the
-``k`` nearest), so a large group of equal vectors fills no window.
+``k`` nearest), so a large group of equal vectors fills no window.  Vectors
+of one grid cell are ordered by the same curve on a grid finer by ``FINE`` bits,
+so a large group of nearly equal vectors is ordered by nearness too.
 
 A window reaches ``max(BLOCK, share * candidates)`` places to both sides, so
 tables of few vectors are searched whole.  The share is what isotropic data
@@ -33,15 +35,17 @@ from pyspark.sql import functions as F
 from .tables import saved
 
 ORDERINGS, DIMS, BITS = 12, 8, 6
+#: Bits for each dimension that order the vectors of one cell.
+FINE = 24
 SHARE = 0.05
 BLOCK, QUERIES = 2048, 2048
 #: Vectors from which the centre and spread of the projections are taken.
 FIT_SAMPLE = 20_000
 
 
-def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
-    """Position on the Hilbert curve of cells (n x d integers below 2**bits):
-    the cells' coordinates turned into the transposed index, bits interleaved."""
+def _turned(cells: np.ndarray, bits: int) -> np.ndarray:
+    """Transposed Hilbert index (d x n) of cells (n x d integers below 2**bits).
+    Its first bits are those of the index on the coarser grid."""
     x = cells.astype(np.int64).T.copy()
     d = len(x)
     for level in range(bits - 1, 0, -1):
@@ -56,14 +60,32 @@ def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
     turn = np.zeros_like(x[0])
     for level in range(bits - 1, 0, -1):
         turn ^= np.where((x[-1] & (1 << level)) != 0, (1 << level) - 1, 0)
-    x ^= turn
+    return x ^ turn
+
+
+def _joined(x: np.ndarray, bits: int) -> np.ndarray:
     key = np.zeros_like(x[0])
     for level in range(bits - 1, -1, -1):
-        for i in range(d):
+        for i in range(len(x)):
             key = key << 1 | (x[i] >> level & 1)
     return key
 
 
+def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
+    """Position on the Hilbert curve of cells (n x d integers below 2**bits):
+    the cells' coordinates turned into the transposed index, bits interleaved."""
+    return _joined(_turned(cells, bits), bits)
+
+
+def hilbert_fine(cells: np.ndarray, bits: int, fine: int) -> tuple[np.ndarray, pa.Array]:
+    """Positions of cells below 2**(bits + fine): on the grid of ``bits``, and
+    the rest of the position as bytes that sort like it."""
+    x = _turned(cells, bits + fine)
+    rest = np.stack([x[i] >> level & 1 for level in range(fine - 1, -1, -1) for i in range(len(x))], 1).astype(np.uint8)
+    packed = np.packbits(rest, axis=1)
+    return _joined(x >> fine, bits), pa.array(packed.view(f"V{packed.shape[1]}").ravel().tolist(), pa.binary())
+
+
 class Curves:
     """The projections, shifts and scales of all orderings (fixed by ``seed``
     and a sample of the vectors)."""
@@ -86,11 +108,16 @@ class Curves:
         length = np.sqrt((v ** 2).sum(1, keepdims=True))
         return np.column_stack([v * (self.longest / length), np.zeros(len(v))])
 
-    def keys(self, points: np.ndarray, t: int) -> np.ndarray:
-        """Grid of three standard deviations to each side and one cell's shift."""
+    def keys(self, points: np.ndarray, t: int) -> tuple[np.ndarray, pa.Array]:
+        """Grid of three standard deviations to each side and one cell's shift;
+        the outermost cells hold what lies beyond, squeezed in order."""
         u = ((points @ self.turns[t] - self.centre[t]) / self.spread[t] + 3) / 6
         size = 1 << self.bits
-        return hilbert(np.clip(np.floor(u * (size - 1) + self.shifts[t]), 0, size - 1), self.bits)
+        u = u * (size - 1) + self.shifts[t]
+        u = np.where(u < 1, 1 / (2 - np.minimum(u, 1)), u)
+        u = np.where(u > size - 1, size - 1 / (2 - size + np.maximum(u, size - 1)), u)
+        cells = np.clip(np.floor(u * (1 << FINE)), 0, (size << FINE) - 1)
+        return hilbert_fine(cells, self.bits, FINE)
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -135,7 +162,7 @@ def distinct_vectors(vectors: DataFrame, k: int) -> DataFrame:
 
 
 def _placed(points: DataFrame, curves: Curves, orderings: int) -> DataFrame:
-    """A row (t, key, rep, query, vec) for each point and ordering."""
+    """A row (t, key, fine, rep, query, vec) for each point and ordering."""
     shared = points.sparkSession.sparkContext.broadcast(curves)
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,17 +172,18 @@ def _placed(points: DataFrame, curves: Curves, orderings: int) -> DataFrame:
             v, is_query = _matrix(b.column(2)), b.column(1).to_numpy(zero_copy_only=False)
             spots = np.where(is_query[:, None], shared.value.queries(v), shared.value.candidates(v))
             for t in range(orderings):
-                yield pa.record_batch([pa.array(np.full(len(v), t, np.int32)), pa.array(shared.value.keys(spots, t)),
-                                       *b.columns], ["t", "key", "rep", "query", "vec"])
+                key, fine = shared.value.keys(spots, t)
+                yield pa.record_batch([pa.array(np.full(len(v), t, np.int32)), pa.array(key), fine, *b.columns],
+                                      ["t", "key", "fine", "rep", "query", "vec"])
 
-    return points.select("rep", "query", "vec").mapInArrow(run, "t int, key long, rep long, query boolean, vec array<double>")
+    return points.select("rep", "query", "vec").mapInArrow(run, "t int, key long, fine binary, rep long, query boolean, vec array<double>")
 
 
 def _ranked(placed: DataFrame) -> DataFrame:
     """``placed`` range-partitioned and sorted, with ``rank``: the place in its
     ordering.  Written once, so the partitions' offsets stay true."""
     parts = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = ["t", "key", "rep", "query"]
+    order = ["t", "key", "fine", "rep", "query"]
     rows = saved(placed.repartitionByRange(parts, *order).sortWithinPartitions(*order)
                  .withColumn("m", F.monotonically_increasing_id()).withColumn("part", F.shiftright("m", 33)), "curves")
     counts = rows.groupBy("part", "t").count().collect()  # partitions + orderings rows at most
