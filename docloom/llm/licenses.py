@@ -15,9 +15,12 @@ rows and null ids keep rows of their own; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .license_texts import APACHE_2, CC0_1, GPL_2, GPL_3, LGPL_3, LGPL_21, MPL_2, UNLICENSE
 from .tables import ascii_lower
 
 # Equivalent spellings
@@ -43,21 +46,55 @@ Permission is granted to anyone to use this software for any purpose, including
 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
 3. This notice may not be removed or altered from any source distribution."""
 
+_BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+"""
+_BSD_NAME = """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+"""
+_BSD_AS_IS = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+
+
+def _bsd(text: str, *titles: str) -> list[str]:
+    """With and without a title, the line kept of a copyright notice, and numbers."""
+    plain = re.sub(r"(?m)^[1-3]\. ", "", text)
+    return [title + rights + x for title in ("", *titles) for rights in ("", "All rights reserved.\n") for x in (text, plain)]
+
+
+def _editions(text: str) -> list[str]:
+    """With and without the appendix after the terms, and with newer links."""
+    mark = "END OF TERMS AND CONDITIONS"
+    cut = [text[:text.index(mark) + len(mark)]] if mark in text else []
+    return list(dict.fromkeys(y for x in (text, *cut) for y in (x, x.replace("http://", "https://"))))
+
+
+# Whole texts; a text that doesn't tell "only" from "or later" has the "only" id
+_WHOLE = {
+    "MIT": [title + _MIT for title in ("", "MIT License\n", "The MIT License\n", "The MIT License (MIT)\n")],
+    "ISC": [title + _ISC for title in ("", "ISC License\n", "The ISC License\n")], "Zlib": [_ZLIB, "zlib License\n" + _ZLIB],
+    "BSD-2-Clause": _bsd(_BSD + _BSD_AS_IS, "BSD 2-Clause License\n", "The 2-Clause BSD License\n", 'BSD 2-Clause "Simplified" License\n'),
+    "BSD-3-Clause": _bsd(_BSD + _BSD_NAME + _BSD_AS_IS, "BSD 3-Clause License\n", "The 3-Clause BSD License\n",
+                         'BSD 3-Clause "New" or "Revised" License\n'),
+    "Apache-2.0": _editions(APACHE_2), "GPL-2.0-only": _editions(GPL_2), "GPL-3.0-only": _editions(GPL_3),
+    "LGPL-2.1-only": _editions(LGPL_21), "LGPL-3.0-only": _editions(LGPL_3), "MPL-2.0": _editions(MPL_2),
+    "CC0-1.0": _editions(CC0_1), "Unlicense": _editions(UNLICENSE)}
+
+# Ids known by their SPDX line
+_GNU = ("GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0")
+SPDX = ("MIT", "ISC", "Zlib", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "MPL-2.0", "Unlicense", "CC-BY-4.0", "CC-BY-SA-4.0",
+        "CC-BY-NC-4.0", "CC0-1.0", *(f"{x}-only" for x in _GNU), *(f"{x}-or-later" for x in _GNU))
+
 # Known licence texts and notices (SPDX id, text)
 KNOWN = (
-    ("MIT", _MIT), ("MIT", "MIT License\n" + _MIT), ("ISC", _ISC), ("ISC", "ISC License\n" + _ISC), ("Zlib", _ZLIB),
+    *((k, t) for k, texts in _WHOLE.items() for t in texts), *((k, f"SPDX-License-Identifier: {k}") for k in SPDX),
     ("MIT", "Released under the MIT License."), ("MIT", "Licensed under the MIT License."),
-    ("MIT", "This project is licensed under the MIT License."), ("MIT", "SPDX-License-Identifier: MIT"),
+    ("MIT", "This project is licensed under the MIT License."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Released under the Apache License, Version 2.0."),
     ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License");'),
-    ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
     ("GPL-3.0-only", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-3.0-only", "Licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0-only", "SPDX-License-Identifier: GPL-3.0-only"),
     ("GPL-2.0-only", "Licensed under the GNU General Public License, version 2."),
-    ("GPL-2.0-only", "SPDX-License-Identifier: GPL-2.0-only"),
-    ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"), ("BSD-2-Clause", "SPDX-License-Identifier: BSD-2-Clause"),
     ("BSD-3-Clause", "Released under the BSD 3-Clause License."), ("BSD-2-Clause", "Released under the BSD 2-Clause License."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."), ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."), ("CC0-1.0", "Released under CC0 1.0."),
