@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from docloom.llm.decontaminate import clean_documents
 from docloom.llm.jaccard import one_of_each
+from docloom.llm.lexicon import run_words
 from docloom.llm.pii import redact
 from docloom.llm.quality import accepted_documents
 from docloom.llm.sentencepiece import encode
@@ -43,7 +44,7 @@ def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_pieces and ids of each document."""
-    return encode(docs).select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids")
+    return encode(docs, words=run_words).select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids")
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontaminate", decontaminate), ("pii", pii),

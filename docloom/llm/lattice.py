@@ -206,7 +206,9 @@ def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text: st
     seen = words.where("learnt > 0").agg(F.sum("learnt").alias("n"), F.count(F.lit(1)).alias("v"),
                                          F.sum((F.col("learnt") == 1).cast("long")).alias("once")).first()
     n, v, alpha = (seen.n or 0) + ends, seen.v + (ends > 0), float(max(1, seen.once or 0))
-    shared = docs.sparkSession.sparkContext.broadcast(adapted(words, load_pieces(model_file)))
+    # a word's only blank is its first character: pieces with later ones match no word
+    pieces = [x for x in load_pieces(model_file) if "▁" not in x[1][1:]]
+    shared = docs.sparkSession.sparkContext.broadcast(adapted(words, pieces))
 
     def probabilities(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in frames:

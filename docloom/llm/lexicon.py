@@ -42,15 +42,18 @@ def plain_words(texts: pa.Array) -> Iterator[Slice]:
     return scan(texts, NON_SPACE, LOWER)
 
 
-def spaced_words(texts: pa.Array) -> Iterator[Slice]:
+def spaced_words(texts: pa.Array, runs: bool = False) -> Iterator[Slice]:
     """Pre-tokens: a blank is put before each text that isn't empty; a word
-    starts at each blank, each line feed, and after a line feed."""
+    starts at each blank (with ``runs``: at the first blank of a run), each
+    line feed, and after a line feed."""
     for row, after, bounds in joined(texts, SAME):
         # rows are followed by a blank: turned into the blank before the next row's text
         text = np.concatenate([[32], after[:-1]]).astype(np.uint8)
         row_at, ends_at = bounds[:-1], bounds[1:]
         blank, feed = text == 32, text == 10
         first = blank | feed
+        if runs:
+            first[1:] &= ~(blank[1:] & blank[:-1])
         first[1:] |= feed[:-1]
         first[row_at] = ends_at - row_at > 1  # an empty text has no words
         starts = np.flatnonzero(first)
@@ -60,6 +63,12 @@ def spaced_words(texts: pa.Array) -> Iterator[Slice]:
                     _runs(text.astype(np.uint64) + np.uint64(1), starts, ends, _BASE[0]), row_at)
 
 
+def run_words(texts: pa.Array) -> Iterator[Slice]:
+    """``spaced_words`` that start at the first blank of a run, so that pieces
+    of several blanks match."""
+    return spaced_words(texts, runs=True)
+
+
 def _letters(parts: list[Slice], of: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, sizes): the bytes of words, one after the other; word at[i] of slice of[i]."""
     sizes, begins = np.zeros(len(of), np.int64), np.zeros(len(of), np.int64)

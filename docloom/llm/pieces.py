@@ -11,8 +11,9 @@ MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 #: What a character outside the vocabulary costs beyond the
 #: least likely piece; the offset of the rank law.
 UNKNOWN_PENALTY, RANK_OFFSET = 10.0, 2.7
-#: Scores below this mark pieces that are never used.
-UNUSED = -1e8
+#: Scores below this are no scores: the piece is used (runs of blanks, mostly),
+#: and its score follows from its place in the vocabulary.
+NO_SCORE = -1e8
 
 
 def load_pieces(model_file: str = MODEL_FILE) -> list[tuple[int, str, float]]:
@@ -20,13 +21,18 @@ def load_pieces(model_file: str = MODEL_FILE) -> list[tuple[int, str, float]]:
 
     Unigram files hold log-probabilities.  Where the scores are minus the rank
     (as in merge-trained files), a piece's probability follows its rank r as
-    1 / (r + RANK_OFFSET).  Probabilities are normalised either way."""
+    1 / (r + RANK_OFFSET).  A piece without a score has the rank of its place
+    there, and the score between its neighbours' in a unigram file.
+    Probabilities are normalised either way."""
     import sentencepiece
     sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
     rows = [(i, sp.id_to_piece(i), sp.get_score(i)) for i in range(sp.get_piece_size())
-            if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i)) and sp.get_score(i) > UNUSED]
+            if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
     score = np.array([s for _, _, s in rows])
-    if score.min() < -100:
+    place, scored = np.arange(len(rows)), score > NO_SCORE
+    ranks = score[scored].min() < -100
+    score[~scored] = -place[~scored] if ranks else np.interp(place[~scored], place[scored], score[scored])
+    if ranks:
         score = -np.log(-score + RANK_OFFSET)
     score -= np.log(np.exp(score - score.max()).sum()) + score.max()
     return [(i, p, float(s)) for (i, p, _), s in zip(rows, score, strict=True)]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .lexicon import run_words
 from .registry import register
 from .sentencepiece import encode
 from .tables import table
@@ -12,6 +13,6 @@ from .tables import table
 
 @register("op7_sentencepiece")
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    encoded = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), words=run_words)
     return encoded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"),
                           F.xxhash64("ids").alias("ids_hash"))

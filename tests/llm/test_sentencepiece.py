@@ -1,6 +1,7 @@
 import re
 
-from docloom.llm.pieces import UNKNOWN_PENALTY, byte_ids, load_pieces
+import corpus_pipeline
+from docloom.llm.pieces import MODEL_FILE, UNKNOWN_PENALTY, byte_ids, load_pieces
 from docloom.llm.sentencepiece import decode, encode
 
 DOC = "doc_id long, text string, ids string, word_id long, block long"
@@ -55,3 +56,45 @@ def test_whole_documents_come_back(spark, documents):
     plain = plain_viterbi()
     ids = {r.doc_id: list(r.ids) for r in encoded.collect()}
     assert all(ids[d["doc_id"]] == plain(d["text"] or "") for d in documents)
+
+
+def uncut_viterbi(text):
+    """Ids of the best path over the whole text, no words."""
+    table = {p: (s, i) for i, p, s in load_pieces()}
+    unknown, longest, bytes_of = min(s for s, _ in table.values()) - UNKNOWN_PENALTY, max(map(len, table)), byte_ids()
+    w = (" " + text).translate(SWAP)
+    best = [(0.0, None, [])]
+    for end in range(1, len(w) + 1):
+        top = None
+        for start in range(max(0, end - longest), end):
+            part = w[start:end]
+            s, ids = table[part][0] if part in table else unknown, [table[part][1]] if part in table else [bytes_of[b] for b in part.translate(SWAP).encode()]
+            if (part in table or end - start == 1) and (top is None or best[start][0] + s > top[0]):
+                top = (best[start][0] + s, start, ids)
+        best.append(top)
+    out, at = [], len(w)
+    while at:
+        out, at = best[at][2] + out, best[at][1]
+    return out
+
+
+def test_every_normal_piece_is_kept():
+    import sentencepiece
+    sp = sentencepiece.SentencePieceProcessor(model_file=MODEL_FILE)
+    normal = [i for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
+    pieces = load_pieces()
+    assert [i for i, _, _ in pieces] == normal
+    scores = [s for _, _, s in pieces]
+    assert scores == sorted(scores, reverse=True)  # by rank, the blanks too
+
+
+def test_pieces_of_blanks_are_used(make):
+    texts = [" ", "x ", "a  b", "def f():\n    return 1\n        # 3 years", "  x", "   \n\n  y", "3 years 5 日本", "a" + " " * 17 + "b", "▁ ▁▁", "", "end   "]
+    stage = dict(corpus_pipeline.STAGES)["pieces"]
+    docs = make(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: list(r.ids) for r in stage(docs.sparkSession, docs, "").collect()}
+    assert got == {i: uncut_viterbi(t) if t else [] for i, t in enumerate(texts)}
+    used = {i for x in got.values() for i in x}
+    assert {28705, 259, 2287, 359} <= used and byte_ids()[32] not in used
+    encoded = stage(docs.sparkSession, docs, "")
+    assert {r.doc_id: r.text for r in decode(encoded).collect()} == dict(enumerate(texts))
