@@ -44,7 +44,7 @@ _DOTTED = re.compile(r"[0-9][0-9.]*")
 _IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _NUMBER = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
+_IBAN = re.compile(r"(?=([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}))")
 _PHONE_LOCAL = re.compile(r"\([0-9]{3}\) ?[0-9]{3}[ -][0-9]{4}(?![0-9])")
 _SSN = re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _SECRET = re.compile(r"[A-Za-z0-9_/+-]{20,}")
@@ -139,15 +139,17 @@ def _dotted_parts(run: str) -> Iterator[tuple[int, int]]:
 def _added(text: str) -> Iterator[tuple[str, int, int]]:
     if not _DIGIT.search(text):
         return
-    for m in _IBAN.finditer(text):
-        if m.start() and text[m.start() - 1].isalnum():
+    done = 0
+    for m in _IBAN.finditer(text):  # from each place: a code before an IBAN may look like one's start
+        if m.start() < done or m.start() and text[m.start() - 1].isalnum():
             continue
-        left, end = IBAN_LENGTHS.get(m[0][:2], 0), m.start()
-        while left and end < m.end():  # as many characters as the country's IBANs have
+        left, end = IBAN_LENGTHS.get(m[1][:2], 0), m.start()
+        while left and end < m.end(1):  # as many characters as the country's IBANs have
             left -= text[end] != " "
             end += 1
-        if m[0][:2] in IBAN_LENGTHS and not left and not text[end:end + 1].isalnum() and mod97(text[m.start():end].replace(" ", "")):
+        if m[1][:2] in IBAN_LENGTHS and not left and not text[end:end + 1].isalnum() and mod97(text[m.start():end].replace(" ", "")):
             yield "iban", m.start(), end
+            done = end
     for m in _NUMBER.finditer(text):
         if m.end() - m.start() >= 13:
             digits = _digits(m[0])

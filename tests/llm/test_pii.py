@@ -48,6 +48,12 @@ def test_added_kinds_need_validators_and_context():
     assert find_spans("mail a@b.co")[0][3] > find_spans("see a@b.co")[0][3]
 
 
+def test_iban_after_a_code_that_looks_like_its_start():
+    text = "REF ID12 DE89 3704 0044 0532 0130 00, DE12 GB82 WEST 1234 5698 7654 32"
+    spans = [(k, text[a:b]) for k, a, b, _ in find_spans(text)]
+    assert spans == [("iban", "DE89 3704 0044 0532 0130 00"), ("iban", "GB82 WEST 1234 5698 7654 32")]
+
+
 def test_edges_and_redaction(make):
     rows = [(1, None, "x", 0, "s"), (2, "", "x", 0, "s"), (None, "to a@b.co, née +1 (743) 555-3824", "x", 9, "s"),
             (4, "hi a@b.co", "x", 9, "s"), (4, "hi a@b.co", "x", 9, "s"), (5, "w " * 100_000 + "1.2.3.4", None, 1, None)]
