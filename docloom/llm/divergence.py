@@ -184,24 +184,25 @@ def _share(count: Column, total: Column, kept: Column, smooth: int, scale: int)
 
 
 
-def _distances(key: tuple, rows: pa.Table) -> pa.Table:
-    """Of each two sources of two blocks: the sum over a shard's terms of the
-    difference of their shares, less that of their shares of absent terms."""
+def _distances(key: tuple, rows: pa.Table, width: int, at_once: int) -> pa.Table:
+    """Of each two sources of two blocks (of ``width``): the sum over a shard's
+    terms of the difference of their shares, less that of their shares of absent
+    terms; a matrix holds ``at_once`` terms."""
     lang, _, low, high = (x.as_py() for x in key)
     g, p, term = rows["g"].to_numpy(), rows["p"].to_numpy(), rows["term"].combine_chunks()
     absent = term.is_null().to_numpy(zero_copy_only=False)
     bases, sides = [], []
     for block in (low, high):
-        own = np.flatnonzero(absent & (g // BLOCK == block))
+        own = np.flatnonzero(absent & (g // width == block))
         own = own[np.argsort(g[own])]
         bases.append((g[own], p[own]))
-        sides.append(np.flatnonzero(~absent & (g // BLOCK == block)))
+        sides.append(np.flatnonzero(~absent & (g // width == block)))
     coded = term.dictionary_encode()
     code = coded.indices.fill_null(0).to_numpy().astype(np.int64)
     total = np.zeros((len(bases[0][0]), len(bases[1][0])), np.int64)
     alone = np.abs(bases[0][1][:, None] - bases[1][1][None, :])
-    for first in range(0, len(coded.dictionary), MATRIX_TERMS):
-        many = min(MATRIX_TERMS, len(coded.dictionary) - first)
+    for first in range(0, len(coded.dictionary), at_once):
+        many = min(at_once, len(coded.dictionary) - first)
         x, y = (np.tile(base, (many, 1)) for _, base in bases)
         for matrix, (names, _), side in ((x, bases[0], sides[0]), (y, bases[1], sides[1])):
             here = side[(code[side] >= first) & (code[side] < first + many)]
@@ -214,17 +215,17 @@ def _distances(key: tuple, rows: pa.Table) -> pa.Table:
                      "j": pa.array(bases[1][0][j], pa.int32()), "excess": pa.array(total[i, j], pa.int64())})
 
 
-def _pairs(cells: DataFrame, groups: DataFrame) -> DataFrame:
+def _pairs(cells: DataFrame, groups: DataFrame, width: int, at_once: int) -> DataFrame:
     """lang, source, item, value of each two sources of a language."""
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("sources") - 1) / BLOCK))).alias("other")
-    block = F.floor(F.col("g") / BLOCK)
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("sources") - 1) / width))).alias("other")
+    block = F.floor(F.col("g") / width)
     keys = [F.least(block, "other").alias("low"), F.greatest(block, "other").alias("high")]
     present = (cells.select("lang", F.pmod(F.xxhash64("term"), F.col("shards")).alias("shard"), other, "term", "g", "p")
                .select("lang", "shard", *keys, "term", "g", "p"))
     absent = (groups.where("kept > 0").select("lang", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)).alias("shard"), "sources", "g", "base")
               .select("lang", "shard", other, "g", "base").select("lang", "shard", *keys, F.lit(None).cast("string").alias("term"), "g", F.col("base").alias("p")))
     summed = (present.unionByName(absent).groupBy("lang", "shard", "low", "high")
-              .applyInArrow(_distances, "lang string, i int, j int, excess long").groupBy("lang", "i", "j").agg(F.sum("excess").alias("excess")))
+              .applyInArrow(lambda key, rows: _distances(key, rows, width, at_once), "lang string, i int, j int, excess long").groupBy("lang", "i", "j").agg(F.sum("excess").alias("excess")))
     both = summed.select("lang", F.inline(F.array(F.struct(F.col("i").alias("g"), F.col("j").alias("h")), F.struct(F.col("j").alias("g"), F.col("i").alias("h")))), "excess")
     one = groups.select("lang", "source", "g", "base", "kept")
     two = groups.select("lang", F.col("source").alias("item"), F.col("g").alias("h"), F.col("base").alias("item_base"))
@@ -235,9 +236,10 @@ def _pairs(cells: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def audit(docs: DataFrame, lang: str = "lang", source: str = "source", text: str = "text", least: int = LEAST, smooth: int = SMOOTH,
-          scale: int = SCALE, top: int = TOP) -> DataFrame:
+          scale: int = SCALE, top: int = TOP, block: int = BLOCK, cells: int = CELLS, matrix: int = MATRIX_TERMS) -> DataFrame:
     """lang, source, part, item, value and rank (from 1 for each language,
-    source and part, greatest value first)."""
+    source and part, greatest value first); ``block``, ``cells`` and ``matrix``
+    bound what a task of the distances holds, and don't change the result."""
     rows = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in ((lang, "lang"), (source, "source"), (text, "text"))])
     counts = saved(counted_terms(rows), "terms")
     kept = counts.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("all_n")).where(F.col("docs") >= least)
@@ -252,15 +254,15 @@ def audit(docs: DataFrame, lang: str = "lang", source: str = "source", text: str
     zero = F.lit(0).cast("long")
     groups = (numbered.join(of_source, ["lang", "source"], "left").join(of_lang, "lang", "left")
               .select("lang", "source", "g", "sources", F.coalesce("total", zero).alias("total"), F.coalesce("kept", zero).alias("kept"),
-                      F.coalesce("lang_total", zero).alias("lang_total"), (F.floor(F.coalesce("cells", zero) / CELLS) + 1).alias("shards")))
+                      F.coalesce("lang_total", zero).alias("lang_total"), (F.floor(F.coalesce("cells", zero) / cells) + 1).alias("shards")))
     groups = saved(groups.withColumn("base", _share(zero, F.col("total"), F.col("kept"), smooth, scale)), "sources")
-    cells = (found.join(groups, ["lang", "source"])
-             .withColumn("p", _share(F.col("n"), F.col("total"), F.col("kept"), smooth, scale))
-             .withColumn("q", _share(F.col("all_n"), F.col("lang_total"), F.col("kept"), smooth, scale)))
+    shares = (found.join(groups, ["lang", "source"])
+              .withColumn("p", _share(F.col("n"), F.col("total"), F.col("kept"), smooth, scale))
+              .withColumn("q", _share(F.col("all_n"), F.col("lang_total"), F.col("kept"), smooth, scale)))
 
     ranked = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
-    pairs = _pairs(cells, groups).withColumn("rank", F.row_number().over(ranked))
-    terms = (cells.where("p > q").select("lang", "source", F.col("term").alias("item"), (F.col("p") - F.col("q")).alias("value"))
+    pairs = _pairs(shares, groups, block, matrix).withColumn("rank", F.row_number().over(ranked))
+    terms = (shares.where("p > q").select("lang", "source", F.col("term").alias("item"), (F.col("p") - F.col("q")).alias("value"))
              .withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= top))
     columns = ["lang", "source", "part", "item", "value", "rank"]
     return pairs.withColumn("part", F.lit("pair")).select(*columns).unionByName(terms.withColumn("part", F.lit("term")).select(*columns))

@@ -22,7 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_dir
@@ -32,6 +32,9 @@ from .words import _BASE, LOWER, NON_SPACE, SAME, Slice, _runs, batches, joined,
 BLOCK_WORDS = 1_600_000
 #: Rows for each hash bucket of words.
 BUCKET_ROWS = 512
+#: Buckets of a table (files, for each writer, and tasks) at most; each holds as
+#: many hash buckets as there are more of them.
+TABLE_BUCKETS = 8192
 PLACE_BITS = 40
 
 Splitter = Callable[[pa.Array], Iterator[Slice]]
@@ -174,11 +177,17 @@ def pack(docs: DataFrame, split: Splitter, block_words: int = BLOCK_WORDS, count
             yield _block(parts, ids, learn, task << 32 | made, buckets)
 
     blocks = bucketed(docs.select("id", "learn", "text").mapInArrow(run, _BLOCK), "block",
-                      int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+                      table_buckets(docs.sparkSession, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     slices = blocks.select("block", F.inline("parts"))
     if not counts:
         slices = slices.drop("counts", "learnt")
-    return Packed(blocks, bucketed(slices.groupBy("bucket").applyInArrow(_placed, _TABLE), "bucket", buckets // 2), buckets // 2)
+    parts = table_buckets(docs.sparkSession, buckets // 2)
+    return Packed(blocks, bucketed(slices.groupBy("bucket").applyInArrow(_placed, _TABLE), "bucket", parts), parts)
+
+
+def table_buckets(spark: SparkSession, wanted: int) -> int:
+    """``wanted``, or the most that a table of Spark's is given."""
+    return min(wanted, TABLE_BUCKETS, int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets")))
 
 
 def bucketed(df: DataFrame, key: str, parts: int) -> DataFrame:
