@@ -339,14 +339,11 @@ def decoder(ranks: Broadcast) -> Column:
     the token-byte table.  A null array gives null."""
     @F.arrow_udf(BinaryType())
     def decoded(lists: pa.Array) -> pa.Array:
-        tokens = ranks.value.tokens
-        offsets = np.frombuffer(tokens.buffers()[1], np.int64)[:len(tokens) + 1]
-        data = np.frombuffer(tokens.buffers()[2], np.uint8)
         cuts, ids = _flat(lists)
-        size = np.diff(offsets)[ids]
-        ends = np.concatenate([[0], np.cumsum(size)])
-        out = data[np.arange(ends[-1]) - np.repeat(ends[:-1] - offsets[ids], size)]
-        made = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(ends[cuts].astype(np.int64)), pa.py_buffer(out)])
+        taken = ranks.value.tokens.take(pa.array(ids))  # the tokens' bytes, one after the other
+        _, offsets, data = taken.buffers()
+        ends = np.frombuffer(offsets, np.int64)[taken.offset + cuts]
+        made = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(ends), data])
         return pc.if_else(lists.is_valid(), made, None).cast(pa.binary())
     return decoded
 
