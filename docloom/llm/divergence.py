@@ -49,8 +49,9 @@ TOP = 50
 SHARD = 8 << 20
 #: Pointers of one segment that are sorted at once.
 SEGMENT = 1 << 15
-#: Sources in a block, and (term, source) counts in a shard of the distances, about.
-BLOCK, CELLS = 256, 500_000
+#: Sources in a block, and (term, source) counts in a shard of the distances, about
+#: (as many as the language has pairs of sources, if they are more).
+BLOCK, CELLS = 256, 50_000
 #: Terms of a matrix held at once.
 MATRIX_TERMS = 4096
 
@@ -254,7 +255,7 @@ def audit(docs: DataFrame, lang: str = "lang", source: str = "source", text: str
     zero = F.lit(0).cast("long")
     groups = (numbered.join(of_source, ["lang", "source"], "left").join(of_lang, "lang", "left")
               .select("lang", "source", "g", "sources", F.coalesce("total", zero).alias("total"), F.coalesce("kept", zero).alias("kept"),
-                      F.coalesce("lang_total", zero).alias("lang_total"), (F.floor(F.coalesce("cells", zero) / cells) + 1).alias("shards")))
+                      F.coalesce("lang_total", zero).alias("lang_total"), (F.floor(F.coalesce("cells", zero) / F.greatest(F.lit(cells), F.col("sources") * F.col("sources"))) + 1).alias("shards")))
     groups = saved(groups.withColumn("base", _share(zero, F.col("total"), F.col("kept"), smooth, scale)), "sources")
     shares = (found.join(groups, ["lang", "source"])
               .withColumn("p", _share(F.col("n"), F.col("total"), F.col("kept"), smooth, scale))
