@@ -30,14 +30,14 @@ from __future__ import annotations
 
 import base64
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
@@ -292,8 +292,13 @@ def shared_ranks(spark: SparkSession, path: str | None = None) -> Broadcast:
     return spark.sparkContext.broadcast(load_ranks(path))
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
-    """id_col and ids (of the whole text) of each row, by the ranks of ``path``."""
+def encode(docs: DataFrame, id_col: str = "doc_id", text: str = "text", path: str | None = None,
+           also: dict[str, Callable[[pa.Array], pa.Array]] | None = None) -> DataFrame:
+    """id_col and ids (of the whole text) of each row, by the ranks of ``path``;
+    ``also``: further columns of bytes, by functions of lists of ids such as
+    ``token_bytes`` and ``packed_ids``, made where the ids are put together, so
+    that they take no second way through Python."""
+    also = also or {}
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.lit(True).alias("learn"), F.col(text).cast("string").alias("text"))
     ranks = shared_ranks(docs.sparkSession, path)
     classes = docs.sparkSession.sparkContext.broadcast(character_classes())
@@ -320,11 +325,13 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text: str = "text", path: st
         back = back.take(pa.array(np.argsort(back["bucket"].to_numpy())))
         sizes = _from_bytes(np.frombuffer(b"".join(back["widths"].to_pylist()), np.uint8))
         values = np.frombuffer(b"".join(back["sent"].to_pylist()), kind)
-        parts = [b for one in read_blocks(block.to_batches()) for b in _rows(one, sizes, values)]
-        return pa.Table.from_batches(parts, pa.schema([("id", pa.int64()), ("ids", pa.list_(pa.int32()))]))
+        parts = [pa.record_batch([*b.columns, *[made(b.column(1)) for made in also.values()]], ["id", "ids", *also])
+                 for one in read_blocks(block.to_batches()) for b in _rows(one, sizes, values)]
+        return pa.Table.from_batches(parts, pa.schema([("id", pa.int64()), ("ids", pa.list_(pa.int32())), *[(c, pa.binary()) for c in also]]))
 
+    schema = ", ".join(["id long, ids array<int>", *[f"`{c}` binary" for c in also]])
     back = packed.table.select("bucket", "block", "places", "words").groupBy("bucket").applyInArrow(once, "block long, bucket int, widths binary, sent binary")
-    return (packed.blocks.select(*BLOCK_COLUMNS).groupBy("block").cogroup(back.groupBy("block")).applyInArrow(finish, "id long, ids array<int>")
+    return (packed.blocks.select(*BLOCK_COLUMNS).groupBy("block").cogroup(back.groupBy("block")).applyInArrow(finish, schema)
             .withColumnRenamed("id", id_col))
 
 
@@ -334,28 +341,34 @@ def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([[0], np.cumsum(sizes)]), lists.flatten().to_numpy(zero_copy_only=False)
 
 
-def decoder(ranks: Broadcast) -> Column:
-    """A function of an array of ids: the bytes they stand for, by a join with
-    the token-byte table.  A null array gives null."""
-    @F.arrow_udf(BinaryType())
+def _binary(lists: pa.Array, ends: np.ndarray, data: pa.Buffer) -> pa.Array:
+    made = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(ends), data])
+    return pc.if_else(lists.is_valid(), made, None).cast(pa.binary())
+
+
+def token_bytes(ranks: Broadcast) -> Callable[[pa.Array], pa.Array]:
+    """A function of lists of ids: the bytes they stand for, by a join with the
+    token-byte table.  A null list gives null."""
     def decoded(lists: pa.Array) -> pa.Array:
         cuts, ids = _flat(lists)
         taken = ranks.value.tokens.take(pa.array(ids))  # the tokens' bytes, one after the other
         _, offsets, data = taken.buffers()
-        ends = np.frombuffer(offsets, np.int64)[taken.offset + cuts]
-        made = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(ends), data])
-        return pc.if_else(lists.is_valid(), made, None).cast(pa.binary())
+        return _binary(lists, np.frombuffer(offsets, np.int64)[taken.offset + cuts], data)
     return decoded
 
 
+def packed_ids(lists: pa.Array) -> pa.Array:
+    """Ids as little-endian unsigned 32-bit integers, one after the other."""
+    cuts, ids = _flat(lists)
+    return _binary(lists, cuts * 4, pa.py_buffer(ids.astype("<u4")))
+
+
 def decode(encoded: DataFrame, ids: str = "ids", name: str = "bytes", path: str | None = None) -> DataFrame:
     """``encoded`` with the bytes that its ids stand for."""
-    return encoded.withColumn(name, decoder(shared_ranks(encoded.sparkSession, path))(encoded[ids]))
+    decoded = token_bytes(shared_ranks(encoded.sparkSession, path))
 
+    @F.arrow_udf(BinaryType())
+    def run(lists: pa.Array) -> pa.Array:
+        return decoded(lists)
 
-@F.arrow_udf(BinaryType())
-def little_endian(lists: pa.Array) -> pa.Array:
-    """Ids as little-endian unsigned 32-bit integers, one after the other."""
-    cuts, ids = _flat(lists)
-    made = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(cuts * 4), pa.py_buffer(ids.astype("<u4"))])
-    return pc.if_else(lists.is_valid(), made, None).cast(pa.binary())
+    return encoded.withColumn(name, run(encoded[ids]))
