@@ -44,6 +44,8 @@ from pyspark.sql.types import BinaryType
 from .lexicon import BLOCK_COLUMNS, Block, _as_bytes, _from_bytes, _gathered, pack, read_blocks
 from .words import _BASE, SAME, Slice, _runs, joined
 
+#: Pre-tokens of a block at most (but for a longer text): they are shorter than words.
+BLOCK_WORDS = 2_400_000
 #: Pre-tokens of more bytes are encoded by a heap.
 LONG = 64
 #: Classes of characters.
@@ -302,7 +304,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text: str = "text", path: st
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.lit(True).alias("learn"), F.col(text).cast("string").alias("text"))
     ranks = shared_ranks(docs.sparkSession, path)
     classes = docs.sparkSession.sparkContext.broadcast(character_classes())
-    packed = pack(rows, lambda texts: pattern_words(texts, classes.value), counts=False)
+    packed = pack(rows, lambda texts: pattern_words(texts, classes.value), BLOCK_WORDS, counts=False)
     kind = np.dtype(np.uint16 if len(ranks.value.tokens) <= 1 << 16 else np.uint32)
 
     def once(key: tuple, bucket: pa.Table) -> pa.Table:
