@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import corpus as cp
-from ..session import fresh_dir
+from ..session import fresh_dir, materialized
+from ..sources import json_ranges as jr
 from ..sources import readers as rd
 from ..sources import sinks as sk
 from . import oracle as O
@@ -15,6 +18,11 @@ from .queries_corpus import FAQ_SQL
 from .registry import register
 
 
+FAQ_MAP_SQL = O.with_(FAQ_SQL) + """
+SELECT faqid, CAST(row_number() OVER (PARTITION BY faqid ORDER BY rec) - 1 AS INTEGER) AS rec, question,
+       CAST(coalesce(len(answers), 0) AS INTEGER) AS n_answers, md5(coalesce(array_to_string(answers, '|'), '')) AS answers_md5 FROM r"""
+
+
 @register("corpus_roundtrip", O.with_(O.CORPUS) + "SELECT filename, category, md5(content) AS content_md5, content_len, doc_num FROM corpus")
 def corpus_roundtrip(spark, d):
     """The corpus written, read with its schema, and built or loaded
@@ -37,6 +45,31 @@ def wrapped_json_roundtrip(spark, d):
     return rd.read_wrapped_lines(spark, path, "turns", turns.schema)
 
 
+@contextmanager
+def _ranges(spark, size):
+    """Files are read in byte ranges of about ``size``."""
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+@register("wrapped_document_ranges", "SELECT conv_id, turn, role, [text, role] AS lines FROM conversations")
+def wrapped_document_ranges(spark, d):
+    """Documents ``{"turns": [...]}`` of 2,000 conversations each, every one
+    on a single line, read in byte ranges of 128 KB."""
+    turns = TB.table(spark, d, "conversations").select("conv_id", "turn", "role", F.array("text", "role").alias("lines"))
+    path = fresh_dir(spark, "wrapped-document")
+    (turns.groupBy(F.floor(F.col("conv_id") / 2000).alias("part")).agg(F.collect_list(F.struct("conv_id", "turn", "role", "lines")).alias("turns"))
+     .select("part", F.to_json(F.struct("turns"), {"ignoreNullFields": "false"}).alias("value")).repartition("part")
+     .write.mode("append").partitionBy("part").text(path))
+    with _ranges(spark, 128 << 10):
+        return materialized(jr.read_json_document(spark, path, "turns", turns.schema), "wrapped-ranges")
+
+
 @register("json_lines_roundtrip", "SELECT item_id, text FROM benchmark")
 def json_lines_roundtrip(spark, d):
     """Sorted JSON lines and back."""
@@ -57,9 +90,7 @@ def prediction_files_roundtrip(spark, d):
     return rd.read_predictions(spark, path).select("qid", "category", "retrieve", "incre_num_by", "checkpoint")
 
 
-@register("faq_map_roundtrip", O.with_(FAQ_SQL) + """
-SELECT faqid, CAST(row_number() OVER (PARTITION BY faqid ORDER BY rec) - 1 AS INTEGER) AS rec, question,
-       CAST(coalesce(len(answers), 0) AS INTEGER) AS n_answers, md5(coalesce(array_to_string(answers, '|'), '')) AS answers_md5 FROM r""")
+@register("faq_map_roundtrip", FAQ_MAP_SQL)
 def faq_map_roundtrip(spark, d):
     """FAQ records as JSON objects ``id → records``, 64 ids to a file, and back."""
     recs = cp.faq_records(TB.table(spark, d, "conversations"))
@@ -69,12 +100,31 @@ def faq_map_roundtrip(spark, d):
             .select("part", F.to_json(F.map_from_entries("e")).alias("value")))
     path = fresh_dir(spark, "faq-map")
     maps.repartition("part").write.mode("append").partitionBy("part").text(path)
-    back = rd.read_faq_map(spark, path)
+    return _faq_digest(rd.read_faq_map(spark, path))
+
+
+def _faq_digest(back):
     return back.select("faqid", F.col("rec").cast("int").alias("rec"), "question",
                        F.coalesce(F.size(F.coalesce("answers", F.array().cast(T.ArrayType(T.StringType())))), F.lit(0)).alias("n_answers"),
                        F.md5(F.coalesce(F.array_join("answers", "|"), F.lit("")).cast("binary")).alias("answers_md5"))
 
 
+@register("faq_map_ranges", FAQ_MAP_SQL)
+def faq_map_ranges(spark, d):
+    """FAQ records as JSON objects ``id → records``, 2,000 ids to a file,
+    each on a single line, read in byte ranges of 128 KB."""
+    recs = cp.faq_records(TB.table(spark, d, "conversations"))
+    lists = (recs.groupBy("faqid").agg(F.sort_array(F.collect_list(F.struct("rec", F.struct("question", "answers").alias("r")))).alias("l"))
+             .select("faqid", F.transform("l", lambda x: x["r"]).alias("l")))
+    maps = (lists.groupBy(F.floor(F.col("faqid") / 2000).alias("part")).agg(F.collect_list(F.struct(F.col("faqid").cast("string").alias("k"), "l")).alias("e"))
+            .select("part", F.to_json(F.map_from_entries("e")).alias("value")))
+    path = fresh_dir(spark, "faq-ranges")
+    maps.repartition("part").write.mode("append").partitionBy("part").text(path)
+    with _ranges(spark, 128 << 10):
+        back = materialized(rd.read_faq_map(spark, path, parallel=True), "faq-ranges-read")
+    return _faq_digest(back)
+
+
 @register("write_once", "SELECT p_brand, count(*) AS n FROM part GROUP BY p_brand")
 def write_once(spark, d):
     """What is there stays: the second write changes nothing."""

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schemas as S
+from . import json_ranges
 
 EXCLUDE_MARKER = "pred_retrieve"
 
@@ -19,8 +22,8 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
 def read_wrapped_json(spark: SparkSession, path: str, root: str, elem: T.StructType) -> DataFrame:
     """``{"<root>": [ {...}, ... ]}`` files → one row per element.
 
-    A single JSON document is not splittable; for large inputs prefer
-    ``read_json_lines`` (one element per line)."""
+    Each file is read by one task; ``json_ranges.read_json_document`` reads a
+    large one by many, and ``read_json_lines`` one element per line."""
     schema = T.StructType([T.StructField(root, T.ArrayType(elem))])
     return (spark.read.schema(schema).option("multiLine", True).json(path)
             .select(F.inline(F.col(root))))
@@ -33,23 +36,33 @@ def read_json_lines(spark: SparkSession, path: str, elem: T.StructType) -> DataF
 
 def read_wrapped_lines(spark: SparkSession, path: str, root: str, elem: T.StructType) -> DataFrame:
     """S4 for documents of ``sinks.write_wrapped_json``: the frame is taken off
-    each line, so the folder is read in parallel."""
-    body = F.regexp_replace("value", r"^(\{\"" + root + r"\": \[|,)|\]\}$", "")
-    return (spark.read.text(path).select(body.alias("value")).where(F.length("value") > 0)
+    each line, so the folder is read in parallel.  The document's end is a line
+    of its own."""
+    body = F.regexp_replace("value", r"^(\{\"" + root + r"\": \[|,)", "")
+    return (spark.read.text(path).select(body.alias("value")).where((F.length("value") > 0) & (F.col("value") != "]}"))
             .select(F.from_json("value", elem).alias("r")).select("r.*"))
 
 
-def read_questions(spark: SparkSession, path: str) -> DataFrame:
-    return read_wrapped_json(spark, path, "questions", S.QUESTION)
+def read_questions(spark: SparkSession, path: str, parallel: bool = False) -> DataFrame:
+    """S4; ``parallel``: each document by as many tasks as it has byte ranges."""
+    return _wrapped(parallel)(spark, path, "questions", S.QUESTION)
+
+
+def read_truths(spark: SparkSession, path: str, parallel: bool = False) -> DataFrame:
+    """S4; ``parallel``: each document by as many tasks as it has byte ranges."""
+    return _wrapped(parallel)(spark, path, "ground_truths", S.TRUTH)
 
 
-def read_truths(spark: SparkSession, path: str) -> DataFrame:
-    return read_wrapped_json(spark, path, "ground_truths", S.TRUTH)
+def _wrapped(parallel: bool) -> Callable[..., DataFrame]:
+    return json_ranges.read_json_document if parallel else read_wrapped_json
 
 
-def read_faq_map(spark: SparkSession, path: str) -> DataFrame:
+def read_faq_map(spark: SparkSession, path: str, parallel: bool = False) -> DataFrame:
     """One JSON object ``id → [ {question, answers[]} ]`` per file →
-    ``(faqid bigint, rec int, question, answers)``; the key is cast strictly."""
+    ``(faqid bigint, rec int, question, answers)``; the key is cast strictly.
+    ``parallel``: each file by as many tasks as it has byte ranges."""
+    if parallel:
+        return json_ranges.read_id_map(spark, path)
     raw = spark.read.text(path, wholetext=True)
     m = raw.select(F.explode(F.from_json("value", S.FAQ_MAP)).alias("k", "recs"))
     return m.select(F.col("k").cast("long").alias("faqid"),

@@ -66,17 +66,17 @@ def write_prediction_batches(df: DataFrame, path: str, batch_col: str = "batch_n
 def write_wrapped_json(df: DataFrame, path: str, root: str, order: list[str]) -> None:
     """One ``{"<root>": [...]}`` document, rows sorted by ``order``, written
     by all tasks: each row is a line, the first opens the document, the others
-    start with a comma, the last closes it.  The part files in order of their
+    start with a comma, and a line of its own closes it.  The part files in order of their
     names, one after the other, are the document (``hadoop fs -getmerge``), and
     ``readers.read_wrapped_lines`` reads the folder as it is, in parallel."""
     spark = df.sparkSession
     key = F.struct(*[F.col(c) for c in order], F.to_json(F.struct(*df.columns)).alias("row"))
     rows = rank_within(df.select(key.alias("k"), F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("row")), "k", name="n")
     total = rows.select(F.count(F.lit(1))).scalar()
-    line = F.concat(F.when(F.col("n") == 0, F.lit(f'{{"{root}": [')).otherwise(F.lit(",")), F.col("row"),
-                    F.when(F.col("n") == total - 1, F.lit("]}")).otherwise(F.lit("")))
-    none = spark.range(1).where(total == 0).select(F.lit(f'{{"{root}": []}}').alias("value"), F.lit(0).cast("long").alias("n"))
-    (rows.select(line.alias("value"), "n").unionByName(none).orderBy("n").select("value")
+    line = F.concat(F.when(F.col("n") == 0, F.lit(f'{{"{root}": [')).otherwise(F.lit(",")), F.col("row"))
+    end = spark.range(1).select(F.when(total == 0, F.lit(f'{{"{root}": [')).alias("open"), total.alias("n"))
+    end = end.select(F.explode(F.filter(F.array("open", F.lit("]}")), lambda x: x.isNotNull())).alias("value"), "n")
+    (rows.select(line.alias("value"), "n").unionByName(end).orderBy("n", F.desc("value")).select("value")
      .write.mode("overwrite").text(path))
 
 
