@@ -7,6 +7,7 @@ from contextlib import contextmanager
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .. import schemas as S
 from ..operators import corpus as cp
 from ..session import fresh_dir, materialized
 from ..sources import json_ranges as jr
@@ -18,6 +19,27 @@ from .queries_corpus import FAQ_SQL
 from .registry import register
 
 
+@register("prediction_file_names", O.with_(O.PREDICTIONS) + """
+SELECT 'qid' || qid // 64 || '_iter' || qid % 3 || '_checkpoint' || checkpoint || '.json' AS file, count(*) AS n,
+       CAST(sum(incre_num_by) AS BIGINT) AS total FROM preds WHERE qid IS NOT NULL GROUP BY file""")
+def prediction_file_names(spark, d):
+    """The prediction files under their very names, and what each holds."""
+    preds = TB.predictions(spark, d).where("qid IS NOT NULL").withColumn("batch", F.floor(F.col("qid") / 64)).withColumn("iteration", F.col("qid") % 3)
+    path = fresh_dir(spark, "prediction-names")
+    sk.write_named_predictions(preds, path, qid="batch")
+    return (spark.read.schema(S.PREDICTION).option("multiLine", True).json(path)
+            .groupBy(F.col("_metadata.file_name").alias("file")).agg(F.count(F.lit(1)).alias("n"), F.sum("incre_num_by").alias("total")))
+
+
+@register("answer_file", "SELECT conv_id, turn, text FROM conversations")
+def answer_file(spark, d):
+    """One wrapped document as one file of a given name."""
+    turns = TB.table(spark, d, "conversations").select("conv_id", "turn", "text")
+    path = fresh_dir(spark, "answer-file")
+    sk.write_answer_file(turns, path, "pred_retrieve_120.json", "answers", ["conv_id", "turn"])
+    return materialized(rd.read_wrapped_json(spark, f"{path}/pred_retrieve_120.json", "answers", turns.schema), "answer-file-read")
+
+
 FAQ_MAP_SQL = O.with_(FAQ_SQL) + """
 SELECT faqid, CAST(row_number() OVER (PARTITION BY faqid ORDER BY rec) - 1 AS INTEGER) AS rec, question,
        CAST(coalesce(len(answers), 0) AS INTEGER) AS n_answers, md5(coalesce(array_to_string(answers, '|'), '')) AS answers_md5 FROM r"""

@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schemas as S
+from ..session import materialized
 
 # the functions below run in Python workers; see hooks.py
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -167,8 +168,8 @@ def json_units(spark: SparkSession, path: str, close: str, level: int) -> DataFr
     """file, start, seq (the order inside the file), dips and text of each unit:
     what stands between two brackets ``close`` that close down to ``level``."""
     fragments = _fragments(spark, path, close)
-    # one row a range
-    states = F.broadcast(start_states(fragments, close))
+    # one row a range, found once
+    states = F.broadcast(materialized(start_states(fragments, close), "json-ranges"))
     known = fragments.join(states, ["file", "start"], "left").select(
         "value", "file", "size", "start", F.coalesce("in_string", F.raise_error(F.lit("the ranges of a file have changed between two passes")).cast("long")).alias("in_string"), "depth")
     pieces = _cut(known, close, level)
@@ -230,8 +231,8 @@ def read_json_document(spark: SparkSession, path: str, root: str, elem: T.Struct
         key, rest = _opening(text, 2)
         return (None if key is None else json.loads(key)), rest
 
-    marked = (units.where("dips").select("file", "start", "seq", F.inline(F.array(opened("text"))))
-              .select("file", "start", "seq", "key", "text"))
+    marked = materialized(units.where("dips").select("file", "start", "seq", F.inline(F.array(opened("text"))))
+                          .select("file", "start", "seq", "key", "text"), "json-keys")
     place = F.struct("start", "seq")
     spans = (marked.select("file", place.alias("first"), "key", F.lead(place).over(Window.partitionBy("file").orderBy("start", "seq")).alias("next"))
              .where(F.col("key") == root).select("file", "first", "next"))

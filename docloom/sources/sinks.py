@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators.ranks import rank_within
+from .named_files import write_named_json
 
 log = logging.getLogger(__name__)
 
@@ -39,7 +40,8 @@ def materialize(spark: SparkSession, build: Callable[[], DataFrame], path: str,
 
 def write_prediction_files(df: DataFrame, path: str, qid: str = "qid", iteration: str = "iteration",
                            checkpoint: str = "checkpoint") -> None:
-    """S10/F22 under the reference's names: one JSON-array file
+    """S10/F22 without a Python data source (``write_named_predictions`` writes
+    real files): one JSON-array file
     ``qid{q}_iter{i}_checkpoint{n}.json`` for each (qid, iteration, checkpoint),
     its rows sorted.  Spark names part files itself, so each file is a folder of
     that name with one part; ``readers.read_predictions`` goes by the folder.
@@ -53,6 +55,21 @@ def write_prediction_files(df: DataFrame, path: str, qid: str = "qid", iteration
      .repartition("file").write.mode("append").partitionBy("file").text(path))
 
 
+def write_named_predictions(df: DataFrame, path: str, qid: str = "qid", iteration: str = "iteration",
+                            checkpoint: str = "checkpoint", null_keys: str = "fail") -> None:
+    """S10/F22 under the reference's names: one JSON-array file
+    ``qid{q}_iter{i}_checkpoint{n}.json`` for each (qid, iteration, checkpoint),
+    its rows sorted, made visible when the whole write has succeeded (see
+    ``named_files``).  Rows with a null key raise, or go to the file that
+    ``null_keys`` names; a file of its name is replaced."""
+    cols = [c for c in df.columns if c not in (iteration, checkpoint)]
+    name = tx.prediction_file_name(F.col(qid).cast("long"), F.col(iteration).cast("long"), F.col(checkpoint).cast("long"))
+    if null_keys != "fail":
+        name = F.coalesce(name, F.lit(null_keys))
+    named = df.select(name.alias("_file"), *cols)
+    write_named_json(named, path, F.col("_file"), cols, drop=["_file"])
+
+
 def write_prediction_batches(df: DataFrame, path: str, batch_col: str = "batch_no",
                              checkpoint_col: str = "checkpoint") -> None:
     """Predictions as JSON lines, one folder per (checkpoint, batch) and
@@ -80,6 +97,13 @@ def write_wrapped_json(df: DataFrame, path: str, root: str, order: list[str]) ->
      .write.mode("overwrite").text(path))
 
 
+def write_answer_file(df: DataFrame, path: str, file: str, root: str, order: list[str]) -> None:
+    """S11 as the one file that a consumer of small results wants:
+    ``path/file`` holds ``{"<root>": [...]}``, sorted, streamed by one task.
+    ``write_wrapped_json`` writes the same document by all tasks."""
+    write_named_json(df, path, F.lit(file), order, root)
+
+
 def write_sorted_json_lines(df: DataFrame, path: str, order: list[str]) -> None:
     """S11 scalable form: range-partitioned, sorted JSON lines."""
     df.orderBy(*order).write.mode("overwrite").json(path)
