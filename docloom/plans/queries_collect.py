@@ -8,6 +8,7 @@ from ..operators import collect as co
 from ..session import fresh_dir
 from ..sources import sinks as sk
 from ..streaming import collect as sc
+from ..streaming import stateful as st
 from . import oracle as O
 from . import tables as TB
 from .registry import ORACLE, register
@@ -60,6 +61,20 @@ def stream_collect_answers(spark, d):
         .select("checkpoint", "qid", "retrieve")
 
 
+@register("stream_best_changes", O.with_(O.PREDICTIONS) + """
+SELECT checkpoint, qid, category, retrieve, min(incre_num_by) AS incre_num_by FROM preds
+WHERE checkpoint IS NOT NULL AND qid IS NOT NULL AND category IS NOT NULL AND retrieve IS NOT NULL GROUP BY ALL""")
+def stream_best_changes(spark, d):
+    """Per-batch prediction files, in several micro-batches, through the
+    arg-min whose state expires; what it put out, reduced."""
+    preds = TB.predictions(spark, d).withColumn("batch_no", F.floor(F.col("qid") / 64))
+    src, sink, ckpt = fresh_dir(spark, "predictions"), fresh_dir(spark, "best-changes"), fresh_dir(spark, "best-state")
+    sk.write_prediction_batches(preds, src)
+    q = st.start_best_changes(spark, src, sink, ckpt, available_now=True, json_lines=True)
+    q.awaitTermination()
+    return st.current_best(spark.read.parquet(sink))
+
+
 @register("stream_dedup_bounded", ORACLE["prediction_distinct"])
 def stream_dedup_bounded(spark, d):
     """Streaming distinct of prediction rows with bounded state.  The

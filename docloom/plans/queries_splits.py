@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import splits as sl
+from ..session import fresh_dir
+from ..streaming.cyclic import cyclic_stream
 from . import oracle as O
 from . import tables as TB
 from .common import _docs
@@ -73,3 +75,21 @@ SELECT doc_id, shuffle_key, CAST(n // 16 AS BIGINT) AS batch_no, CAST(n % 16 AS
 def hash_shuffle_batches(spark, d):
     docs = sl.seeded_shuffle(_docs(spark, d, balanced=False).select("doc_id"), "doc_id", seed=42)
     return sl.batch_numbers(docs, "shuffle_key", 16).select("doc_id", "shuffle_key", "batch_no", "pos_in_batch")
+
+
+@register("cyclic_stream_replay", """
+WITH n AS (SELECT count(*) AS n FROM benchmark), r AS (SELECT item_id, text, row_number() OVER (ORDER BY item_id) - 1 AS row_no FROM benchmark)
+SELECT row_no + e * n AS generator_step, e AS epoch, item_id, md5(text) AS text_md5 FROM r, n, unnest(range(3)) AS t(e)""")
+def cyclic_stream_replay(spark, d):
+    """Three epochs of the endless sequence over ``benchmark``, by a query
+    that is stopped and started again after every batch of a bit more than an epoch."""
+    items = TB.table(spark, d, "benchmark").select("item_id", "text")
+    n = items.count()
+    base = fresh_dir(spark, "cyclic")
+    schema = "generator_step long, epoch long, item_id long, text string"
+    for _ in range(3):
+        stream = cyclic_stream(spark, items, "item_id", f"{base}/progress.json", rows_per_batch=n + n // 8 + 1, steps=3 * n)
+        (stream.select("generator_step", "epoch", "item_id", "text").writeStream.format("parquet").option("path", f"{base}/steps")
+         .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination())
+    out = spark.read.schema(schema).parquet(f"{base}/steps")
+    return out.select("generator_step", "epoch", "item_id", F.md5(F.col("text").cast("binary")).alias("text_md5"))
