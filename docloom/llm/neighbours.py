@@ -5,7 +5,7 @@ windows of neighbouring keys around each query are searched in blocks, and the
 findings of all orderings are merged and reranked on the original vectors.
 
 Nearness is the largest inner product in double precision, ties to the smaller
-id.  For vectors of unequal length candidates get the usual extra coordinate
+id, also between candidates whose products differ by rounding only.  For vectors of unequal length candidates get the usual extra coordinate
 ``sqrt(max_length**2 - length**2)``, and queries 0.  Equal vectors are one
 candidate that stands for its ``k + 1`` smallest ids (more cannot be among the
 ``k`` nearest), so a large group of equal vectors fills no window.  Vectors
@@ -39,6 +39,8 @@ ORDERINGS, DIMS, BITS = 12, 8, 6
 FINE = 24
 SHARE = 0.05
 BLOCK, QUERIES = 2048, 2048
+#: What a product may be off by, as a share of the lengths.
+ROUNDING = 1e-12
 #: Vectors from which the centre and spread of the projections are taken.
 FIT_SAMPLE = 20_000
 
@@ -210,12 +212,18 @@ def _search(k: int):
         if len(c) and len(q):
             near = v[q] @ v[c].T
             most = min(k, len(c))
-            best = c[np.argpartition(-near, most - 1, axis=1)[:, :most]]
-            # the measure itself, summed in the order of the components
-            score = np.zeros(best.shape)
-            for d in range(v.shape[1]):
-                score += v[:, d][best] * v[q, d][:, None]
-            out = (reps[q], list(reps[best]), list(score))
+            least = np.partition(near, len(c) - most, axis=1)[:, len(c) - most]
+            # the product may be off by rounding: all that may be among the best are measured
+            length = np.sqrt((v ** 2).sum(1))
+            row, col = np.nonzero(near >= (least - ROUNDING * length[q] * length[c].max())[:, None])
+            score = np.zeros(len(row))
+            for d in range(v.shape[1]):  # the measure itself, summed in the order of the components
+                score += v[c[col], d] * v[q[row], d]
+            order = np.lexsort((reps[c[col]], -score, row))
+            row, col, score = row[order], col[order], score[order]
+            best = np.arange(len(row)) - np.searchsorted(row, row) < most
+            shape = (len(q), most)
+            out = (reps[q], list(reps[c[col[best]]].reshape(shape)), list(score[best].reshape(shape)))
         return pa.table({"rep": pa.array(out[0], pa.int64()), "found": pa.array(out[1], pa.list_(pa.int64())),
                          "score": pa.array(out[2], pa.list_(pa.float64()))})
     return run
