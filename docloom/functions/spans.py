@@ -1,7 +1,8 @@
 """Array and span functions (F23-F26, F28-F32, U3, W3): ``Column -> Column``.
 
 All are closed-form arithmetic or higher-order functions evaluated inside the
-row: no shuffle, no Python.  Closed forms and array builtins run in
+row: no shuffle, and no Python but for the search of ``find_subsequence`` and
+``match_mask``.  Closed forms and array builtins run in
 whole-stage codegen; lambdas (``transform``/``filter``/``aggregate``) are
 interpreted, so the hot paths avoid per-element lambdas where a builtin does.
 """
@@ -11,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .search import subsequence_mask, subsequence_starts
+
 
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -87,18 +90,12 @@ def gather(arr, start, end) -> Column:
 def find_subsequence(tokens, target) -> Column:
     """struct(starts, ends) of every occurrence of ``target`` in
     ``tokens`` (ends exclusive); ``[0], [0]`` when there is none, as the
-    reference returns.  Pre-checks the first element with ``array_contains``
-    so rows without it skip the windowed comparison."""
+    reference returns.  Linear in both (see ``search``); a target that starts or
+    ends with a null token isn't found."""
     t, g = _c(tokens), _c(target)
-    n, m = F.size(t), F.size(g)
-    # first and last element are compared before a slice is built (the
-    # conjunction short-circuits), so most positions cost two lookups
-    starts = F.when((m > 0) & (m <= n) & F.array_contains(t, F.get(g, 0)),
-                    F.filter(F.sequence(F.lit(0), n - m),
-                             lambda i: (F.get(t, i) == F.get(g, 0))
-                             & (F.get(t, i + m - 1) == F.get(g, m - 1))
-                             & (F.slice(t, i + 1, m) == g)))
-    starts = F.coalesce(starts, F.array().cast("array<int>"))
+    m = F.size(g)
+    whole = F.coalesce((m > 0) & F.get(g, m - 1).isNotNull(), F.lit(False))
+    starts = F.when(whole, F.coalesce(subsequence_starts(t, g), F.array().cast("array<int>"))).otherwise(F.array().cast("array<int>"))
     found = F.size(starts) > 0
     return F.struct(
         F.when(found, starts).otherwise(F.array(F.lit(0))).cast("array<long>").alias("starts"),
@@ -145,13 +142,8 @@ def answer_span(tokens, target) -> Column:
 
 def match_mask(tokens, target) -> Column:
     """F23 ``return_mask``: boolean per token, true inside any occurrence.
-    Each token looks only at the occurrences that could cover it, so the work
-    is tokens times target length whatever the number of matches."""
-    t, g = _c(tokens), _c(target)
-    n, w = F.size(t), F.size(g)
-    at = lambda s: (F.get(t, s) == F.get(g, F.lit(0))) & (F.slice(t, s + 1, w) == g)
-    covered = lambda i: F.exists(F.sequence(F.greatest(i - w + 1, F.lit(0)), F.least(i, n - w)), lambda s: F.coalesce(at(s), F.lit(False)))
-    return F.transform(t, lambda _x, i: F.when((w > 0) & (w <= n) & (F.greatest(i - w + 1, F.lit(0)) <= n - w), covered(i)).otherwise(F.lit(False)))
+    Linear in tokens and target, whatever the number of matches (see ``search``)."""
+    return subsequence_mask(_c(tokens), _c(target))
 
 
 def pad_to(arr, length, pad) -> Column:

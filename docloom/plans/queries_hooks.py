@@ -13,18 +13,18 @@ from .registry import register
 
 
 @register("charset_normalize", """
-SELECT doc_id, text, CASE doc_id % 4 WHEN 1 THEN 'utf-16' WHEN 2 THEN 'cp1252' WHEN 3 THEN 'utf-8-sig' ELSE 'utf-8' END AS encoding, true AS ok
-FROM documents WHERE text IS NOT NULL""")
+SELECT doc_id, text, CASE WHEN text IS NULL THEN NULL ELSE CASE doc_id % 4 WHEN 1 THEN 'utf-16' WHEN 2 THEN 'cp1252' WHEN 3 THEN 'utf-8-sig' ELSE 'utf-8' END END AS encoding, text IS NOT NULL AS ok
+FROM documents""")
 def charset_normalize(spark, d):
     """Each document's text in one of four encodings by its id; the repair
     has to give the text back.  (A text of plain ASCII is the same bytes in
-    all single-byte encodings.)"""
+    all single-byte encodings.  A null text stays null, and isn't ok.)"""
     by = F.col("doc_id") % 4
     raw = (F.when(by == 1, F.encode("text", "UTF-16"))  # with a byte-order mark
            .when(by == 2, F.encode("text", "ISO-8859-1"))
            .when(by == 3, F.concat(F.unhex(F.lit("EFBBBF")), F.encode("text", "UTF-8")))
            .otherwise(F.encode("text", "UTF-8")))
-    docs = _docs(spark, d).where("text IS NOT NULL").select("doc_id", raw.alias("content"), by.alias("by"))
+    docs = _docs(spark, d).select("doc_id", raw.alias("content"), by.alias("by"))
     out = hk.normalize_charset(docs, "content", candidates=("big5", "cp1252"), keep=("doc_id", "by"))
     plain = (F.col("by") == 2) & (F.col("encoding") == "utf-8") & ~F.col("text").rlike("[^\\x00-\\x7F]")
     return out.select("doc_id", "text", F.when(plain, F.lit("cp1252")).otherwise(F.col("encoding")).alias("encoding"), "ok")

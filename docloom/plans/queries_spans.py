@@ -108,13 +108,15 @@ def span_metrics_summary(spark, d):
     return out.select(*[F.round(c, 6).alias(c) for c in ("precision", "recall", "exact_match")], "n", F.round("loss", 6).alias("loss"))
 
 
-@register("match_mask", """WITH t AS (SELECT doc_id, string_split(text, ' ') AS tk FROM documents),
-m AS (SELECT doc_id, tk, list_filter(range(0, len(tk) - 1), lambda i: tk[i + 1] = tk[1] AND tk[i + 2] = tk[2]) AS s FROM t WHERE len(tk) > 1)
+@register("match_mask", """WITH t AS (SELECT doc_id, string_split(coalesce(text, ''), ' ') AS tk FROM documents),
+m AS (SELECT doc_id, tk, CASE WHEN len(tk) > 1 THEN list_filter(range(0, len(tk) - 1), lambda i: tk[i + 1] = tk[1] AND tk[i + 2] = tk[2])
+                              ELSE range(0, 1) END AS s FROM t)
 SELECT doc_id, CAST(len(tk) AS BIGINT) AS n_tokens,
-       CAST(len(list_distinct(list_concat(s, list_transform(s, lambda i: i + 1)))) AS BIGINT) AS n_masked FROM m""")
+       CAST(len(list_distinct(CASE WHEN len(tk) > 1 THEN list_concat(s, list_transform(s, lambda i: i + 1)) ELSE s END)) AS BIGINT) AS n_masked FROM m""")
 def match_mask(spark, d):
-    """F23 with ``return_mask``: tokens inside any occurrence of the document's first two."""
-    t = _docs(spark, d).select("doc_id", fe.whitespace_tokens("text").alias("tk")).where(F.size("tk") > 1)
+    """F23 with ``return_mask``: tokens inside any occurrence of the document's
+    first two (of its only one, if it has no two; a null text is one empty token)."""
+    t = _docs(spark, d).select("doc_id", fe.whitespace_tokens(F.coalesce("text", F.lit(""))).alias("tk"))
     mask = sp.match_mask(F.col("tk"), F.slice("tk", 1, 2))
     return t.select("doc_id", F.size("tk").cast("long").alias("n_tokens"),
                     F.size(F.filter(mask, lambda x: x)).cast("long").alias("n_masked"))
