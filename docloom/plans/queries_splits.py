@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import shuffle as sh
 from ..operators import splits as sl
 from ..session import fresh_dir
 from ..streaming.cyclic import cyclic_stream
@@ -93,3 +94,22 @@ def cyclic_stream_replay(spark, d):
          .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination())
     out = spark.read.schema(schema).parquet(f"{base}/steps")
     return out.select("generator_step", "epoch", "item_id", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+# the network of ``operators/shuffle.py`` as a recursive table: one round a step
+@register("shuffled_epochs", f"""WITH RECURSIVE n AS (SELECT count(*) AS n, CAST(floor(sqrt(count(*))) AS BIGINT) + 1 AS a FROM benchmark),
+m AS (SELECT n, a, (n + a - 1) // a AS b FROM n),
+rows AS (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS x FROM benchmark),
+w AS (
+  SELECT item_id, CAST(e AS BIGINT) AS epoch, x % a AS l, x // a AS r, 0 AS i, n, a, b FROM rows, m, unnest(range({EPOCHS})) AS t(e)
+  UNION ALL
+  SELECT item_id, epoch, CASE WHEN i % 2 = 0 THEN (l + v) % a ELSE l END, CASE WHEN i % 2 = 1 THEN (r + v) % b ELSE r END, i + 1, n, a, b FROM (
+    SELECT *, ((t * t + k) % {sh.PRIME} * ((t * 39373 + k) % {sh.PRIME}) + t) % {sh.PRIME} AS v FROM (
+      SELECT *, (CASE WHEN i % 2 = 0 THEN r ELSE l END + k) % {sh.PRIME} AS t FROM (
+        SELECT *, (42 * 48271 + epoch * 16807 + i % {sh.ROUNDS} * 69621) % {sh.PRIME} AS k FROM w
+        WHERE i = 0 OR i % {sh.ROUNDS} > 0 OR l + r * a >= n))))
+SELECT item_id, epoch, epoch * n + l + r * a AS step FROM w WHERE i > 0 AND i % {sh.ROUNDS} = 0 AND l + r * a < n""")
+def shuffled_epochs(spark, d):
+    """Each epoch in an order of its own, without sorting by a random key."""
+    items = TB.table(spark, d, "benchmark").select("item_id")
+    return sh.shuffled_epochs(items, "item_id", EPOCHS, seed=42).select("item_id", "epoch", "step")
