@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import places as pl
 from ..functions import spans as sp
 from ..operators import decode as dc
 from ..operators import features as fe
@@ -120,3 +121,23 @@ def match_mask(spark, d):
     mask = sp.match_mask(F.col("tk"), F.slice("tk", 1, 2))
     return t.select("doc_id", F.size("tk").cast("long").alias("n_tokens"),
                     F.size(F.filter(mask, lambda x: x)).cast("long").alias("n_masked"))
+
+
+@register("answer_text_places", """WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), ' *[^ ]+| +$') AS tk FROM documents),
+s AS (SELECT doc_id, tk, doc_id % len(tk) AS f, least(doc_id % len(tk) + 4, len(tk) - 1) AS l FROM t WHERE len(tk) > 0)
+SELECT doc_id, CAST(coalesce(list_sum(list_transform(tk[1:f], lambda x: length(x))), 0) AS INTEGER) AS char_start,
+       md5(array_to_string(tk[f + 1:l + 1], '')) AS span_md5, CAST(f AS INTEGER) AS first, CAST(l AS INTEGER) AS last
+FROM s UNION ALL SELECT doc_id, NULL, NULL, NULL, NULL FROM t WHERE len(tk) = 0""")
+def answer_text_places(spark, d):
+    """a span of tokens in each document, found in its text and taken back
+    from there to tokens."""
+    text = F.coalesce("text", F.lit(""))
+    docs = _docs(spark, d).select("doc_id", text.alias("text"), F.regexp_extract_all(text, F.lit(" *[^ ]+| +$"), 0).alias("tokens"))
+    ends = docs.select("doc_id", "text", pl.token_ends("tokens").alias("ends"))
+    first = F.when(F.size("ends") > 0, F.col("doc_id") % F.greatest(F.size("ends"), F.lit(1))).cast("int")
+    chars = pl.chars_of_tokens(F.col("ends"), first, F.least(first + 4, F.size("ends") - 1))
+    found = ends.withColumn("chars", chars)
+    back = pl.tokens_of_chars(F.col("ends"), F.col("chars.start"), F.col("chars.end"))
+    return found.withColumn("back", back).select(
+        "doc_id", F.col("chars.start").alias("char_start"), F.md5(pl.span_text(F.col("text"), F.col("chars")).cast("binary")).alias("span_md5"),
+        "back.first", "back.last")
