@@ -149,3 +149,13 @@ def write_named_json(df: DataFrame, path: str, file: Column, order: list[str], r
     rows = keyed.repartition("file").sortWithinPartitions("file", *[f"_{i}" for i in range(len(order))], "value").select("file", "value")
     head, tail = (f'{{"{root}": [', "]}") if root else ("[", "]")
     (rows.write.format("named_files").mode(mode).option("head", head).option("between", ",\n").option("tail", tail).save(path))
+
+
+def write_named_text(df: DataFrame, path: str, file: Column, text: str, mode: str = "append") -> None:
+    """Each row's ``text`` as it is (null: nothing), in the file of its name; of
+    rows of one name the texts stand on lines in their own order."""
+    df.sparkSession.dataSource.register(NamedFiles)
+    keyed = df.select(F.coalesce(F.nullif(file, F.lit("")), F.raise_error(F.lit("a row has no file name")).cast("string")).alias("file"),
+                      F.coalesce(F.col(text).cast("string"), F.lit("")).alias("value"))
+    rows = keyed.repartition("file").sortWithinPartitions("file", "value")
+    rows.write.format("named_files").mode(mode).option("tail", "").save(path)
