@@ -1,8 +1,13 @@
+import random
 import re
+import time
 
 import corpus_pipeline
-from docloom.llm.pieces import MODEL_FILE, UNKNOWN_PENALTY, byte_ids, load_pieces
-from docloom.llm.sentencepiece import decode, encode
+from pyspark.sql import functions as F
+
+from docloom.llm.lexicon import run_words
+from docloom.llm.pieces import MODEL_FILE, UNKNOWN_PENALTY, byte_ids, load_pieces, piece_table
+from docloom.llm.sentencepiece import decode, encode, lattice, long_viterbi, viterbi
 
 DOC = "doc_id long, text string, ids string, word_id long, block long"
 SWAP = str.maketrans(" ▁", "▁ ")
@@ -58,11 +63,11 @@ def test_whole_documents_come_back(spark, documents):
     assert all(ids[d["doc_id"]] == plain(d["text"] or "") for d in documents)
 
 
-def uncut_viterbi(text):
+def uncut_viterbi(text, lead=" "):
     """Ids of the best path over the whole text, no words."""
     table = {p: (s, i) for i, p, s in load_pieces()}
     unknown, longest, bytes_of = min(s for s, _ in table.values()) - UNKNOWN_PENALTY, max(map(len, table)), byte_ids()
-    w = (" " + text).translate(SWAP)
+    w = (lead + text).translate(SWAP)
     best = [(0.0, None, [])]
     for end in range(1, len(w) + 1):
         top = None
@@ -74,8 +79,49 @@ def uncut_viterbi(text):
         best.append(top)
     out, at = [], len(w)
     while at:
-        out, at = best[at][2] + out, best[at][1]
-    return out
+        out.append(best[at][2])
+        at = best[at][1]
+    return [i for x in reversed(out) for i in x]
+
+
+def by_runs(text):
+    """The best paths of a text's words; paths of equal score differ by rounding where words are summed up."""
+    return [i for w in re.findall(r" +[^ \n]*|\n|[^ \n]+", " " + text) for i in uncut_viterbi(w, "")] if text else []
+
+
+def test_registered_form_on_whole_documents(spark, documents):
+    docs = spark.createDataFrame([(d["doc_id"], d["text"]) for d in documents[:60]], "doc_id long, text string")
+    encoded = encode(docs, words=run_words)
+    got = {r.doc_id: list(r.ids) for r in encoded.collect()}
+    assert got == {d["doc_id"]: by_runs(d["text"]) for d in documents[:60]}
+    score = {i: s for i, _, s in load_pieces()}
+    for d in documents[:10]:  # as good as the best path over the whole text
+        cost = [sum(score.get(i, 0.0) for i in x) for x in (got[d["doc_id"]], uncut_viterbi(d["text"] or ""))]
+        assert abs(cost[0] - cost[1]) < 1e-6 or any(i not in score for i in got[d["doc_id"]])
+    assert {r.doc_id: r.text for r in decode(encoded).collect()} == {d["doc_id"]: d["text"] or "" for d in documents[:60]}
+
+
+def test_long_words_are_linear(make):
+    rng = random.Random(3)
+    texts = ["".join(chr(rng.randint(0x4E00, 0x9FFF)) for _ in range(100_000)), " " * 100_000 + "x",
+             "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789+/=") for _ in range(3000)), "a" * 2050, "日本" * 700 + "é" * 500]
+    docs = make(list(enumerate(texts)), "doc_id long, text string")
+    begun = time.time()
+    encoded = encode(docs, words=run_words)
+    got = {r.doc_id: list(r.ids) for r in encoded.collect()}
+    assert time.time() - begun < 120  # the former fold had not ended with 4,000 characters after 45 s
+    assert [got[i] == by_runs(t) for i, t in enumerate(texts)] == [True] * len(texts)
+    assert {r.doc_id: r.text for r in decode(encoded).collect()} == dict(enumerate(texts))
+
+
+def test_both_folds_agree(spark):
+    words = ["x" * 70, "internationalization", "日本語", "a", " " * 40 + "b", "▁▁", "-=" * 30]
+    rows = spark.createDataFrame([(0, i, w) for i, w in enumerate(words)], "bucket int, word_id long, word string")
+    table = load_pieces()
+    longest = max(len(p) for _, p, _ in table)
+    edges = lattice(rows, piece_table(spark, table), longest, -30.0)
+    for r in edges.select(viterbi(F.col("edges")).alias("a"), long_viterbi(F.col("edges"), longest).alias("b")).collect():
+        assert r.a == r.b
 
 
 def test_every_normal_piece_is_kept():
