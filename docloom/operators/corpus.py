@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from .groups import ordered_segments
 from .joins import restrict_to_keys
-from .ranks import running_max_within
+from .ranks import rank_within, running_max_within
 
 # Prefixes of the FAQ content (questions, then answers).
 FAQ_QUESTION_PREFIX = "問題："
@@ -109,6 +110,24 @@ def faq_to_corpus(records: DataFrame, key: str = "faqid", order: str = "rec",
     return with_content_len(out).select("category", "content", "content_len", "doc_num")
 
 
+def faq_segments(records: DataFrame, max_chars: int, key: str = "faqid", order: str = "rec",
+                 question: str = "question", answers: str = "answers", category: str = FAQ_CATEGORY) -> DataFrame:
+    """A1 for FAQ ids of any size: the text of ``faq_to_corpus`` in numbered
+    segments of about ``max_chars`` (``groups.ordered_segments``); an id whose
+    text fits is one row with the text ``faq_to_corpus`` gives."""
+    pieces = records.select(F.col(key).alias("_id"), F.col(order).alias("_rec"), F.posexplode(
+        F.array(F.col(question), tx.join_cjk_list(answers))).alias("_part", "_piece")).where(F.col("_piece").isNotNull())
+    pieces = rank_within(pieces, "_rec", ["_id", "_part"], name="_n")
+    pieces = pieces.withColumn("_piece", F.concat(F.when(F.col("_n") > 0, "\n").otherwise(""), F.col("_piece")))
+    prefixes = records.select(F.col(key).alias("_id")).distinct().select("_id", F.posexplode(
+        F.array(F.lit(FAQ_QUESTION_PREFIX), F.lit(FAQ_ANSWER_PREFIX))).alias("_part", "_piece"))
+    parts = (pieces.select("_id", "_part", "_piece", "_n").unionByName(prefixes.withColumn("_n", F.lit(-1).cast("long")))
+             .withColumn("_order", F.struct("_part", "_n")))
+    out = ordered_segments(parts, ["_id"], "_order", F.col("_piece"), max_chars)
+    return (with_content_len(out.withColumn("category", F.lit(category)))
+            .select("category", "segment_no", "content", "content_len", F.col("_id").cast("long").alias("doc_num")))
+
+
 def union_corpora(*frames: DataFrame) -> DataFrame:
     """Union by column name; a column missing in one input becomes null."""
     out = frames[0]
@@ -117,13 +136,25 @@ def union_corpora(*frames: DataFrame) -> DataFrame:
     return out
 
 
+def _tagged_page(page_no: str, text: str) -> Column:
+    stripped = tx.strip_space(text)
+    return F.when(stripped != "", tx.page_tag(F.col(page_no), stripped))
+
+
+def pages_to_segments(pages: DataFrame, max_chars: int, doc: str = "doc_id", page_no: str = "page_no",
+                      text: str = "text", name: str = "content") -> DataFrame:
+    """A9 for documents of any size: the text of ``pages_to_document`` in
+    numbered segments of whole pages, each of about ``max_chars``; a document
+    that fits is segment 0."""
+    return ordered_segments(pages, [doc], page_no, _tagged_page(page_no, text), max_chars, name)
+
+
 def pages_to_document(pages: DataFrame, doc: str = "doc_id", page_no: str = "page_no",
                       text: str = "text", name: str = "content") -> DataFrame:
     """One document per ``doc``: page texts stripped, blank pages
     skipped (their numbers kept), each wrapped as ``<page number="i">``,
     joined in page order; a document with no text at all → null."""
-    stripped = tx.strip_space(text)
-    tagged = F.when(stripped != "", tx.page_tag(F.col(page_no), stripped))
+    tagged = _tagged_page(page_no, text)
     g = pages.groupBy(doc).agg(
         F.sort_array(F.collect_list(F.when(tagged.isNotNull(), F.struct(F.col(page_no), tagged.alias("t")))))
         .alias("_pages"))

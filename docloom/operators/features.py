@@ -42,6 +42,31 @@ def model_input(prompt, context) -> Column:
     return F.concat(F.col(prompt), tx.context_tag(context))
 
 
+def prompt_messages(question: str = "question", context: str = "context", task: str = "find_id",
+                    system: str = SYSTEM_MESSAGE, example: str | Column | None = None,
+                    acknowledgement: str = ASSISTANT_ACK, answer: str | None = None) -> Column:
+    """the whole prompt as ``array<struct<role, content>>``: the system
+    message, an example turn with the assistant's acknowledgement (both only
+    where ``example`` is not null), the question with its context, and, for
+    training, the ``answer`` column as the assistant's turn where not null.
+
+    ``task``: ``find_id`` wraps the context in its tag, once; ``answer`` asks
+    for a free answer and has the context as it is.  A null question or
+    context counts as empty."""
+    if task not in ("find_id", "answer"):
+        raise ValueError("task must be 'find_id' or 'answer'")
+    tpl = QUESTION_TEMPLATE_FIND_ID.removesuffix("<context>") if task == "find_id" else QUESTION_TEMPLATE_ANSWER
+    asked = tx.strip_space(tx.render(tpl, question=F.coalesce(F.col(question), F.lit(""))))
+    given = F.coalesce(F.col(context), F.lit(""))
+    asked = F.concat(asked, tx.context_tag(given) if task == "find_id" else given)
+    shown = F.lit(None).cast("string") if example is None else F.lit(example) if isinstance(example, str) else example
+    said = F.lit(None).cast("string") if answer is None else F.col(answer)
+    turns = [("system", F.lit(system)), ("user", shown), ("assistant", F.when(shown.isNotNull(), F.lit(acknowledgement))),
+             ("user", asked), ("assistant", said)]
+    return F.filter(F.array(*[F.struct(F.lit(r).alias("role"), c.alias("content")) for r, c in turns]),
+                    lambda m: m["content"].isNotNull())
+
+
 def render_chat(messages: Column, turn: str = CHAT_TURN, add_generation_prompt: bool = False,
                 generation_suffix: str = CHAT_GENERATION_SUFFIX) -> Column:
     """fold an ``array<struct<role, content>>`` into one string with a

@@ -62,6 +62,10 @@ def batch_numbers(df: DataFrame, order: str, size: int, name: str = "batch_no",
             .drop("_bn_rank"))
 
 
+#: Rows that a slice may gather in one task.
+TOP_ROWS = 10_000
+
+
 def row_positions(df: DataFrame, order: str, name: str = "row_no",
                   descending: bool = False) -> DataFrame:
     """Explicit 0-based row numbers (never ``monotonically_increasing_id``)."""
@@ -72,11 +76,13 @@ def slice_rows(df: DataFrame, order: str, start: int = 0, end: int | None = None
                descending: bool = True, name: str = "position") -> DataFrame:
     """O1+O2: rows ``[start, end)`` of ``df`` sorted by ``order`` (descending by
     default, as the reference sorts by qid descending), with their position.
-    With ``end`` only the first ``end`` rows of the order are looked at (a
-    top-k of each partition, merged); without, ranks are distributed."""
-    if end is not None:
+    With an ``end`` of at most ``TOP_ROWS`` only the first ``end`` rows of the
+    order are looked at (a top-k of each partition, merged); else ranks are
+    distributed, so a slice deep in the table passes through no single task."""
+    if end is not None and end <= TOP_ROWS:
         df = df.orderBy(F.col(order).desc() if descending else F.col(order).asc()).limit(end)
-    return row_positions(df, order, name=name, descending=descending).where(F.col(name) >= start)
+    ranked = row_positions(df, order, name=name, descending=descending).where(F.col(name) >= start)
+    return ranked if end is None else ranked.where(F.col(name) < end)
 
 
 def slice_then_sort(df: DataFrame, position: str, start: int, end: int | None, order: str,

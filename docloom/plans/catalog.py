@@ -9,5 +9,5 @@ from __future__ import annotations
 
 from . import (queries_qa, queries_text, queries_corpus, queries_features,  # noqa: F401
                queries_spans, queries_splits, queries_collect, queries_trials, queries_hooks, queries_sources,
-               queries_delivery)
+               queries_delivery, queries_groups)
 from .registry import ORACLE, QUERIES, QueryFn, register  # noqa: F401

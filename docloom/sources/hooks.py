@@ -11,6 +11,7 @@ import sys
 from collections.abc import Callable, Iterator, Sequence
 from html.parser import HTMLParser
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
@@ -98,29 +99,46 @@ BYTE_ORDER_MARKS = ((b"\xef\xbb\xbf", "utf-8-sig"), (b"\xff\xfe\x00\x00", "utf-3
                     (b"\xff\xfe", "utf-16"), (b"\xfe\xff", "utf-16"))
 
 
-def _commonness(text: str) -> float:
+def _weights() -> tuple[np.ndarray, np.ndarray]:
+    """For each code point of the first plane, ten times what it counts apart
+    from letters and beside one."""
+    o = np.arange(0x10000)
+    apart = np.zeros(len(o), np.int8)
+    plain = (o == 9) | (o == 10) | (o == 13) | ((o >= 32) & (o < 127)) | ((o >= 0x3000) & (o <= 0x30FF)) | ((o >= 0xFF00) & (o <= 0xFF5E))
+    cjk, accented = (o >= 0x3400) & (o <= 0x9FFF), (o >= 0xC0) & (o <= 0x24F)
+    apart[(o < 32) | ((o >= 0x7F) & (o < 0xA0)) | ((o >= 0xE000) & (o <= 0xF8FF))] = -20
+    apart[accented], apart[cjk] = 6, 4
+    # the first plane of the double-byte set holds the common characters
+    for c in range(0x3400, 0xA000):
+        if b"\xa4\x40" <= chr(c).encode("big5", "replace") <= b"\xc6\x7e":
+            apart[c] = 10
+    apart[plain] = 10
+    beside = apart.copy()
+    beside[accented], beside[cjk & ~plain] = 10, -5
+    return apart, beside
+
+
+def _commonness(text: str, weights: tuple[np.ndarray, np.ndarray]) -> float:
     """How usual a decoded text looks, per character: ASCII text, kana and
     common CJK characters count for it, and accented letters beside ASCII
     letters; CJK characters between ASCII letters, controls and rare planes
     count against it."""
-    score = 0.0
-    for i, c in enumerate(text):
-        o = ord(c)
-        in_word = any("a" <= x.lower() <= "z" for x in (text[i - 1:i] if i else "", text[i + 1:i + 2]) if x)
-        if c in "\t\n\r" or 32 <= o < 127 or 0x3000 <= o <= 0x30FF or 0xFF00 <= o <= 0xFF5E:
-            score += 1.0
-        elif 0x3400 <= o <= 0x9FFF:
-            # the first plane of the double-byte set holds the common characters
-            common = b"\xa4\x40" <= c.encode("big5", "replace") <= b"\xc6\x7e"
-            score += -0.5 if in_word else 1.0 if common else 0.4
-        elif 0xC0 <= o <= 0x24F:
-            score += 1.0 if in_word else 0.6
-        elif o < 32 or 0x7F <= o < 0xA0 or 0xE000 <= o <= 0xF8FF or o >= 0x20000:
-            score -= 2.0
-    return score / max(1, len(text))
-
-
-def _decode_any(b: bytes | None, candidates: Sequence[str]) -> tuple[str | None, str | None, bool]:
+    if not text:
+        return 0.0
+    o = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    letter = ((o | 32) >= 97) & ((o | 32) <= 122)
+    beside_letter = np.zeros(len(o), bool)
+    beside_letter[1:] = letter[:-1]
+    beside_letter[:-1] |= letter[1:]
+    apart, beside = weights
+    low = np.minimum(o, 0xFFFF)
+    score = np.where(beside_letter, beside[low], apart[low]).astype(np.int64)
+    score[o >= 0x10000] = 0
+    score[o >= 0x20000] = -20
+    return int(score.sum()) / (10 * len(o))
+
+
+def _decode_any(b: bytes | None, candidates: Sequence[str], weights: tuple[np.ndarray, np.ndarray]) -> tuple[str | None, str | None, bool]:
     """(text, encoding, ok).  A byte-order mark decides; text without one that
     holds NUL bytes is not text; else the candidate that decodes strictly to
     the most usual text (the earlier one of equals)."""
@@ -143,7 +161,7 @@ def _decode_any(b: bytes | None, candidates: Sequence[str]) -> tuple[str | None,
             continue
         if enc == "utf-8":
             return text, enc, True
-        if (s := _commonness(text)) > best[0]:
+        if (s := _commonness(text, weights)) > best[0]:
             best = (s, text, enc)
     return best[1], best[2], best[1] is not None
 
@@ -168,10 +186,11 @@ def normalize_charset(df: DataFrame, data: str = "content", candidates: Sequence
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in keep]
                        + ["text string", "encoding string", "ok boolean"])
     cands = tuple(c for c in candidates if c.lower() not in ("utf-8", "utf8"))
+    weights = _weights()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            res = [_decode_any(b, cands) for b in pdf[data]]
+            res = [_decode_any(b, cands, weights) for b in pdf[data]]
             out = pdf[keep].copy()
             out["text"] = [r[0] for r in res]
             out["encoding"] = [r[1] for r in res]
