@@ -23,6 +23,7 @@ and null ids stay as rows of their own; other columns come back in ``row``.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -41,7 +42,6 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _DIGIT = re.compile(r"[0-9]")
 _DOTTED = re.compile(r"[0-9][0-9.]*")
-_IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _NUMBER = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?=([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}))")
@@ -116,10 +116,8 @@ def _base(text: str) -> Iterator[tuple[str, int, int]]:
         return
     for run in _DOTTED.finditer(text):
         if run[0].count(".") >= 3:
-            at = 0
             for part in _dotted_parts(run[0]):
                 yield "ip", run.start() + part[0], run.start() + part[1]
-                at = part[1]
     for m in _NUMBER.finditer(text):
         if m.end() - m.start() >= 16:
             digits = _digits(m[0])
@@ -178,9 +176,20 @@ def find_spans(text: str | None, threshold: float = THRESHOLD) -> list[tuple[str
         return round(alone + near * bool(_NEAR[kind].search(around)), 3)
 
     out = [(k, a, b, score(k, a, b)) for k, a, b in _base(text)]
+    starts: list[int] = []  # of the taken stretches of the text, disjoint and in order
+    ends: list[int] = []
+    for a, b in sorted((a, b) for _, a, b, _ in out):
+        if starts and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
     for k, a, b in _added(text):
-        if (s := score(k, a, b)) >= threshold and all(b <= x or a >= y for _, x, y, _ in out):
+        at = bisect_right(ends, a)  # the first stretch that ends beyond a
+        if (s := score(k, a, b)) >= threshold and (at == len(starts) or starts[at] >= b):
             out.append((k, a, b, s))
+            starts.insert(at, a)
+            ends.insert(at, b)
     return sorted(out, key=lambda x: (KINDS.index(x[0]), x[1]))
 
 

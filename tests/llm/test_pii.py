@@ -1,8 +1,10 @@
 import hashlib
 import random
 import re
+import time
 
 from conftest_llm import SF
+from docloom.llm import pii
 from docloom.llm.pii import KINDS, emails, find_pii, find_spans, luhn, mod97, redact
 from docloom.llm.queries import QUERIES
 
@@ -77,3 +79,23 @@ def test_query_against_brute_force(spark, documents):
         listed = [tuple(x.split(":")) for x in r.spans.split(",") if x]
         assert [(k, int(a), int(b)) for k, a, b in listed if k in RULES] == spans
         assert listed == sorted(listed, key=lambda x: (KINDS.index(x[0]), int(x[1])))
+
+
+def test_added_spans_keep_clear_of_all_before():
+    draw = random.Random(8)
+    bits = ["4111 1111 1111 1111", "card 378282246310005", "+49 30 1234567", "(555) 123-4567 call", "ssn 123-45-6789", "a.b@c.de",
+            "IBAN DE89 3704 0044 0532 0130 00", "token=abcdefghij0123456789xyz", "10.0.0.1", " ", "phone ", "token: +4915112345678901234567"]
+    for _ in range(300):
+        text = draw.choice(["", " "]).join(draw.choices(bits, k=12))
+        plain = list(pii._base(text))
+        for k, a, b in pii._added(text):  # each against all before it
+            if all(b <= x or a >= y for _, x, y in plain):
+                plain.append((k, a, b))
+        assert [x[:3] for x in find_spans(text, 0.0)] == sorted(plain, key=lambda x: (KINDS.index(x[0]), x[1]))
+
+
+def test_many_added_spans_take_linear_time():
+    text = "ssn 123-45-6789 and card 378282246310005, " * 25_000
+    start = time.perf_counter()
+    found = find_spans(text)
+    assert len(found) == 50_000 and time.perf_counter() - start < 20
