@@ -237,10 +237,11 @@ def fit(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id") -> Model:
     model = Model(expectation_maximisation(votes_of(found), np.where(found == pattern(np.zeros((1, len(LABELLERS)), np.int8))[0], 0, counts)))
     if not counts.sum():
         return model
-    picked = (docs.select(F.xxhash64(id_col, F.coalesce(F.col("text"), F.lit(""))).alias("h"))
-              .orderBy("h").limit(sample).agg(F.max("h").alias("h")).first().h)
-    rows, x = gather(features(docs.where(F.xxhash64(id_col, F.coalesce(F.col("text"), F.lit(""))) <= picked)
-                              .select("text").limit(sample)))
+    hashed_rows = docs.select(F.xxhash64(id_col, F.coalesce(F.col("text"), F.lit(""))).alias("h"), "text")
+    last = hashed_rows.select("h").orderBy("h").limit(sample).groupBy("h").count().orderBy(F.desc("h")).first()
+    # the features are taken where the texts are; only of the last hash's equal rows some may be too many
+    rows, x = gather(features(hashed_rows.where(F.col("h") < last.h).select("text")).unionByName(
+        features(hashed_rows.where(F.col("h") == last.h).select("text").limit(last["count"]))))
     x.shape = (x.shape[0], 1 << BITS)
     target = model.labels.posterior(votes_of(rows["pattern"].to_numpy()))
     model.weights, model.bias = fit_soft(x, target, bias=0.0, ridge=1e-5)
