@@ -62,3 +62,15 @@ def test_the_sessions_provider_comes_back(spark, tmp_dir):
     put(f"{tmp_dir}/src", "qid0_iter0_checkpoint120.json", [(1, "faq", "7", 10)])
     drain(spark, tmp_dir)
     assert spark.conf.get(st.PROVIDER, None) == before
+
+
+def test_state_is_read_once_for_each_bucket_and_not_for_each_key(spark, tmp_dir):
+    rows = [(k % 50, "faq", str(k), 5 * (k % 3)) for k in range(4000)]
+    put(f"{tmp_dir}/src", "qid0_iter0_checkpoint120.json", rows)
+    preds = rd.read_predictions(spark, f"{tmp_dir}/src", stream=True)
+    with st._settings(spark):
+        q = (st.best_changes(preds, buckets=16).writeStream.outputMode("append").format("parquet").option("path", f"{tmp_dir}/sink")
+             .option("checkpointLocation", f"{tmp_dir}/ck").trigger(availableNow=True).start())
+    q.awaitTermination()
+    assert result(spark, tmp_dir) == (batch(spark, tmp_dir), 4000)
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]) <= 16
