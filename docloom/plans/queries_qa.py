@@ -9,12 +9,13 @@ from ..operators import decode as dc
 from ..operators import features as fe
 from ..operators import qa
 from ..operators import splits as sl
+from ..operators.ranks import range_partitions
 from . import oracle as O
 from . import tables as TB
 from .common import NL, _sql_strip
 from .registry import register
 from .queries_features import WINDOW_OVERLAP
-from .queries_spans import planted_tokens
+from .queries_spans import planted
 
 
 # ---------------------------------------------------------------- QA assembly
@@ -227,8 +228,18 @@ def inference_answers(spark, d):
     widening search for a document id in the window → best (least widened)
     prediction per (qid, category, retrieve) → answers."""
     n = TB.table(spark, d, "embeddings").select(F.count(F.lit(1))).scalar()
-    windows = fe.token_windows(planted_tokens(spark, d).select("doc_id", "tokens"), "tokens", width=INFER_WIDTH, overlap=WINDOW_OVERLAP)
-    logits = TB.logits(spark, d).select("vec_id", "start_logits", "end_logits")
-    scored = windows.withColumn("vec_id", (F.col("doc_id") * 31 + F.col("chunk_no")) % n).join(logits, "vec_id")
-    preds = dc.widening_search(dc.decode(scored, confidence=False), tokens="chunk")
+    # a window's spans are two numbers each: these go to the texts, and no window is shuffled
+    spans = dc.decode(TB.logits(spark, d).select("vec_id", "start_logits", "end_logits"), confidence=False)
+    spans = spans.groupBy("vec_id").agg(F.collect_list(F.struct("pred_start", "pred_end")).alias("spans"))
+    docs = TB.table(spark, d, "documents").where("doc_id IS NOT NULL").select("doc_id", "text")
+    docs = docs.repartition(range_partitions(docs), "doc_id")  # the texts move once: both uses and the join are by doc_id
+    windows = planted(docs).groupBy("doc_id").agg(F.max(F.size(fe.window_starts(F.size("tokens"), INFER_WIDTH, WINDOW_OVERLAP))).alias("n"))
+    numbers = windows.select("doc_id", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("chunk_no"))
+    listed = (numbers.withColumn("vec_id", (F.col("doc_id") * 31 + F.col("chunk_no")) % n).join(spans, "vec_id", "left")
+              .groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("chunk_no", "spans"))).alias("spans"))
+              .select("doc_id", F.transform("spans", lambda x: x["spans"]).alias("spans")))
+    tokens = planted(docs.join(listed, "doc_id"), "spans").select("doc_id", "spans", "tokens")
+    scored = (fe.token_windows(tokens, "tokens", width=INFER_WIDTH, overlap=WINDOW_OVERLAP, along="spans")
+              .select("doc_id", "chunk_no", "chunk", F.inline("spans")))
+    preds = dc.widening_search(scored, tokens="chunk")
     return co.collect_answers(preds.select(F.col("doc_id").alias("qid"), F.col("category_pred").alias("category"), "retrieve", "incre_num_by"))

@@ -59,17 +59,22 @@ WIDEN_STEP, WIDEN_LIMIT = 5, 20
 
 
 def planted_tokens(spark, d):
-    t = _docs(spark, d).select("doc_id", fe.whitespace_tokens("text").alias("tk"))
-    n = F.size("tk")
-    p = ((F.col("doc_id") * 13) % n).cast("int")
-    planted = F.concat(F.slice("tk", 1, p), F.array(F.concat(F.lit("faq_"), F.col("doc_id").cast("string"))),
-                       F.slice("tk", p + 1, n - p))
-    t = t.select("doc_id", planted.alias("tokens"))
+    t = planted(_docs(spark, d))
     m = F.size("tokens")
     ps = (F.col("doc_id") * 7) % m
     return t.withColumn("pred_start", ps).withColumn("pred_end", ps + F.col("doc_id") % 3)
 
 
+def planted(docs, *more):
+    """doc_id, further columns as asked, and the text's tokens with the id among them."""
+    t = docs.select("doc_id", *more, fe.whitespace_tokens("text").alias("tk"))
+    n = F.size("tk")
+    p = ((F.col("doc_id") * 13) % n).cast("int")
+    tokens = F.concat(F.slice("tk", 1, p), F.array(F.concat(F.lit("faq_"), F.col("doc_id").cast("string"))),
+                      F.slice("tk", p + 1, n - p))
+    return t.select("doc_id", *more, tokens.alias("tokens"))
+
+
 @register("widening_search", f"""WITH t AS (SELECT doc_id, string_split(text, ' ') AS tk FROM documents),
 t2 AS (SELECT doc_id, tk[1 : (doc_id * 13) % len(tk)] || ['faq_' || CAST(doc_id AS VARCHAR)] || tk[(doc_id * 13) % len(tk) + 1 :] AS tokens FROM t),
 s AS (SELECT doc_id, tokens, (doc_id * 7) % len(tokens) AS ps, (doc_id * 7) % len(tokens) + doc_id % 3 AS pe FROM t2),

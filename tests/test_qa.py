@@ -2,6 +2,7 @@
 
 import pytest
 
+from docloom.operators import features as fe
 from docloom.operators import qa
 
 
@@ -70,3 +71,24 @@ def test_context_partition_invariance(spark, parts):
         # the duplicate (faq, 3) has the largest order value, so the original wins
         exp = "".join(f'<article id="{cat}_{d}">{cat}{d}</article>' for d in src)
         assert got[qid] == exp
+
+
+def test_inference_shuffles_texts_and_spans_but_no_windows(spark, capsys):
+    import re
+
+    from docloom.plans.catalog import QUERIES
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        QUERIES["inference_answers"](spark, "/root/testdata/sf0.001").explain("formatted")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    sent = re.findall(r"\) Exchange\nInput \[\d+\]: (.*)", capsys.readouterr().out)
+    assert len(sent) >= 3 and not any(re.search(r"\b(chunk|tokens|start_logits)#", x) for x in sent)
+
+
+def test_windows_get_their_own_value_of_a_list(spark):
+    df = spark.createDataFrame([(1, list("abcdefgh"), [[1], [], [2, 3]]), (2, ["x"], [[9], [8]])], "id int, tk array<string>, own array<array<int>>")
+    got = fe.token_windows(df, "tk", width=4, overlap=2, along="own")
+    assert got.columns == ["id", "chunk_no", "token_start", "chunk", "is_last", "own"]
+    assert sorted((r.id, r.chunk_no, "".join(r.chunk), r.own) for r in got.collect()) == [
+        (1, 0, "abcd", [1]), (1, 1, "cdef", []), (1, 2, "efgh", [2, 3]), (2, 0, "x", [9])]
