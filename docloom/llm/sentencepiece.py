@@ -28,9 +28,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bytepairs import _binary, _flat
 from .lexicon import BLOCK_COLUMNS, Block, Splitter, bucketed, numbered, pack, read_blocks, spaced_words
 from .pieces import MODEL_FILE, UNKNOWN_PENALTY, byte_ids, load_pieces, piece_table
 
@@ -225,8 +226,12 @@ def _encoded_rows(block: Block, values: np.ndarray) -> Iterator[pa.RecordBatch]:
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text: str = "text", model_file: str = MODEL_FILE,
-           words: Splitter = spaced_words) -> DataFrame:
-    """id_col and ids (the pieces of the whole text, cut into ``words``) of each row."""
+           words: Splitter = spaced_words, also: dict[str, Callable[[pa.Array], pa.Array]] | None = None) -> DataFrame:
+    """id_col and ids (the pieces of the whole text, cut into ``words``) of each
+    row; ``also``: further columns of bytes, by functions of lists of ids such as
+    ``piece_bytes``, made where the ids are put together, so that they take no
+    second way through Python."""
+    also = also or {}
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.lit(True).alias("learn"), F.col(text).cast("string").alias("text"))
     packed = pack(rows, words, counts=False)
     ids = bucketed(word_ids(numbered(packed, counts=False), model_file), "bucket", packed.parts)
@@ -248,28 +253,55 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text: str = "text", model_fi
     def finish(key: tuple, block: pa.Table, back: pa.Table) -> pa.Table:
         back = back.take(pa.array(np.argsort(back["bucket"].to_numpy())))
         values = np.frombuffer(b"".join(back["sent"].to_pylist()), kind)
-        parts = [b for one in read_blocks(block.to_batches()) for b in _encoded_rows(one, values)]
-        return pa.Table.from_batches(parts, pa.schema([("id", pa.int64()), ("ids", pa.list_(pa.int32()))]))
+        parts = [pa.record_batch([*b.columns, *[made(b.column(1)) for made in also.values()]], ["id", "ids", *also])
+                 for one in read_blocks(block.to_batches()) for b in _encoded_rows(one, values)]
+        return pa.Table.from_batches(parts, pa.schema([("id", pa.int64()), ("ids", pa.list_(pa.int32())), *[(c, pa.binary()) for c in also]]))
 
     places = packed.table.where(F.col("block").isNotNull()).select("block", "bucket", "places")
     back = places.groupBy("bucket").cogroup(ids.groupBy("bucket")).applyInArrow(pick, "block long, bucket int, sent binary")
     blocks = packed.blocks.select(*BLOCK_COLUMNS)
-    return (blocks.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(finish, "id long, ids array<int>")
+    schema = ", ".join(["id long, ids array<int>", *[f"`{c}` binary" for c in also]])
+    return (blocks.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(finish, schema)
             .withColumnRenamed("id", id_col))
 
 
-def decode(encoded: DataFrame, ids: str = "ids", model_file: str = MODEL_FILE) -> DataFrame:
-    """``encoded`` with ``text``: pieces joined, ``▁`` as blanks, byte pieces
-    as the characters they spell, the first blank dropped.  Null ids give null."""
+def piece_bytes(spark: SparkSession, model_file: str = MODEL_FILE) -> Callable[[pa.Array], pa.Array]:
+    """A function of lists of ids: the text they stand for, in UTF-8, by a join
+    with the table of the pieces' bytes (broadcast: as large as the vocabulary):
+    pieces joined, ``▁`` as blanks, byte pieces as bytes, the first blank
+    dropped.  A null list gives null."""
     table = {i: p.replace("▁", " ").encode() for i, p, _ in load_pieces(model_file)} | {i: bytes([b]) for b, i in enumerate(byte_ids(model_file))}
-    shared = encoded.sparkSession.sparkContext.broadcast(table)
+    shared = spark.sparkContext.broadcast(pa.array([table.get(i) for i in range(max(table) + 1)], pa.large_binary()))
+
+    def decoded(lists: pa.Array) -> pa.Array:
+        cuts, ids = _flat(lists)
+        taken = shared.value.take(pa.array(ids))
+        if taken.null_count:
+            raise ValueError(f"ids that stand for no piece: {np.unique(ids[taken.is_null().to_numpy(zero_copy_only=False)])[:10].tolist()}")
+        _, offsets, data = taken.buffers()
+        text = np.frombuffer(data or b"", np.uint8)
+        ends = np.frombuffer(offsets, np.int64)[taken.offset + cuts]
+        some = ends[1:] > ends[:-1]
+        keep = np.ones(ends[-1], bool)
+        keep[ends[:-1][some]] = False
+        return _binary(lists, ends - np.concatenate([[0], np.cumsum(some)]), pa.py_buffer(text[:ends[-1]][keep]))
+    return decoded
+
+
+def decode(encoded: DataFrame, ids: str = "ids", model_file: str = MODEL_FILE) -> DataFrame:
+    """``encoded`` with ``text``: what its ids stand for (see ``piece_bytes``);
+    bytes that are no UTF-8 are replaced.  Null ids give null."""
+    decoded = piece_bytes(encoded.sparkSession, model_file)
     whole = encoded.select(F.struct(*[encoded[c] for c in encoded.columns]).alias("row"), encoded[ids].alias("ids"))
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
         for b in frames:
-            texts = [None if x is None else b"".join(map(known.__getitem__, x))[1:].decode(errors="replace") for x in b.column(1).to_pylist()]
-            yield pa.record_batch([b.column(0), pa.array(texts, pa.string())], ["row", "decoded"])
+            texts = decoded(b.column(1))
+            try:
+                texts = texts.cast(pa.string())
+            except pa.ArrowInvalid:
+                texts = pa.array([None if x is None else x.decode(errors="replace") for x in texts.to_pylist()], pa.string())
+            yield pa.record_batch([b.column(0), texts], ["row", "decoded"])
 
     return (whole.mapInArrow(run, f"row {whole.schema['row'].dataType.simpleString()}, decoded string")
             .select("row.*", F.col("decoded").alias("text")))

@@ -1,9 +1,11 @@
 import functools
+import hashlib
 import random
 import re
 import time
 
 import corpus_pipeline
+from conftest_llm import SF
 from pyspark.sql import functions as F
 
 from docloom.llm.lexicon import run_words
@@ -107,6 +109,23 @@ def test_registered_form_on_whole_documents(spark, documents):
     assert {r.doc_id: r.text for r in decode(encoded).collect()} == {d["doc_id"]: d["text"] or "" for d in documents[:60]}
 
 
+def test_the_query_decodes_every_text(spark, documents):
+    from docloom.llm.queries_sentencepiece import op7_sentencepiece
+    got = {r.doc_id: (r.n_pieces, r.decoded_sha256) for r in op7_sentencepiece(spark, SF).collect()}
+    assert len(got) == len(documents)
+    for d in documents:
+        text = d["text"] or ""
+        assert got[d["doc_id"]][1] == hashlib.sha256(text.encode()).hexdigest()
+    assert all(got[d["doc_id"]][0] == len(by_runs(d["text"] or "")) for d in documents[:40])
+
+
+def test_decoding_of_any_ids(make):
+    blank, letters = 28705, byte_ids()
+    rows = [(1, None), (2, []), (3, [blank]), (4, [blank, letters[0xFF], letters[65]]), (5, [blank, *[letters[b] for b in "é".encode()], blank])]
+    got = {r.doc_id: r.text for r in decode(make(rows, "doc_id long, ids array<int>")).collect()}
+    assert got == {1: None, 2: "", 3: "", 4: "\ufffdA", 5: "é "}
+
+
 def test_long_words_are_linear(make):
     rng = random.Random(3)
     texts = ["".join(chr(rng.randint(0x4E00, 0x9FFF)) for _ in range(100_000)), " " * 20_000 + "x",
