@@ -101,9 +101,9 @@ def viterbi(edges: Column) -> Column:
         size, id = _parts_of(key)
         back = F.get(best, end - size)
         total = back["score"] + edge["score"]
-        new = F.array(cell(total, F.concat(back["ids"], F.array(id))))
-        return (F.when(end == F.size(best), F.concat(best, new))
-                .when(total > F.get(best, end)["score"], F.concat(F.slice(best, F.lit(1), end), new))
+        new = cell(total, F.array_append(back["ids"], id))  # appending costs less than concat
+        return (F.when(end == F.size(best), F.array_append(best, new))
+                .when(total > F.get(best, end)["score"], F.array_append(F.slice(best, F.lit(1), end), new))
                 .otherwise(best))
 
     return F.aggregate(edges, start_cell, step, lambda best: F.element_at(best, -1)["ids"])
