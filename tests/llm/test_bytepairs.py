@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from conftest_llm import SF
+from pyspark.sql import functions as F
 
 from docloom.llm import bytepairs, lexicon
 from docloom.llm.queries import QUERIES
@@ -81,3 +82,13 @@ def test_more_hash_buckets_than_a_table_may_have(spark, make, library, monkeypat
     finally:
         spark.conf.set("spark.sql.sources.bucketing.maxBuckets", before)
     assert got == {i: library.encode_ordinary(t) for i, t in rows}
+
+
+def test_a_block_holds_a_bounded_number_of_pre_tokens(spark):
+    from docloom.llm.bytepairs import BLOCK_WORDS, character_classes, pattern_words
+    from docloom.llm.lexicon import pack
+    classes = character_classes()
+    docs = spark.range(22).coalesce(1).select("id", F.lit(True).alias("learn"), F.repeat(F.lit("ab "), 100_000).alias("text"))
+    blocks = pack(docs, lambda texts: pattern_words(texts, classes), BLOCK_WORDS, counts=False).blocks
+    held = [r.n for r in blocks.select(F.expr("aggregate(sizes, 0, (a, x) -> a + x)").alias("n")).collect()]
+    assert len(held) > 1 and max(held) <= 1_200_000 and sum(held) >= 2_200_000
